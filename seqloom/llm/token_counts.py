@@ -22,6 +22,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from seqloom.llm.common import map_slices, texts
@@ -282,6 +283,6 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         column = part.column("text")
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.compute.binary_length(column).cast(pa.int64()), pa.array(count_tokens(column.to_pylist(), path))], schema=OUT)
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pc.binary_length(column).cast(pa.int64()), pa.array(count_tokens(column.to_pylist(), path))], schema=OUT)
 
     return map_slices(texts(docs, id_col, text_col), lambda: run, "doc_id long, n_bytes long, n_tokens long")
