@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import pieces, tiff, token_counts
+from seqloom.llm import line_dedup, mixing, oracles, pieces, quality_rules, tiff, token_counts
 from seqloom.llm.common import table
 
 TOKEN_LIMIT = 512
@@ -25,5 +25,22 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(pieces.MODEL))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_tiff, op2_token_counts, op3_sentencepiece)}
-ORACLES: dict[str, str] = {}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_digest(table(spark, sf_dir, "documents"))
+
+
+def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.place_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "source", *[F.col(f"mix_{c}").alias(c) for c in ("block", "seq", "slot", "release", "deadline")])
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_tiff, op2_token_counts, op3_sentencepiece, op8_line_dedup, op9_pfair_mix, op10_quality_rules)}
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": oracles.OP8,
+    "op9_pfair_mix": oracles.OP9,
+    "op10_quality_rules": oracles.op10(quality_rules.RULES, quality_rules.ALPHA, quality_rules.DELTA),
+}
