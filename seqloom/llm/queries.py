@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chosen_path, line_dedup, mixing, oracles, pieces, pii, quality_mil, quality_rules, tiff, token_counts
+from seqloom.llm import chosen_path, language_id, line_dedup, mixing, oracles, pieces, pii, quality_mil, quality_rules, tiff, token_counts
 from seqloom.llm.common import table
 
 TOKEN_LIMIT = 512
@@ -40,6 +40,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("doc", "doc_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(table(spark, sf_dir, "pages"), docs, docs)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_tiff, op2_token_counts, op3_sentencepiece, op4_pii, op5_quality_mil, op6_ngram_join, op8_line_dedup, op9_pfair_mix, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_media_tiff, op2_token_counts, op3_sentencepiece, op4_pii, op5_quality_mil, op6_ngram_join, op7_language_id, op8_line_dedup, op9_pfair_mix, op10_quality_rules)}
 ORACLES: dict[str, str] = {
     "op8_line_dedup": oracles.OP8,
     "op9_pfair_mix": oracles.OP9,
