@@ -193,11 +193,11 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     """The rows with the same columns, the text without its dropped lines (null texts stay null)."""
     joined = with_bitmaps(docs, min_chars, min_docs, id_col, text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         texts, maps = part.column(text_col).to_pylist(), part.column("dedup_keep").to_pylist()
         new = pa.array([t if b is None else kept_text(t, b)[2] for t, b in zip(texts, maps)], pa.string())
-        return pa.RecordBatch.from_arrays([new if i == at else part.column(c) for i, c in enumerate(docs.columns)], names=docs.columns)
+        return pa.RecordBatch.from_arrays([new if i == at else part.column(c) for i, c in enumerate(names)], names=names)
 
     return map_slices(joined, lambda: run, schema, text_col)
