@@ -11,7 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that an Arrow slice handed to Python code may hold (a single longer row is a slice of its own).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+
+
+class Memo(dict):
+    """Values computed by `make` at first use and kept in two generations of at most `size` keys: when the young one is
+    full it becomes the old one, and keys met again are taken over."""
+
+    def __init__(self, make: Callable, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +64,8 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
             for part in slices(batch, column):
                 yield f(part)
 
+    # Spark's own batches hold 10,000 rows unless bounded by bytes, whatever the length of the texts.
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))
     return df.mapInArrow(run, schema)
 
 

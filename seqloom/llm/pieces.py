@@ -23,11 +23,11 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from seqloom.llm.common import map_slices, texts
+from seqloom.llm.common import Memo, map_slices, texts
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-MAX_WORDS, MAX_PAIRS = 300_000, 600_000
+MAX_WORDS, MAX_PAIRS, LONG_WORD = 100_000, 250_000, 64
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -98,7 +98,7 @@ class Pieces:
             apart |= crossing
         cut = re.escape("".join(sorted(apart)))
         self.split = re.compile(rf"{SPACE}*[^\W{cut}]+|{SPACE}*(?:(?!{SPACE})[\W{cut}])+|{SPACE}+")
-        self.words = Words(self)
+        self.words = Memo(self.word, MAX_WORDS)
 
     def merge(self, symbols: list[str]) -> tuple[list[str], tuple[str, str] | None]:
         """Merges the best pair, leftmost first, until none is left; also the last pair merged."""
@@ -185,6 +185,11 @@ class Pieces:
                 ids.extend([self.byte_id[b] for b in piece.encode()])
         return ids
 
+    def word(self, word: str) -> tuple[int, str, str]:
+        """The number of ids, the ids as text, and the text that they decode to."""
+        ids = self.encode_word(word)
+        return len(ids), ",".join(map(str, ids)), self.decode_ids(ids)
+
     def words_of(self, text: str) -> list[str]:
         return self.split.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
@@ -210,23 +215,6 @@ class Pieces:
         return self.decode_ids(ids).removeprefix(" ")
 
 
-class Words(dict):
-    """Word -> number of ids, the ids as text, and the text that they decode to."""
-
-    def __init__(self, pieces: Pieces):
-        super().__init__()
-        self.pieces = pieces
-
-    def __missing__(self, word: str) -> tuple[int, str, str]:
-        ids = self.pieces.encode_word(word)
-        out = (len(ids), ",".join(map(str, ids)), self.pieces.decode_ids(ids))
-        if len(word) <= 64:
-            if len(self) >= MAX_WORDS:
-                self.clear()
-            self[word] = out
-        return out
-
-
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -238,7 +226,11 @@ def loaded(path: str) -> Pieces:
 
 def encode_text(model: Pieces, text: str) -> tuple[int, str, str]:
     """The number of ids, the ids joined by commas, and the decoded text."""
-    own = list(map(model.words.__getitem__, model.words_of(text)))
+    words = model.words_of(text)
+    if max(map(len, words), default=0) > LONG_WORD:  # long words are not kept
+        own = [model.words[w] if len(w) <= LONG_WORD else model.word(w) for w in words]
+    else:
+        own = list(map(model.words.__getitem__, words))
     return sum([w[0] for w in own]), ",".join([w[1] for w in own]), "".join([w[2] for w in own]).removeprefix(" ")
 
 

@@ -25,11 +25,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from seqloom.llm.common import map_slices, texts
+from seqloom.llm.common import Memo, map_slices, texts
 
 MODEL = "byte_bpe_50k.json"
 CHUNK, WARM = 1024, 48
-MAX_STATES, MAX_WORDS = 250_000, 400_000
+MAX_STATES, MAX_WORDS, LONG_WORD = 250_000, 100_000, 64
 
 # Character classes: letters without a part in contractions, numbers, other characters, the space, other white space,
 # the apostrophe, letters that end a contraction at once, the letters r, v, l and e, and the end of a text.
@@ -176,11 +176,11 @@ class Merges:
         return out
 
 
-class Counter(dict):
-    """Pretoken -> number of tokens, by running the byte transducer; known pretokens are kept."""
+class Counter:
+    """Counts the tokens of pretokens by running the byte transducer; known pretokens are kept."""
 
     def __init__(self, merges: Merges):
-        super().__init__()
+        self.words = Memo(self.count, MAX_WORDS)
         self.merges = merges
         self.child: dict[int, int] = {}
         self.token_at = [-1]
@@ -192,48 +192,52 @@ class Counter(dict):
                 if node == len(self.token_at):
                     self.token_at.append(-1)
             self.token_at[node] = i
+        self.inner = frozenset(key >> 8 for key in self.child)
         self._start()
 
     def _start(self) -> None:
-        self.number = {((-1, 0, 0),): 0}
-        self.items = [((-1, 0, 0),)]
-        self.moves: list[dict[int, tuple[int, int]]] = [{}]
+        # An open suffix is one number: the token before it (0: none) plus 1, its trie node, and its count relative to the
+        # whole, which lies within the longest token's length.
+        self.items = [(self._item(-1, 0, 0),)]
+        self.number = {self.items[0]: 0}
+        self.moves: dict[int, int] = {}
         self.merges.known.clear()
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        """The transition: next state and the change of the count."""
-        token_at, child, alive, token, count = self.token_at, self.child, [], -1, 0
-        for before, node, rel in self.items[state]:
-            at = child.get(node << 8 | byte)
+    @staticmethod
+    def _item(before: int, node: int, rel: int) -> int:
+        return (before + 1) << 40 | node << 16 | (rel + 32768)
+
+    def _move(self, state: int, byte: int) -> int:
+        """The transition: next state and the change of the count, as one number."""
+        token_at, child, inner, alive, token, count = self.token_at, self.child, self.inner, [], -1, 0
+        for item in self.items[state]:
+            at = child.get((item >> 16 & 0xFFFFFF) << 8 | byte)
             if at is None:
                 continue
-            alive.append((before, at, rel))
+            before, rel = (item >> 40) - 1, (item & 0xFFFF) - 32768
+            if at in inner:  # else no token goes on from here
+                alive.append((before, at, rel))
             whole = token_at[at]
             if token < 0 and whole >= 0 and (before < 0 or self.merges.compatible(before, whole)):
                 token, count = whole, rel + 1
-        items = (*[(before, at, rel - count) for before, at, rel in alive], (token, 0, 0))
+        items = (*[self._item(before, at, rel - count) for before, at, rel in alive], self._item(token, 0, 0))
         to = self.number.setdefault(items, len(self.items))
         if to == len(self.items):
             self.items.append(items)
-            self.moves.append({})
-        self.moves[state][byte] = out = (to, count)
+        self.moves[state << 8 | byte] = out = to << 16 | (count + 32768)
         return out
 
-    def __missing__(self, word: str) -> int:
+    def count(self, word: str) -> int:
         if len(self.items) > MAX_STATES:
             self._start()
         state = total = 0
-        moves = self.moves
+        known = self.moves.get
         for byte in word.encode():
-            got = moves[state].get(byte)
+            got = known(state << 8 | byte)
             if got is None:
                 got = self._move(state, byte)
-            state = got[0]
-            total += got[1]
-        if len(word) <= 64:
-            if len(self) >= MAX_WORDS:
-                self.clear()
-            self[word] = total
+            state = got >> 16
+            total += (got & 0xFFFF) - 32768
         return total
 
 
@@ -268,7 +272,10 @@ def count_tokens(values: list[str], path: str) -> np.ndarray:
     starts = marks(classes)
     at = starts.tolist()
     words = [whole[a:b] for a, b in zip(at, at[1:])] + [""]
-    counts = np.fromiter(map(counter.__getitem__, words), np.int64, len(words))
+    if max(map(len, words)) > LONG_WORD:  # long pretokens are not kept
+        counts = np.array([counter.words[w] if len(w) <= LONG_WORD else counter.count(w) for w in words], np.int64)
+    else:
+        counts = np.fromiter(map(counter.words.__getitem__, words), np.int64, len(words))
     stops = np.searchsorted(starts, ends)
     counts[stops] = 0
     begin = np.concatenate([[0], stops[:-1] + 1])
