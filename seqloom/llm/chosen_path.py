@@ -31,14 +31,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import checkpoint, map_slices
+from seqloom.llm.common import Memo, checkpoint, map_slices
 from seqloom.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
 COORDS, FAN, RECALL = 128, 1.5, 0.999
 #: Sketch shares from which a member is joined with a pivot, absorbed by it, and from which two pivots are joined.
 JOIN, ABSORB, MEET = 0.60, 0.92, 0.46
-MAX_PIVOTS, MAX_LEVELS, BLOCK, MAX_WORDS = 512, 8, 128, 400_000
+MAX_PIVOTS, MAX_LEVELS, BLOCK, MAX_WORDS = 512, 8, 128, 100_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -66,15 +66,7 @@ def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, fan: float =
     return math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
-
-
-_HASHES = _Words()
+_HASHES = Memo(xxhash.xxh64_intdigest, MAX_WORDS)
 
 
 def shingle_sets(values: list[str]) -> list[np.ndarray]:
@@ -220,11 +212,12 @@ def shared_paths(frontier: DataFrame) -> DataFrame:
 
 
 class Bucket:
-    """The pivots of one bucket so far."""
+    """The pivots of one bucket so far, and which of them are connected; its edges make a forest."""
 
     def __init__(self, join: float, absorb: float, most: float):
         self.join, self.absorb, self.most = join * COORDS, absorb * COORDS, most
         self.nodes: list[bytes] = []
+        self.root = np.zeros(0, np.int64)
         self.sketches = np.zeros((0, COORDS), np.uint8)
         self.used = 0
 
@@ -233,27 +226,36 @@ class Bucket:
             grown = np.zeros((max(8, 2 * self.used), COORDS), np.uint8)
             grown[: self.used] = self.sketches[: self.used]
             self.sketches = grown
+            self.root = np.concatenate([self.root, np.zeros(len(grown) - len(self.root), np.int64)])
 
     def add(self, nodes: list[bytes], sketches: np.ndarray, edges: list[tuple[bytes, bytes]], left: list[tuple[bytes, bytes]]) -> None:
         """Joins the members with pivots; one far from all pivots becomes a pivot or, beyond the most, is left over."""
         known = self.used
         alike = (sketches[:, None, :] == self.sketches[None, :known, :]).sum(axis=2) if known else None
         for i, node in enumerate(nodes):
-            best = 0
+            best, hits = 0, []
             if known:
                 row = alike[i]
                 best = int(row.max())
                 if best >= self.join:
-                    edges.extend((node, self.nodes[k]) for k in np.flatnonzero(row >= self.join).tolist())
+                    hits.append(np.flatnonzero(row >= self.join))
             if self.used > known:  # pivots that this piece has added
                 row = (self.sketches[known : self.used] == sketches[i]).sum(axis=1)
                 best = max(best, int(row.max()))
-                edges.extend((node, self.nodes[known + k]) for k in np.flatnonzero(row >= self.join).tolist())
+                if row.max() >= self.join:
+                    hits.append(known + np.flatnonzero(row >= self.join))
+            roots = np.unique(self.root[np.concatenate(hits)]) if hits else []
+            if len(roots):  # the member joins one connected set of pivots, and connects others to it
+                edges.append((node, self.nodes[roots[0]]))
+                for r in roots[1:]:
+                    edges.append((self.nodes[r], self.nodes[roots[0]]))
+                    self.root[: self.used][self.root[: self.used] == r] = roots[0]
             if best >= self.absorb:
                 continue
             if self.used < self.most:
                 self._room()
                 self.sketches[self.used] = sketches[i]
+                self.root[self.used] = roots[0] if len(roots) else self.used
                 self.nodes.append(node)
                 self.used += 1
             else:
@@ -288,7 +290,7 @@ def compared(members: DataFrame, join: float, absorb: float, most: float) -> Dat
             if left:
                 yield rows(LEFT, int(path), left)
             if ends and number == 1:
-                yield rows(PIVOT, int(path), list(zip(bucket.nodes, [s.tobytes() for s in bucket.sketches])))
+                yield rows(PIVOT, int(path), list(zip(bucket.nodes, [s.tobytes() for s in bucket.sketches[: bucket.used]])))
             if len(edges) > 20_000:
                 yield rows(EDGE, 0, list(set(edges)))
                 edges = []
@@ -298,7 +300,7 @@ def compared(members: DataFrame, join: float, absorb: float, most: float) -> Dat
         for path, bucket, nodes, sketches in border:
             yield rows(PIVOT, int(path), list(zip(nodes.to_pylist(), sketches.to_pylist())))
         if number > 1 and not border:
-            yield rows(PIVOT, int(last[0]), list(zip(last[1].nodes, [s.tobytes() for s in last[1].sketches])))
+            yield rows(PIVOT, int(last[0]), list(zip(last[1].nodes, [s.tobytes() for s in last[1].sketches[: last[1].used]])))
 
     ordered = members.repartitionByRange("path", "node").sortWithinPartitions("path", "node")
     return ordered.mapInArrow(run, "kind tinyint, path long, node binary, other binary")

@@ -11,17 +11,24 @@ from seqloom.llm.common import checkpoint
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """node and root (the smallest node of its component), for every node that has an edge.
 
-    Rounds of taking the smallest label among neighbours, then the label's own label, until nothing changes; the labels
-    are written to the shared folder in each round. Labels are combined by partial minima, so a hub is no hot group."""
-    both = checkpoint(edges.selectExpr(f"`{a}` as x", f"`{b}` as y").where("x <> y").unionByName(edges.selectExpr(f"`{b}` as x", f"`{a}` as y").where("x <> y")).distinct())
-    labels = checkpoint(both.groupBy("x").agg(F.min("y").alias("y")).selectExpr("x as node", "least(x, y) as root"))
-    for _ in range(max_rounds):
-        near = both.join(labels.selectExpr("node as y", "root as l"), "y").groupBy("x").agg(F.min("l").alias("l"))
-        lower = labels.join(near.withColumnRenamed("x", "node"), "node", "left").selectExpr("node", "root as old", "least(root, coalesce(l, root)) as root")
-        up = labels.selectExpr("node as root", "root as top")
-        step = checkpoint(lower.join(up, "root", "left").selectExpr("node", "old", "least(root, coalesce(top, root)) as root"))
-        changed = step.where("root <> old").limit(1).count()
-        labels = step.select("node", "root")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components are not settled after {max_rounds} rounds")
+    Each round maps every node to its smallest neighbour, if that is smaller, and then to that one's own choice; the edges
+    between the images, without loops and repetitions, are the next round's. So edges shrink from round to round, and what
+    a round keeps is one row a node, written to the shared folder. The choice of neighbour is a partial minimum, so a hub
+    is no hot group; in the end the rounds' maps are applied one after the other."""
+    left = checkpoint(edges.selectExpr(f"least(`{a}`, `{b}`) as x", f"greatest(`{a}`, `{b}`) as y").where("x <> y").distinct())
+    maps: list[DataFrame] = []
+    while left.limit(1).count():
+        if len(maps) == max_rounds:
+            raise RuntimeError(f"components are not settled after {max_rounds} rounds")
+        both = left.select("x", "y").unionByName(left.selectExpr("y as x", "x as y"))
+        near = checkpoint(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).selectExpr("node", "least(node, y) as to"))
+        step = checkpoint(near.join(near.selectExpr("node as to", "to as top"), "to").selectExpr("node", "top as root"))
+        maps.append(step)
+        moved = left.join(step.selectExpr("node as x", "root as a"), "x").join(step.selectExpr("node as y", "root as b"), "y")
+        left = checkpoint(moved.selectExpr("least(a, b) as x", "greatest(a, b) as y").where("x <> y").distinct())
+    if not maps:
+        return left.selectExpr("x as node", "y as root")
+    out = maps[0]
+    for step in maps[1:]:
+        out = out.join(step.selectExpr("node as root", "root as top"), "root", "left").selectExpr("node", "coalesce(top, root) as root")
+    return checkpoint(out)
