@@ -10,7 +10,8 @@ from seqloom.operators import kmers, qc
 from seqloom.plans import reads as rd
 from seqloom.plans.registry import GC, query
 
-SEQ = F.col("seq")
+def base():
+    return F.col("seq")
 
 
 def six(c):
@@ -30,7 +31,7 @@ def min_length_filter(spark, sf):
 @query("SELECT read_idx, id FROM all_reads WHERE id IN (SELECT id FROM all_reads WHERE seq LIKE '%G%' OR seq LIKE '%C%') AND id IN (SELECT id FROM all_reads WHERE length(seq) >= 15)")
 def consistency_semijoin(spark, sf):
     every = rd.all_reads(spark, sf)
-    gc = every.select("id", sq.gc_content(SEQ).alias("gc")).where("gc > 0")
+    gc = every.select("id", sq.gc_content(base()).alias("gc")).where("gc > 0")
     return qc.consistent(every, gc, every.where(F.length("seq") >= 15)).select("read_idx", "id")
 
 
@@ -38,24 +39,24 @@ def consistency_semijoin(spark, sf):
   FROM (SELECT {GC} > 0 AS g, length(seq) >= 15 AS d FROM all_reads)""")
 def consistency_counters(spark, sf):
     every = rd.all_reads(spark, sf)
-    return qc.consistency_report(every, gc=every.where(sq.gc_content(SEQ) > 0), damage=every.where(F.length("seq") >= 15))[0]
+    return qc.consistency_report(every, gc=every.where(sq.gc_content(base()) > 0), damage=every.where(F.length("seq") >= 15))[0]
 
 
 @query(f", side AS (SELECT id, {GC} AS gc FROM reads) SELECT read_idx, round(coalesce(gc, 0.5::DOUBLE), 6) AS gc FROM all_reads LEFT JOIN side USING (id)")
 def side_table_default(spark, sf):
-    side = rd.reads(spark, sf).select("id", sq.gc_content(SEQ).alias("gc"))
+    side = rd.reads(spark, sf).select("id", sq.gc_content(base()).alias("gc"))
     return qc.with_side(rd.all_reads(spark, sf), side, {"gc": 0.5}).select("read_idx", six(F.col("gc")).alias("gc"))
 
 
 @query(f"SELECT read_idx, round({GC}, 6) + 0.0::DOUBLE AS gc FROM all_reads")
 def gc_content(spark, sf):
-    return rd.all_reads(spark, sf).select("read_idx", six(sq.gc_content(SEQ)).alias("gc"))
+    return rd.all_reads(spark, sf).select("read_idx", six(sq.gc_content(base())).alias("gc"))
 
 
 @query(f"""SELECT source, floor({GC} * 10)::INTEGER AS gc_bin, count(*) AS n, round(avg(length(seq)), 6) AS avg_length, min({GC}) < 0.3::DOUBLE AS low
   FROM reads GROUP BY ALL""")
 def gc_by_source(spark, sf):
-    rows = rd.reads(spark, sf).select("source", sq.gc_content(SEQ).alias("gc"), F.length("seq").alias("length"))
+    rows = rd.reads(spark, sf).select("source", sq.gc_content(base()).alias("gc"), F.length("seq").alias("length"))
     return rows.groupBy("source", F.floor(F.col("gc") * 10).cast("int").alias("gc_bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("length"), 6).alias("avg_length"), (F.min("gc") < 0.3).alias("low"))
 
 
@@ -105,20 +106,20 @@ def codon_usage(spark, sf):
 
 @query("SELECT read_idx, round(log2(length(seq)) / 12, 6) + 0.0::DOUBLE AS norm_length FROM all_reads")
 def norm_length(spark, sf):
-    return rd.all_reads(spark, sf).select("read_idx", six(sq.norm_length(SEQ)).alias("norm_length"))
+    return rd.all_reads(spark, sf).select("read_idx", six(sq.norm_length(base())).alias("norm_length"))
 
 
 @query("SELECT read_idx, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM all_reads")
 def reverse_complement(spark, sf):
-    return rd.all_reads(spark, sf).select("read_idx", sq.reverse_complement(SEQ).alias("rc"))
+    return rd.all_reads(spark, sf).select("read_idx", sq.reverse_complement(base()).alias("rc"))
 
 
 @query(""", s AS (SELECT read_idx, seq, least(15, length(seq) // 4, length(seq) // 2) AS n FROM all_reads)
   SELECT read_idx, n::INTEGER AS n, length(regexp_replace(substr(seq, 1, n), '[^TC]', '', 'g'))::INTEGER AS tc,
          length(regexp_replace(substr(seq, length(seq) - n + 1, n), '[^AG]', '', 'g'))::INTEGER AS ag FROM s""")
 def terminal_counts(spark, sf):
-    n = dmf.segment_length(SEQ)
-    return rd.all_reads(spark, sf).select("read_idx", n.alias("n"), sq.count_of(dmf.five(SEQ, n), "TtCc").alias("tc"), sq.count_of(dmf.three(SEQ, n), "AaGg").alias("ag"))
+    n = dmf.segment_length(base())
+    return rd.all_reads(spark, sf).select("read_idx", n.alias("n"), sq.count_of(dmf.five(base(), n), "TtCc").alias("tc"), sq.count_of(dmf.three(base(), n), "AaGg").alias("ag"))
 
 
 @query(""", v AS (SELECT unnest(['/1', '/2', '.1', '_2', '-1', ':2', '#1', '.pair.2', '_R1_001', '_R2_001', '_1_x', '_2_x', '_1_10_y', '']) AS suffix),

@@ -66,15 +66,15 @@ def record_start(stream, at: int) -> int:
     if at == 0:
         return 0
     found: list[tuple[int, str]] = []
-    for place, text in lines(stream, at - 1):
-        found.append((place, text))
-        if len(found) > 5:
+    for line in lines(stream, at - 1):
+        found.append(line)
+        if len(found) > 6:
             break
     own = found[1:]  # the first is the end of a line
     for i in range(len(own) - 2):
         if own[i][1].startswith("@") and own[i + 2][1].startswith("+"):
             return own[i][0]
-    return own[-1][0] + len(own[-1][1]) + 1 if len(own) < 3 and own else (own[0][0] if own else at)
+    return 1 << 62  # no record begins here
 
 
 def fasta_records(source: Iterator[tuple[int, str]]) -> Iterator[tuple[int, str, str, None]]:

@@ -92,7 +92,7 @@ def write_bam_clusters(source: str, clusters: DataFrame, stats: DataFrame, path:
     records = bam.read_bam(spark, source, raw=True)
     header = bam.header_of(source)
     tids = {r.cluster: r.tids for r in report.references_by_cluster(records, chosen).collect()}  # references of clusters
-    joined = records.join(chosen, "id").orderBy("cluster", "nr").select("cluster", "file", "raw")
+    joined = records.drop("file").join(chosen, "id").orderBy("cluster", "nr").select("cluster", "file", "raw")
     current: dict = {}
 
     def moved():
