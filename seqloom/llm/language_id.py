@@ -31,7 +31,7 @@ BINS, SMOOTH, TEMPER = 1 << 13, 0.5, 0.3
 HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 5.0, 20.0, 5.0
 MAX_BROADCAST_HOSTS, SALTS = 20_000, 16
 SKIPPED = frozenset(("script", "style", "nav", "header", "footer", "aside", "noscript", "template"))
-TAG = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>")
+TAG = re.compile(r"<!--|<![^<>]*>|<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>")
 LANG = re.compile(r"""(?:xml:)?\blang\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I)
 META = re.compile(r"""content-language["']?\s+content\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I)
 
@@ -49,6 +49,11 @@ def page_parts(html: str) -> tuple[str, str | None]:
             pos = len(html) if end < 0 else end + 3
             at = pos
             continue
+        if m[2] is None:  # a declaration
+            if skip is None:
+                out.append(html[at : m.start()])
+                at = pos
+            continue
         name = m[2].lower()
         if skip is not None:
             if m[1] and name == skip:
