@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom import storage
+
 #: Bytes of text that an Arrow slice handed to Python code may hold (a single longer row is a slice of its own).
 SLICE_BYTES = 2 << 20
 
@@ -69,16 +70,6 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the session names none, as in tests."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(os.path.join(os.environ.get("TMPDIR", "/tmp"), "seqloom-checkpoints"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return spark.sparkContext.getCheckpointDir()
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder with their lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return storage.checkpoint(df)

@@ -162,15 +162,15 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     text_only = softmax([F.col("ll")[i] for i in range(n)])
     rows = checkpoint(rows.select("*", *[p.alias(f"t{i}") for i, p in enumerate(text_only)]))
     sums = [F.sum(f"t{i}") for i in range(n)]
-    total = rows.agg(*[s.alias(f"g{i}") for i, s in enumerate(sums)])
+    total = rows.agg(*[s.alias(f"g{i}") for i, s in enumerate(sums)]).first()
     by_suffix = rows.where("suffix is not null").groupBy("suffix").agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).withColumnRenamed("suffix", "s_key")
     by_host = rows.where("host is not null").groupBy("host").agg(*[s.alias(f"h{i}") for i, s in enumerate(sums)]).withColumnRenamed("host", "h_key")
     by_word = rows.where("declared is not null").groupBy("declared").agg(*[s.alias(f"d{i}") for i, s in enumerate(sums)]).withColumnRenamed("declared", "d_key")
-    words = rows.where("declared is not null").agg(F.count_distinct("declared").alias("words"), *[s.alias(f"w{i}") for i, s in enumerate(sums)])
+    words = rows.where("declared is not null").agg(F.count_distinct("declared").alias("words"), *[s.alias(f"w{i}") for i, s in enumerate(sums)]).first()
     joined = _by_key(rows, by_host, "host", "h_key")
     joined = _by_key(joined, by_suffix, "suffix", "s_key")
     joined = _by_key(joined, by_word, "declared", "d_key")
-    joined = joined.join(F.broadcast(total.join(F.broadcast(words))))  # one row
+    joined = joined.withColumns({k: F.lit(v if v is not None else 0.0) for k, v in {**total.asDict(), **words.asDict()}.items()})
     own = [F.col(f"t{i}") for i in range(n)]
     scores = []
     for i in range(n):

@@ -35,8 +35,8 @@ def entries(docs: DataFrame, weights: dict[str, float] | None = None, period: in
     if weights is not None:
         weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.coalesce("source", F.lit(""))), F.lit(0.0))
     raw = sizes.withColumn("weight", weight)
-    total = raw.agg(F.sum("weight").alias("total"))
-    share = raw.crossJoin(total).withColumn("share", F.coalesce(F.try_divide(F.col("weight"), F.col("total")), F.lit(0.0)) * period)
+    total = raw.agg(F.sum("weight").alias("total")).first().total or 0.0
+    share = raw.withColumn("share", F.coalesce(F.try_divide(F.col("weight"), F.lit(float(total))), F.lit(0.0)) * period)
     # "=" and the name, "?" for null, "+" for the small sources together
     named = share.withColumn("entry", F.expr("CASE WHEN share < 0.5 THEN '+' WHEN source IS NULL THEN '?' ELSE concat('=', source) END"))
     slots = named.groupBy("entry").agg(F.greatest(F.floor(F.sum(F.round("share", 9)) + 0.5), F.lit(1)).cast("int").alias("slots"))

@@ -98,7 +98,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     sums = [F.sum((F.coalesce(measure_of(rule), F.lit(0.0)) > c).cast("long")).alias(f"{rule}_{i}") for rule, (_, grid) in RULES.items() for i, c in enumerate(grid)]
     counted = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums)
     tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("at"), F.lit(c).alias("cutoff"), F.col(f"{rule}_{i}").alias("k")) for rule, (_, grid) in RULES.items() for i, c in enumerate(grid)])
-    rows = counted.crossJoin(counted.agg(F.count(F.lit(1)).alias("strata"))).select("stratum", "n", "strata", F.inline(tests))
+    rows = counted.select("stratum", "n", F.expr("count(*) over ()").alias("strata"), F.inline(tests))  # one row a stratum
     tested = rows.withColumn("p_value", tail(F.col("n"), F.col("k"), alpha)).withColumn("level", delta / (F.col("strata") * len(RULES)))
     failed = F.expr("max(p_value > level) over (partition by stratum, rule order by at rows between unbounded preceding and current row)")
     return tested.withColumn("safe", ~failed)
