@@ -6,7 +6,7 @@ driver, clusters by 4^k numbers: one pass over the reads per round assigns every
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PSEUDOCOUNT = 0.5
@@ -27,11 +27,11 @@ def renumbered(clusters: DataFrame, key: str) -> DataFrame:
     return clusters.withColumn("cluster", F.expr(f"cast(row_number() over (order by {key}) - 1 as int)"))
 
 
-def build_profiles(spark: SparkSession, counts: DataFrame, assigned: DataFrame, k: int = 4, pseudocount: float = PSEUDOCOUNT) -> DataFrame:
+def build_profiles(counts: DataFrame, assigned: DataFrame, k: int = 4, pseudocount: float = PSEUDOCOUNT) -> DataFrame:
     """cluster, kmer_idx, p, log_p from counts (read_idx, kmer_idx, n) and assignments, every k-mer included."""
     sums = counts.join(assigned.where("cluster >= 0"), "read_idx").groupBy("cluster", "kmer_idx").agg(F.sum("n").alias("n"))
     # Clusters by 4^k rows: the whole domain of a profile.
-    domain = assigned.where("cluster >= 0").select("cluster").distinct().join(spark.range(4**k).select(F.col("id").cast("int").alias("kmer_idx")))
+    domain = assigned.where("cluster >= 0").select("cluster").distinct().select("cluster", F.explode(F.sequence(F.lit(0), F.lit(4**k - 1))).alias("kmer_idx"))
     full = domain.join(sums, ["cluster", "kmer_idx"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = F.expr("sum(n) over (partition by cluster)")
     p = (F.col("n") + pseudocount) / (total + pseudocount * 4**k)

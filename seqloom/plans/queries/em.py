@@ -44,7 +44,7 @@ TOTAL = f"{START}, total AS (SELECT sum(n * ln(p)) AS ll FROM counts JOIN binned
 
 def _start(spark, sf):
     counts = _counts(spark, sf)
-    return counts, pf.build_profiles(spark, counts, binned(spark, sf).select("read_idx", "cluster"))
+    return counts, pf.build_profiles(counts, binned(spark, sf).select("read_idx", "cluster"))
 
 
 def _estep(spark, sf):
@@ -70,7 +70,7 @@ def em_estep(spark, sf):
 @query(f"{ESTEP}{_profiles('next', 'estep')} SELECT cluster, kmer_idx, round(p, 6) AS p FROM next", "binned")
 def em_mstep(spark, sf):
     counts, _, assigned = _estep(spark, sf)
-    return pf.build_profiles(spark, counts, assigned).select("cluster", "kmer_idx", six("p").alias("p"))
+    return pf.build_profiles(counts, assigned).select("cluster", "kmer_idx", six("p").alias("p"))
 
 
 @query(f"{TOTAL} SELECT round(ll, 3) AS ll FROM total", "binned")
