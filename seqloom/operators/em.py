@@ -31,13 +31,16 @@ class Model:
 
     def assign(self, seqs: list[str], relabel: np.ndarray | None = None) -> np.ndarray:
         """The best cluster of each read; the lowest number wins ties, so a read without k-mers goes to cluster 0."""
-        ll = pf.log_likelihood(count_matrix(seqs, self.k), np.log(self.profiles))
-        best = np.argmax(np.round(ll, 6), axis=1)
+        return self.assign_counts(count_matrix(seqs, self.k), relabel)
+
+    def assign_counts(self, counts: np.ndarray, relabel: np.ndarray | None = None) -> np.ndarray:
+        best = np.argmax(np.round(pf.log_likelihood(counts, np.log(self.profiles)), 6), axis=1)
         return best if relabel is None else relabel[best]
 
 
 def _sums(reads: DataFrame, k: int, of_batch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """k-mer sums, sizes and GC sums by cluster, and changes; of_batch gives old (or None) and new clusters of a frame."""
+    """k-mer sums, sizes and GC sums by cluster, and changes; of_batch gives old (or None) and new clusters from a frame and
+    its counts."""
     width = 4**k
 
     def run(frames):
@@ -46,9 +49,9 @@ def _sums(reads: DataFrame, k: int, of_batch, n: int) -> tuple[np.ndarray, np.nd
             if not len(frame):
                 continue
             seqs = frame["seq"].tolist()
-            old, new = of_batch(frame)
-            own = new >= 0
             counts = count_matrix(seqs, k)
+            old, new = of_batch(frame, counts)
+            own = new >= 0
             mark = np.zeros((n, len(seqs)))
             mark[new[own], np.flatnonzero(own)] = 1
             sums += mark @ counts
@@ -76,7 +79,7 @@ def initialise(reads: DataFrame, k: int = 4, min_cluster_size: int = 10, pseudoc
         number = F.create_map(*[F.lit(x) for r in kept for x in (r.old, r.cluster)])
         started = reads.withColumn("start", F.coalesce(F.try_element_at(number, F.col("cluster")), F.lit(-1)))
         n = len(kept)
-    sums, sizes, gc, _ = _sums(started.select("seq", "start"), k, lambda f: (None, f["start"].to_numpy()), n)
+    sums, sizes, gc, _ = _sums(started.select("seq", "start"), k, lambda f, _: (None, f["start"].to_numpy()), n)
     return Model(pf.smooth(sums, pseudocount), sizes, np.where(sizes > 0, gc / np.maximum(sizes, 1), 0.0), k), started
 
 
@@ -92,13 +95,12 @@ def em(reads: DataFrame, k: int = 4, min_cluster_size: int = 10, max_rounds: int
         n, last, moved = len(model.profiles), before, relabel
         now = model
 
-        def of_batch(f, now=now, last=last, moved=moved):
-            seqs = f["seq"].tolist()
-            new = now.assign(seqs)
+        def of_batch(f, counts, now=now, last=last, moved=moved):
+            new = now.assign_counts(counts)
             if last is None:  # the start: reads outside every cluster count as new in the best one
                 start = f["start"].to_numpy()
                 return np.where(start < 0, new, start), new
-            return last.assign(seqs, moved), new
+            return last.assign_counts(counts, moved), new
 
         sums, sizes, gc, changed = _sums(frame, k, of_batch, n)
         alive = np.flatnonzero(sizes > 0)

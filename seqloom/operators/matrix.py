@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,47 +69,50 @@ def legacy_features(reads: DataFrame, k: int = 4, use_codon: bool = False, windo
     return reads.select("read_idx", "seq", support.cast("double").alias("support")).mapInPandas(run, "read_idx long, x array<double>")
 
 
+def dense(batch: pa.RecordBatch) -> np.ndarray:
+    """The `x` of a batch as rows by columns, without a copy of each row."""
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def lists(x: np.ndarray) -> pa.ListArray:
+    x = np.ascontiguousarray(x, np.float64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
 def moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, mean and scatter matrix (sum of outer products about the mean), exact in one pass: parts are combined by
     their means, so no precision is lost to large sums."""
 
-    def run(frames):
+    def joined(n, mean, scatter, b, m, s):
+        if not n:
+            return b, m, s
+        delta = m - mean
+        return n + b, mean + delta * b / (n + b), scatter + s + np.outer(delta, delta) * n * b / (n + b)
+
+    def run(batches):
         n, mean, scatter = 0, None, None
-        for f in frames:
-            if not len(f):
-                continue
-            x = np.stack(f["x"].to_numpy())
-            m, b = x.mean(axis=0), len(x)
-            s = (x - m).T @ (x - m)
-            if mean is None:
-                n, mean, scatter = b, m, s
-            else:
-                delta = m - mean
-                scatter = scatter + s + np.outer(delta, delta) * n * b / (n + b)
-                mean, n = mean + delta * b / (n + b), n + b
-        if mean is not None:
-            yield pd.DataFrame({"n": [n], "mean": [mean], "scatter": [scatter.ravel()]})
+        for batch in batches:
+            if batch.num_rows:
+                x = dense(batch)
+                m = x.mean(axis=0)
+                n, mean, scatter = joined(n, mean, scatter, len(x), m, (x - m).T @ (x - m))
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), lists(mean[None, :]), lists(scatter.reshape(1, -1))], names=["n", "mean", "scatter"])
 
     n, mean, scatter = 0, np.zeros(0), np.zeros((0, 0))
-    for r in rows.select("x").mapInPandas(run, "n long, mean array<double>, scatter array<double>").toLocalIterator():  # a row from a task
+    for r in rows.select("x").mapInArrow(run, "n long, mean array<double>, scatter array<double>").toLocalIterator():  # a row from a task
         m = np.array(r.mean)
-        s = np.array(r.scatter).reshape(len(m), len(m))
-        if not n:
-            n, mean, scatter = r.n, m, s
-        else:
-            delta = m - mean
-            scatter = scatter + s + np.outer(delta, delta) * n * r.n / (n + r.n)
-            mean, n = mean + delta * r.n / (n + r.n), n + r.n
+        n, mean, scatter = joined(n, mean, scatter, r.n, m, np.array(r.scatter).reshape(len(m), len(m)))
     return n, mean, scatter
 
 
 def _applied(rows: DataFrame, f) -> DataFrame:
-    def run(frames):
-        for frame in frames:
-            if len(frame):
-                yield pd.DataFrame({"read_idx": frame["read_idx"], "x": list(f(np.stack(frame["x"].to_numpy())))})
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("read_idx"), lists(f(dense(batch)))], names=["read_idx", "x"])
 
-    return rows.select("read_idx", "x").mapInPandas(run, "read_idx long, x array<double>")
+    return rows.select("read_idx", "x").mapInArrow(run, "read_idx long, x array<double>")
 
 
 def z_scores(rows: DataFrame) -> DataFrame:
@@ -140,7 +144,7 @@ def principal_components(rows: DataFrame, components: int) -> tuple[DataFrame, n
 
 
 def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return ((x[:, None, :] - centroids[None, :, :]) ** 2).sum(axis=2)
+    return np.stack([((x - c) ** 2).sum(axis=1) for c in centroids], axis=1)
 
 
 def seed_centroids(rows: DataFrame, k: int, seed: int) -> np.ndarray:
@@ -150,16 +154,17 @@ def seed_centroids(rows: DataFrame, k: int, seed: int) -> np.ndarray:
     for turn in range(k):
         known = np.array(chosen)
 
-        def run(frames, known=known):
-            for f in frames:
-                if len(f):
-                    w = distances(np.stack(f["x"].to_numpy()), known).min(axis=1) if len(known) else np.ones(len(f))
-                    u = (f["h"].to_numpy() % (2**52) + 0.5) / 2**52
-                    with np.errstate(divide="ignore"):
-                        yield pd.DataFrame({"key": np.where(w > 0, -np.log(u) / np.where(w > 0, w, 1), 1e300 - np.log(u)), "read_idx": f["read_idx"], "x": f["x"]})
+        def run(batches, known=known):
+            for f in batches:
+                if f.num_rows:
+                    w = distances(dense(f), known).min(axis=1) if len(known) else np.ones(f.num_rows)
+                    u = (f.column("h").to_numpy() % (2**52) + 0.5) / 2**52
+                    keys = np.where(w > 0, -np.log(u) / np.where(w > 0, w, 1), 1e300)
+                    least = pa.array(np.lexsort((f.column("read_idx").to_numpy(), keys))[:1])  # the batch's own draw
+                    yield pa.RecordBatch.from_arrays([pa.array(keys).take(least), f.column("read_idx").take(least), f.column("x").take(least)], names=["key", "read_idx", "x"])
 
         hashed = rows.select("read_idx", "x", F.abs(F.shiftright(F.xxhash64("read_idx", F.lit(seed), F.lit(turn)), 1)).alias("h"))
-        got = hashed.mapInPandas(run, "key double, read_idx long, x array<double>").orderBy("key", "read_idx").limit(1).collect()
+        got = hashed.mapInArrow(run, "key double, read_idx long, x array<double>").orderBy("key", "read_idx").limit(1).collect()
         chosen.append(np.array(got[0].x))
     return np.array(chosen)
 
@@ -168,17 +173,17 @@ def lloyd_step(rows: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.n
     """New centroids and sizes; an empty cluster keeps its centroid."""
     k, d = centroids.shape
 
-    def run(frames):
+    def run(batches):
         sums, sizes = np.zeros((k, d)), np.zeros(k)
-        for f in frames:
-            if len(f):
-                x = np.stack(f["x"].to_numpy())
+        for batch in batches:
+            if batch.num_rows:
+                x = dense(batch)
                 mark = np.eye(k)[distances(x, centroids).argmin(axis=1)]
                 sums += mark.T @ x
                 sizes += mark.sum(axis=0)
-        yield pd.DataFrame({"cluster": range(k), "sums": list(sums), "size": sizes})
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), lists(sums), pa.array(sizes)], names=["cluster", "sums", "size"])
 
-    added = rows.select("x").mapInPandas(run, "cluster int, sums array<double>, size double").groupBy("cluster").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(d)]).alias("sums"), F.sum("size").alias("size"))
+    added = rows.select("x").mapInArrow(run, "cluster int, sums array<double>, size double").groupBy("cluster").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(d)]).alias("sums"), F.sum("size").alias("size"))
     out, sizes = centroids.copy(), np.zeros(k)
     for r in added.collect():
         sizes[r.cluster] = r["size"]
@@ -190,12 +195,12 @@ def lloyd_step(rows: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.n
 def nearest(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     """read_idx and cluster of the nearest centroid; the first wins ties."""
 
-    def run(frames):
-        for f in frames:
-            if len(f):
-                yield pd.DataFrame({"read_idx": f["read_idx"], "cluster": distances(np.stack(f["x"].to_numpy()), centroids).argmin(axis=1).astype("int32")})
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("read_idx"), pa.array(distances(dense(batch), centroids).argmin(axis=1).astype("int32"))], names=["read_idx", "cluster"])
 
-    return rows.select("read_idx", "x").mapInPandas(run, "read_idx long, cluster int")
+    return rows.select("read_idx", "x").mapInArrow(run, "read_idx long, cluster int")
 
 
 def k_means(rows: DataFrame, k: int, seed: int = 42, max_rounds: int = 50) -> DataFrame:
