@@ -12,7 +12,9 @@ Sketches only group nodes. All pairs within such a group are then compared exact
 sets; links, counts and classes come from that.
 
 Buckets are range-partitioned by path and node, so a bucket of any size spreads over tasks; pivots of buckets that
-cross partitions meet in a second, small step. Groups are compared block by block, at most `BLOCK` nodes a side.
+cross partitions meet in a second, small step. A crossing bucket that has too many pivots in a partition is split as a
+whole, since its remaining members have not met the pivots of other partitions. Groups are compared block by block, at
+most `BLOCK` nodes a side.
 
 Defined results: words are runs of characters other than space and 9-13; a text of one to four words has one shingle,
 all its words; texts without words are one class; null texts are empty; a null id gets a negative number made from the
@@ -320,6 +322,12 @@ def met(pivots: DataFrame) -> DataFrame:
     return pivots.repartition("path").sortWithinPartitions("path").mapInArrow(run, "node binary, other binary")
 
 
+def crowded(out: DataFrame) -> DataFrame:
+    """The paths of buckets at a partition's border of which a partition had too many pivots, from the rows of `compared`."""
+    border = out.where(F.col("kind") == PIVOT).select("path").distinct()
+    return border.join(out.where(F.col("kind") == LEFT).select("path").distinct(), "path", "left_semi")
+
+
 def split(left: DataFrame, level: int) -> DataFrame:
     """Members of buckets that are too diverse, on paths with one more sampled token."""
     bound = np.uint64(int(FAN / COORDS * 2**64))
@@ -329,13 +337,13 @@ def split(left: DataFrame, level: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             path = batch.column("path").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            sketch = np.frombuffer(b"".join(batch.column("other").to_pylist()), np.uint8).reshape(-1, COORDS)
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDS)
             row, j = np.nonzero(mix(path[:, None] ^ (_J * _STEP[3] + np.uint64(level))[None, :]) < bound)
             new = mix(path[row] * _STEP[0] + sketch[row, j] + j.astype(np.uint64) * _STEP[4])
             part = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), part.column("node"), part.column("other")], names=["path", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), part.column("node"), part.column("sketch")], names=["path", "node", "sketch"])
 
-    return left.select("path", "node", "other").mapInArrow(run, "path long, node binary, sketch binary")
+    return left.select("path", "node", "sketch").mapInArrow(run, "path long, node binary, sketch binary")
 
 
 def near_edges(nodes: DataFrame) -> DataFrame:
@@ -352,7 +360,9 @@ def near_edges(nodes: DataFrame) -> DataFrame:
         if not left.limit(1).count():
             break
         # Members that split off without a token go on in the other runs, as the recall allows for.
-        members = checkpoint(split(left, level))
+        whole = checkpoint(crowded(out))
+        left = left.join(whole, "path", "left_anti").select("path", "node", F.col("other").alias("sketch"))
+        members = checkpoint(split(left.unionByName(members.join(whole, "path", "left_semi")), level))
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)

@@ -183,3 +183,32 @@ def test_recall_of_candidates():
         x, y = chosen_path.first_paths(np.stack([chosen_path.signature(a), chosen_path.signature(b)]), chosen_path.runs_for())
         met += bool(np.intersect1d(x, y).size)
     assert met / trials > 0.98
+
+
+def test_bucket_over_partitions(spark, monkeypatch):
+    """In one diverse bucket over several tasks, near copies far apart in the order of nodes are found."""
+    monkeypatch.setattr(chosen_path, "MAX_PIVOTS", 25)
+    monkeypatch.setattr(chosen_path, "FAN", 12.0)  # so that a split itself loses no pair
+    rng = np.random.default_rng(6)
+    first = rng.integers(0, 256, (200, chosen_path.COORDS), dtype=np.uint8)
+    second = first.copy()
+    second[:, ::8] = rng.integers(0, 256, second[:, ::8].shape, dtype=np.uint8)  # 0.875 of the coordinates stay
+    sketches = np.concatenate([first, second])
+    order = [*range(200), *range(399, 199, -1)]  # a range's first member has its copy last in another range
+    rows = [(order[i].to_bytes(4, "big"), s.tobytes(), [1]) for i, s in enumerate(sketches)]
+    nodes = spark.createDataFrame(rows, "node binary, sketch binary, paths array<long>")
+    parent = {r[0]: r[0] for r in rows}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # eight ranges, whatever their size
+    try:
+        edges = chosen_path.near_edges(nodes).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for a, b in edges:
+        parent[top(bytes(a))] = top(bytes(b))
+    assert [i for i in range(200) if top(rows[i][0]) != top(rows[200 + i][0])] == []
