@@ -272,9 +272,10 @@ def fit_decay(reads: DataFrame, window: int = 5) -> DataFrame:
 
 
 def ensemble_damage(reads: DataFrame, window: int = 5) -> DataFrame:
-    """read_idx and the ensemble's probabilities and weights; mate evidence (support, ratio, mismatches, overlap_size) is
-    taken from columns of those names where the reads have them."""
+    """read_idx (id for reads without it) and the ensemble's probabilities and weights; mate evidence (support, ratio,
+    mismatches, overlap_size) is taken from columns of those names (see pairs.with_evidence) where the reads have them."""
+    key = "read_idx" if "read_idx" in reads.columns else "id"
     default = {"support": 0.5, "ratio": 0.0, "mismatches": 0.0, "overlap_size": 0.0}
     cols: list[Column] = [F.coalesce(F.col(c).cast("double"), F.lit(d)).alias(c) if c in reads.columns else F.lit(d).alias(c) for c, d in default.items()]
     columns = {c: "double" for c in ("prob5", "prob3", "authenticity", "w_change", "w_model", "w_pair")}
-    return _mapped(reads.select("read_idx", "seq", *cols), ["read_idx"], lambda f: ensemble(f["seq"].tolist(), *(f[c].to_numpy() for c in default), window), columns)
+    return _mapped(reads.select(key, "seq", *cols), [key], lambda f: ensemble(f["seq"].tolist(), *(f[c].to_numpy() for c in default), window), columns)

@@ -81,6 +81,15 @@ def support_of_reads(reads: DataFrame) -> DataFrame:
     return with_mate(reads).select("id", "base_id").join(summary, "base_id", "left").select("id", F.coalesce("support", F.lit(DEFAULT_SUPPORT)).alias("support"))
 
 
+def with_evidence(reads: DataFrame) -> DataFrame:
+    """The reads with support, ratio (the damage patterns' share of mismatches), mismatches and overlap_size of their
+    pair; null without a mate."""
+    hits = F.col("c_to_t") + F.col("g_to_a")
+    total = hits + F.col("other")
+    summary = pair_summary(mate_join(reads)).select("base_id", "support", F.coalesce(F.try_divide(hits, total), F.lit(0.0)).alias("ratio"), total.alias("mismatches"), "overlap_size")
+    return reads.withColumn("base_id", base_id(F.col("id"))).join(summary, "base_id", "left").drop("base_id")
+
+
 def pair_counters(reads: DataFrame) -> DataFrame:
     """One row: reads looked up, with a mate, without one, and pairs aligned."""
     named = with_mate(reads)

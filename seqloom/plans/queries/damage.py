@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import damage as fn
 from seqloom.functions.special import erfc_sql
 from seqloom.operators import damage as dm
+from seqloom.operators import pairs
 from seqloom.plans import reads as rd
 from seqloom.plans.queries.sequence import six
 from seqloom.plans.registry import query
@@ -137,4 +138,4 @@ def damage_assess(spark, sf):
 
 @query()
 def ensemble_damage(spark, sf):
-    return dm.ensemble_damage(rd.reads(spark, sf))
+    return dm.ensemble_damage(pairs.with_evidence(rd.mates(spark, sf)))

@@ -253,3 +253,19 @@ def test_options():
     for bad in (Options(), Options(fastq="a", bam="b"), Options(fastq="a", pca_components=21)):
         with pytest.raises(ValueError):
             bad.checked()
+
+
+def test_ensemble_weighs_mates(spark):
+    from seqloom.plans.queries.damage import ensemble_damage
+
+    got = {r.id: r for r in ensemble_damage(spark, "/root/testdata/sf0.001").limit(2000).collect()}
+    assert got and all(r.w_pair > 0 and abs(r.w_change + r.w_model + r.w_pair - 1) < 1e-9 for r in got.values())
+
+
+def test_pair_evidence(spark):
+    seq = "T" + "ACGT" * 7 + "A"
+    mate = ("C" + seq[1:-1] + "G")[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    reads = spark.createDataFrame([("a/1", seq), ("a/2", mate), ("b", seq)], "id string, seq string")
+    got = {r.id: r for r in pairs.with_evidence(reads).collect()}
+    assert all((got[i].ratio, got[i].mismatches, got[i].overlap_size) == (1.0, 2, 30) for i in ("a/1", "a/2"))
+    assert got["b"].ratio is None and got["b"].support is None
