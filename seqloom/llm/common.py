@@ -43,6 +43,18 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def new_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until the table has no column of that name in either case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose column holds at most `limit` bytes, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -57,7 +69,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 
 
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str = "text") -> DataFrame:
-    """mapInArrow over slices; `make` runs once a task and returns the function of a slice."""
+    """mapInArrow over slices; `make` runs once a task and returns the function of a slice. Spark's own batches are bounded
+    by what `seqloom.session` sets."""
 
     def run(batches):
         f = make()
@@ -65,8 +78,6 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
             for part in slices(batch, column):
                 yield f(part)
 
-    # Spark's own batches hold 10,000 rows unless bounded by bytes, whatever the length of the texts.
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))
     return df.mapInArrow(run, schema)
 
 

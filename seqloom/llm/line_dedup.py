@@ -5,7 +5,8 @@ hash and document and sorted within partitions by hash, document (largest first)
 streamed once: the first document of a key keeps its lines, and the others lose theirs as soon as enough documents
 have been seen. A key may fill several partitions, so that no key has to fit in one: the first and last key of a
 partition are settled by at most two summary rows from each partition. The result is a compressed bitmap of the kept
-lines for each document that loses any.
+lines for each document that loses any; lines are dropped and texts put together again in SQL functions, so no text
+leaves the JVM.
 
 A line's key is the line without white space (space, 9-13) at its ends and with A-Z lower-cased. Keys of at least
 `min_chars` code points that are found in at least `min_docs` documents lose all their lines except those in the
@@ -17,16 +18,14 @@ same id are one document, and each row has its own bitmap; other columns pass th
 
 from __future__ import annotations
 
-import hashlib
 import string
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import checkpoint, map_slices
+from seqloom.llm.common import checkpoint, new_names, texts
 
 MIN_CHARS, MIN_DOCS = 40, 5
 WHITE = " \t\n\v\f\r"
@@ -37,7 +36,9 @@ DROPPED, OPEN, SUMMARY = 0, 1, 2
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(WHITE)), string.ascii_uppercase, string.ascii_lowercase)
+    """lower() would change other letters than A-Z as well, but is fast and right where all are ASCII."""
+    own = F.btrim(line, F.lit(WHITE))
+    return F.when(F.length(own) == F.octet_length(own), F.lower(own)).otherwise(F.translate(own, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -134,70 +135,50 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     return out.where(F.col("kind") == DROPPED).select("doc", "body", "pos").unionByName(late.select("doc", "body", "pos"))
 
 
-def pack(dropped: list[int]) -> bytes:
-    """A compressed bitmap: bit i is 1 if line i is kept; lines beyond its end are kept."""
-    bits = np.ones(-(-(max(dropped) + 1) // 8) * 8, np.uint8)
-    bits[dropped] = 0
-    return zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 9)
+def runs_of(positions: Column) -> Column:
+    """The keep bitmap of ascending dropped positions, compressed to the lengths of its runs: kept lines, dropped lines,
+    kept lines and so on, from the first line; the lines after the last run are kept. Linear in the positions."""
+    before = F.filter(F.transform(positions, lambda p, i: p - F.coalesce(F.get(positions, i - 1), F.lit(-1)) - 1), lambda gap, i: (i == 0) | (gap > 0))
+    starts = F.filter(positions, lambda p, i: (i == 0) | (F.get(positions, i - 1) != p - 1))
+    ends = F.filter(positions, lambda p, i: (i == F.size(positions) - 1) | (F.get(positions, i + 1) != p + 1))
+    runs = F.arrays_zip(before.alias("kept"), starts.alias("start"), ends.alias("end"))
+    return F.flatten(F.transform(runs, lambda x: F.array(x["kept"], x["end"] - x["start"] + 1)))
 
 
-def unpack(bitmap: bytes, lines: int) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), bitorder="little")[:lines]
-    out = np.ones(lines, bool)
-    out[: len(bits)] = bits
-    return out
+def kept_lines(text: Column, runs: Column) -> Column:
+    """The text without the lines that the bitmap drops. Linear in the lines."""
+    bits = F.flatten(F.transform(runs, lambda n, i: F.array_repeat(i % 2 == 0, n)))
+    marked = F.zip_with(F.split(text, "\n"), bits, lambda line, bit: F.struct(line.alias("line"), bit.alias("bit")))
+    return F.array_join(F.transform(F.filter(marked, lambda x: F.coalesce(x["bit"], F.lit(True))), lambda x: x["line"]), "\n")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, body and keep (compressed bitmap) of each document that loses lines."""
-    by_doc = dropped_lines(docs, min_chars, min_docs, id_col, text_col).groupBy("doc", "body").agg(F.collect_set("pos").alias("dropped"))
+    """doc, body, keep (compressed bitmap, see `runs_of`) and n_dropped of each document that loses lines."""
+    by_doc = dropped_lines(docs, min_chars, min_docs, id_col, text_col).groupBy("doc", "body").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+    return by_doc.select("doc", "body", runs_of(F.col("dropped")).alias("keep"), F.size("dropped").cast("long").alias("n_dropped"))
 
-    def run(batches):
-        for batch in batches:
-            packed = [pack(sorted(p)) for p in batch.column("dropped").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("body"), pa.array(packed, pa.binary())], names=["doc", "body", "keep"])
 
-    return by_doc.mapInArrow(run, "doc long, body long, keep binary")
+def with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """The rows with two more columns, and their names (which the rows do not have): the bitmap, null where no line is
+    dropped, and the number of dropped lines.
 
-
-def with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int, id_col: str, text_col: str) -> DataFrame:
-    """The rows with dedup_keep, null where no line is dropped."""
-    maps = keep_bitmaps(docs, min_chars, min_docs, id_col, text_col).select(F.col("doc").alias("dedup_doc"), F.col("body").alias("dedup_body"), F.col("keep").alias("dedup_keep"))
-    body = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.join(maps, (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("dedup_doc")) & (body == F.col("dedup_body")), "left").drop("dedup_doc", "dedup_body")
-
-
-def kept_text(text: str, bitmap: bytes | None) -> tuple[int, int, str]:
-    """Lines, dropped lines, and the text of the others."""
-    lines = text.split("\n")
-    if bitmap is None:
-        return len(lines), 0, text
-    keep = unpack(bitmap, len(lines)).tolist()
-    own = [x for x, k in zip(lines, keep) if k]
-    return len(lines), len(lines) - len(own), "\n".join(own)
+    The bitmaps, which are small, are hashed within each partition, so that texts are shuffled but never sorted."""
+    doc, body, keep, n_dropped = new_names(docs, "doc", "body", "keep", "n_dropped")
+    maps = keep_bitmaps(docs, min_chars, min_docs, id_col, text_col).toDF(doc, body, keep, n_dropped).hint("shuffle_hash")
+    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col(doc)) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(body))
+    return docs.join(maps, same, "left").drop(doc, body), keep, n_dropped
 
 
 def line_dedup_digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [kept_text(t, b) for t, b in zip(part.column("text").to_pylist(), part.column("dedup_keep").to_pylist())]
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2].encode()).hexdigest() for r in rows], pa.string())], schema=schema)
-
-    small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return map_slices(with_bitmaps(small, min_chars, min_docs, "doc_id", "text"), lambda: run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    joined, keep, n_dropped = with_bitmaps(texts(docs, id_col, text_col), min_chars, min_docs, "doc_id", "text")
+    kept = F.when(F.col(keep).isNull(), F.col("text")).otherwise(kept_lines(F.col("text"), F.col(keep)))
+    lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
+    return joined.select("doc_id", lines.alias("n_lines"), F.coalesce(n_dropped, F.lit(0).cast("long")).alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with the same columns, the text without its dropped lines (null texts stay null)."""
-    joined = with_bitmaps(docs, min_chars, min_docs, id_col, text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    names, at = docs.columns, docs.columns.index(text_col)
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts, maps = part.column(text_col).to_pylist(), part.column("dedup_keep").to_pylist()
-        new = pa.array([t if b is None else kept_text(t, b)[2] for t, b in zip(texts, maps)], pa.string())
-        return pa.RecordBatch.from_arrays([new if i == at else part.column(c) for i, c in enumerate(names)], names=names)
-
-    return map_slices(joined, lambda: run, schema, text_col)
+    joined, keep, _ = with_bitmaps(docs, min_chars, min_docs, id_col, text_col)
+    text = F.when(F.col(keep).isNull(), F.col(text_col)).otherwise(kept_lines(F.col(text_col), F.col(keep)))
+    return joined.select(*[(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.llm import chosen_path, line_dedup
 from seqloom.llm.components import components
@@ -99,11 +100,32 @@ def test_stream_over_any_partitions(size, cuts):
     assert sorted(dropped) == sorted(expected)
 
 
-def test_bitmaps():
+def test_bitmaps(spark):
     rng = random.Random(4)
-    for n in (1, 7, 8, 9, 500):
-        drop = sorted(rng.sample(range(n), rng.randint(1, n)))
-        assert np.flatnonzero(~line_dedup.unpack(line_dedup.pack(drop), n)).tolist() == drop
+    cases = [(n, sorted(rng.sample(range(n), rng.randint(1, n)))) for n in (1, 2, 7, 8, 9, 60, 500) for _ in range(8)]
+    df = spark.createDataFrame([(n, drop, "\n".join(f"l{i}" for i in range(n))) for n, drop in cases], "n int, p array<int>, text string")
+    for r in df.withColumn("runs", line_dedup.runs_of(F.col("p"))).withColumn("kept", line_dedup.kept_lines(F.col("text"), F.col("runs"))).collect():
+        bits = [b for i, n in enumerate(r.runs) for b in [i % 2 == 0] * n]
+        assert [i for i, b in enumerate(bits) if not b] == r.p and all(r.runs[1:])
+        assert r.kept == "\n".join(f"l{i}" for i in range(r.n) if i not in set(r.p))
+
+
+def test_line_dedup_with_clashing_names(spark):
+    rows = dedup_rows()
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    extra = plain.selectExpr("doc_id as doc", "text", "doc_id as body", "'k' as KEEP", "1 as n_dropped", "2 as dedup_doc", "3 as `a.b`", "doc_id as _doc")
+    got = line_dedup.drop_lines(extra, id_col="doc")
+    assert got.columns == extra.columns
+    assert sorted(map(repr, got.select("doc", "text").toDF("doc_id", "text").collect())) == sorted(map(repr, line_dedup.drop_lines(plain).collect()))
+
+
+def test_a_long_text_of_repeated_lines(spark):
+    """Splitting and dropping is linear: 200,000 lines of which every second one goes."""
+    line = "a repeated line that is long enough to count as such"
+    long = "\n".join(x for i in range(100_000) for x in (f"own {i}", line))
+    df = spark.createDataFrame([(0, long), *[(i, line) for i in range(1, 6)]], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.line_dedup_digest(df).collect()}
+    assert got == {0: (200_000, 100_000), **{i: (1, 1) for i in range(1, 5)}, 5: (1, 0)}
 
 
 def near_rows():
