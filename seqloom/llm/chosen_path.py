@@ -11,14 +11,19 @@ which one member is absorbed is still joined through the pivot at the wider sket
 Sketches only group nodes. All pairs within such a group are then compared exactly, in blocks, on their whole shingle
 sets; links, counts and classes come from that.
 
-Buckets are range-partitioned by path and node, so a bucket of any size spreads over tasks; pivots of buckets that
-cross partitions meet in a second, small step. A crossing bucket that has too many pivots in a partition is split as a
-whole, since its remaining members have not met the pivots of other partitions. Groups are compared block by block, at
-most `BLOCK` nodes a side.
+Buckets are range-partitioned by path and node, so a bucket of any size spreads over tasks. The pivots of a bucket that
+crosses partitions are compared in cells of two blocks. Where a partition had more than `MAX_PIVOTS` of them, or the
+bucket more than `MAX_MET` in all, they are split with the members left over; members that a pivot has absorbed stay
+represented by it. What is still left at `MAX_LEVELS` is compared in cells as well, so nothing is dropped.
+
+Each further split keeps a pair at the threshold only with some chance. Nodes that were split further therefore get
+more runs, as many as the target recall takes at the deepest level that a run has reached. Groups are compared block by
+block; a node's set is copied to as many cells as its group has blocks.
 
 Defined results: words are runs of characters other than space and 9-13; a text of one to four words has one shingle,
-all its words; texts without words are one class; null texts are empty; a null id gets a negative number made from the
-text's hash in place of an id; repeated rows are copies; other columns are left out. Hashes of shingles have 64 bits.
+all its words; texts without words are one class; null texts are empty; null ids stay null and come after all others;
+repeated rows are copies; rows with the same id and other texts are documents of their own, told apart by the hash of
+the text; other columns are left out. Hashes of shingles have 64 bits.
 """
 
 from __future__ import annotations
@@ -33,14 +38,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Memo, checkpoint, map_slices
+from seqloom.llm.common import Memo, checkpoint, map_slices, new_names
 from seqloom.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
 COORDS, FAN, RECALL = 128, 1.5, 0.999
 #: Sketch shares from which a member is joined with a pivot, absorbed by it, and from which two pivots are joined.
 JOIN, ABSORB, MEET = 0.60, 0.92, 0.46
-MAX_PIVOTS, MAX_LEVELS, BLOCK, MAX_WORDS = 512, 8, 128, 100_000
+#: The same for buckets that come from a split, where members near each other must not split without end.
+DEEP_JOIN, DEEP_ABSORB = 0.50, 0.80
+MAX_PIVOTS, MAX_MET, MAX_LEVELS, MAX_WORDS = 512, 16_384, 8, 100_000
+#: Nodes of a block of a group; groups have at most WIDE blocks until these hold more than MAX_BLOCK nodes.
+BLOCK, WIDE, MAX_BLOCK = 128, 64, 1024
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -61,10 +70,10 @@ _J = np.arange(COORDS, dtype=np.uint64)
 _PROBE = (mix(_J[:, None] * np.uint64(1_000_003) + np.arange(4 * COORDS, dtype=np.uint64) + np.uint64(17)) >> np.uint64(57)).astype(np.int64)
 
 
-def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, fan: float = FAN) -> int:
-    """Runs after which a pair at the threshold shares a bucket with the given probability: its root token is shared,
-    and so is one of the second level's tokens, whose number is about Poisson."""
-    met = threshold * (1 - math.exp(-fan * threshold))
+def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, fan: float = FAN, levels: int = 2) -> int:
+    """Runs after which a pair at the threshold shares a bucket of the given level with the given probability: its root
+    token is shared, and at each further level so is one of the sampled tokens, whose number is about Poisson."""
+    met = threshold * (1 - math.exp(-fan * threshold)) ** (levels - 1)
     return math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
@@ -119,10 +128,12 @@ def sketch_of(signatures: np.ndarray) -> np.ndarray:
     return (mix(signatures + _J * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
 
 
-def first_paths(signatures: np.ndarray, runs: int) -> list[np.ndarray]:
-    """The paths of two levels of each signature: the run's root token, then the tokens sampled below it."""
-    roots = np.argsort(mix(_J + np.uint64(99)))[:runs]
-    p1 = mix(signatures[:, roots] + roots.astype(np.uint64) * _STEP[1] + np.arange(runs, dtype=np.uint64) * _STEP[2])
+def first_paths(signatures: np.ndarray, runs: int, first: int = 0) -> list[np.ndarray]:
+    """The paths of two levels of each signature in `runs` runs, numbered from `first`: the run's root token, then the
+    tokens sampled below it."""
+    numbers = np.arange(first, first + runs)
+    roots = np.argsort(mix(_J + np.uint64(99)))[numbers % COORDS]
+    p1 = mix(signatures[:, roots] + roots.astype(np.uint64) * _STEP[1] + numbers.astype(np.uint64) * _STEP[2])
     bound = np.uint64(int(FAN / COORDS * 2**64))
     out: list[list[np.ndarray]] = [[] for _ in signatures]
     for r in range(runs):
@@ -136,17 +147,16 @@ def first_paths(signatures: np.ndarray, runs: int) -> list[np.ndarray]:
     return [np.unique(np.concatenate(p)) if p else np.zeros(0, np.uint64) for p in out]
 
 
-def doc_key(id_col: str, text_col: str) -> Column:
-    """The id, or for null a negative number made from the text."""
-    return F.coalesce(F.col(id_col).cast("long"), -F.abs(F.shiftright(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 1)) - 1)
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(doc_key(id_col, text_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text_hash(text_col).alias("body"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def embedded(keyed: DataFrame, runs: int) -> DataFrame:
-    """doc, node (hash of the shingle set), sketch, and the paths as one binary."""
+    """doc, body, node (hash of the shingle set), sketch and paths of each row."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(part.column("text").to_pylist())
@@ -157,10 +167,10 @@ def embedded(keyed: DataFrame, runs: int) -> DataFrame:
                 paths[i] = np.zeros(0, np.uint64)
         sketches = sketch_of(signatures)
         nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-        arrays = [part.column("doc"), pa.array(nodes, pa.binary()), pa.array([s.tobytes() for s in sketches], pa.binary()), pa.array([p.view(np.int64) for p in paths], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc", "node", "sketch", "paths"])
+        arrays = [part.column("doc"), part.column("body"), pa.array(nodes, pa.binary()), pa.array([s.tobytes() for s in sketches], pa.binary()), pa.array([p.view(np.int64) for p in paths], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc", "body", "node", "sketch", "paths"])
 
-    return map_slices(keyed, lambda: run, "doc long, node binary, sketch binary, paths array<long>")
+    return map_slices(keyed, lambda: run, "doc long, body long, node binary, sketch binary, paths array<long>")
 
 
 def _runs(batches, key: str, others: tuple[str, ...]):
@@ -308,24 +318,33 @@ def compared(members: DataFrame, join: float, absorb: float, most: float) -> Dat
     return ordered.mapInArrow(run, "kind tinyint, path long, node binary, other binary")
 
 
-def met(pivots: DataFrame) -> DataFrame:
-    """Edges between the pivots of buckets that cross borders; there are at most 2 x MAX_PIVOTS rows from a partition."""
+def in_cells(rows: DataFrame) -> DataFrame:
+    """Edges between all alike nodes (path, node, sketch) of a path, block against block: a task holds two blocks of about
+    `MAX_PIVOTS` nodes, whatever the number of nodes of a path."""
 
     def run(batches):
-        for _, (nodes, sketches), begins, _ in _runs(batches, "path", ("node", "other")):
+        for _, (nodes, sketches), begins, _ in _runs(batches, "cell", ("node", "sketch")):
             if begins:
                 bucket = Bucket(MEET, 2.0, math.inf)
             edges: list[tuple[bytes, bytes]] = []
-            bucket.add(nodes.to_pylist(), np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, COORDS), edges, [])
+            ids, flat = nodes.to_pylist(), np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, COORDS)
+            for at in range(0, len(ids), 256):
+                bucket.add(ids[at : at + 256], flat[at : at + 256], edges, [])
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary())], names=["node", "other"])
 
-    return pivots.repartition("path").sortWithinPartitions("path").mapInArrow(run, "node binary, other binary")
+    blocks = rows.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / MAX_PIVOTS).cast("int").alias("blocks"))
+    placed = rows.join(blocks, "path").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cells = placed.select("path", "node", "sketch", "block", other).select(F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "node", "sketch")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "node binary, other binary")
 
 
 def crowded(out: DataFrame) -> DataFrame:
-    """The paths of buckets at a partition's border of which a partition had too many pivots, from the rows of `compared`."""
-    border = out.where(F.col("kind") == PIVOT).select("path").distinct()
-    return border.join(out.where(F.col("kind") == LEFT).select("path").distinct(), "path", "left_semi")
+    """The paths of buckets at a partition's border that had too many pivots, in a partition or in all."""
+    pivots = out.where(F.col("kind") == PIVOT)
+    left = out.where(F.col("kind") == LEFT).select("path").distinct()
+    many = pivots.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_MET).select("path")
+    return pivots.select("path").distinct().join(left, "path", "left_semi").unionByName(many).distinct()
 
 
 def split(left: DataFrame, level: int) -> DataFrame:
@@ -346,23 +365,59 @@ def split(left: DataFrame, level: int) -> DataFrame:
     return left.select("path", "node", "sketch").mapInArrow(run, "path long, node binary, sketch binary")
 
 
-def near_edges(nodes: DataFrame) -> DataFrame:
+def walk(members: DataFrame) -> tuple[list[DataFrame], list[DataFrame], int]:
+    """The edges found below the given buckets (path, node, sketch), the nodes that were split further, and the level
+    reached."""
+    found, again, level = [], [], 2
+    while True:
+        out = checkpoint(compared(members, *((JOIN, ABSORB) if level == 2 else (DEEP_JOIN, DEEP_ABSORB)), MAX_PIVOTS))
+        found.append(out.where(F.col("kind") == EDGE).select("node", "other"))
+        whole = checkpoint(crowded(out))
+        pivots = out.where(F.col("kind") == PIVOT).select("path", "node", F.col("other").alias("sketch"))
+        found.append(in_cells(pivots.join(whole, "path", "left_anti")))
+        left = out.where(F.col("kind") == LEFT).select("path", "node", F.col("other").alias("sketch"))
+        left = checkpoint(left.unionByName(pivots.join(whole, "path", "left_semi")))
+        if not left.limit(1).count():
+            return found, again, level
+        again.append(left.select("node"))
+        if level == MAX_LEVELS:
+            found.append(in_cells(left))
+            return found, again, level
+        level += 1
+        members = checkpoint(split(left, level))
+
+
+def further_runs(nodes: DataFrame, first: int, runs: int) -> DataFrame:
+    """path, node and sketch of more runs; the sketches stand for the minima."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDS)
+                paths = first_paths(sketches.astype(np.uint64), runs, first)
+                part = batch.take(pa.array(np.repeat(np.arange(len(paths)), [len(p) for p in paths])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths).view(np.int64)), part.column("node"), part.column("sketch")], names=["path", "node", "sketch"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "path long, node binary, sketch binary")
+
+
+def near_edges(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Edges (node, other) between nodes that may reach the threshold, enough to connect all that do."""
     frontier = nodes.select(F.explode("paths").alias("path"), "node")
     members = checkpoint(shared_paths(frontier).join(nodes.select("node", "sketch"), "node").select("path", "node", "sketch"))
-    found, level = [], 2
+    found, again, done, deepest = [], [], runs_for(recall, threshold), 2
     while True:
-        level += 1
-        out = checkpoint(compared(members, JOIN, ABSORB, MAX_PIVOTS if level < MAX_LEVELS else math.inf))
-        found.append(out.where(F.col("kind") == EDGE).select("node", "other"))
-        found.append(met(out.where(F.col("kind") == PIVOT)))
-        left = out.where(F.col("kind") == LEFT)
-        if not left.limit(1).count():
+        more, nodes_again, level = walk(members)
+        found, again, deepest = found + more, again + nodes_again, max(deepest, level)
+        needed = runs_for(recall, threshold, levels=deepest)
+        if needed <= done:
             break
-        # Members that split off without a token go on in the other runs, as the recall allows for.
-        whole = checkpoint(crowded(out))
-        left = left.join(whole, "path", "left_anti").select("path", "node", F.col("other").alias("sketch"))
-        members = checkpoint(split(left.unionByName(members.join(whole, "path", "left_semi")), level))
+        known = again[0]
+        for other in again[1:]:
+            known = known.unionByName(other)
+        crowd = nodes.select("node", "sketch").join(known.distinct(), "node", "left_semi")
+        members = checkpoint(further_runs(crowd, done, needed - done))
+        done = needed
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
@@ -433,19 +488,20 @@ def verified(groups: DataFrame, threshold: float) -> DataFrame:
     return groups.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "node binary, links long, top binary")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc (see doc_key), class_id, n_copies and n_links of each row.
+ID = "struct(doc is null as none, doc, body)"
+
 
-    class_id is the smallest doc of the class, n_copies the number of rows with the same shingles (itself included), and
-    n_links the number of other rows at or above the threshold, copies included."""
+def _classes(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc, body and node of each row; and node, first (the id of the class: see `ID`), copies and links of each node."""
     keyed = _keyed(docs, id_col, text_col)
     rows = checkpoint(embedded(keyed, runs_for(recall, threshold)))
-    nodes = checkpoint(rows.groupBy("node").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch"), F.any_value("paths").alias("paths")))
-    group = components(near_edges(nodes), "node", "other").withColumnRenamed("root", "super")
+    nodes = checkpoint(rows.groupBy("node").agg(F.min(F.expr(ID)).alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch"), F.any_value("paths").alias("paths")))
+    group = components(near_edges(nodes, threshold, recall), "node", "other").withColumnRenamed("root", "super")
     sizes = group.groupBy("super").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.when(F.col("n") <= 2 * BLOCK, F.lit(1)).otherwise(F.ceil(F.col("n") / BLOCK).cast("int"))
+    narrow = F.least(F.ceil(F.col("n") / BLOCK), F.greatest(F.lit(WIDE), F.ceil(F.col("n") / MAX_BLOCK)))
+    parts = F.when(F.col("n") <= 2 * BLOCK, F.lit(1)).otherwise(narrow.cast("int"))
     placed = group.join(sizes, "super").withColumn("blocks", parts).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    chosen = checkpoint(placed.join(nodes.select("node", "doc", "copies"), "node"))
+    chosen = checkpoint(placed.join(nodes.select("node", "id.*", "copies"), "node"))
 
     def tokens(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(part.column("text").to_pylist())
@@ -453,8 +509,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         kept = part.append_column("tokens", pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())).drop_columns(["text"])
         return kept.filter(pa.array([a == b for a, b in zip(own, part.column("node").to_pylist())]))
 
-    # The texts of one row of each node; a row of the same id with other shingles is left out.
-    fetched = keyed.join(chosen, "doc").select("super", "blocks", "block", "node", "copies", "text")
+    # The text of one row of each node.
+    same = F.expr("t.body = c.body and t.doc <=> c.doc")
+    fetched = keyed.alias("t").join(chosen.hint("shuffle_hash").alias("c"), same).select("super", "blocks", "block", "node", "copies", "text")
     sets = map_slices(fetched, lambda: tokens, "super binary, blocks int, block int, node binary, copies long, tokens binary")
     pairs = F.expr("explode(transform(sequence(0, blocks - 1), o -> struct(least(o, block) as lo, greatest(o, block) as hi)))")
     cells = sets.dropDuplicates(["node"]).withColumn("p", pairs).select(
@@ -463,15 +520,28 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     linked = checkpoint(verified(cells, threshold))
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(linked.where("node <> top"), "node", "top")
-    known = nodes.select("node", "doc", "copies").join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = nodes.select("node", "id", "copies").join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = checkpoint(known)
-    named = known.groupBy("root").agg(F.min("doc").alias("class_id"))
-    by_node = known.join(named, "root").select("node", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    return rows.select("doc", "node").join(by_node, "node").select("doc", "class_id", F.col("copies").alias("n_copies"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    named = known.groupBy("root").agg(F.min("id").alias("first"))
+    return rows, known.join(named, "root").select("node", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, class_id, class_text, n_copies and n_links of each row.
+
+    class_id is the smallest id of the class (null if it has none), class_text the smallest hash of a text that this id
+    has in the class (together they name the class also where ids repeat), n_copies the number of rows with the same
+    shingles (itself included), and n_links the number of other rows at or above the threshold, copies included."""
+    rows, by_node = _classes(docs, threshold, recall, id_col, text_col)
+    named = by_node.select("node", F.col("first.doc").alias("class_id"), F.col("first.body").alias("class_text"), F.col("copies").alias("n_copies"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    return rows.select("doc", "node").join(named, "node").select("doc", "class_id", "class_text", "n_copies", "n_links")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, the one with the smallest id, with the same columns."""
-    found = near_duplicates(docs, threshold, recall, id_col, text_col)
-    first = found.where("doc = class_id").select(F.col("doc").alias("near_doc")).distinct()
-    return docs.withColumn("near_key", doc_key(id_col, text_col)).join(first, F.col("near_key") == F.col("near_doc"), "left_semi").dropDuplicates(["near_key"]).drop("near_key")
+    """One row of each class, one with the class's id and text, with the same columns."""
+    _, by_node = _classes(docs, threshold, recall, id_col, text_col)
+    first = by_node.select("first.doc", "first.body").distinct()
+    doc, body = new_names(docs, "doc", "body")
+    marked = docs.withColumns({doc: F.col(id_col).cast("long"), body: text_hash(text_col)})
+    kept = marked.join(first.toDF("first_doc", "first_body").hint("shuffle_hash"), F.col(doc).eqNullSafe(F.col("first_doc")) & (F.col(body) == F.col("first_body")), "left_semi")
+    return kept.dropDuplicates([doc, body]).drop(doc, body)

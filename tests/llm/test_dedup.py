@@ -180,8 +180,8 @@ def test_join_equals_brute_force(spark, monkeypatch, pivots, block):
     monkeypatch.setattr(chosen_path, "BLOCK", block)
     rows = near_rows()
     df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, node string")
-    got = sorted((r.doc if r.doc >= 0 else None, r.class_id if r.class_id >= 0 else None, r.n_copies, r.n_links) for r in chosen_path.near_duplicates(df).collect() if r.doc >= 0)
-    assert got == sorted(r for r in near_brute(rows) if r[0] is not None)
+    got = sorted(((r.doc, r.class_id, r.n_copies, r.n_links) for r in chosen_path.near_duplicates(df).collect()), key=repr)
+    assert got == sorted(near_brute(rows), key=repr)
     if pivots == 512:
         kept = chosen_path.keep_first(df)
         assert kept.columns == df.columns
@@ -190,6 +190,16 @@ def test_join_equals_brute_force(spark, monkeypatch, pivots, block):
         assert kept.where("doc_id is null").count() == 1
 
 
+def test_rows_that_share_an_id_keep_their_own_texts(spark):
+    rows = [(3, "alpha beta gamma delta epsilon zeta"), (3, "one two three four five six"), (7, "alpha beta gamma delta epsilon zeta"), (3, "one two three four five six"), (None, "quite another text of six words"), (None, "and one more of many other words")]
+    df = spark.createDataFrame([(*r, i, i) for i, r in enumerate(rows)], "doc_id long, text string, doc int, near_key int")
+    kept = chosen_path.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted({(3, rows[0][1]), (3, rows[1][1]), rows[4], rows[5]}, key=repr)
+    found = chosen_path.near_duplicates(df).collect()
+    assert len(found) == 6 and len({(r.class_id, r.class_text) for r in found}) == 4
+
+
 def test_join_without_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert chosen_path.near_duplicates(df).count() == 0 and chosen_path.keep_first(df).count() == 0
@@ -234,3 +244,32 @@ def test_bucket_over_partitions(spark, monkeypatch):
     for a, b in edges:
         parent[top(bytes(a))] = top(bytes(b))
     assert [i for i in range(200) if top(rows[i][0]) != top(rows[200 + i][0])] == []
+
+
+def test_recall_where_buckets_split(spark, monkeypatch):
+    """Pairs of similarity about the threshold, in documents that all share a passage, so that buckets split again."""
+    monkeypatch.setattr(chosen_path, "MAX_PIVOTS", 8)
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    passage = rng.choices(vocabulary, k=60)
+    rows = []
+    for i in range(250):
+        own = passage + rng.choices(vocabulary, k=90)
+        other = list(own)
+        for _ in range(rng.choice([1, 2, 3])):
+            other[rng.randrange(60, 150)] = "changed"
+        rows += [(i, " ".join(own)), (1000 + i, " ".join(other))]
+    got = {r.doc: r.n_links for r in chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    exact = {r[0]: r[3] for r in near_brute(rows)}
+    assert sum(exact.values()) > 400
+    assert sum(got.values()) >= 0.99 * sum(exact.values()) and all(got[i] <= n for i, n in exact.items())
+
+
+def test_many_pivots_meet_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "MAX_PIVOTS", 4)
+    rng = np.random.default_rng(9)
+    sketches = rng.integers(0, 256, (60, chosen_path.COORDS), dtype=np.uint8)
+    sketches[30:] = sketches[:30]
+    rows = [(p, bytes([p, i]), s.tobytes()) for p in (1, 2) for i, s in enumerate(sketches)]
+    edges = chosen_path.in_cells(spark.createDataFrame(rows, "path long, node binary, sketch binary")).collect()
+    assert {tuple(sorted((bytes(a), bytes(b)))) for a, b in edges} == {(bytes([p, i]), bytes([p, 30 + i])) for p in (1, 2) for i in range(30)}
