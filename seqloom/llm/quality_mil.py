@@ -5,12 +5,14 @@ hashed bigram profile and by how few different bigrams it has; a learned layer e
 (tanh times sigmoid) weighs it, and the weighted sum of the text's passages gives the score. Encoder, attention and
 output are trained together from document labels, with Adam, on the driver.
 
-Training reads at most `SAMPLE_DOCS` labelled documents (the first in hash order) and, of each, at most
-`SAMPLE_PASSAGES` passages spread evenly; scoring reads every passage of every text.
+Training and scoring read every passage of a text. The sample of labelled documents is bounded: the first in hash order,
+at most `SAMPLE_DOCS` of them and at most `SAMPLE_PASSAGES` passages in all; a document that would go beyond that is left
+out whole.
 
 Defined results: a null or empty text is one passage without characters; a null id counts as held out; labels of a
 document that disagree count as their smallest; null labels are left out; without labels every score is 0.5; repeated
-rows give repeated rows. Neither id, language, source nor label enters a score.
+rows give repeated rows, and count once in training; rows with the same id and other texts count each. Neither id,
+language, source nor label enters a score.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import map_slices, texts
 
 PASSAGE, BINS, FOLDED = 400, 256, 64
-SAMPLE_DOCS, SAMPLE_PASSAGES = 4000, 32
+SAMPLE_DOCS, SAMPLE_PASSAGES = 4000, 100_000
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY, SEED = 16, 8, 25, 64, 0.01, 1e-4, 7
 FOLDS, THRESHOLD = 5, 0.3
 
@@ -37,7 +39,7 @@ FEATURES = CLASSES + 4 + FOLDED
 def _class_table() -> np.ndarray:
     """Lower, upper, digit, space, line end, full stop, comma, exclamation, bar, other symbol, other punctuation, rest."""
     out = np.full(0x110000, 11, np.uint8)
-    for i in range(0x3000):
+    for i in range(0x30000):
         kind = unicodedata.category(chr(i))
         if kind in ("Ll", "Lo", "Lm"):
             out[i] = 0
@@ -149,23 +151,41 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % FOLDS == 0
 
 
+def chosen(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> list[tuple[int, int]]:
+    """Id and text hash of the documents of the training sample, at most SAMPLE_DOCS."""
+    known = _labelled(labels, label_col).orderBy("rank", "label_id").limit(SAMPLE_DOCS)
+    sizes = texts(docs).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))  # at most SAMPLE_DOCS rows are broadcast
+    sizes = sizes.select("rank", "label_id", F.xxhash64("text").alias("body"), F.greatest(F.lit(1), F.ceil(F.length("text") / PASSAGE)).alias("n")).distinct()
+    out, left = [], SAMPLE_PASSAGES
+    for r in sizes.orderBy("rank", "label_id", "body").limit(SAMPLE_DOCS).collect():
+        if r.n <= left:
+            out.append((r.label_id, r.body))
+            left -= r.n
+    return out
+
+
+def _labelled(labels: DataFrame, label_col: str) -> DataFrame:
+    """label_id, label and rank (by hash) of the labelled documents that are not held out."""
+    clean = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out())
+    return clean.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(label_col).cast("double").alias("label")).withColumn("rank", F.xxhash64("label_id"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, passages a document and labels of the bounded training sample; held-out documents are not in it."""
-    clean = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(label_col).cast("double").alias("label"))
-    chosen = clean.orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE_DOCS)
-    joined = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label_id", "label", "text")  # at most SAMPLE_DOCS rows are broadcast
+    ids = chosen(docs, labels, label_col)
+    if not ids:
+        return np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    own = docs.sparkSession.createDataFrame(ids, "own_id long, own_body long")
+    known = F.broadcast(own.join(_labelled(labels, label_col), F.col("own_id") == F.col("label_id")).select("own_id", "own_body", "label"))  # at most SAMPLE_DOCS rows
+    joined = texts(docs).join(known, (F.col("doc_id") == F.col("own_id")) & (F.xxhash64("text") == F.col("own_body"))).dropDuplicates(["own_id", "own_body"]).select("own_id", "own_body", "label", "text")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         x, counts = passages(part.column("text").to_pylist())
-        rows, begin = [], np.cumsum(counts) - counts
-        for b, n in zip(begin, counts):
-            own = x[b + (np.arange(min(n, SAMPLE_PASSAGES)) * n // min(n, SAMPLE_PASSAGES))]
-            rows.append(own.astype("<f4").tobytes())
-        return pa.RecordBatch.from_arrays([part.column("label_id"), part.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
-
-    got = map_slices(joined, lambda: run, "doc_id long, label double, x binary").orderBy("doc_id", "x").limit(2 * SAMPLE_DOCS).collect()
-    own = [np.frombuffer(r.x, "<f4").reshape(-1, FEATURES) for r in got]
-    return (np.concatenate(own) if own else np.zeros((0, FEATURES), np.float32)), np.array([len(o) for o in own], np.int64), np.array([r.label for r in got], np.float32)
+        rows = [own.astype("<f4").tobytes() for own in np.split(x, np.cumsum(counts)[:-1])]
+        return pa.RecordBatch.from_arrays([part.column("own_id"), part.column("own_body"), part.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "body", "label", "x"])
+
+    got = map_slices(joined, lambda: run, "doc_id long, body long, label double, x binary").orderBy("doc_id", "body").collect()
+    return np.concatenate([np.frombuffer(r.x, "<f4").reshape(-1, FEATURES) for r in got]), np.array([len(r.x) // (4 * FEATURES) for r in got], np.int64), np.array([r.label for r in got], np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model | None:

@@ -33,6 +33,63 @@ def test_gradients():
     assert ((model.logits(x, counts) > 0) == (y > 0)).mean() > 0.95
 
 
+def plain_passages(text):
+    """The features of a text's passages, one character after the other."""
+    out = []
+    for at in range(0, max(len(text), 1), quality_mil.PASSAGE):
+        part = text[at : at + quality_mil.PASSAGE]
+        kinds = [quality_mil.CLASS[ord(c)] for c in part]
+        share = [kinds.count(k) / max(len(part), 1) for k in range(quality_mil.CLASSES)]
+        bins = [((ord(a) * 0x9E3779B1 + ord(b) * 0x85EBCA77) % 2**32) >> 24 for a, b in zip(part, part[1:])]
+        profile = [bins.count(i) for i in range(quality_mil.BINS)]
+        pairs = max(len(bins), 1)
+        width = quality_mil.BINS // quality_mil.FOLDED
+        folded = [(sum(profile[i : i + width]) / pairs) ** 0.5 for i in range(0, quality_mil.BINS, width)]
+        spaces = sum(kinds.count(k) for k in (3, 4))
+        out.append([*share, np.log1p(len(part)), sum(p > 0 for p in profile) / min(pairs, quality_mil.BINS), max(profile) / pairs, len(part) / (spaces + 1), *folded])
+    return np.array(out)
+
+
+def test_passages_and_scores_equal_plain_ones(spark):
+    rng = random.Random(4)
+    values = ["", "a", "Ab 1.\n", "漢字 かな 글자 " * 70, "x" * 400, "y" * 401, "#*$ " * 301] + ["".join(rng.choice("abC9 .,\n!|#é漢") for _ in range(rng.randint(0, 1700))) for _ in range(20)]
+    x, counts = quality_mil.passages(values)
+    plain = [plain_passages(v) for v in values]
+    assert counts.tolist() == [len(p) for p in plain]
+    np.testing.assert_allclose(x, np.concatenate(plain), rtol=2e-5, atol=1e-6)
+    assert x[counts[:3].sum(), 0] > 0.5  # letters of every script are letters
+    model = quality_mil.Model.train(*_toy())
+    w = {k: np.asarray(v, np.float64) for k, v in model.w.items()}
+    for text, own in zip(values, plain):
+        h = [np.tanh(np.clip((p - w["mean"]) / w["std"], -8, 8) @ w["E"] + w["e"]) for p in own]
+        score = np.array([(np.tanh(p @ w["V"]) / (1 + np.exp(-(p @ w["U"])))) @ w["a"] for p in h])
+        share = np.exp(score - score.max())
+        out = sum(a * p for a, p in zip(share / share.sum(), h)) @ w["c"] + w["d"]
+        assert model.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-out)), abs=2e-4)
+    docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality_mil.quality_scores(docs, model).collect()}
+    assert got == {i: pytest.approx(model.scores([t])[0], abs=1e-5) for i, t in enumerate(values)}
+
+
+def test_training_reads_whole_texts_within_its_bounds(spark, monkeypatch):
+    monkeypatch.setattr(quality_mil, "SAMPLE_DOCS", 30)
+    monkeypatch.setattr(quality_mil, "SAMPLE_PASSAGES", 400)
+    rows = [(i, "w " * (200 * (i % 7)) + str(i)) for i in range(60)] + [(i, "another text") for i in range(5)] * 3 + [(61, "long " * 100_000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(62)], "doc_id long, quality int")
+    x, counts, y = quality_mil.sample(docs, labels)
+    assert 0 < len(counts) <= 30 and counts.sum() == len(x) <= 400 and len(y) == len(counts)
+    whole = {len(plain_passages(t)) for _, t in rows if len(t) < 10_000}
+    assert set(counts.tolist()) <= whole and counts.max() > 1
+
+
+def test_scores_at_the_threshold_stay(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
+    model = quality_mil.Model.train(*_toy())
+    score = float(model.scores(["a"])[0])
+    assert quality_mil.keep_good(docs, model, threshold=score).count() == 2
+    assert quality_mil.keep_good(docs, model, threshold=np.nextafter(score, 2)).count() == 0
+
+
 def test_whole_texts_count():
     model = quality_mil.Model.train(*_toy())
     good, bad = "The cat sat on the mat and slept. " * 300, "THE!! CAT!! SAT!! ON!! MAT!! " * 400
