@@ -19,28 +19,38 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-OP9 = """
-WITH RECURSIVE sizes AS (SELECT source, pow(count(*)::DOUBLE, 0.5::DOUBLE) AS weight FROM documents GROUP BY source),
-shares AS (SELECT source, weight / sum(weight) OVER () * 1000 AS share FROM sizes),
-named AS (SELECT source, share, CASE WHEN share < 0.5::DOUBLE THEN '+' WHEN source IS NULL THEN '?' ELSE concat('=', source) END AS entry FROM shares),
-slots AS (SELECT entry, greatest(floor(sum(round(share, 9)) + 0.5::DOUBLE), 1)::BIGINT AS a FROM named GROUP BY entry),
-e AS (SELECT list(entry ORDER BY entry) AS es, list(a ORDER BY entry) AS a, count(*) AS n, sum(a)::BIGINT AS p FROM slots),
-s(t, had, pick) AS (
-  SELECT 0::BIGINT, list_transform(a, lambda x: 0::BIGINT), NULL::BIGINT FROM e
+
+def _step(rows: str, cap: str) -> str:
+    """The next row of a fold over frames: x, had, from rows with weights b, their sum w and their number n."""
+    return f"""
+  SELECT * EXCLUDE (low, keys, b, w, n, had, x, last), x + 1 AS x, list_transform(low, lambda l, i: l + CASE WHEN keys[i] <= last THEN 1 ELSE 0 END) AS had
+  FROM (SELECT *, list_sort(list_filter(keys, lambda k: k IS NOT NULL))[({cap} * (x + 1) - list_sum(low))::INTEGER] AS last
+  FROM (SELECT *, list_transform(low, lambda l, i: CASE WHEN l * w < b[i] * {cap} * (x + 1) THEN (((l + 1) * w + b[i] * {cap} - 1) // (b[i] * {cap})) * n + i END) AS keys
+  FROM (SELECT *, list_transform(b, lambda v, i: greatest(had[i], (v * {cap} * (x + 1)) // w)) AS low FROM ({rows}))))"""
+
+
+#: Two levels of frames, which hold up to 65,536 slots.
+OP9 = f"""
+WITH RECURSIVE sizes AS (SELECT source, count(*) AS rows, round(pow(count(*)::DOUBLE, 0.5::DOUBLE), 6) AS weight FROM documents GROUP BY source),
+src AS (SELECT source, (rows + 1) // 2 AS q, greatest(round(weight / max(weight) OVER () * 1099511627776)::BIGINT, 1) AS g FROM sizes),
+e AS (SELECT list(source ORDER BY source NULLS FIRST) AS names, list(g ORDER BY source NULLS FIRST) AS g, list(q ORDER BY source NULLS FIRST) AS q, sum(g)::BIGINT AS w, count(*) AS n FROM src),
+r AS (
+  SELECT 0::BIGINT AS x, list_transform(g, lambda v: 0::BIGINT) AS had FROM e
+  UNION ALL
+  SELECT x, had FROM ({_step("SELECT r.x, r.had, e.g AS b, e.w, e.n FROM r, e WHERE r.x * 256 < list_max(list_transform(e.q, lambda v, i: (v * e.w + e.g[i] - 1) // e.g[i]))", "256")})),
+frames AS (
+  SELECT a.x AS f, a.had AS base, list_transform(z.had, lambda h, i: h - a.had[i]) AS b FROM r a JOIN r z ON z.x = a.x + 1),
+s AS (
+  SELECT f, 0::BIGINT AS x, list_transform(base, lambda v: 0::BIGINT) AS had FROM frames
   UNION ALL
-  SELECT t + 1, list_transform(had, lambda h, i: h + CASE WHEN i - 1 = k THEN 1 ELSE 0 END), k
-  FROM (SELECT t, had, list_min(list_transform(had, lambda h, i: CASE WHEN (h * p) // a[i] <= t
-               THEN (((h + 1) * p + a[i] - 1) // a[i]) * n + (i - 1) END)) % n AS k
-        FROM s, e WHERE t < p)),
-plan AS (
-  SELECT es[pick + 1] AS entry, a[pick + 1] AS a, p, t - 1 AS place, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth
-  FROM s, e WHERE pick IS NOT NULL),
-ranked AS (
-  SELECT doc_id, documents.source, entry, row_number() OVER (PARTITION BY entry ORDER BY doc_id) - 1 AS nth
-  FROM documents JOIN named ON documents.source IS NOT DISTINCT FROM named.source)
-SELECT doc_id, source, nth // 8 AS block, (nth % 8)::INTEGER AS seq, ((nth // 8) // a) * p + place AS slot,
-       ((nth // 8) * p) // a AS release, ((nth // 8 + 1) * p + a - 1) // a AS deadline
-FROM (SELECT ranked.*, plan.a, plan.p, plan.place FROM ranked JOIN plan ON ranked.entry = plan.entry AND (ranked.nth // 8) % plan.a = plan.nth)
+  SELECT f, x, had FROM ({_step("SELECT s.f, s.x, s.had, frames.b, 256::BIGINT AS w, e.n FROM s JOIN frames USING (f), e WHERE s.x < 256", "1")})),
+picked AS (
+  SELECT f, a.x, base, a.had, list_position(list_transform(z.had, lambda h, i: h - a.had[i]), 1) AS i FROM s a JOIN s z USING (f) JOIN frames USING (f) WHERE z.x = a.x + 1),
+plan AS (SELECT names[i] AS source, g[i] AS g, w, base[i] + had[i] AS nth, f * 256 + x AS slot FROM picked, e WHERE base[i] + had[i] < q[i]),
+ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS nth FROM documents)
+SELECT doc_id, ranked.source, ranked.nth // 8 AS block, (ranked.nth % 8)::INTEGER AS seq, slot,
+       (4 * (ranked.nth // 8)::HUGEINT * w // g)::BIGINT AS release, ((4 * (ranked.nth // 8 + 1)::HUGEINT * w + g - 1) // g)::BIGINT AS deadline
+FROM ranked JOIN plan ON ranked.source IS NOT DISTINCT FROM plan.source AND ranked.nth // 2 = plan.nth
 """
 
 

@@ -50,8 +50,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = mixing.place_documents(table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "source", *[F.col(f"mix_{c}").alias(c) for c in ("block", "seq", "slot", "release", "deadline")])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text"))  # the text only breaks ties of ids
+    placed = mixing.place_documents(docs, names=["block", "seq", "slot", "release", "deadline"])
+    return placed.select("doc_id", "source", "block", "seq", "slot", "release", "deadline")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

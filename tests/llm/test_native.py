@@ -6,6 +6,7 @@ from math import comb
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom import storage
 from seqloom.llm import mixing, quality_rules
 from seqloom.llm.queries import ORACLES, QUERIES
 from tests import compare
@@ -18,43 +19,56 @@ def test_same_rows_as_sql(spark, name):
     assert compare.differences(spark, QUERIES[name], ORACLES[name], SF) == []
 
 
-def check_schedule(rows):
-    period = rows[0].period
-    slots = {r.entry: r.slots for r in rows}
-    assert [r.place for r in rows] == list(range(period)) and sum(slots.values()) == period
-    had = dict.fromkeys(slots, 0)
-    for t, r in enumerate(rows):
-        k = had[r.entry]
-        assert r.nth == k and k * period // r.slots <= t < -(-(k + 1) * period // r.slots)
-        had[r.entry] += 1
-        assert all(abs(had[e] - (t + 1) * a / period) < 1 for e, a in slots.items())
+def worst_lag(spark, case):
+    """The largest distance in blocks between what a source has had and its target, at any slot, of (source, quanta, g)."""
+    rows = mixing.schedule(spark.createDataFrame(case, "source string, quanta long, g long")).orderBy("slot").collect()
+    total, had, worst = sum(c[2] for c in case), {c[0]: 0 for c in case}, 0.0
+    weight = {c[0]: c[2] / total for c in case}
+    assert len({r.slot for r in rows}) == len(rows) == sum(c[1] for c in case if c[2])
+    for r in rows:  # between its own slots a source's distance lies between these
+        assert r.nth == had[r.source]
+        worst = max(worst, abs(r.nth - weight[r.source] * r.slot), abs(r.nth + 1 - weight[r.source] * (r.slot + 1)))
+        had[r.source] += 1
+    return worst / mixing.LEVELS
 
 
-def test_schedules(spark):
+def test_no_source_is_a_block_off_its_target(spark):
     rng = random.Random(1)
-    for case in ([("a", 1)], [("a", 1), ("b", 1)], [("a", 333), ("b", 666), ("c", 1)], [(f"s{i}", rng.randint(1, 60)) for i in range(25)]):
-        slots = spark.createDataFrame(case, "entry string, slots int")
-        check_schedule(mixing.schedule(slots).orderBy("place").collect())
+    assert worst_lag(spark, [("a", 5, 1)]) == 0
+    assert worst_lag(spark, [("a", 41_421, 10**12), ("b", 58_579, int(2**0.5 * 10**12))]) < 1  # 100,000 slots
+    assert worst_lag(spark, [(f"s{i}", rng.randint(1, 60), rng.randint(1, 10**9)) for i in range(25)]) < 1
+    many = [(f"s{i}", int(rng.paretovariate(1)) + 1) for i in range(5000)]
+    assert worst_lag(spark, [(s, q, q * 10**7 + rng.randrange(10**6)) for s, q in many]) < 1
 
 
 def test_places(spark):
     rows = [(i, f"t{i}", "hot" if i % 3 else rng) for i, rng in ((i, f"s{i % 7}") for i in range(900))]
     rows += [(None, "n1", None), (None, None, None), (5000, None, None), (1, "t1", "hot"), (10**12, "far", "hot")] + [(6000 + i, "rare", f"rare{i}") for i in range(5)]
-    df = spark.createDataFrame([(*r, "m") for r in rows], "doc_id long, text string, source string, entry string")
-    placed = mixing.place_documents(df, weights={"hot": 3.0, "s0": 1.0, "s3": 1.0, "s6": 1.0, "": 0.5})
-    got = placed.collect()
-    assert len(got) == len(rows) and placed.columns[:4] == df.columns
-    assert len({(r.mix_slot, r.mix_seq) for r in got}) == len(rows)
-    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
-    for entry in {r.mix_entry for r in got}:
-        own = sorted((r.mix_block, r.mix_seq) for r in got if r.mix_entry == entry)
-        assert own == [(i // mixing.BLOCK_ROWS, i % mixing.BLOCK_ROWS) for i in range(len(own))]
-        in_order = sorted((r for r in got if r.mix_entry == entry and r.doc_id is not None), key=lambda r: (r.mix_block, r.mix_seq))
-        assert [r.doc_id for r in in_order] == sorted(r.doc_id for r in in_order)
-    assert {r.mix_entry for r in got if r.source and r.source.startswith("rare")} == {"+"}
-    mixed = mixing.in_mix_order(df)
-    assert mixed.columns == df.columns and mixed.count() == len(rows)
+    df = spark.createDataFrame([(*r, "m", 7) for r in rows], "doc_id long, text string, source string, MIX_block string, mix_rank int")
+    weights = {"hot": 3.0, "s0": 1.0, "s3": 2.0**0.5, "s6": 1.0, "": 0.5, "rare0": float("nan"), "rare1": -1.0, "rare2": 0.0}
+    placed = mixing.place_documents(df, weights=weights)
+    names = mixing.new_names(df, *mixing.PLACE)
+    assert placed.columns == [*df.columns, *names] and names[0] == "_mix_block"
+    got = [dict(zip(("doc_id", "text", "source", "own", "rank", "block", "seq", "slot", "release", "deadline"), r)) for r in placed.collect()]
+    assert len(got) == len(rows) and {r["own"] for r in got} == {"m"} and {r["rank"] for r in got} == {7}
+    assert len({(r["slot"], r["block"], r["seq"]) for r in got}) == len(rows)
+    for source in {r["source"] for r in got}:
+        own = sorted((r for r in got if r["source"] == source), key=lambda r: (r["block"], r["seq"]))
+        assert [(r["block"], r["seq"]) for r in own] == [(i // 8, i % 8) for i in range(len(own))]
+        assert [r["slot"] for r in own] == sorted(r["slot"] for r in own)
+        ids = [r["doc_id"] for r in own if r["doc_id"] is not None]
+        assert ids == sorted(ids) and all(r["doc_id"] is not None for r in own[: len(ids)])
+    width = sum((3.0, 1.0, 2.0**0.5, 1.0, 0.5))
+    for r in got:  # a block's rows lie within a block's time of its ideal times
+        w = weights.get(r["source"] or "", 0.0)
+        if w > 0:
+            assert r["release"] - 4 * width / w <= r["slot"] < r["deadline"] + 4 * width / w
+        else:
+            assert r["release"] is None and r["slot"] > max(x["slot"] for x in got if weights.get(x["source"] or "", 0.0) > 0)
+    mixed = mixing.in_mix_order(df, weights=weights)
+    assert mixed.columns == df.columns and sorted(map(repr, mixed.collect())) == sorted(map(repr, df.collect()))
     assert mixing.place_documents(df.limit(0)).count() == 0
+    assert mixing.place_documents(df, weights={}).count() == len(rows)
 
 
 def test_tail_is_exact(spark):
@@ -110,6 +124,15 @@ def test_rules(spark):
 
 
 @pytest.mark.parametrize("name", ["op9_pfair_mix", "op10_quality_rules"])
-def test_plans_hold_no_python(spark, name):
-    plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
-    assert not any(x in plan for x in ("Python", "Pandas", "InArrow", "BatchEval"))
+def test_plans_hold_no_python(spark, name, monkeypatch):
+    """Neither the query's plan nor any plan that a checkpoint cuts off has a Python worker."""
+    plans = []
+    cut = storage.checkpoint
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return cut(df)
+
+    monkeypatch.setattr(storage, "checkpoint", seen)
+    plans.append(QUERIES[name](spark, SF)._jdf.queryExecution().toString())
+    assert len(plans) > 1 and not any(x in plan for plan in plans for x in ("Python", "Pandas", "InArrow", "BatchEval"))
