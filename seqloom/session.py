@@ -10,7 +10,8 @@ SETTINGS = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execu
 
 def configure(spark: SparkSession) -> SparkSession:
     """Sets what the session has not set itself."""
+    own = spark.conf.getAll
     for key, value in SETTINGS.items():
-        if spark.sparkContext.getConf().get(key) is None:
+        if key not in own:
             spark.conf.set(key, value)
     return spark
