@@ -318,6 +318,15 @@ def compared(members: DataFrame, join: float, absorb: float, most: float) -> Dat
     return ordered.mapInArrow(run, "kind tinyint, path long, node binary, other binary")
 
 
+#: Tables of paths up to this number of rows (of at most 40 bytes) are broadcast.
+MAX_BROADCAST_PATHS = 100_000
+
+
+def _small(paths: DataFrame) -> DataFrame:
+    """A checkpointed table of paths, to be broadcast if it is small, so that rows of one path need not meet in a task."""
+    return F.broadcast(paths) if paths.count() <= MAX_BROADCAST_PATHS else paths
+
+
 def in_cells(rows: DataFrame) -> DataFrame:
     """Edges between all alike nodes (path, node, sketch) of a path, block against block: a task holds two blocks of about
     `MAX_PIVOTS` nodes, whatever the number of nodes of a path."""
@@ -333,7 +342,7 @@ def in_cells(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary())], names=["node", "other"])
 
     blocks = rows.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / MAX_PIVOTS).cast("int").alias("blocks"))
-    placed = rows.join(blocks, "path").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = rows.join(_small(checkpoint(blocks)), "path").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     cells = placed.select("path", "node", "sketch", "block", other).select(F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "node", "sketch")
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "node binary, other binary")
@@ -372,7 +381,7 @@ def walk(members: DataFrame) -> tuple[list[DataFrame], list[DataFrame], int]:
     while True:
         out = checkpoint(compared(members, *((JOIN, ABSORB) if level == 2 else (DEEP_JOIN, DEEP_ABSORB)), MAX_PIVOTS))
         found.append(out.where(F.col("kind") == EDGE).select("node", "other"))
-        whole = checkpoint(crowded(out))
+        whole = _small(checkpoint(crowded(out)))
         pivots = out.where(F.col("kind") == PIVOT).select("path", "node", F.col("other").alias("sketch"))
         found.append(in_cells(pivots.join(whole, "path", "left_anti")))
         left = out.where(F.col("kind") == LEFT).select("path", "node", F.col("other").alias("sketch"))
@@ -539,9 +548,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, one with the class's id and text, with the same columns."""
-    _, by_node = _classes(docs, threshold, recall, id_col, text_col)
-    first = by_node.select("first.doc", "first.body").distinct()
-    doc, body = new_names(docs, "doc", "body")
-    marked = docs.withColumns({doc: F.col(id_col).cast("long"), body: text_hash(text_col)})
-    kept = marked.join(first.toDF("first_doc", "first_body").hint("shuffle_hash"), F.col(doc).eqNullSafe(F.col("first_doc")) & (F.col(body) == F.col("first_body")), "left_semi")
-    return kept.dropDuplicates([doc, body]).drop(doc, body)
+    rows, by_node = _classes(docs, threshold, recall, id_col, text_col)
+    first = by_node.selectExpr("first.doc is null as first_none", "coalesce(first.doc, 0L) as first_doc", "first.body as first_body").distinct()
+    none, doc, body = new_names(docs, "none", "doc", "body")
+    marked = docs.withColumns({none: F.col(id_col).isNull(), doc: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), body: text_hash(text_col)})
+    same = (F.col(none) == F.col("first_none")) & (F.col(doc) == F.col("first_doc")) & (F.col(body) == F.col("first_body"))
+    kept = marked.join(first.hint("shuffle_hash"), same, "left_semi")
+    if rows.groupBy("doc", "body").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():  # rows with the same id and text
+        kept = kept.dropDuplicates([none, doc, body])
+    return kept.drop(none, doc, body)

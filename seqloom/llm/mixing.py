@@ -92,7 +92,8 @@ def schedule(sources: DataFrame) -> DataFrame:
     frames = deal(frames, -(-slots // cap), cap, wide=True)
     while cap > 1:
         cap //= FAN
-        frames = deal(checkpoint(frames.repartition(F.col("start"))), FAN, cap)  # the frames of a level spread over tasks
+        # The frames of a level are few and small but take long: a given number of partitions is not coalesced.
+        frames = deal(checkpoint(frames.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "start")), FAN, cap)
     plan = frames.selectExpr("start as slot", "e[0].i as i", "e[0].had as nth").where("nth is not null")
     names = root.select("total", F.posexplode("s").alias("i", "x")).selectExpr("i", "x.source", "x.g", "x.quanta", "total")
     return plan.join(names, "i").where("nth < quanta").select("source", "g", "total", "nth", "slot")
