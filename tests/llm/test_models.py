@@ -1,6 +1,7 @@
 """Quality classifier and language identification: held-out accuracy and defined results."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -149,23 +150,24 @@ def brute(rows, languages):
     return out
 
 
-@pytest.mark.parametrize("limit", [20_000, 0])
+@pytest.mark.parametrize("limit", [400_000, 0])
 def test_fusion(spark, monkeypatch, limit):
-    monkeypatch.setattr(language_id, "MAX_BROADCAST_HOSTS", limit)
+    monkeypatch.setattr(language_id, "MAX_BROADCAST_VALUES", limit)
     rng = random.Random(4)
     rows = []
     for i in range(60):
         host = rng.choice(["a.de", "b.de", "c.com", None])
         rows.append((host, host and host[-2:], rng.choice(["de", "en", None]), [rng.uniform(-3, 0), 0.0 if i % 3 else -1.0]))
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, host string, suffix string, declared string, ll array<double>")
-    got = {r.page_id: (r.lang, r.p) for r in language_id.fuse(df, ["de", "en"]).collect()}
+    post = [[float(x) for x in language_id.softmax(np.array([r[3]]))[0]] for r in rows]
+    df = spark.createDataFrame([(i, *r, t) for i, (r, t) in enumerate(zip(rows, post))], "key long, host string, suffix string, declared string, ll array<double>, t array<double>")
+    got = {r.key: (r.lang, r.p) for r in language_id.fuse(df, ["de", "en"]).collect()}
     for i, (lang, p) in enumerate(brute(rows, ["de", "en"])):
         assert got[i][0] == lang and got[i][1] == pytest.approx(p)
 
 
 def test_languages(spark):
     pages, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("pages", "documents"))
-    got = language_id.identify(pages, docs, docs)
+    got = language_id.identify(pages, docs)
     rows = got.where("doc_id is not null").join(docs.select("doc_id", docs.lang.alias("truth")), "doc_id").collect()
     assert np.mean([r.lang == r.truth for r in rows]) > 0.98
     assert got.where("page_id is not null").count() == pages.count()
@@ -174,3 +176,60 @@ def test_languages(spark):
     assert len(few) == 3 and all(r.lang for r in few)
     none = language_id.identify(odd, docs.limit(0), docs.limit(0)).collect()
     assert len(none) == 3 and all(r.lang is None for r in none)
+
+
+def plain_trigrams(text):
+    out = []
+    padded = f" {text.lower()} "
+    for a, b, c in zip(padded, padded[1:], padded[2:]):
+        x = (ord(a) * 0x9E3779B1 + ord(b) * 0x85EBCA77 + ord(c) * 0xC2B2AE3D) % 2**32
+        x = ((x ^ (x >> 15)) * 0x2C1B3C6D) % 2**32
+        out.append(x >> 19)
+    return out
+
+
+def test_text_model_equals_plain_one(spark):
+    rng = random.Random(6)
+    words = {"de": "der die das und ist nicht Straße".split(), "en": "the a and is not street".split(), "zh": ["漢字", "文本"]}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(0, 40))), lang) for i, lang in enumerate(rng.choices(sorted(words), k=40))] + [(90, None, "en"), (91, "x", None), (92, "", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {lang: np.zeros(language_id.BINS) for lang in words}
+    for _, text, lang in rows:
+        if lang:
+            np.add.at(counts[lang], plain_trigrams(text or ""), 1)
+    got = language_id.trigram_counts(df)
+    assert list(got) == sorted(words) and all((got[x] == counts[x]).all() for x in words)
+    model = language_id.TextModel(got)
+    found = {r.key: r.ll for r in language_id.evidence(df, model, "text", None, "lang", "doc_id", "lang").collect()}
+    for i, text, own in rows:
+        bins, scores = plain_trigrams(text or ""), []
+        for lang in sorted(words):
+            c = counts[lang].copy()
+            if lang == own:  # without the text itself
+                np.subtract.at(c, bins, 1)
+            scores.append(language_id.TEMPER * sum(np.log((c[b] + 0.5) / (c.sum() + 0.5 * language_id.BINS)) for b in bins))
+        np.testing.assert_allclose(found[i], np.array(scores) - max(scores), atol=1e-6)
+
+
+def test_ties_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(1, "zz", "b"), (2, "zz", "a"), (3, None, "a")], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(7, None, "")], "page_id long, url string, html string")
+    assert {r.text_lang for r in language_id.identify(pages, docs, docs).collect()} == {"a"}
+
+
+def test_many_languages_are_planned_quickly(spark):
+    rng = np.random.default_rng(1)
+    languages = [f"l{i:03d}" for i in range(200)]
+    ll = -rng.random((30, 200)) * 5
+    rows = [(i, f"h{i % 3}.org", "org", languages[i % 7], [float(x) for x in ll[i]], [float(x) for x in language_id.softmax(ll[i : i + 1])[0]]) for i in range(30)]
+    began = time.time()
+    out = language_id.fuse(spark.createDataFrame(rows, "key long, host string, suffix string, declared string, ll array<double>, t array<double>"), languages)
+    assert {r.key: r.lang for r in out.collect()}[0] in languages
+    assert time.time() - began < 60
+
+
+def test_hostile_pages_take_linear_time():
+    began = time.time()
+    for page in ("<" + "a" * 1_000_000, "<a" * 500_000, "<!" * 500_000, "<a " + "lang " * 200_000, "<html " + "lang" + " " * 1_000_000):
+        language_id.page_parts(page)
+    assert time.time() - began < 5
