@@ -254,6 +254,11 @@ def assess_damage(reads: DataFrame, window: int = 5) -> DataFrame:
     return _mapped(reads.select("read_idx", "seq"), ["read_idx"], lambda f: assess(f["seq"].tolist(), window), ASSESSED)
 
 
+def measured(reads: DataFrame, window: int = 5, columns: tuple[str, ...] = ("damage5", "damage3", "combined")) -> DataFrame:
+    """The reads, all columns kept, with damage scores beside them; nothing is joined."""
+    return _mapped(reads, reads.columns, lambda f: assess(f["seq"].tolist(), window), {c: ASSESSED[c] for c in columns})
+
+
 def fit_decay(reads: DataFrame, window: int = 5) -> DataFrame:
     """read_idx with the ternary fits (rate, fit) of both ends' segments and the hill-climbed model with its ratio."""
     columns = {c: "double" for c in ("ternary5", "ternary3", "ternary_fit5", "ternary_fit3", "lambda5", "lambda3", "fit5", "fit3", "llr")}

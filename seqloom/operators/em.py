@@ -11,11 +11,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators import profiles as pf
 from seqloom.operators.kmers import count_matrix, gc_array
+from seqloom.operators.matrix import lists
 from seqloom.storage import checkpoint
 
 MIN_ROUNDS = 5
@@ -60,8 +62,20 @@ def _sums(reads: DataFrame, k: int, of_batch, n: int) -> tuple[np.ndarray, np.nd
             changed += 0 if old is None else int((old != new).sum())
         yield pd.DataFrame({"cluster": range(n), "sums": list(sums), "size": sizes, "gc": gc, "changed": [changed, *[0] * (n - 1)]})
 
-    parts = reads.mapInPandas(run, "cluster int, sums array<double>, size double, gc double, changed long")
-    added = parts.groupBy("cluster").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums") if width <= 256 else F.lit(None), F.sum("size").alias("size"), F.sum("gc").alias("gc"), F.sum("changed").alias("changed"))
+    def add(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            sums = batch.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            for i, (c, *rest) in enumerate(zip(*[batch.column(x).to_pylist() for x in ("cluster", "size", "gc", "changed")])):
+                own = held.setdefault(c, [np.zeros(width), 0.0, 0.0, 0])
+                held[c] = [own[0] + sums[i], *[a + b for a, b in zip(own[1:], rest)]]
+        if held:
+            sums = np.array([v[0] for v in held.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), lists(sums), *[pa.array([v[i] for v in held.values()], t) for i, t in ((1, pa.float64()), (2, pa.float64()), (3, pa.int64()))]], names=["cluster", "sums", "size", "gc", "changed"])
+
+    schema = "cluster int, sums array<double>, size double, gc double, changed long"
+    # A task's sums of a cluster meet the others' in one task: as many rows as there were tasks.
+    added = reads.mapInPandas(run, schema).repartition("cluster").mapInArrow(add, schema)
     rows = sorted(added.collect(), key=lambda r: r.cluster)  # clusters by 4^k numbers
     if not rows:
         return np.zeros((n, width)), np.zeros(n), np.zeros(n), 0

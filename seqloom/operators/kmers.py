@@ -1,15 +1,14 @@
-"""K-mer counts and frequencies, in long form (joins, oracles) and as dense batches (clustering)."""
+"""K-mer counts and frequencies, counted in the batch that holds the read: in long form and as matrices."""
 
 from __future__ import annotations
 
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.functions.sequence import kmer_index, windows
-
 MAX_COUNT = 65_535
 _CODE = np.full(256, 4, np.int64)
 for _i, _b in enumerate("ACGT"):
@@ -22,23 +21,68 @@ def enumerate_kmers(spark: SparkSession, k: int) -> DataFrame:
     return spark.range(4**k).select(F.col("id").cast("int").alias("kmer_idx")).withColumn("kmer", F.concat(F.lit(""), *[digit(j) for j in range(k)]))
 
 
-def kmer_frequencies(reads: DataFrame, k: int) -> DataFrame:
-    """read_idx, kmer, freq: case-sensitive k-mers of ACGT over all windows, those with other letters included."""
-    rows = reads.where(F.length("seq") >= k).select("read_idx", (F.length("seq") - k + 1).alias("windows"), F.explode(windows(F.col("seq"), k)).alias("kmer"))
-    counted = rows.where(~F.col("kmer").rlike("[^ACGT]")).groupBy("read_idx", "windows", "kmer").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("read_idx", "kmer", (F.col("n") / F.col("windows")).alias("freq"))
+def _counted(reads: DataFrame, kept: list[str], schema: str, count) -> DataFrame:
+    """The kept columns beside the rows that `count` makes of a batch's sequences: the read's place, then the columns of
+    `schema`. The windows of a read stay in its task, so nothing is shuffled."""
+    types = {f.name: f.dataType.simpleString() for f in reads.schema}
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                owner, *columns = count([s or "" for s in batch.column("seq").to_pylist()])
+                at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in kept], *map(pa.array, columns)], names=[*kept, *names_of])
+
+    names_of = [c.split()[0] for c in schema.split(", ")]
+    return reads.select(*kept, "seq").mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in kept], schema]))
+
+
+def _tally(owner: np.ndarray, index: np.ndarray, width: int, reads: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Read, index and number of each index that a read has."""
+    if width <= 256:
+        dense = np.bincount(owner * width + index, minlength=reads * width)
+        key = np.flatnonzero(dense)
+        return key // width, key % width, dense[key]
+    key, n = np.unique(owner * width + index, return_counts=True)
+    return key // width, key % width, n
+
+
+def kmer_frequencies(reads: DataFrame, k: int, kept: list[str] | None = None) -> DataFrame:
+    """The kept columns (read_idx), kmer, freq: case-sensitive k-mers of ACGT over all windows, those with other letters
+    included."""
+    every = pa.array(names(k)) if k <= 8 else None
+
+    def count(seqs):
+        owner, index, sizes = _windows(seqs, k, False)
+        owner, index, n = _tally(owner, index, 4**k, len(seqs))
+        kmers = every.take(pa.array(index)) if every is not None else ["".join("ACGT"[i >> 2 * j & 3] for j in reversed(range(k))) for i in index.tolist()]
+        return owner, kmers, n / (sizes[owner] - k + 1)
+
+    return _counted(reads, kept or ["read_idx"], "kmer string, freq double", count)
+
+
+def kmer_counts(reads: DataFrame, k: int, kept: list[str] | None = None) -> DataFrame:
+    """The kept columns (read_idx), kmer_idx, n: windows in either case with letters of ACGT only; counts end at 65,535."""
+
+    def count(seqs):
+        owner, index, _ = _windows(seqs, k, True)
+        owner, index, n = _tally(owner, index, 4**k, len(seqs))
+        return owner, index.astype(np.int32), np.minimum(n, MAX_COUNT).astype(np.int32)
+
+    return _counted(reads, kept or ["read_idx"], "kmer_idx int, n int", count)
 
 
-def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
-    """read_idx, kmer_idx, n: windows in either case with letters of ACGT only; counts end at 65,535."""
-    rows = reads.select("read_idx", F.explode(windows(F.upper("seq"), k)).alias("kmer")).where(~F.col("kmer").rlike("[^ACGT]"))
-    return rows.groupBy("read_idx", kmer_index(F.col("kmer")).alias("kmer_idx")).agg(F.least(F.count(F.lit(1)), F.lit(MAX_COUNT)).cast("int").alias("n"))
+def codon_usage(reads: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """The kept columns (read_idx), codon, freq: triplets of frame 0, over the number of whole triplets."""
 
+    def count(seqs):
+        whole = np.array([len(s) // 3 for s in seqs], np.int64)
+        code = np.frombuffer("".join(s[: 3 * n] for s, n in zip(seqs, whole.tolist())).encode("ascii", "replace"), np.uint8).reshape(-1, 3).astype(np.int64)
+        key, n = np.unique(np.repeat(np.arange(len(seqs)), whole) << 24 | code[:, 0] << 16 | code[:, 1] << 8 | code[:, 2], return_counts=True)
+        owner, codon = key >> 24, np.stack([key >> 16 & 255, key >> 8 & 255, key & 255], axis=1).astype(np.uint8)
+        return owner, [c.decode() for c in codon.tobytes() and codon.view("S3")[:, 0].tolist()], n / whole[owner]
 
-def codon_usage(reads: DataFrame) -> DataFrame:
-    """read_idx, codon, freq: triplets of frame 0, over the number of whole triplets."""
-    rows = reads.where(F.length("seq") >= 3).select("read_idx", F.floor(F.length("seq") / 3).alias("codons"), F.explode(windows(F.col("seq"), 3, 3)).alias("codon"))
-    return rows.groupBy("read_idx", "codons", "codon").agg(F.count(F.lit(1)).alias("n")).select("read_idx", "codon", (F.col("n") / F.col("codons")).alias("freq"))
+    return _counted(reads, kept or ["read_idx"], "codon string, freq double", count)
 
 
 def _windows(seqs: list[str], k: int, upper: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

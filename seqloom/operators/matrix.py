@@ -79,6 +79,10 @@ def lists(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
 
+#: Partial moments are merged by this number of tasks before the driver takes what is left.
+MERGERS = 16
+
+
 def moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, mean and scatter matrix (sum of outer products about the mean), exact in one pass: parts are combined by
     their means, so no precision is lost to large sums."""
@@ -89,6 +93,9 @@ def moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
         delta = m - mean
         return n + b, mean + delta * b / (n + b), scatter + s + np.outer(delta, delta) * n * b / (n + b)
 
+    def row(n, mean, scatter):
+        return pa.RecordBatch.from_arrays([pa.array([n]), lists(mean[None, :]), lists(scatter.reshape(1, -1))], names=["n", "mean", "scatter"])
+
     def run(batches):
         n, mean, scatter = 0, None, None
         for batch in batches:
@@ -97,10 +104,22 @@ def moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
                 m = x.mean(axis=0)
                 n, mean, scatter = joined(n, mean, scatter, len(x), m, (x - m).T @ (x - m))
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), lists(mean[None, :]), lists(scatter.reshape(1, -1))], names=["n", "mean", "scatter"])
+            yield row(n, mean, scatter)
+
+    def merge(batches):
+        n, mean, scatter = 0, None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                m = np.array(r["mean"])
+                n, mean, scatter = joined(n, mean, scatter, r["n"], m, np.array(r["scatter"]).reshape(len(m), len(m)))
+        if n:
+            yield row(n, mean, scatter)
 
+    schema = "n long, mean array<double>, scatter array<double>"
+    parts = rows.select("x").mapInArrow(run, schema)
+    merged = parts.withColumn("merger", F.spark_partition_id() % MERGERS).repartition(MERGERS, "merger").drop("merger").mapInArrow(merge, schema)
     n, mean, scatter = 0, np.zeros(0), np.zeros((0, 0))
-    for r in rows.select("x").mapInArrow(run, "n long, mean array<double>, scatter array<double>").toLocalIterator():  # a row from a task
+    for r in sorted(merged.collect(), key=lambda r: (r.n, r.mean)):  # at most MERGERS rows
         m = np.array(r.mean)
         n, mean, scatter = joined(n, mean, scatter, r.n, m, np.array(r.scatter).reshape(len(m), len(m)))
     return n, mean, scatter
@@ -115,14 +134,19 @@ def _applied(rows: DataFrame, f) -> DataFrame:
     return rows.select("read_idx", "x").mapInArrow(run, "read_idx long, x array<double>")
 
 
+def scaling(n: int, mean: np.ndarray, scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What z-scores subtract and divide by: columns that hardly vary stay as they are."""
+    std = np.sqrt(np.diag(scatter) / max(n, 1))
+    varies = std > 1e-10
+    return np.where(varies, mean, 0.0), np.where(varies, std, 1.0)
+
+
 def z_scores(rows: DataFrame) -> DataFrame:
     """Each column less its mean, over its population deviation; columns that hardly vary stay as they are."""
     n, mean, scatter = moments(rows)
     if not n:
         return rows
-    std = np.sqrt(np.diag(scatter) / n)
-    varies = std > 1e-10
-    shift, scale = np.where(varies, mean, 0.0), np.where(varies, std, 1.0)
+    shift, scale = scaling(n, mean, scatter)
     return _applied(rows, lambda x: (x - shift) / scale)
 
 
@@ -131,42 +155,69 @@ def covariance(rows: DataFrame) -> np.ndarray:
     return scatter / max(n - 1, 1)
 
 
-def principal_components(rows: DataFrame, components: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """The projected rows, the retained eigenvalues, and all of them. The largest loading of a component is positive.
-    With no more features than components, or fewer than two rows, the rows come back as they are."""
+def principal_components(rows: DataFrame, components: int, scaled: bool = False) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The projected rows, the retained eigenvalues, and all of them; of the rows' z-scores with `scaled`, whose moments
+    follow from the rows' own. The largest loading of a component is positive. With no more features than components, or
+    fewer than two rows, the rows (or z-scores) come back as they are."""
     n, mean, scatter = moments(rows)
+    shift, scale = scaling(n, mean, scatter) if scaled else (np.zeros_like(mean), np.ones_like(mean))
     if n < 2 or len(mean) <= components:
-        return rows, np.zeros(0), np.zeros(0)
-    values, vectors = np.linalg.eigh(scatter / (n - 1))
+        return _applied(rows, lambda x: (x - shift) / scale) if scaled else rows, np.zeros(0), np.zeros(0)
+    values, vectors = np.linalg.eigh(scatter / np.outer(scale, scale) / (n - 1))
     values, vectors = values[::-1], vectors[:, ::-1][:, :components]
     vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])] < 0, -1, 1)
-    return _applied(rows, lambda x: (x - mean) @ vectors), values[:components], values
+    return _applied(rows, lambda x: ((x - mean) / scale) @ vectors), values[:components], values
 
 
 def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.stack([((x - c) ** 2).sum(axis=1) for c in centroids], axis=1)
 
 
+def _draws(rows: DataFrame, known: np.ndarray, number: int, seed: int, turn: int) -> np.ndarray:
+    """Rows drawn with a chance in proportion to their squared distance from the nearest known centroid: those with the
+    least -ln(u) / weight, u from a hash of row and seed; `number` rows to the driver."""
+
+    def run(batches):
+        for f in batches:
+            if f.num_rows:
+                w = distances(dense(f), known).min(axis=1) if len(known) else np.ones(f.num_rows)
+                u = (f.column("h").to_numpy() % (2**52) + 0.5) / 2**52
+                keys = np.where(w > 0, -np.log(u) / np.where(w > 0, w, 1), np.inf)
+                least = np.lexsort((f.column("read_idx").to_numpy(), keys))[:number]
+                least = pa.array(least[np.isfinite(keys[least])])  # the batch's own draws
+                yield pa.RecordBatch.from_arrays([pa.array(keys).take(least), f.column("read_idx").take(least), f.column("x").take(least)], names=["key", "read_idx", "x"])
+
+    hashed = rows.select("read_idx", "x", F.abs(F.shiftright(F.xxhash64("read_idx", F.lit(seed), F.lit(turn)), 1)).alias("h"))
+    got = hashed.mapInArrow(run, "key double, read_idx long, x array<double>").orderBy("key", "read_idx").limit(number).collect()
+    return np.array([r.x for r in got])
+
+
+#: Passes that draw candidates, and candidates of a pass for each centroid wanted.
+SEED_PASSES, SEED_FACTOR = 3, 4
+
+
 def seed_centroids(rows: DataFrame, k: int, seed: int) -> np.ndarray:
-    """k-means++: the first row uniformly, then rows with a chance in proportion to their squared distance from the
-    nearest centroid. Each draw is the least -ln(u) / weight, u from a hash of row and seed: one row to the driver."""
-    chosen: list[np.ndarray] = []
-    for turn in range(k):
-        known = np.array(chosen)
-
-        def run(batches, known=known):
-            for f in batches:
-                if f.num_rows:
-                    w = distances(dense(f), known).min(axis=1) if len(known) else np.ones(f.num_rows)
-                    u = (f.column("h").to_numpy() % (2**52) + 0.5) / 2**52
-                    keys = np.where(w > 0, -np.log(u) / np.where(w > 0, w, 1), 1e300)
-                    least = pa.array(np.lexsort((f.column("read_idx").to_numpy(), keys))[:1])  # the batch's own draw
-                    yield pa.RecordBatch.from_arrays([pa.array(keys).take(least), f.column("read_idx").take(least), f.column("x").take(least)], names=["key", "read_idx", "x"])
-
-        hashed = rows.select("read_idx", "x", F.abs(F.shiftright(F.xxhash64("read_idx", F.lit(seed), F.lit(turn)), 1)).alias("h"))
-        got = hashed.mapInArrow(run, "key double, read_idx long, x array<double>").orderBy("key", "read_idx").limit(1).collect()
-        chosen.append(np.array(got[0].x))
-    return np.array(chosen)
+    """k-means++ on candidates: the first row uniformly, then a few passes that each draw `SEED_FACTOR` x k rows by their
+    squared distance; a last pass weighs the candidates by the rows nearest to them, and k-means++ on the driver picks k
+    of them."""
+    found = _draws(rows, np.zeros((0, 0)), 1, seed, 0)
+    for turn in range(1, SEED_PASSES + 1):
+        more = _draws(rows, found, SEED_FACTOR * k, seed, turn)
+        if not len(more):
+            break
+        found = np.concatenate([found, more])
+    found = np.unique(found, axis=0)
+    if len(found) <= k:
+        return found
+    _, weight = lloyd_step(rows, found)
+    rng = np.random.default_rng(seed)
+    chosen = [int(weight.argmax())]
+    while len(chosen) < k:
+        far = distances(found, found[chosen]).min(axis=1) * weight
+        if not far.any():
+            break
+        chosen.append(int(rng.choice(len(found), p=far / far.sum())))
+    return found[chosen]
 
 
 def lloyd_step(rows: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,10 +6,15 @@ driver, clusters by 4^k numbers: one pass over the reads per round assigns every
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.kmers import count_matrix
+
 PSEUDOCOUNT = 0.5
+#: Numbers that the profiles of a model may have.
+MAX_MODEL = 1 << 26
 
 
 def min_initial_size(min_cluster_size: int = 10) -> int:
@@ -27,33 +32,71 @@ def renumbered(clusters: DataFrame, key: str) -> DataFrame:
     return clusters.withColumn("cluster", F.expr(f"cast(row_number() over (order by {key}) - 1 as int)"))
 
 
-def build_profiles(counts: DataFrame, assigned: DataFrame, k: int = 4, pseudocount: float = PSEUDOCOUNT) -> DataFrame:
-    """cluster, kmer_idx, p, log_p from counts (read_idx, kmer_idx, n) and assignments, every k-mer included."""
-    sums = counts.join(assigned.where("cluster >= 0"), "read_idx").groupBy("cluster", "kmer_idx").agg(F.sum("n").alias("n"))
-    # Clusters by 4^k rows: the whole domain of a profile.
-    domain = assigned.where("cluster >= 0").select("cluster").distinct().select("cluster", F.explode(F.sequence(F.lit(0), F.lit(4**k - 1))).alias("kmer_idx"))
-    full = domain.join(sums, ["cluster", "kmer_idx"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    total = F.expr("sum(n) over (partition by cluster)")
-    p = (F.col("n") + pseudocount) / (total + pseudocount * 4**k)
-    return full.select("cluster", "kmer_idx", p.alias("p"), F.log(p).alias("log_p"))
+def kmer_sums(assigned: DataFrame, k: int = 4) -> DataFrame:
+    """cluster, kmer_idx, n: k-mer counts of the reads (seq, cluster) of each cluster, noise left out; a task returns at
+    most clusters by 4^k rows."""
 
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                cluster = batch.column("cluster").to_numpy(zero_copy_only=False)
+                counts = count_matrix(batch.column("seq").to_pylist(), k)
+                for c in np.unique(cluster[cluster >= 0]).tolist():
+                    sums[c] = sums.get(c, 0) + counts[cluster == c].sum(axis=0)
+        for c, own in sums.items():
+            at = np.union1d(np.flatnonzero(own), [0])  # a row at least, so that every cluster is there
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c, np.int32)), pa.array(at.astype(np.int32)), pa.array(own[at].astype(np.int64))], names=["cluster", "kmer_idx", "n"])
 
-def read_likelihoods(counts: DataFrame, profiles: DataFrame) -> DataFrame:
-    """read_idx, cluster, ll for every read with counts; the profiles (clusters by 4^k rows) are broadcast."""
-    joined = counts.join(F.broadcast(profiles.select("cluster", "kmer_idx", "log_p")), "kmer_idx")
-    return joined.groupBy("read_idx", "cluster").agg(F.sum(F.col("n") * F.col("log_p")).alias("ll"))
+    # Noise is left out in the batch: a filter would be pushed below whatever computes the clusters.
+    own = assigned.select("seq", F.coalesce(F.col("cluster").cast("int"), F.lit(-1)).alias("cluster"))
+    return own.mapInArrow(run, "cluster int, kmer_idx int, n long").groupBy("cluster", "kmer_idx").agg(F.sum("n").alias("n"))
 
 
-def best_cluster(likelihoods: DataFrame) -> DataFrame:
-    """read_idx, cluster, ll of the best cluster; the lowest number wins ties (to six decimals)."""
-    order = F.struct(F.round("ll", 6).alias("r"), (-F.col("cluster")).alias("c"), F.col("ll"))
-    return likelihoods.groupBy("read_idx").agg(F.max(order).alias("b")).select("read_idx", (-F.col("b.c")).alias("cluster"), F.col("b.ll").alias("ll"))
+def build_profiles(sums: DataFrame, k: int = 4, pseudocount: float = PSEUDOCOUNT) -> DataFrame:
+    """cluster, kmer_idx, p, log_p from `kmer_sums`, every k-mer included."""
+    domain = sums.select("cluster").distinct().select("cluster", F.explode(F.sequence(F.lit(0), F.lit(4**k - 1))).alias("kmer_idx"))
+    full = domain.join(sums, ["cluster", "kmer_idx"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    total = F.expr("sum(n) over (partition by cluster)")
+    p = (F.col("n") + pseudocount) / (total + pseudocount * 4**k)
+    return full.select("cluster", "kmer_idx", p.alias("p"), F.log(p).alias("log_p"))
 
 
-def total_likelihood(counts: DataFrame, profiles: DataFrame, assigned: DataFrame) -> DataFrame:
-    """One row: the log likelihood under the assignment."""
-    own = counts.join(assigned.where("cluster >= 0"), "read_idx").groupBy("cluster", "kmer_idx").agg(F.sum("n").alias("n"))
-    return own.join(F.broadcast(profiles), ["cluster", "kmer_idx"]).agg(F.sum(F.col("n") * F.col("log_p")).alias("ll"))
+def log_matrix(profiles: DataFrame, k: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the clusters, in order, and their log profiles: the model, clusters by 4^k numbers, on the driver."""
+    rows = profiles.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).count()
+    if rows * 4**k > MAX_MODEL:
+        raise ValueError(f"{rows} profiles of {4**k} k-mers are too many for one model")
+    numbers: dict[int, np.ndarray] = {}
+    for r in profiles.select("cluster", "kmer_idx", "log_p").collect():
+        numbers.setdefault(r.cluster, np.zeros(4**k))[r.kmer_idx] = r.log_p
+    order = sorted(numbers)
+    return np.array(order, np.int64), np.array([numbers[c] for c in order]).reshape(len(order), 4**k)
+
+
+def best_clusters(reads: DataFrame, model: tuple[np.ndarray, np.ndarray], k: int = 4, kept: list[str] | None = None) -> DataFrame:
+    """The kept columns (read_idx), cluster and ll of each read (seq) with k-mers: the best cluster, the lowest number of
+    those that tie (to six decimals). Counts times log profiles in the batch; nothing is shuffled."""
+    numbers, log_p = model
+    kept = kept or ["read_idx"]
+    types = {f.name: f.dataType.simpleString() for f in reads.schema}
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                counts = count_matrix(batch.column("seq").to_pylist(), k)
+                ll = log_likelihood(counts, log_p)
+                best = np.round(ll, 6).argmax(axis=1)
+                out = [*[batch.column(c) for c in kept], pa.array(numbers[best].astype(np.int32)), pa.array(ll[np.arange(len(ll)), best])]
+                yield pa.RecordBatch.from_arrays(out, names=[*kept, "cluster", "ll"]).filter(pa.array(counts.any(axis=1)))
+
+    return reads.select(*dict.fromkeys([*kept, "seq"])).mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in kept], "cluster int, ll double"]))
+
+
+def total_likelihood(sums: DataFrame, profiles: DataFrame) -> DataFrame:
+    """One row: the log likelihood of the reads behind `kmer_sums` under their own clusters' profiles (tables of clusters
+    by 4^k rows)."""
+    return sums.join(profiles, ["cluster", "kmer_idx"]).agg(F.sum(F.col("n") * F.col("log_p")).alias("ll"))
 
 
 def divergences(profiles: DataFrame) -> DataFrame:

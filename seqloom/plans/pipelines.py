@@ -38,8 +38,7 @@ def load(spark: SparkSession, options: Options) -> DataFrame:
 
 def measured(reads: DataFrame, window: int) -> DataFrame:
     """The reads with GC and damage, as columns; no side tables, so no joins by id."""
-    scores = damage.assess_damage(reads, window).select("read_idx", *DAMAGE)
-    return reads.withColumn("gc", gc_content(F.col("seq"))).join(scores, "read_idx")
+    return damage.measured(reads.withColumn("gc", gc_content(F.col("seq"))), window, DAMAGE)
 
 
 def _finish(rows: DataFrame, stats: DataFrame, options: Options) -> None:
@@ -63,7 +62,7 @@ def run_em(spark: SparkSession, options: Options) -> Result:
             log.warning("no assembly; reads are clustered")
         elif assembler.worth_using(contigs, reads):
             units = contigs.select("read_idx", "seq")
-    components, retained, every = matrix.principal_components(matrix.z_scores(matrix.features18(units)), options.pca_components)
+    components, retained, every = matrix.principal_components(matrix.features18(units), options.pca_components, scaled=True)
     start = units.select("read_idx", "seq").join(matrix.k_means(components, options.n_init_clusters, options.seed), "read_idx")
     model = em.em(start, 4, options.min_cluster_size, options.em_iterations, options.em_convergence)
     clusters = em.assignments(reads, model) if units is reads else em.map_reads(reads, model)

@@ -6,19 +6,16 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import gc_content
 from seqloom.operators import em as em_op
-from seqloom.operators import kmers, matrix
+from seqloom.operators import matrix
 from seqloom.operators import profiles as pf
 from seqloom.plans import reads as rd
 from seqloom.plans.queries.sequence import six
 from seqloom.plans.registry import query
+from seqloom.storage import checkpoint
 
 
 def binned(spark, sf):
-    return rd.reads(spark, sf).withColumn("gc", gc_content(F.col("seq"))).withColumn("cluster", rd.bin_of(F.col("gc")))
-
-
-def _counts(spark, sf):
-    return kmers.kmer_counts(rd.reads(spark, sf), 4)
+    return rd.reads(spark, sf).withColumn("gc", gc_content(F.col("seq"))).withColumn("cluster", rd.bin_of(F.col("gc"))).withColumn("start", F.col("cluster"))
 
 
 COUNTS = """, w AS (SELECT read_idx, upper(substr(seq, unnest(range(1, length(seq) - 2)), 4)) AS kmer FROM reads),
@@ -43,13 +40,15 @@ TOTAL = f"{START}, total AS (SELECT sum(n * ln(p)) AS ll FROM counts JOIN binned
 
 
 def _start(spark, sf):
-    counts = _counts(spark, sf)
-    return counts, pf.build_profiles(counts, binned(spark, sf).select("read_idx", "cluster"))
+    """The reads with their clusters, the clusters' sums, and their profiles (small tables, written once)."""
+    reads = binned(spark, sf)
+    sums = checkpoint(pf.kmer_sums(reads))
+    return reads, sums, checkpoint(pf.build_profiles(sums))
 
 
-def _estep(spark, sf):
-    counts, profiles = _start(spark, sf)
-    return counts, profiles, pf.best_cluster(pf.read_likelihoods(counts, profiles))
+def _estep(spark, sf, kept):
+    reads, _, profiles = _start(spark, sf)
+    return pf.best_clusters(reads, pf.log_matrix(profiles), 4, kept)
 
 
 @query("SELECT cluster AS old, count(*) AS size, (row_number() OVER (ORDER BY cluster) - 1)::INTEGER AS cluster FROM binned WHERE cluster >= 0 GROUP BY binned.cluster HAVING count(*) >= 3", "binned")
@@ -59,56 +58,57 @@ def em_init_filter(spark, sf):
 
 @query(f"{START} SELECT cluster, kmer_idx, round(p, 6) AS p, round(ln(p), 6) AS log_p FROM profiles", "binned")
 def profile_build(spark, sf):
-    return _start(spark, sf)[1].select("cluster", "kmer_idx", six("p").alias("p"), six("log_p").alias("log_p"))
+    return _start(spark, sf)[2].select("cluster", "kmer_idx", six("p").alias("p"), six("log_p").alias("log_p"))
 
 
 @query(f"{ESTEP} SELECT read_idx, cluster, round(ll, 4) AS ll FROM estep", "binned")
 def em_estep(spark, sf):
-    return _estep(spark, sf)[2].withColumn("ll", F.round("ll", 4))
+    return _estep(spark, sf, ["read_idx"]).withColumn("ll", F.round("ll", 4))
 
 
 @query(f"{ESTEP}{_profiles('next', 'estep')} SELECT cluster, kmer_idx, round(p, 6) AS p FROM next", "binned")
 def em_mstep(spark, sf):
-    counts, _, assigned = _estep(spark, sf)
-    return pf.build_profiles(counts, assigned).select("cluster", "kmer_idx", six("p").alias("p"))
+    assigned = _estep(spark, sf, ["seq"])
+    sums = checkpoint(pf.kmer_sums(assigned))
+    return pf.build_profiles(sums).select("cluster", "kmer_idx", six("p").alias("p"))
 
 
 @query(f"{TOTAL} SELECT round(ll, 3) AS ll FROM total", "binned")
 def total_loglik(spark, sf):
-    counts, profiles = _start(spark, sf)
-    return pf.total_likelihood(counts, profiles, binned(spark, sf)).select(F.round("ll", 3).alias("ll"))
+    _, sums, profiles = _start(spark, sf)
+    return pf.total_likelihood(sums, profiles).select(F.round("ll", 3).alias("ll"))
 
 
 @query(f"{JSD} SELECT a, b, round(jsd, 6) AS jsd FROM jsd", "binned")
 def jsd_pairs(spark, sf):
-    return pf.divergences(_start(spark, sf)[1]).withColumn("jsd", six("jsd"))
+    return pf.divergences(_start(spark, sf)[2]).withColumn("jsd", six("jsd"))
 
 
 @query(f"{JSD} SELECT a, b, round(jsd, 6) AS jsd FROM jsd ORDER BY jsd.jsd, a, b LIMIT 1", "binned")
 def most_similar_pair(spark, sf):
-    return pf.most_similar(pf.divergences(_start(spark, sf)[1])).withColumn("jsd", six("jsd"))
+    return pf.most_similar(pf.divergences(_start(spark, sf)[2])).withColumn("jsd", six("jsd"))
 
 
 @query(f"""{TOTAL}, shape AS (SELECT count(DISTINCT cluster) AS c, count(*) AS n FROM binned WHERE cluster >= 0)
   SELECT c AS clusters, n AS reads, round(-2 * ll + (c * 255 + c - 1) * ln(n::DOUBLE), 3) AS bic FROM total, shape""", "binned")
 def bic(spark, sf):
-    counts, profiles = _start(spark, sf)
-    own = binned(spark, sf).where("cluster >= 0")
-    shape = own.agg(F.count_distinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("reads"))
-    both = pf.total_likelihood(counts, profiles, own.select("read_idx", "cluster")).join(F.broadcast(shape))
+    reads, sums, profiles = _start(spark, sf)
+    shape = reads.where("cluster >= 0").agg(F.count_distinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("reads"))
+    both = pf.total_likelihood(sums, profiles).join(F.broadcast(shape))  # one row each
     return both.select("clusters", "reads", F.round(pf.bic(F.col("ll"), F.col("clusters"), F.col("reads")), 3).alias("bic"))
 
 
 @query(f"""{JSD}, pair AS (SELECT a, b FROM jsd ORDER BY jsd.jsd, a, b LIMIT 1)
   SELECT read_idx, (CASE WHEN cluster = b THEN a WHEN cluster > b THEN cluster - 1 ELSE cluster END)::INTEGER AS cluster FROM binned, pair""", "binned")
 def merge_relabel(spark, sf):
-    pair = pf.most_similar(pf.divergences(_start(spark, sf)[1])).select("a", "b")
+    pair = pf.most_similar(pf.divergences(_start(spark, sf)[2])).select("a", "b")
     return pf.relabelled(binned(spark, sf).join(F.broadcast(pair)), F.col("a"), F.col("b")).select("read_idx", "cluster")
 
 
 @query(f"{ESTEP} SELECT count(*) FILTER (binned.cluster <> estep.cluster) AS changes, count(*) AS reads FROM binned JOIN estep USING (read_idx)", "binned")
 def assignment_changes(spark, sf):
-    return pf.assignment_changes(binned(spark, sf), _estep(spark, sf)[2])
+    moved = _estep(spark, sf, ["start"])
+    return moved.agg(F.count_if(F.col("start") != F.col("cluster")).alias("changes"), F.count(F.lit(1)).alias("reads"))
 
 
 @query("SELECT old, (row_number() OVER (ORDER BY old) - 1)::INTEGER AS cluster FROM (SELECT DISTINCT cluster AS old FROM binned WHERE cluster >= 0)", "binned")
@@ -118,8 +118,8 @@ def renumber_clusters(spark, sf):
 
 @query()
 def em_full(spark, sf):
-    reads = rd.reads(spark, sf)
-    pcs, _, _ = matrix.principal_components(matrix.z_scores(matrix.features18(reads)), 8)
+    reads = checkpoint(rd.reads(spark, sf).select("read_idx", "seq"))  # some thirty passes read it
+    pcs, _, _ = matrix.principal_components(checkpoint(matrix.features18(reads)), 8, scaled=True)
     start = reads.join(matrix.k_means(pcs, 15), "read_idx")
     return em_op.assignments(reads, em_op.em(start))
 

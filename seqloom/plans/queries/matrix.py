@@ -55,7 +55,7 @@ def lloyd_step(spark, sf):
 
 
 def _components(spark, sf):
-    return matrix.principal_components(matrix.z_scores(matrix.features18(rd.reads(spark, sf))), 8)
+    return matrix.principal_components(matrix.features18(rd.reads(spark, sf)), 8, scaled=True)
 
 
 @query()

@@ -72,8 +72,7 @@ def _freq_sql(k: int) -> str:
 
 
 def _freq(spark, sf, k):
-    reads = rd.reads(spark, sf)
-    by_read = kmers.kmer_frequencies(reads, k).join(reads.select("read_idx", "source"), "read_idx")
+    by_read = kmers.kmer_frequencies(rd.reads(spark, sf), k, ["source"])
     return by_read.groupBy("source", "kmer").agg(F.count(F.lit(1)).alias("reads"), six(F.sum("freq")).alias("freq"))
 
 
@@ -99,8 +98,7 @@ def kmer_index_counts(spark, sf):
   f AS (SELECT read_idx, source, codon, count(*) / n AS freq FROM w GROUP BY read_idx, source, n, codon)
   SELECT source, codon, count(*) AS reads, round(sum(freq), 6) AS freq FROM f GROUP BY source, codon""")
 def codon_usage(spark, sf):
-    reads = rd.reads(spark, sf)
-    by_read = kmers.codon_usage(reads).join(reads.select("read_idx", "source"), "read_idx")
+    by_read = kmers.codon_usage(rd.reads(spark, sf), ["source"])
     return by_read.groupBy("source", "codon").agg(F.count(F.lit(1)).alias("reads"), six(F.sum("freq")).alias("freq"))
 
 

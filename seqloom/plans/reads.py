@@ -14,8 +14,10 @@ MIN_LENGTH = 30
 def all_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_idx, doc_id, source, id, seq."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    dna = docs.select("doc_id", "source", F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, BASES).alias("s")).where(F.length("s") > 0)
-    j = F.explode(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / 100).cast("int"))).alias("j")
+    dna = docs.select("doc_id", "source", F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, BASES).alias("s"))
+    # A filter on s would be pushed below the projection and have s computed twice.
+    starts = F.sequence(F.lit(0), F.floor((F.length("s") - 1) / 100).cast("int"))
+    j = F.explode(F.when(F.length("s") > 0, starts).otherwise(F.array().cast("array<int>"))).alias("j")
     cut = dna.select("doc_id", "source", "s", j)
     return cut.select(
         (F.col("doc_id") * 1_000_000 + F.col("j")).alias("read_idx"), "doc_id", "source",
