@@ -212,7 +212,7 @@ def test_text_model_equals_plain_one(spark):
 
 
 def test_ties_go_to_the_first_language(spark):
-    docs = spark.createDataFrame([(1, "zz", "b"), (2, "zz", "a"), (3, None, "a")], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, "zz", "b", None), (2, "zz", "a", "s"), (3, None, "a", "s")], "doc_id long, text string, lang string, source string")
     pages = spark.createDataFrame([(7, None, "")], "page_id long, url string, html string")
     assert {r.text_lang for r in language_id.identify(pages, docs, docs).collect()} == {"a"}
 
