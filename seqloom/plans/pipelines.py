@@ -30,7 +30,7 @@ def load(spark: SparkSession, options: Options) -> DataFrame:
     """read_idx, id, seq, quality of the reads that pass quality control."""
     if options.fastq:
         files.file_type(options.fastq)
-        return fastq.numbered(qc.long_enough(fastq.read_fastq(spark, options.fastq), options.min_length)).select("read_idx", "id", "seq", "quality")
+        return fastq.numbered(qc.long_enough(fastq.read_fastq(spark, options.fastq, clean=True), options.min_length)).select("read_idx", "id", "seq", "quality")
     files.file_type(options.bam)
     records = qc.passed_alignments(bam.read_bam(spark, options.bam), options.bam_filter, options.min_length)
     return fastq.numbered(records).select("read_idx", "id", "seq", "quality")

@@ -92,12 +92,12 @@ class _Reader(DataSourceReader):
         self.path, self.raw = options["path"], str(options.get("raw", "false")).lower() == "true"
 
     def partitions(self):
-        return [Part(name, 0, None) for name, _ in listing(self.path)]
+        return [Part(name, 0, None, i) for i, (name, _) in enumerate(listing(self.path))]
 
     def read(self, partition):
         with opened(partition.path) as f, gzip.open(f) as stream:
             read_header(stream)
-            yield from batches(partition.path, bam_records(stream, self.raw), ARROW)
+            yield from batches(partition, bam_records(stream, self.raw), ARROW)
 
 
 class BamSource(DataSource):

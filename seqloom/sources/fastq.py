@@ -1,8 +1,12 @@
 """FASTQ and FASTA: record readers and data sources.
 
 A FASTQ record has four lines. A header that does not begin with @ is counted and skipped by one line; a record that
-the file's end cuts off is dropped; the id is the first word after the @, or "unknown". With the option `clean`, files
-of whole four-line records are cut into byte ranges, so that one file is read by many tasks."""
+the file's end cuts off is dropped; the id is the first word after the @, or "unknown"; a record with a quality below
+"!" is bad and left out (`bad_records` counts such). With the option `clean`, files of whole four-line records are cut
+into byte ranges, so that one file is read by many tasks.
+
+Every record has a number `nr` that no other record of the same load has: its file's place in the listing, times 2^40,
+plus the byte at which the record begins (FASTQ, whatever the ranges) or its count in the file (FASTA, BAM)."""
 
 from __future__ import annotations
 
@@ -19,8 +23,8 @@ ARROW = pa.schema([("file", pa.string()), ("nr", pa.int64()), ("id", pa.string()
 ROWS, RANGE = 8192, 64 << 20
 
 
-def lines(stream, start: int = 0, end: int | None = None) -> Iterator[tuple[int, str]]:
-    """Lines with the place where they begin, without their ends; those that begin before `end`."""
+def lines(stream, start: int = 0) -> Iterator[tuple[int, str]]:
+    """Lines with the place where they begin, without their ends."""
     stream.seek(start)
     place, rest = start, b""
     while True:
@@ -30,35 +34,33 @@ def lines(stream, start: int = 0, end: int | None = None) -> Iterator[tuple[int,
         parts = (rest + block).split(b"\n")
         rest = parts.pop()
         for part in parts:
-            if end is not None and place >= end + (1 << 16):
-                return
             yield place, part.decode("utf-8", "replace").rstrip("\r")
             place += len(part) + 1
     if rest:
         yield place, rest.decode("utf-8", "replace").rstrip("\r")
 
 
-def decode_quality(text: str) -> list[int]:
+def decode_quality(text: str) -> list[int] | None:
+    """Scores, or none if a character lies below "!"."""
     scores = [ord(c) - 33 for c in text]
-    if any(s < 0 for s in scores):
-        raise ValueError("a quality character lies below '!'")
-    return scores
+    return None if scores and min(scores) < 0 else scores
 
 
-def fastq_records(source: Iterator[tuple[int, str]], end: int | None = None) -> Iterator[tuple[int, str, str, list[int]]]:
-    """number (counting skipped headers), id, sequence and qualities."""
-    source, nr = iter(source), 0
+def fastq_records(source: Iterator[tuple[int, str]], end: int | None = None, bad: bool = False) -> Iterator[tuple[int, str, str, list[int]]]:
+    """place, id, sequence and qualities of the good records, or of the bad ones (without qualities)."""
+    source = iter(source)
     for place, header in source:
         if end is not None and place >= end:
             return
-        nr += 1
         if not header.startswith("@"):
             continue
         sequence, plus, quality = next(source, None), next(source, None), next(source, None)
         if sequence is None or plus is None or quality is None:
             return
         words = header[1:].split()
-        yield nr, words[0] if words else "unknown", sequence[1].strip(), decode_quality(quality[1].strip())
+        scores = decode_quality(quality[1].strip())
+        if (scores is None) == bad:
+            yield place, words[0] if words else "unknown", sequence[1].strip(), scores
 
 
 def record_start(stream, at: int) -> int:
@@ -67,13 +69,10 @@ def record_start(stream, at: int) -> int:
         return 0
     found: list[tuple[int, str]] = []
     for line in lines(stream, at - 1):
-        found.append(line)
-        if len(found) > 6:
-            break
-    own = found[1:]  # the first is the end of a line
-    for i in range(len(own) - 2):
-        if own[i][1].startswith("@") and own[i + 2][1].startswith("+"):
-            return own[i][0]
+        found = [*found[-3:], line]
+        # The first line is the end of one.
+        if len(found) == 4 and found[1][1].startswith("@") and found[3][1].startswith("+"):
+            return found[1][0]
     return 1 << 62  # no record begins here
 
 
@@ -99,14 +98,14 @@ def fasta_records(source: Iterator[tuple[int, str]]) -> Iterator[tuple[int, str,
 
 
 class Part(InputPartition):
-    def __init__(self, path: str, start: int, end: int | None):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int | None, file: int = 0):
+        self.path, self.start, self.end, self.file = path, start, end, file
 
 
-def batches(path: str, records, schema: pa.Schema = ARROW) -> Iterator[pa.RecordBatch]:
+def batches(part: Part, records, schema: pa.Schema = ARROW) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
-    for record in records:
-        held.append((path, *record))
+    for nr, *record in records:
+        held.append((part.path, (part.file << 40) + nr, *record))
         if len(held) == ROWS:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
             held = []
@@ -118,23 +117,24 @@ class _Reader(DataSourceReader):
     def __init__(self, kind: str, options: dict):
         self.kind, self.path = kind, options["path"]
         self.clean = kind == "fastq" and str(options.get("clean", "false")).lower() == "true"
+        self.bad = str(options.get("bad", "false")).lower() == "true"
         self.range = int(options.get("rangebytes", RANGE))
 
     def partitions(self):
         out = []
-        for name, size in listing(self.path):
+        for i, (name, size) in enumerate(listing(self.path)):
             cuts = range(0, max(size, 1), self.range) if self.clean else [0]
-            out += [Part(name, at, min(at + self.range, size) if self.clean else None) for at in cuts]
+            out += [Part(name, at, min(at + self.range, size) if self.clean else None, i) for at in cuts]
         return out
 
     def read(self, partition):
         with opened(partition.path) as stream:
             if self.kind == "fasta":
-                yield from batches(partition.path, fasta_records(lines(stream)))
+                yield from batches(partition, fasta_records(lines(stream)))
             else:
                 start = record_start(stream, partition.start) if partition.end is not None else 0
                 if partition.end is None or start < partition.end:
-                    yield from batches(partition.path, fastq_records(lines(stream, start, partition.end), partition.end))
+                    yield from batches(partition, fastq_records(lines(stream, start), partition.end, self.bad))
 
 
 class FastqSource(DataSource):
@@ -159,16 +159,22 @@ class FastaSource(FastqSource):
 
 
 def read_fastq(spark: SparkSession, path: str, clean: bool = False) -> DataFrame:
-    """file, nr, id, seq, quality; nr counts within the file, or within the byte range of a clean one."""
+    """file, nr, id, seq, quality of the good records."""
     spark.dataSource.register(FastqSource)
     return spark.read.format("fastq").option("clean", str(clean).lower()).load(path)
 
 
+def bad_records(spark: SparkSession, path: str, clean: bool = False) -> int:
+    """How many records have a quality below "!"."""
+    spark.dataSource.register(FastqSource)
+    return spark.read.format("fastq").option("clean", str(clean).lower()).option("bad", "true").load(path).count()
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(FastaSource)
     return spark.read.format("fasta").load(path)
 
 
 def numbered(reads: DataFrame) -> DataFrame:
-    """The reads with read_idx, a number that follows file and place: hashes of files keep ids of different files apart."""
-    return reads.selectExpr("((abs(xxhash64(file)) & 8388607) << 40) + nr as read_idx", "*")
+    """The reads with read_idx: their number, which is unique in a load."""
+    return reads.selectExpr("nr as read_idx", "*")

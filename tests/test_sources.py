@@ -134,3 +134,21 @@ def test_assembler_is_optional(spark, tmp_path):
     assert assembler.worth_using(reads, reads)
     sinks.write_fastq(reads, str(tmp_path / "x.fastq"))
     assert ids(fastq.read_fastq(spark, str(tmp_path / "x.fastq"))) == ["a"]
+
+
+def test_numbers_are_unique_over_ranges_and_files(spark, tmp_path):
+    for f in ("a", "b"):
+        (tmp_path / f"{f}.fastq").write_text("".join(f"@{f}{i} x\n{'ACGT' * (i % 40 + 1)}\n+\n{'@+II' * (i % 40 + 1)}\n" for i in range(500)))
+    spark.dataSource.register(fastq.FastqSource)
+    whole = fastq.numbered(fastq.read_fastq(spark, str(tmp_path))).select("read_idx", "id", "seq").collect()
+    cut = fastq.numbered(spark.read.format("fastq").option("clean", "true").option("rangebytes", "2000").load(str(tmp_path))).select("read_idx", "id", "seq").collect()
+    assert sorted(whole) == sorted(cut) and len({r.read_idx for r in cut}) == 1000
+
+
+def test_long_records_and_bad_qualities(spark, tmp_path):
+    path = tmp_path / "x.fastq"
+    path.write_text(f"@long\n{'A' * 200_000}\n+\n{'I' * 200_000}\n@bad\nACGT\n+\nII I\n@good\nACGT\n+\nIIII\n")
+    spark.dataSource.register(fastq.FastqSource)
+    rows = spark.read.format("fastq").option("clean", "true").option("rangebytes", "50000").load(str(path)).collect()
+    assert [(r.id, len(r.seq), len(r.quality)) for r in rows] == [("long", 200_000, 200_000), ("good", 4, 4)]
+    assert fastq.bad_records(spark, str(path)) == 1
