@@ -261,6 +261,10 @@ def directories(data: bytes):
         at = struct.unpack_from(order + offset, data, at + n * entry)[0]
 
 
+#: The most bytes that one byte of a file can stand for, by compression: LZW (12 bits for 4,096), deflate, PackBits.
+MOST = {5: 2731, 8: 1032, 32946: 1032, 32773: 64}
+
+
 def decode_page(data: bytes, tags: dict, order: str) -> np.ndarray:
     """Rows by columns by samples, 8 or 16 bits."""
     one = lambda tag, default: tags.get(tag, (default,))[0]
@@ -278,11 +282,14 @@ def decode_page(data: bytes, tags: dict, order: str) -> np.ndarray:
     if sizes is None:
         sizes = (len(data),) * len(offsets)
     depth, planes = (1, samples) if planar == 2 else (samples, 1)
+    # Sizes are checked by arithmetic, before anything of the size that a header claims is made.
+    if planes * -(-height // th) * -(-width // tw) > min(len(offsets), len(sizes)):
+        raise TiffError("too few segments")
+    if height * width * samples * (bits // 8) > len(data) * MOST.get(kind, 1) or th * tw * depth * (bits // 8) > len(data) * MOST.get(kind, 1):
+        raise TiffError("the page claims more samples than the file can hold")
     form = np.dtype(("<" if order == "<" else ">") + ("u1" if bits == 8 else "u2"))
     out = np.zeros((height, width, samples), form.newbyteorder("="))
     cells = [(p, y, x) for p in range(planes) for y in range(0, height, th) for x in range(0, width, tw)]
-    if len(cells) > len(offsets):
-        raise TiffError("too few segments")
     for (p, y, x), at, size in zip(cells, offsets, sizes):
         rows = th if tiled else min(th, height - y)
         raw = expand(data[at : at + size], kind, rows * tw * depth * (bits // 8))

@@ -82,3 +82,20 @@ def test_query_digests(spark):
     pages = tiff.tiff_pages(tiff.store_texts(df))
     assert pages.where("doc_id is null").count() == math.ceil(math.ceil(120_000 / 576) / 128)
     assert tiff.text_media_digest(df.limit(0)).count() == 0 and tiff.tiff_pages(spark.createDataFrame([(b"x", 1)], "media binary, page_no int")).first().page_no == -1
+
+
+def test_sizes_are_checked_before_memory_is_taken():
+    """A hundred bytes that claim 2^20 x 2^20 samples, or strips of that size, are an error row."""
+    import struct
+    import time
+
+    def file(**tags):
+        own = sorted({256: 1 << 20, 257: 1 << 20, 258: 8, 259: 1, 273: 8, 277: 1, 278: 1 << 20, 279: 4, **{int(k[1:]): v for k, v in tags.items()}}.items())
+        body = b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in own)
+        return struct.pack("<2sHI", b"II", 42, 12) + b"abcd" + struct.pack("<H", len(own)) + body + struct.pack("<I", 0)
+
+    began = time.time()
+    for data in (file(), file(_278=1), file(_259=8), file(_259=5), file(_257=1, _322=1 << 30, _323=1 << 30, _324=8, _325=4), file(_277=1 << 30, _284=2)):
+        rows = list(tiff.read_pages(data))
+        assert len(rows) == 1 and rows[0]["error"] and rows[0]["pixels"] is None
+    assert time.time() - began < 2
