@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,10 @@ from seqloom.llm.common import map_slices, texts
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = 4
 LABELERS = ("strict", "check", "gazetteer", "context", "edges", "variety")
-SHAPES = 8
+#: Shapes: six characters of length each, the last open; by number of separators (0, 1 or 2, more); by letters (none,
+#: of one case, of both).
+LENGTHS, SEPARATORS, CASES = 8, 3, 3
+SHAPES = LENGTHS * SEPARATORS * CASES
 THRESHOLD, ROUNDS, PRIOR = 0.95, 60, 2.0
 
 # Top-level domains, calling codes, and words that speak for or against a kind.
@@ -54,6 +58,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WIDE_PHONE = re.compile(r"(?<![0-9+])[0-9]{2,4}\)?[ .-]{1,2}[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
+# An address in words; looked for only where the text has a spelled-out dot.
+DOT = re.compile(r" dot |[\[(]dot[\])]")
+SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: at | ?[\[(]at[\])] ?)[A-Za-z0-9-]{1,63}+(?:(?: dot | ?[\[(]dot[\])] ?)[A-Za-z0-9-]{1,63}+){1,4}+")
 SECRET = re.compile(r"[=:] ?[\"']?([A-Za-z0-9_/+-]{16,})")
 
 
@@ -94,6 +101,8 @@ def emails(text: str):
 def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     """kind, start, end, and whether the strict pattern holds, in the order of kind and start."""
     out = [(0, s, e, strict) for s, e, strict in emails(text)] if "@" in text else []
+    if DOT.search(text):
+        out += [(0, *m.span(), False) for m in SPELLED.finditer(text)]
     for run in RUN.finditer(text):
         a, b = run.span()
         if b - a < 7:
@@ -120,9 +129,10 @@ def votes(text: str, kind: int, start: int, end: int, strict: bool) -> tuple[int
     digits = digits_of(span)
     check = gazetteer = 0
     if kind == 0:
-        domain = span.rpartition("@")[2]
-        check = 1 if strict and ".." not in span and not span.startswith(".") else 2
-        gazetteer = 1 if domain.rpartition(".")[2].lower() in DOMAINS and strict else 2
+        written = DOT.sub(".", span)
+        last = re.split(r"[^A-Za-z0-9-]", written)[-1].lower()
+        check = 1 if "." in written and ".." not in span and not span.startswith(".") else 2
+        gazetteer = 1 if last in DOMAINS else 0 if last.isalpha() and len(last) >= 2 and strict else 2  # the list is not complete
     elif kind == 1:
         parts = span.split(".")
         check = 1 if in_range(span) else 2
@@ -145,7 +155,9 @@ def votes(text: str, kind: int, start: int, end: int, strict: bool) -> tuple[int
     pattern = 0
     for vote in reversed((1 if strict else 0 if kind == 4 else 2, check, gazetteer, context, edges, variety)):
         pattern = pattern * 3 + vote
-    return pattern, min(SHAPES - 1, (end - start) // 6)
+    length, apart = min(LENGTHS - 1, (end - start) // 6), min(SEPARATORS - 1, sum(c in " .-()" for c in span) // 2)
+    case = 0 if not any(map(str.isalpha, span)) else 2 if span != span.lower() and span != span.upper() else 1
+    return pattern, (length * SEPARATORS + apart) * CASES + case
 
 
 def base_spans(found: list[tuple[int, int, int, bool]]) -> list[tuple[int, int, int]]:
@@ -153,7 +165,7 @@ def base_spans(found: list[tuple[int, int, int, bool]]) -> list[tuple[int, int,
 
 
 def pattern_counts(docs: DataFrame) -> DataFrame:
-    """kind, pattern, shape and n over all candidates of all texts: at most 5 x 729 x 8 rows."""
+    """kind, pattern, shape and n over all candidates of all texts: at most 5 x 729 x 72 rows."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         counts: dict[tuple[int, int, int], int] = {}
@@ -196,7 +208,9 @@ def em(pattern: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.nda
 
 def design(pattern: np.ndarray, shape: np.ndarray) -> np.ndarray:
     v = digits3(pattern)
-    return np.concatenate([np.ones((len(v), 1)), v == 1, v == 2, shape[:, None] == np.arange(SHAPES)], axis=1).astype(np.float64)
+    length, apart, case = shape // (SEPARATORS * CASES), shape // CASES % SEPARATORS, shape % CASES
+    marks = [x[:, None] == np.arange(n) for x, n in ((length, LENGTHS), (apart, SEPARATORS), (case, CASES))]
+    return np.concatenate([np.ones((len(v), 1)), v == 1, v == 2, *marks], axis=1).astype(np.float64)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -236,13 +250,21 @@ def all_spans(text: str, taken: frozenset[tuple[int, int, int]]) -> tuple[list[t
     """Base spans, and all spans: base ones and accepted candidates that overlap none before them."""
     found = candidates(text)
     base = base_spans(found)
-    busy, out = [(s, e) for _, s, e in base], list(base)
+    starts, ends, out = [], [], list(base)  # what is taken, as disjoint intervals in order
+    for start, end in sorted((s, e) for _, s, e in base):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     for kind, start, end, strict in found:
-        if (strict and kind < BASE) or any(s < end and start < e for s, e in busy):
+        at = bisect_left(starts, end)
+        if (strict and kind < BASE) or (at and ends[at - 1] > start):
             continue
         if (kind, *votes(text, kind, start, end, strict)) in taken:
             out.append((kind, start, end))
-            busy.append((start, end))
+            starts.insert(at, start)
+            ends.insert(at, end)
     out.sort()
     return base, out
 
@@ -251,11 +273,11 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 
 
 def pii_spans(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, counts of the base spans by kind, base_sha256 and spans of every whole text."""
+    """doc_id, counts of the base spans by kind, base_sha256, spans and n_spans (of all kinds) of every whole text."""
     source = texts(docs, id_col, text_col)
     counts = [(r.kind, r.pattern, r.shape, r.n) for r in pattern_counts(source).collect()]  # bounded: see there
     taken = accepted(fit(counts), counts, threshold)
@@ -264,10 +286,10 @@ def pii_spans(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_
         rows = []
         for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
             base, spans = all_spans(text, taken)
-            rows.append((doc_id, *[sum(k == kind for k, _, _ in base) for kind in range(BASE)], hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans)))
+            rows.append((doc_id, *[sum(k == kind for k, _, _ in base) for kind in range(BASE)], hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans), len(spans)))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), OUT.types)], schema=OUT)
 
-    return map_slices(source, lambda: run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_slices(source, lambda: run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
