@@ -47,15 +47,15 @@ def length_factors(spark, sf):
     return rd.reads(spark, sf).select("read_idx", fn.length_factor(n).alias("length_factor"), fn.fragment_factor(n).alias("fragment_factor"), six(fn.range_normalised(n.cast("double"), 30, 150)).alias("normalised"))
 
 
-def _change(segment: str, letter: str) -> str:
-    """Rows k of all cuts, the first best one, and the background rate."""
-    return f"""{SEG}, k AS (SELECT read_idx, n, {segment} AS s, unnest(range(3, n - 2)) AS k FROM seg WHERE n >= 6),
-  st AS (SELECT read_idx, k, abs({_n('substr(s, 1, k)', letter)}::DOUBLE / k - {_n('substr(s, k + 1)', letter)}::DOUBLE / (n - k)) * sqrt((k * (n - k))::DOUBLE / n) AS stat FROM k),
-  best AS (SELECT read_idx, k, stat FROM (SELECT *, row_number() OVER (PARTITION BY read_idx ORDER BY stat DESC, k) AS r FROM st WHERE stat > 0) WHERE r = 1),
-  cp AS (SELECT seg.read_idx, {segment} AS s, n, k AS position, coalesce(stat, 0) AS stat,
+def _change(segment: str, letter: str, tag: str = "") -> str:
+    """Rows k of all cuts, the first best one, and the background rate; a tag tells the tables of two ends apart."""
+    return f"""{'' if tag else SEG}, k{tag} AS (SELECT read_idx, n, {segment} AS s, unnest(range(3, n - 2)) AS k FROM seg WHERE n >= 6),
+  st{tag} AS (SELECT read_idx, k, abs({_n('substr(s, 1, k)', letter)}::DOUBLE / k - {_n('substr(s, k + 1)', letter)}::DOUBLE / (n - k)) * sqrt((k * (n - k))::DOUBLE / n) AS stat FROM k{tag}),
+  best{tag} AS (SELECT read_idx, k, stat FROM (SELECT *, row_number() OVER (PARTITION BY read_idx ORDER BY stat DESC, k) AS r FROM st{tag} WHERE stat > 0) WHERE r = 1),
+  cp{tag} AS (SELECT seg.read_idx, {segment} AS s, n, k AS position, coalesce(stat, 0) AS stat,
     CASE WHEN n > least(6, n // 2) THEN {_n(f'substr({segment}, least(6, n // 2) + 1)', letter)}::DOUBLE / (n - least(6, n // 2)) ELSE 0.25::DOUBLE END AS rate
-    FROM seg LEFT JOIN best USING (read_idx)),
-  z AS (SELECT *, CASE WHEN rate > 0 THEN stat / sqrt(rate) / sqrt(2.0::DOUBLE) ELSE 100.0::DOUBLE END AS z FROM cp)"""
+    FROM seg LEFT JOIN best{tag} USING (read_idx)),
+  z{tag} AS (SELECT *, CASE WHEN rate > 0 THEN stat / sqrt(rate) / sqrt(2.0::DOUBLE) ELSE 100.0::DOUBLE END AS z FROM cp{tag})"""
 
 
 def _change_sql(segment: str, letter: str) -> str:
@@ -116,24 +116,73 @@ def exp_fit_fixed_lambda(spark, sf):
     return fitted.select("read_idx", "end", six("f.amplitude").alias("amplitude"), six("f.quality").alias("quality"))
 
 
-@query()
+def _quality(rate: str) -> str:
+    """The fit of exp(-rate place) to the list s of sites."""
+    return f"greatest(0.0::DOUBLE, 1 - sqrt(list_avg(list_transform(s, lambda x: (exp(-({rate}) * x.pos) - x.prob) * (exp(-({rate}) * x.pos) - x.prob)))) / list_avg(list_transform(s, lambda x: x.prob)))"
+
+
+LISTS = f"""{SITES}, lists AS (SELECT read_idx, "end", list({{'pos': pos, 'prob': prob}} ORDER BY pos) AS s FROM sites GROUP BY read_idx, "end")"""
+TERNARY = f"""{LISTS}, t AS (
+    SELECT read_idx, "end", s, 0 AS step, 0.01::DOUBLE AS low, 2.0::DOUBLE AS high, 0.0::DOUBLE AS rate, 0.0::DOUBLE AS quality FROM lists WHERE len(s) >= 3
+    UNION ALL
+    SELECT read_idx, "end", s, step + 1, CASE WHEN f1 > f2 THEN low ELSE m1 END, CASE WHEN f1 > f2 THEN m2 ELSE high END,
+      CASE WHEN greatest(f1, f2) > quality THEN CASE WHEN f1 > f2 THEN m1 ELSE m2 END ELSE rate END, greatest(f1, f2, quality)
+    FROM (SELECT *, {_quality('m1')} AS f1, {_quality('m2')} AS f2 FROM (SELECT *, low + (high - low) / 3 AS m1, high - (high - low) / 3 AS m2 FROM t WHERE step < 8))),
+  found AS (SELECT read_idx, "end", rate, quality FROM t WHERE step = 8)"""
+HILL = f"""{LISTS}, h AS (
+    SELECT read_idx, "end", s, 0.05::DOUBLE AS low, 2.5::DOUBLE AS high, NULL::DOUBLE AS rate FROM lists
+    UNION ALL
+    SELECT read_idx, "end", s, CASE WHEN f_left <= f_mid AND f_right > f_mid THEN mid ELSE low END, CASE WHEN f_left > f_mid THEN mid ELSE high END,
+      CASE WHEN f_left <= f_mid AND f_right <= f_mid THEN mid END
+    FROM (SELECT *, {_quality('mid')} AS f_mid, {_quality('mid - 0.05::DOUBLE')} AS f_left, {_quality('mid + 0.05::DOUBLE')} AS f_right
+          FROM (SELECT *, (low + high) / 2 AS mid FROM h WHERE rate IS NULL AND high - low > 0.01::DOUBLE))),
+  rates AS (SELECT read_idx, "end", s, coalesce(rate, (low + high) / 2) AS rate FROM h WHERE rate IS NOT NULL OR high - low <= 0.01::DOUBLE),
+  found AS (SELECT *, {_quality('rate')} AS quality, list_sum(list_transform(s, lambda x: x.prob)) / list_sum(list_transform(s, lambda x: exp(-rate * x.pos))) AS amplitude FROM rates)"""
+
+
+def _both_ends(columns: str) -> str:
+    return f'SELECT reads.read_idx, {columns} FROM reads LEFT JOIN found a ON a.read_idx = reads.read_idx AND a."end" = 5 LEFT JOIN found b ON b.read_idx = reads.read_idx AND b."end" = 3'
+
+
+@query(f"{TERNARY} " + _both_ends("round(coalesce(a.rate, 0), 6) AS ternary5, round(coalesce(b.rate, 0), 6) AS ternary3, round(coalesce(a.quality, 0), 6) AS ternary_fit5, round(coalesce(b.quality, 0), 6) AS ternary_fit3"))
 def decay_ternary(spark, sf):
     return dm.fit_decay(rd.reads(spark, sf)).select("read_idx", *[six(c).alias(c) for c in ("ternary5", "ternary3", "ternary_fit5", "ternary_fit3")])
 
 
-@query()
+# Without sites the search stops at its first place.
+@query(f"{HILL} " + _both_ends("round(coalesce(a.rate, 1.275::DOUBLE), 6) AS lambda5, round(coalesce(b.rate, 1.275::DOUBLE), 6) AS lambda3, round(coalesce(a.quality, 0), 6) AS fit5, round(coalesce(b.quality, 0), 6) AS fit3"))
 def decay_hill(spark, sf):
     return dm.fit_decay(rd.reads(spark, sf)).select("read_idx", *[six(c).alias(c) for c in ("lambda5", "lambda3", "fit5", "fit3")])
 
 
-@query()
+@query(f"""{HILL}, site AS (SELECT read_idx, x.prob AS p, amplitude * exp(-rate * x.pos) AS m FROM (SELECT *, unnest(s) AS x FROM found)),
+  ratio AS (SELECT read_idx, CASE WHEN bool_or(m <= 0 OR m >= 1) THEN -5.0::DOUBLE ELSE sum(p * ln(greatest(m, 1e-300::DOUBLE)) + (1 - p) * ln(greatest(1 - m, 1e-300::DOUBLE)) - p * ln(0.25::DOUBLE) - (1 - p) * ln(0.75::DOUBLE)) END AS llr FROM site GROUP BY read_idx)
+  SELECT reads.read_idx, round(coalesce(llr, 0), 6) + 0.0::DOUBLE AS llr FROM reads LEFT JOIN ratio USING (read_idx)""")
 def llr(spark, sf):
     return dm.fit_decay(rd.reads(spark, sf)).select("read_idx", six("llr").alias("llr"))
 
 
-@query()
+PVALUE = f"CASE WHEN position IS NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE * {erfc_sql('z')} END AS pvalue"
+SCORE = f"CASE WHEN position IS NULL THEN 0.1::DOUBLE ELSE 0.2::DOUBLE + 0.6::DOUBLE * (least((({_ratio('T')} - 1) + ({_ratio('A')} - 1)) / 2, 2.0::DOUBLE) / 2) END AS score"
+DETAILS = ("pvalue5", "pvalue3", "score5", "score3", "lambda5", "lambda3", "fit5", "fit3", "fit_excess")
+ASSESS = f"""{TERNARY.replace(SEG, _change('five', 'T'), 1)}{_change('three', 'A', '3')}{FAST.replace(SEG, '', 1)},
+  one AS (SELECT read_idx, {PVALUE}, {SCORE} FROM z), three AS (SELECT read_idx, {PVALUE}, {SCORE} FROM z3),
+  parts AS (
+    SELECT reads.read_idx, reads.seq, length(reads.seq) < 15 AS short, length(reads.seq) >= 100 OR c.t + c.c < 5 OR c.a + c.g < 5 AS fast, fast.d5 AS f5, fast.d3 AS f3,
+      one.pvalue AS pvalue5, three.pvalue AS pvalue3, one.score AS score5, three.score AS score3,
+      coalesce(a.rate, 0) AS lambda5, coalesce(b.rate, 0) AS lambda3, coalesce(a.quality, 0) AS fit5, coalesce(b.quality, 0) AS fit3
+    FROM reads JOIN c USING (read_idx) JOIN fast USING (read_idx) JOIN one USING (read_idx) JOIN three USING (read_idx)
+    LEFT JOIN found a ON a.read_idx = reads.read_idx AND a."end" = 5 LEFT JOIN found b ON b.read_idx = reads.read_idx AND b."end" = 3),
+  joint AS (SELECT *, greatest(fit5 - 0.5::DOUBLE, 0) + greatest(fit3 - 0.5::DOUBLE, 0) AS fit_excess, CASE WHEN fast THEN f5 ELSE 0.6::DOUBLE * score5 + 0.4::DOUBLE * fit5 END AS d5, CASE WHEN fast THEN f3 ELSE 0.6::DOUBLE * score3 + 0.4::DOUBLE * fit3 END AS d3 FROM parts),
+  assessed AS (SELECT *, 0.4::DOUBLE * (d5 + d3) / 2 + 0.35::DOUBLE * {LENGTH_FACTOR} + 0.25::DOUBLE * {BALANCE} AS whole FROM joint)
+  SELECT read_idx, CASE WHEN short THEN 'short' WHEN fast THEN 'fast' ELSE 'accurate' END AS path, {', '.join(f"round(CASE WHEN short THEN 0.1::DOUBLE ELSE {c} END, 6) AS {name}" for name, c in (('damage5', 'd5'), ('damage3', 'd3'), ('combined', 'whole')))},
+    {', '.join(f'CASE WHEN NOT short AND NOT fast THEN round({c}, 6) + 0.0::DOUBLE END AS {c}' for c in DETAILS)} FROM assessed""".replace("FROM reads", "FROM all_reads").replace("reads.read_idx", "all_reads.read_idx").replace("reads.seq", "all_reads.seq").replace("all_all_", "all_")
+
+
+@query(ASSESS)
 def damage_assess(spark, sf):
-    return dm.assess_damage(rd.all_reads(spark, sf))
+    got = dm.assess_damage(rd.all_reads(spark, sf))
+    return got.select("read_idx", "path", *[six(c).alias(c) for c in ("damage5", "damage3", "combined")], *[F.when(~F.isnan(c), six(c)).alias(c) for c in DETAILS])
 
 
 @query()

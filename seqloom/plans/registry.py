@@ -25,7 +25,7 @@ def query(sql: str | None = None, needs: str = "reads") -> Callable:
     def register(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = f"WITH {PARTS[needs]}{sql if sql.lstrip().startswith(',') else ' ' + sql}"
+            ORACLES[f.__name__] = f"WITH RECURSIVE {PARTS[needs]}{sql if sql.lstrip().startswith(',') else ' ' + sql}"
         return f
 
     return register
