@@ -9,6 +9,7 @@ from seqloom.functions.special import erfc_sql
 from seqloom.operators import damage as dm
 from seqloom.operators import pairs
 from seqloom.plans import reads as rd
+from seqloom.plans.queries.pairs import SUMMARY
 from seqloom.plans.queries.sequence import six
 from seqloom.plans.registry import query
 
@@ -155,9 +156,11 @@ def decay_hill(spark, sf):
     return dm.fit_decay(rd.reads(spark, sf)).select("read_idx", *[six(c).alias(c) for c in ("lambda5", "lambda3", "fit5", "fit3")])
 
 
-@query(f"""{HILL}, site AS (SELECT read_idx, x.prob AS p, amplitude * exp(-rate * x.pos) AS m FROM (SELECT *, unnest(s) AS x FROM found)),
-  ratio AS (SELECT read_idx, CASE WHEN bool_or(m <= 0 OR m >= 1) THEN -5.0::DOUBLE ELSE sum(p * ln(greatest(m, 1e-300::DOUBLE)) + (1 - p) * ln(greatest(1 - m, 1e-300::DOUBLE)) - p * ln(0.25::DOUBLE) - (1 - p) * ln(0.75::DOUBLE)) END AS llr FROM site GROUP BY read_idx)
-  SELECT reads.read_idx, round(coalesce(llr, 0), 6) + 0.0::DOUBLE AS llr FROM reads LEFT JOIN ratio USING (read_idx)""")
+RATIO = """, site AS (SELECT read_idx, x.prob AS p, amplitude * exp(-rate * x.pos) AS m FROM (SELECT *, unnest(s) AS x FROM found)),
+  ratio AS (SELECT read_idx, CASE WHEN bool_or(m <= 0 OR m >= 1) THEN -5.0::DOUBLE ELSE sum(p * ln(greatest(m, 1e-300::DOUBLE)) + (1 - p) * ln(greatest(1 - m, 1e-300::DOUBLE)) - p * ln(0.25::DOUBLE) - (1 - p) * ln(0.75::DOUBLE)) END AS llr FROM site GROUP BY read_idx)"""
+
+
+@query(f"{HILL}{RATIO} SELECT reads.read_idx, round(coalesce(llr, 0), 6) + 0.0::DOUBLE AS llr FROM reads LEFT JOIN ratio USING (read_idx)")
 def llr(spark, sf):
     return dm.fit_decay(rd.reads(spark, sf)).select("read_idx", six("llr").alias("llr"))
 
@@ -185,6 +188,25 @@ def damage_assess(spark, sf):
     return got.select("read_idx", "path", *[six(c).alias(c) for c in ("damage5", "damage3", "combined")], *[F.when(~F.isnan(c), six(c)).alias(c) for c in DETAILS])
 
 
-@query()
+FRAGMENT = "(CASE WHEN length(seq) <= 50 THEN 0.9 WHEN length(seq) <= 100 THEN 0.7 WHEN length(seq) <= 150 THEN 0.5 WHEN length(seq) <= 200 THEN 0.3 ELSE 0.1 END)::DOUBLE"
+ENSEMBLE = f""", mread AS (SELECT id AS read_idx, seq FROM mates){HILL.replace(SEG, _change('five', 'T'), 1)}{_change('three', 'A', '3')}{SUMMARY},
+  one AS (SELECT read_idx, {PVALUE}, {SCORE} FROM z), three AS (SELECT read_idx, {PVALUE}, {SCORE} FROM z3){RATIO},
+  parts AS (
+    SELECT mread.read_idx, mread.seq, one.pvalue AS v5, three.pvalue AS v3, one.score AS s5, three.score AS s3, coalesce(llr, 0) AS llr, coalesce(a.quality, 0) AS fit5, coalesce(b.quality, 0) AS fit3,
+      summary.support, coalesce((c_to_t + g_to_a)::DOUBLE / nullif(c_to_t + g_to_a + other, 0), 0) AS hits, c_to_t + g_to_a + other AS mismatches, overlap_size
+    FROM mread JOIN one USING (read_idx) JOIN three USING (read_idx) LEFT JOIN ratio USING (read_idx) LEFT JOIN summary ON base_id = mread.read_idx[:-3]
+    LEFT JOIN found a ON a.read_idx = mread.read_idx AND a."end" = 5 LEFT JOIN found b ON b.read_idx = mread.read_idx AND b."end" = 3),
+  weighed AS (SELECT *, (CASE WHEN length(seq) < 50 THEN 0.5 WHEN length(seq) < 100 THEN 0.4 ELSE 0.3 END)::DOUBLE * (CASE WHEN v5 < 0.05::DOUBLE OR v3 < 0.05::DOUBLE THEN 1.0 ELSE 0.5 END)::DOUBLE AS w1,
+    (CASE WHEN llr > 2 AND fit5 > 0.6::DOUBLE AND fit3 > 0.4::DOUBLE THEN 0.5 WHEN llr > 0.5::DOUBLE THEN 0.4 ELSE 0.3 END)::DOUBLE AS w2,
+    (CASE WHEN overlap_size <= 20 THEN 0.0 WHEN hits > 0.7::DOUBLE AND mismatches > 3 THEN 0.5 WHEN hits > 0.5::DOUBLE THEN 0.4 ELSE 0.2 END)::DOUBLE AS w3 FROM parts),
+  shares AS (SELECT *, w1 / (w1 + w2 + w3) AS w_change, w2 / (w1 + w2 + w3) AS w_model, w3 / (w1 + w2 + w3) AS w_pair FROM weighed),
+  ends AS (SELECT *, w_change * s5 + w_model * (0.1::DOUBLE + 0.8::DOUBLE * fit5) + w_pair * support AS d5, w_change * s3 + w_model * (0.1::DOUBLE + 0.8::DOUBLE * fit3) + w_pair * support AS d3 FROM shares)
+  SELECT read_idx AS id, round(d5, 9) AS prob5, round(d3, 9) AS prob3, round(w_change, 9) AS w_change, round(w_model, 9) AS w_model, round(w_pair, 9) AS w_pair,
+    round(0.35::DOUBLE * (d5 + d3) / 2 + 0.25::DOUBLE * (CASE WHEN llr > 0 THEN llr / 10 ELSE 0 END + CASE WHEN least(v5, v3) < 0.1::DOUBLE THEN 1 - least(10 * least(v5, v3), 1) ELSE 0 END) / 2
+      + 0.25::DOUBLE * {FRAGMENT} + 0.15::DOUBLE * {BALANCE}, 9) AS authenticity FROM ends""".replace("FROM reads", "FROM mread")
+
+
+@query(ENSEMBLE, "mates")
 def ensemble_damage(spark, sf):
-    return dm.ensemble_damage(pairs.with_evidence(rd.mates(spark, sf)))
+    got = dm.ensemble_damage(pairs.with_evidence(rd.mates(spark, sf)))
+    return got.select("id", *[F.round(c, 9).alias(c) for c in ("prob5", "prob3", "w_change", "w_model", "w_pair", "authenticity")])
