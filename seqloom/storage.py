@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that the session names in spark.checkpoint.dir, with their lineage cut. A local
-    folder is set only where the session names none, as in tests."""
+    """The rows, written to the folder that the session names in spark.checkpoint.dir, with their lineage cut. Where the
+    session names none, a local folder is set if Spark runs in one process, as in tests; on a cluster that is an error."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.environ.get("TMPDIR", "/tmp"), "seqloom-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            folder = os.path.join(os.environ.get("TMPDIR", "/tmp"), "seqloom-checkpoints")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
