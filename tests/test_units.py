@@ -269,3 +269,58 @@ def test_pair_evidence(spark):
     got = {r.id: r for r in pairs.with_evidence(reads).collect()}
     assert all((got[i].ratio, got[i].mismatches, got[i].overlap_size) == (1.0, 2, 30) for i in ("a/1", "a/2"))
     assert got["b"].ratio is None and got["b"].support is None
+
+
+def test_counts_in_the_batch_equal_plain_ones(spark):
+    seqs = ["", "ACG", "acgtnACGT", "ACGTACGTACGTTT", "NNNN", "GATTACA" * 30, "ACGxACGTA"]
+    df = spark.createDataFrame(list(enumerate(seqs)), "read_idx long, seq string")
+    for k in (2, 5):
+        plain, shares = {}, {}
+        for i, s in enumerate(seqs):
+            for j in range(len(s) - k + 1):
+                w = s[j : j + k]
+                if set(w.upper()) <= set("ACGT"):
+                    key = (i, sum("ACGT".index(c) * 4 ** (k - 1 - p) for p, c in enumerate(w.upper())))
+                    plain[key] = plain.get(key, 0) + 1
+                if set(w) <= set("ACGT"):
+                    shares[i, w] = shares.get((i, w), 0) + 1 / (len(s) - k + 1)
+        assert {(r.read_idx, r.kmer_idx): r.n for r in kmers.kmer_counts(df, k).collect()} == plain
+        assert {(r.read_idx, r.kmer): r.freq for r in kmers.kmer_frequencies(df, k).collect()} == pytest.approx(shares)
+    codons = {}
+    for i, s in enumerate(seqs):
+        for j in range(0, len(s) - 2, 3):
+            codons[i, s[j : j + 3]] = codons.get((i, s[j : j + 3]), 0) + 1 / (len(s) // 3)
+    assert {(r.read_idx, r.codon): r.freq for r in kmers.codon_usage(df).collect()} == pytest.approx(codons)
+    assert kmers.kmer_counts(df.limit(0), 4).count() == 0
+
+
+def test_em_of_longer_kmers(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda p: "".join(rng.choice(list("ACGT"), 120, p=p))
+    rows = [(i, draw([0.4, 0.1, 0.1, 0.4] if i % 2 else [0.1, 0.4, 0.4, 0.1]), i % 2) for i in range(60)]
+    model = em.em(spark.createDataFrame(rows, "read_idx long, seq string, cluster int"), k=5)
+    assert model.profiles.shape == (2, 4**5)
+    got = {r.read_idx: r.cluster for r in em.map_reads(spark.createDataFrame(rows, "read_idx long, seq string, cluster int"), model).collect()}
+    assert [got[i] for i in range(60)] == [i % 2 for i in range(60)]
+
+
+def test_scaled_components_equal_those_of_z_scores(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6)) @ rng.normal(size=(6, 6)) * [1, 10, 100, 1, 1, 0] + 7
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "read_idx long, x array<double>").repartition(5)
+    a, ra, ea = matrix.principal_components(rows, 3, scaled=True)
+    b, rb, eb = matrix.principal_components(matrix.z_scores(rows), 3)
+    np.testing.assert_allclose(ra, rb, atol=1e-9)
+    np.testing.assert_allclose(ea, eb, atol=1e-9)
+    of = lambda df: np.array([r.x for r in df.orderBy("read_idx").collect()])
+    np.testing.assert_allclose(of(a), of(b), atol=1e-8)
+    values = np.linalg.eigvalsh(np.cov((x[:, :5] - x[:, :5].mean(axis=0)) / x[:, :5].std(axis=0), rowvar=False))[::-1]
+    np.testing.assert_allclose(ea[:5], values, atol=1e-9)
+
+
+def test_k_means_finds_separate_groups(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.1, (40, 2)) for c in ((0, 0), (9, 0), (0, 9), (9, 9))])
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "read_idx long, x array<double>")
+    got = {r.read_idx: r.cluster for r in matrix.k_means(rows, 4).collect()}
+    assert all(len({got[i] for i in range(a, a + 40)}) == 1 for a in range(0, 160, 40)) and len(set(got.values())) == 4
