@@ -8,7 +8,9 @@ prefix scan, and a second lockstep pass from the known start states emits the ma
 The second transducer reads the bytes of a pretoken; each transition carries the change of the number of tokens. It
 is the determinised form of "tokens whose neighbours are compatible": its state holds, for each still open suffix,
 the token before it, its place in the vocabulary's trie and its count. States are made when first reached, and kept up
-to a bound, after which the tables start anew.
+to a bound, after which the tables start anew. Every pretoken starts in the first state, so a short one is a chunk whose
+map is one count, and these are summed; a long one is cut into chunks of bytes, each with a map from the start states
+that can occur to end state and added count, and the same scan composes these maps.
 
 Defined results: a null text is the empty text with 0 tokens; special strings count one token each and separate the
 text around them; repeated rows give repeated rows; null ids pass through; other columns are left out.
@@ -30,6 +32,7 @@ from seqloom.llm.common import Memo, map_slices, texts
 MODEL = "byte_bpe_50k.json"
 CHUNK, WARM = 1024, 48
 MAX_STATES, MAX_WORDS, LONG_WORD = 250_000, 100_000, 64
+BYTES, SECTION = 128, 65_536  # of a long pretoken: in a chunk, and between looks at the number of states
 
 # Character classes: letters without a part in contractions, numbers, other characters, the space, other white space,
 # the apostrophe, letters that end a contraction at once, the letters r, v, l and e, and the end of a text.
@@ -95,6 +98,19 @@ def scan_maps(maps: np.ndarray) -> np.ndarray:
     return maps
 
 
+def scan_counts(ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for maps whose paths carry counts: where the path from each start ends, and what it adds up to. Entries are
+    chunks by starts; an end is the number of a start of the next chunk."""
+    gap = 1
+    while gap < len(ends):
+        before = ends[:-gap]
+        added = np.take_along_axis(counts[gap:], before, axis=1) + counts[:-gap]
+        onward = np.take_along_axis(ends[gap:], before, axis=1)
+        ends, counts = np.concatenate([ends[:gap], onward]), np.concatenate([counts[:gap], added])
+        gap *= 2
+    return ends, counts
+
+
 def marks(classes: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     """Where pretokens start, for a sequence of character classes that begins fresh and ends with STOP."""
     n = len(classes)
@@ -227,19 +243,57 @@ class Counter:
         self.moves[state << 8 | byte] = out = to << 16 | (count + 32768)
         return out
 
-    def count(self, word: str) -> int:
-        if len(self.items) > MAX_STATES:
-            self._start()
-        state = total = 0
-        known = self.moves.get
-        for byte in word.encode():
+    def _walk(self, state: int, data: bytes) -> tuple[int, int]:
+        """Where the path over these bytes ends, and the tokens that it adds."""
+        total, known = 0, self.moves.get
+        for byte in data:
             got = known(state << 8 | byte)
             if got is None:
                 got = self._move(state, byte)
             state = got >> 16
             total += (got & 0xFFFF) - 32768
+        return state, total
+
+    def count(self, word: str) -> int:
+        if len(self.items) > MAX_STATES:
+            self._start()
+        return self._walk(0, word.encode())[1]
+
+    def count_long(self, word: str) -> int:
+        """The same by chunks. A section keeps the number of states bounded whatever the length; its last state goes on
+        by what it holds, as numbers of states end when the tables start anew."""
+        data, items, total = word.encode(), self.items[0], 0
+        for at in range(0, len(data), SECTION):
+            if len(self.items) > MAX_STATES:
+                self._start()
+            state = self.number.setdefault(items, len(self.items))
+            if state == len(self.items):
+                self.items.append(items)
+            state, added = self._section(state, data[at : at + SECTION])
+            items, total = self.items[state], total + added
         return total
 
+    def _section(self, first: int, data: bytes) -> tuple[int, int]:
+        """Maps of the chunks, composed. A chunk's starts are the first state, as if it began a pretoken, and the ends of
+        the chunk before it; paths meet soon, so there are few. Equal chunks share their paths."""
+        walked: dict[tuple[int, bytes], tuple[int, int]] = {}
+        starts, maps = {first: 0}, []
+        for at in range(0, len(data), BYTES):
+            chunk, row, following = data[at : at + BYTES], [], {0: 0}
+            for state in starts:
+                path = walked.get((state, chunk))
+                if path is None:
+                    path = walked[state, chunk] = self._walk(state, chunk)
+                row.append((following.setdefault(path[0], len(following)), path[1]))
+            maps.append(row)
+            starts = following
+        width = max(max(map(len, maps)), len(starts))
+        table = np.zeros((len(maps), width, 2), np.int64)
+        for i, row in enumerate(maps):
+            table[i, : len(row)] = row
+        ends, counts = scan_counts(table[..., 0], table[..., 1])
+        return list(starts)[ends[-1, 0]], int(counts[-1, 0])
+
 
 _LOADED: dict[str, tuple] = {}
 
@@ -273,7 +327,7 @@ def count_tokens(values: list[str], path: str) -> np.ndarray:
     at = starts.tolist()
     words = [whole[a:b] for a, b in zip(at, at[1:])] + [""]
     if max(map(len, words)) > LONG_WORD:  # long pretokens are not kept
-        counts = np.array([counter.words[w] if len(w) <= LONG_WORD else counter.count(w) for w in words], np.int64)
+        counts = np.array([counter.words[w] if len(w) <= LONG_WORD else counter.count_long(w) for w in words], np.int64)
     else:
         counts = np.fromiter(map(counter.words.__getitem__, words), np.int64, len(words))
     stops = np.searchsorted(starts, ends)

@@ -54,6 +54,31 @@ def test_states_start_anew(monkeypatch):
     assert [counter.count(w) for w in words] == library_counts(words)
 
 
+def test_long_pretokens_by_chunk_maps(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice(kind) for _ in range(n)) for kind in ("abcdefgh", "aA", "=", "=-", "東京日本", "é") for n in (65, 700, 9000)]
+    expected = library_counts(words)
+    for chunk, section in ((128, 65_536), (3, 100), (64, 64), (1, 50)):
+        monkeypatch.setattr(token_counts, "BYTES", chunk)
+        monkeypatch.setattr(token_counts, "SECTION", section)
+        monkeypatch.setattr(token_counts, "MAX_STATES", 250_000 if chunk == 128 else 2_000)
+        counter = token_counts.Counter(token_counts.Merges(BPE))
+        assert [counter.count_long(w) for w in words] == expected
+
+
+def test_scan_of_counting_maps():
+    rng = np.random.default_rng(5)
+    for rows in (1, 2, 7, 64):
+        ends, counts = rng.integers(0, 5, (rows, 5)), rng.integers(-3, 9, (rows, 5))
+        got_ends, got_counts = token_counts.scan_counts(ends, counts)
+        for start in range(5):
+            at, total = start, 0
+            for i in range(rows):
+                total += counts[i, at]
+                at = ends[i, at]
+                assert (got_ends[i, start], got_counts[i, start]) == (at, total)
+
+
 @settings(max_examples=150, deadline=None)
 @given(TEXT)
 def test_pieces_equal_the_library(text):
