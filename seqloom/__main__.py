@@ -6,7 +6,8 @@ import sys
 from pyspark.sql import SparkSession
 
 from seqloom.config import parse
-from seqloom.plans.pipelines import run
+from seqloom.plans.pipelines import DASHBOARD, run
+from seqloom.sources.sinks import serve
 
 
 def main(argv: list[str]) -> int:
@@ -24,6 +25,13 @@ def main(argv: list[str]) -> int:
     spark = SparkSession.builder.appName("seqloom").getOrCreate()
     result = run(spark, options)
     print(f"{result.stats.count()} clusters in {options.output}")
+    if options.dashboard and options.legacy:
+        with serve(DASHBOARD) as server:
+            print(f"dashboard on http://127.0.0.1:{server.server_port}/, until interrupted")
+            try:
+                server.serve_forever()
+            except KeyboardInterrupt:
+                pass
     return 0
 
 

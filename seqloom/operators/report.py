@@ -106,6 +106,23 @@ def cluster_union(rows: DataFrame, a: int, b: int) -> DataFrame:
     return rows.where(F.col("cluster") == a).unionByName(rows.where(F.col("cluster") == b))
 
 
+def scatter_cells(points: DataFrame, cells: int = 64) -> DataFrame:
+    """cluster, cell_x, cell_y, n, gc, damage: the reads by cluster over a square grid of their first two components `x`,
+    with the means that colour a cell. Every read counts; the rows are at most clusters times cells squared. The grid spans
+    the least to the largest value of each component (one column or row of cells where they are equal)."""
+    xy = points.select("cluster", F.coalesce("gc", F.lit(0.0)).alias("gc"), F.coalesce("combined", F.lit(0.0)).alias("damage"), F.element_at("x", 1).alias("x"), F.when(F.size("x") > 1, F.col("x")[1]).otherwise(F.lit(0.0)).alias("y"))
+    ends = xy.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)]).first()
+
+    def cell(c: str):
+        low, high = ends[f"min_{c}"], ends[f"max_{c}"]
+        if low is None or high <= low:
+            return F.lit(0)
+        return F.least(F.lit(cells - 1), F.floor((F.col(c) - low) / (high - low) * cells).cast("int"))
+
+    counted = xy.groupBy("cluster", cell("x").alias("cell_x"), cell("y").alias("cell_y"))
+    return counted.agg(F.count(F.lit(1)).alias("n"), F.avg("gc").alias("gc"), F.avg("damage").alias("damage"))
+
+
 def dashboard_json(rows: DataFrame, stats: DataFrame) -> DataFrame:
     """One row, `json`: totals and the clusters by number."""
     clusters = stats.select(F.struct("cluster", "num_reads", F.round("avg_gc", 4).alias("avg_gc"), F.round("avg_damage", 4).alias("avg_damage"), dashboard_label(F.col("cluster")).alias("label")).alias("c")).agg(F.sort_array(F.collect_list("c")).alias("clusters"))

@@ -15,6 +15,7 @@ from seqloom.sources import assembler, bam, fastq, files, sinks
 from seqloom.storage import checkpoint
 
 log = logging.getLogger(__name__)
+DASHBOARD = "dashboard"  # the folder of its files
 DAMAGE = ("damage5", "damage3", "combined")
 
 
@@ -44,7 +45,9 @@ def measured(reads: DataFrame, window: int) -> DataFrame:
 def _finish(rows: DataFrame, stats: DataFrame, options: Options) -> None:
     sinks.write_report(stats, options.output)
     if options.export_clusters:
-        if options.bam and options.export_format == "same":
+        if not options.export_output.endswith(".zip") and not (options.bam and options.export_format == "same"):
+            sinks.write_cluster_files(rows, stats, options.export_output, options.export_format, options.export_with_metadata, options.export_min_size)
+        elif options.bam and options.export_format == "same":
             sinks.write_bam_clusters(options.bam, rows, stats, options.export_output, options.export_min_size)
         else:
             sinks.write_clusters(rows, stats, options.export_output, options.export_format, options.export_with_metadata, options.export_min_size)
@@ -80,14 +83,16 @@ def run_legacy(spark: SparkSession, options: Options) -> Result:
     if reads.isEmpty():
         raise ValueError("no read passed quality control")
     supported = reads.join(pairs.support_of_reads(reads.select("read_idx", "id", "seq")).groupBy("id").agg(F.max("support").alias("support")), "id", "left")
-    components, retained, every = matrix.principal_components(matrix.legacy_features(supported, options.k, options.use_codon, options.damage_window), options.pca_components)
+    features = matrix.legacy_features(supported, options.k, options.use_codon, options.damage_window)
+    components, retained, every = matrix.principal_components(features, options.pca_components)
     rows = checkpoint(reads.join(matrix.k_means(components, options.n_init_clusters, options.seed), "read_idx"))
     stats = report.cluster_stats(rows)
     stats = checkpoint(stats.withColumn("taxonomy", report.taxonomy(F.col("cluster"), F.col("avg_gc"), F.col("avg_damage"), options.damage_threshold)))
     _finish(rows, stats, options)
+    explained = report.explained_percent(list(retained), list(every))
     if options.dashboard:
-        sinks.write_dashboard(rows, stats, "dashboard")
-    return Result(rows, stats, components, report.explained_percent(list(retained), list(every)))
+        sinks.write_dashboard(rows, stats, components, [float(v) for v in explained[0]], len(every), DASHBOARD)
+    return Result(rows, stats, components, explained)
 
 
 def run(spark: SparkSession, options: Options) -> Result:

@@ -97,6 +97,14 @@ def export_file_names(spark, sf):
     return rp.exported(stats(spark, sf), 10).select("cluster", rp.export_name().alias("name"))
 
 
+@query(f"""{ROWS}, xy AS (SELECT cluster, gc, combined AS damage, damage5 AS x, damage3 AS y FROM rows), ends AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM xy)
+  SELECT cluster, least(63, floor((x - x0) / (x1 - x0) * 64))::INTEGER AS cell_x, least(63, floor((y - y0) / (y1 - y0) * 64))::INTEGER AS cell_y, count(*) AS n, round(avg(gc), 6) AS gc, round(avg(damage), 6) AS damage FROM xy, ends GROUP BY ALL""", "binned")
+def scatter_cells(spark, sf):
+    """The grid of a scatter, here over both ends' damage scores, which SQL gives too."""
+    found = rp.scatter_cells(rows(spark, sf).withColumn("x", F.array("damage5", "damage3")))
+    return found.withColumn("gc", six("gc")).withColumn("damage", six("damage"))
+
+
 @query(f"""{STATS}, listed AS (SELECT list({{cluster: cluster, num_reads: num_reads, avg_gc: round(avg_gc, 4), avg_damage: round(avg_damage, 4), label: CASE WHEN cluster = -1 THEN 'Noise' ELSE concat('Cluster ', cluster::VARCHAR) END}} ORDER BY cluster) AS clusters FROM stats)
   SELECT to_json({{reads: (SELECT count(*) FROM rows), n_clusters: (SELECT count(*) FROM stats WHERE cluster <> -1), clusters: clusters}})::VARCHAR AS json FROM listed""", "binned")
 def dashboard_json(spark, sf):

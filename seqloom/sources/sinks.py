@@ -7,14 +7,18 @@ import http.server
 import io
 import json
 import os
+import shutil
+import uuid
 import zipfile
 
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import gc_content
 from seqloom.operators import report
 from seqloom.sources import bam
+from seqloom.storage import shared_folder
 
 DEFAULT_QUALITY = "/"
 
@@ -54,13 +58,35 @@ def exported_reads(reads: DataFrame, stats: DataFrame, min_size: int, extension:
     return reads.join(chosen, "cluster")
 
 
-def write_clusters(reads: DataFrame, stats: DataFrame, path: str, export_format: str = "same", metadata: bool = False, min_size: int = 0) -> int:
-    """A zip with one FASTA (.fa) or FASTQ file for each cluster; the number of files. Spark sorts by cluster, and the
-    records stream into the archive one by one, as an archive has one writer."""
+def write_cluster_files(reads: DataFrame, stats: DataFrame, folder: str, export_format: str = "same", metadata: bool = False, min_size: int = 0) -> None:
+    """A folder `file=<name>` for each cluster, with FASTA or FASTQ text in parts whose names are in the order of the reads.
+    The executors write them: ranges of cluster and read, so that a large cluster has many writers."""
     fasta = export_format == "fasta"
-    text = fasta_text(metadata) if fasta else fastq_text(metadata)
-    rows = exported_reads(reads, stats, min_size, "fa" if fasta else "fastq").select("cluster", "file", "read_idx", text.alias("text")).orderBy("cluster", "read_idx").select("file", "text")
-    return _archive(path, ((r.file, r.text.encode()) for r in rows.toLocalIterator()))
+    text = F.expr("substr(text, 1, length(text) - 1)")  # the writer ends a record's last line
+    rows = exported_reads(reads, stats, min_size, "fa" if fasta else "fastq").select("file", "read_idx", (fasta_text(metadata) if fasta else fastq_text(metadata)).alias("text"))
+    rows = rows.repartitionByRange("file", "read_idx").sortWithinPartitions("file", "read_idx").select("file", text.alias("value"))
+    rows.write.partitionBy("file").text(folder)
+
+
+def write_clusters(reads: DataFrame, stats: DataFrame, path: str, export_format: str = "same", metadata: bool = False, min_size: int = 0) -> int:
+    """A zip with one FASTA (.fa) or FASTQ file for each cluster, in the order of clusters; the number of files. The
+    executors write the parts to the shared folder, and the one writer that an archive has copies them into it."""
+    parts = f"{shared_folder(reads.sparkSession)}/clusters-{uuid.uuid4().hex}"
+    write_cluster_files(reads, stats, parts, export_format, metadata, min_size)
+    store, at = pa_fs.FileSystem.from_uri(parts)
+    found: dict[str, list[str]] = {}
+    for entry in store.get_file_info(pa_fs.FileSelector(at, recursive=True)):
+        folder, name = entry.path.rsplit("/", 2)[-2:]
+        if entry.is_file and name.startswith("part-") and folder.startswith("file="):
+            found.setdefault(folder.removeprefix("file="), []).append(entry.path)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(found, key=lambda f: int(f.split("_")[1])):
+            with archive.open(file, "w", force_zip64=True) as out:
+                for part in sorted(found[file]):
+                    with store.open_input_stream(part) as stream:
+                        shutil.copyfileobj(stream, out, 1 << 20)
+    store.delete_dir(at)
+    return len(found)
 
 
 def _archive(path: str, records, wrap=lambda name, stream: stream) -> int:
@@ -114,30 +140,66 @@ def write_fastq(reads: DataFrame, path: str) -> None:
             f.write(f"@{r.id}\n{r.seq}\n+\n{'I' * len(r.seq)}\n")
 
 
-PAGE = """<!doctype html><html><head><meta charset="utf-8"><title>Clusters</title><style>body{font-family:sans-serif;margin:2em}td,th{padding:.2em .8em;text-align:right}</style></head>
-<body><h1>Clusters</h1><p id="totals"></p><label>Smallest cluster <input id="least" type="number" value="5"></label><table id="rows"></table>
+PAGE = """<!doctype html><html><head><meta charset="utf-8"><title>Clusters</title><style>body{font-family:sans-serif;margin:2em}td,th{padding:.2em .8em;text-align:right}canvas{border:1px solid #ccc;margin:.5em 0}</style></head>
+<body><h1>Clusters</h1><p id="totals"></p><p id="variance"></p><label>Smallest cluster <input id="least" type="number" value="5"></label>
+<h2>Components 1 and 2</h2><label>Colour <select id="colour"><option value="cluster">Cluster<option value="damage">Damage<option value="gc">GC</select></label><br><canvas id="scatter" width="640" height="640"></canvas><p id="scale"></p>
+<h2>Damage scores</h2><canvas id="damage" width="640" height="240"></canvas><p>Red: 5' end; blue: 3' end; 0 to 1</p><table id="rows"></table>
 <script>const data = __DATA__;
-function show(least) {
-  const kept = data.clusters.filter(c => c.cluster === -1 || c.num_reads >= least);
-  const largest = Math.max(1, ...kept.filter(c => c.cluster !== -1).map(c => c.num_reads));
-  document.getElementById("totals").textContent = data.reads + " reads in " + data.n_clusters + " clusters";
-  document.getElementById("rows").innerHTML = "<tr><th>Label<th>Reads<th>Percent of largest<th>GC<th>Damage" + kept.sort((a, b) => b.num_reads - a.num_reads).map(c =>
+const field = id => document.getElementById(id);
+const shown = c => c.cluster === -1 || data.clusters.some(k => k.cluster === c.cluster && k.num_reads >= +field("least").value);
+const hue = c => c === -1 ? "#000" : "hsl(" + (c * 137.5) % 360 + ",70%,45%)";
+const heat = v => "hsl(" + (260 - 200 * v) + ",80%," + (25 + 35 * v) + "%)";
+function scatter() {
+  const by = field("colour").value, pen = field("scatter").getContext("2d"), kept = data.cells.filter(shown), step = 640 / data.grid;
+  const values = kept.map(c => c[by]), low = Math.min(...values), span = Math.max(...values) - low || 1, most = Math.log1p(Math.max(1, ...kept.map(c => c.n)));
+  pen.clearRect(0, 0, 640, 640);
+  for (const c of kept) {
+    pen.fillStyle = by === "cluster" ? hue(c.cluster) : heat((c[by] - low) / span);
+    const size = step * (0.4 + 0.6 * Math.log1p(c.n) / most);
+    pen.fillRect(c.cell_x * step + (step - size) / 2, 640 - (c.cell_y + 1) * step + (step - size) / 2, size, size);
+  }
+  field("scale").textContent = kept.length === 0 || by === "cluster" ? "" : by + " from " + low.toFixed(4) + " to " + (low + span).toFixed(4);
+}
+function histogram() {
+  const pen = field("damage").getContext("2d"), most = Math.max(1, ...data.histogram.map(b => b.n)), width = 640 / data.bins;
+  for (const b of data.histogram) {
+    pen.fillStyle = b.end === 5 ? "rgba(220,60,60,.5)" : "rgba(60,90,220,.5)";
+    pen.fillRect(b.bin * width + 1, 240 - 236 * b.n / most, width - 2, 236 * b.n / most);
+  }
+}
+function show() {
+  const kept = data.clusters.filter(shown), largest = Math.max(1, ...kept.filter(c => c.cluster !== -1).map(c => c.num_reads));
+  field("totals").textContent = data.reads + " reads in " + data.n_clusters + " clusters, " + data.noise_percent.toFixed(2) + "% noise, mean damage " + data.mean_damage.toFixed(4) + ", " + data.features + " features";
+  field("variance").textContent = "Explained variance: " + data.explained.map((v, i) => "PC" + (i + 1) + " " + v.toFixed(2) + "%").join(", ");
+  field("rows").innerHTML = "<tr><th>Label<th>Reads<th>Percent of largest<th>GC<th>Damage" + kept.sort((a, b) => b.num_reads - a.num_reads).map(c =>
     "<tr><td>" + [c.label, c.num_reads, (100 * c.num_reads / largest).toFixed(1), c.avg_gc, c.avg_damage].join("<td>")).join("");
+  scatter();
 }
-document.getElementById("least").onchange = e => show(+e.target.value);
-show(0);</script></body></html>"""
-
-
-def write_dashboard(rows: DataFrame, stats: DataFrame, folder: str) -> str:
-    """data.json and index.html from aggregates; no read leaves the cluster."""
-    payload = report.dashboard_json(rows, stats).first().json
+field("least").onchange = show;
+field("colour").onchange = scatter;
+histogram();
+show();</script></body></html>"""
+GRID, BINS = 64, 30
+
+
+def write_dashboard(rows: DataFrame, stats: DataFrame, components: DataFrame, explained: list[float], features: int, folder: str) -> str:
+    """data.json and index.html from aggregates of all reads (`components`: read_idx, x): clusters and totals, cells of the
+    scatter, histograms of damage. No read leaves the executors."""
+    payload = json.loads(report.dashboard_json(rows, stats).first().json)
+    totals = report.global_summary(rows).first()
+    cells = report.scatter_cells(rows.select("read_idx", "cluster", "gc", "combined").join(components.select("read_idx", "x"), "read_idx"), GRID)
+    payload |= {
+        "noise_percent": totals.noise_percent or 0.0, "mean_damage": totals.mean_damage or 0.0, "explained": explained, "features": features, "grid": GRID, "bins": BINS,
+        "cells": [r.asDict() for r in cells.orderBy("cluster", "cell_x", "cell_y").collect()],
+        "histogram": [r.asDict() for r in report.damage_histogram(rows, BINS).orderBy("end", "bin").collect()],
+    }
+    text = json.dumps(payload)
     os.makedirs(folder, exist_ok=True)
-    json.loads(payload)
     with open(os.path.join(folder, "data.json"), "w") as f:
-        f.write(payload)
+        f.write(text)
     page = os.path.join(folder, "index.html")
     with open(page, "w") as f:
-        f.write(PAGE.replace("__DATA__", payload.replace("</", "<\\/")))
+        f.write(PAGE.replace("__DATA__", text.replace("</", "<\\/")))
     return page
 
 

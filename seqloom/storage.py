@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that the session names in spark.checkpoint.dir, with their lineage cut. Where the
-    session names none, a local folder is set if Spark runs in one process, as in tests; on a cluster that is an error."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what driver and executors share, which the session names in spark.checkpoint.dir. Where it names
+    none, a local folder is set if Spark runs in one process, as in tests; on a cluster that is an error."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            master = spark.sparkContext.master
-            if not (master == "local" or master.startswith("local[")):
+            if not (context.master == "local" or context.master.startswith("local[")):
                 raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
             folder = os.path.join(os.environ.get("TMPDIR", "/tmp"), "seqloom-checkpoints")
-        spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder, with their lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

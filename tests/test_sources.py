@@ -3,12 +3,14 @@
 import gzip
 import io
 import json
+import threading
+import urllib.request
 import zipfile
 
 import pytest
 
 from seqloom.config import Options
-from seqloom.operators import qc
+from seqloom.operators import qc, report
 from seqloom.plans import pipelines
 from seqloom.sources import assembler, bam, fastq, files, sinks
 
@@ -123,7 +125,15 @@ def test_fastq_pipelines(spark, tmp_path, monkeypatch, legacy):
         assert text.count(">" if legacy else "@r") == 60 and " cluster=" in text
         assert archive.namelist()[0].startswith("cluster_0_size_") and archive.namelist()[0].endswith(".fa" if legacy else ".fastq")
     if legacy:
-        assert json.loads((tmp_path / "dashboard/data.json").read_text())["reads"] == 60
+        data = json.loads((tmp_path / "dashboard/data.json").read_text())
+        assert data["reads"] == 60 and sum(c["n"] for c in data["cells"]) == 60 and sum(b["n"] for b in data["histogram"]) == 120
+        assert {c["cluster"] for c in data["cells"]} == {c["cluster"] for c in data["clusters"]} and sum(data["explained"]) == pytest.approx(100)
+        assert 0 < data["features"] and {c["cell_x"] for c in data["cells"]} >= {0, sinks.GRID - 1}
+        with sinks.serve("dashboard", 0) as server:
+            threading.Thread(target=server.serve_forever, daemon=True).start()
+            with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/") as page:
+                assert page.status == 200 and b'id="scatter"' in page.read()
+            server.shutdown()
         assert "<table" in (tmp_path / "dashboard/index.html").read_text()
     assert sum(result.explained[0]) == pytest.approx(100)
 
@@ -152,3 +162,19 @@ def test_long_records_and_bad_qualities(spark, tmp_path):
     rows = spark.read.format("fastq").option("clean", "true").option("rangebytes", "50000").load(str(path)).collect()
     assert [(r.id, len(r.seq), len(r.quality)) for r in rows] == [("long", 200_000, 200_000), ("good", 4, 4)]
     assert fastq.bad_records(spark, str(path)) == 1
+
+
+def test_clusters_are_written_by_executors(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("id AS read_idx", "concat('r', id) AS id", "'ACGT' AS seq", "array(40S, 40S, 40S, 200S) AS quality", "IF(id < 2900, 10, IF(id < 2990, 2, -1)) AS cluster", "0.5D AS gc", "0.1D AS damage5", "0.2D AS damage3", "0.3D AS combined")
+    stats = report.cluster_stats(rows)
+    assert sinks.write_clusters(rows, stats, str(tmp_path / "x.zip"), "fasta", True) == 2
+    with zipfile.ZipFile(tmp_path / "x.zip") as archive:
+        names = archive.namelist()
+        assert [n.split("_")[1] for n in names] == ["2", "10"]
+        lines = archive.read(names[1]).decode().splitlines()
+    assert lines[::2] == [f">r{i} cluster=10 gc=0.500 damage5=0.100 damage3=0.200 combined=0.300" for i in range(2900)] and set(lines[1::2]) == {"ACGT"}
+    sinks.write_cluster_files(rows, stats, str(tmp_path / "parts"), min_size=100)
+    (folder,) = [p for p in (tmp_path / "parts").iterdir() if p.is_dir()]
+    text = "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+    assert folder.name.startswith("file=cluster_10_") and text == "".join(f"@r{i}\nACGT\n+\n////\n" for i in range(2900))
+    assert sinks.write_clusters(rows.limit(0), stats.limit(0), str(tmp_path / "none.zip")) == 0
