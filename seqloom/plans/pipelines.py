@@ -45,10 +45,13 @@ def measured(reads: DataFrame, window: int) -> DataFrame:
 def _finish(rows: DataFrame, stats: DataFrame, options: Options) -> None:
     sinks.write_report(stats, options.output)
     if options.export_clusters:
-        if not options.export_output.endswith(".zip") and not (options.bam and options.export_format == "same"):
-            sinks.write_cluster_files(rows, stats, options.export_output, options.export_format, options.export_with_metadata, options.export_min_size)
-        elif options.bam and options.export_format == "same":
+        zipped, as_bam = options.export_output.endswith(".zip"), bool(options.bam) and options.export_format == "same"
+        if as_bam and zipped:
             sinks.write_bam_clusters(options.bam, rows, stats, options.export_output, options.export_min_size)
+        elif as_bam:
+            sinks.write_bam_parts(options.bam, rows, stats, files.address(options.export_output), options.export_min_size)
+        elif not zipped:
+            sinks.write_cluster_files(rows, stats, options.export_output, options.export_format, options.export_with_metadata, options.export_min_size)
         else:
             sinks.write_clusters(rows, stats, options.export_output, options.export_format, options.export_with_metadata, options.export_min_size)
 

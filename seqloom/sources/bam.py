@@ -1,7 +1,14 @@
 """BAM: block-compressed binary alignments, read and written without native libraries.
 
 Follows the public SAM/BAM specification: BGZF blocks are gzip members with their size in an extra field; a record
-holds name, flag, reference, packed bases and qualities."""
+holds name, flag, reference, packed bases and qualities.
+
+A file of BGZF blocks is cut into byte ranges: a task reads the records that begin in the blocks of its range. Where the
+first one begins is not marked; it is the first place where a record's fields, and those of the records that follow, hold
+what the specification allows. A file that is plain gzip is read by one task.
+
+A record's number within its file is 32 times the place of its block plus its rank among the records that begin there:
+unique, as a compressed byte stands for less than 32 records of at least 36 bytes each."""
 
 from __future__ import annotations
 
@@ -15,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from seqloom.sources.fastq import Part, batches
+from seqloom.sources.fastq import RANGE, Part, batches
 from seqloom.sources.files import listing, opened
 
 SCHEMA = "file string, nr long, id string, flag int, tid int, pos int, mapq int, seq string, quality array<smallint>, raw binary"
@@ -23,6 +30,9 @@ ARROW = pa.schema([("file", pa.string()), ("nr", pa.int64()), ("id", pa.string()
 BASES = "=ACMGRSVTWYHKDBN"
 _PAIR = [BASES[i >> 4] + BASES[i & 15] for i in range(256)]
 _NUMBER = {b: i for i, b in enumerate(BASES)}
+CHAIN = 8  # records that have to follow each other where a range begins
+CONSUMING = (0, 1, 4, 7, 8)  # fixed values: alignment operations M, I, S, = and X, which take bases of the sequence
+PLACE_BITS = 45  # of a record's number; files have those above
 END_OF_FILE = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
@@ -73,6 +83,157 @@ def bam_records(stream, keep_raw: bool = False) -> Iterator[tuple]:
             continue
 
 
+def block_size(head: bytes) -> int | None:
+    """The size of the BGZF block that begins with these bytes, or none if no block does."""
+    if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
+        return None
+    at, end = 12, 12 + struct.unpack_from("<H", head, 10)[0]
+    while at + 6 <= min(end, len(head)):
+        kind, size = head[at : at + 2], struct.unpack_from("<H", head, at + 2)[0]
+        if kind == b"BC" and size == 2:
+            return struct.unpack_from("<H", head, at + 4)[0] + 1
+        at += 4 + size
+    return None
+
+
+class Blocks:
+    """The bytes of the BGZF blocks from a place on, as one stream that knows the block of its next byte."""
+
+    def __init__(self, stream, place: int = 0):
+        self.stream, self.following, self.block, self.data, self.at = stream, place, place, b"", 0
+
+    def _load(self) -> bool:
+        self.stream.seek(self.following)
+        held = self.stream.read(65_536)
+        if not held:
+            return False
+        size = block_size(held)
+        if size is None:
+            raise BadBam(f"no block at byte {self.following}")
+        if len(held) < size:
+            raise EOFError("a block is cut off")
+        start = 12 + struct.unpack_from("<H", held, 10)[0]
+        self.data, self.at = zlib.decompress(held[start : size - 8], -15), 0
+        if zlib.crc32(self.data) != struct.unpack_from("<I", held, size - 8)[0]:
+            raise BadBam(f"wrong checksum at byte {self.following}")
+        self.block, self.following = self.following, self.following + size
+        return True
+
+    def place(self) -> int | None:
+        """The block of the next byte, or none at the end."""
+        while self.at == len(self.data):
+            if not self._load():
+                return None
+        return self.block
+
+    def read(self, n: int) -> bytes:
+        out = []
+        while n > 0 and self.place() is not None:
+            out.append(self.data[self.at : self.at + n])
+            self.at += len(out[-1])
+            n -= len(out[-1])
+        return b"".join(out)
+
+
+def block_records(blocks: Blocks, end: int, keep_raw: bool = False) -> Iterator[tuple]:
+    """As `bam_records`, for the records that begin in blocks before `end`."""
+    last, rank = -1, 0
+    while (block := blocks.place()) is not None and block < end:
+        last, rank = block, rank + 1 if block == last else 0
+        head = blocks.read(4)
+        if len(head) < 4:
+            return
+        raw = blocks.read(struct.unpack("<i", head)[0])
+        try:
+            yield block * 32 + rank, *decode_record(raw), raw if keep_raw else None
+        except (BadBam, struct.error):
+            continue
+
+
+def first_block(stream, start: int, end: int) -> int | None:
+    """The first block that begins in the range: its size leads to another block or to the file's end."""
+    stream.seek(0, 2)
+    length, at = stream.tell(), start
+    while at < end:
+        stream.seek(at)
+        held = stream.read(2 * 65_536)
+        found = held.find(b"\x1f\x8b\x08\x04")
+        while 0 <= found < 65_536 and at + found < end:
+            size = block_size(held[found:])
+            if size is not None:
+                stream.seek(at + found + size)
+                after = stream.read(4)
+                if at + found + size == length or after == b"\x1f\x8b\x08\x04":
+                    try:
+                        Blocks(stream, at + found).place()
+                        return at + found
+                    except (BadBam, EOFError, zlib.error, struct.error):
+                        pass
+            found = held.find(b"\x1f\x8b\x08\x04", found + 1)
+        at += 65_536
+    return None
+
+
+def plausible(raw: bytes, references: int) -> int | None:
+    """The size of the record, its size field included, if these bytes can begin one."""
+    if len(raw) < 37:
+        return None
+    size, tid, pos, name_len, _, _, ops, _, length, mate, mate_pos = struct.unpack_from("<iiiBBHHHiii", raw)
+    if not (-1 <= tid < references and -1 <= mate < references and pos >= -1 and mate_pos >= -1 and length >= 0 and name_len):
+        return None
+    if size < 32 + name_len + 4 * ops + (length + 1) // 2 + length:
+        return None
+    name = raw[36 : 36 + name_len]
+    if len(name) < name_len or name[-1] or any(not 33 <= c <= 126 for c in name[:-1]):
+        return None
+    return size + 4
+
+
+def first_record(stream, start: int, end: int, references: int) -> Blocks | None:
+    """The blocks from the first record on that begins in a block of the range."""
+    place = first_block(stream, start, end)
+    while place is not None and place < end:
+        blocks = Blocks(stream, place)
+        if (here := blocks.place()) is None or here >= end:
+            return None
+        data, following = blocks.data, blocks.following
+        ahead = data + Blocks(stream, following).read(512)
+        for at in range(len(data)):
+            if plausible(ahead[at : at + 320], references) and _chained(stream, here, at, references):
+                blocks.at = at
+                return blocks
+        place = following
+    return None
+
+
+def _chained(stream, place: int, at: int, references: int) -> bool:
+    """Whether records follow each other from there, up to a number or the file's end; their alignments have to be as long
+    as their sequences."""
+    blocks = Blocks(stream, place)
+    blocks.place()
+    blocks.at = at
+    for i in range(CHAIN):
+        head = blocks.read(36)
+        if not head:
+            return True
+        head += blocks.read(head[12] if len(head) == 36 else 0)
+        size = plausible(head, references)
+        if size is None:
+            return False
+        ops, length = struct.unpack_from("<H", head, 16)[0], struct.unpack_from("<i", head, 20)[0]
+        alignment = blocks.read(4 * ops)
+        if ops and length and sum(op >> 4 for (op,) in struct.iter_unpack("<I", alignment[: len(alignment) & ~3]) if op & 15 in CONSUMING) != length:
+            return False
+        rest = size - len(head) - len(alignment)
+        while rest > 0 and blocks.place() is not None:  # skipped, not held
+            step = min(rest, len(blocks.data) - blocks.at)
+            blocks.at += step
+            rest -= step
+        if rest:
+            return i > 0  # the file is cut off
+    return True
+
+
 def is_bam(path: str) -> bool:
     """Whether the file opens as block-compressed BAM."""
     try:
@@ -90,14 +251,34 @@ def header_of(path: str) -> Header:
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.raw = options["path"], str(options.get("raw", "false")).lower() == "true"
+        self.range = int(options.get("rangebytes", RANGE))
 
     def partitions(self):
-        return [Part(name, 0, None, i) for i, (name, _) in enumerate(listing(self.path))]
+        out = []
+        for i, (name, size) in enumerate(listing(self.path)):
+            with opened(name) as stream:
+                cut = block_size(stream.read(65_536)) is not None
+            if cut and size >> PLACE_BITS - 5:
+                raise ValueError(f"{name} is too long for the numbers of its records")
+            out += [Part(name, at, min(at + self.range, size), i) for at in range(0, size, self.range)] if cut else [Part(name, 0, None, i)]
+        return out
 
     def read(self, partition):
-        with opened(partition.path) as f, gzip.open(f) as stream:
-            read_header(stream)
-            yield from batches(partition, bam_records(stream, self.raw), ARROW)
+        with opened(partition.path) as stream:
+            if partition.end is None:
+                with gzip.open(stream) as plain:
+                    read_header(plain)
+                    yield from batches(partition, bam_records(plain, self.raw), ARROW, PLACE_BITS)
+                return
+            blocks = Blocks(stream)
+            references = len(read_header(blocks).references)
+            first = blocks.place()  # the header may reach into later ranges
+            if first is None or first >= partition.end:
+                return
+            if first < partition.start:
+                blocks = first_record(stream, partition.start, partition.end, references)
+            if blocks is not None:
+                yield from batches(partition, block_records(blocks, partition.end, self.raw), ARROW, PLACE_BITS)
 
 
 class BamSource(DataSource):
@@ -113,7 +294,7 @@ class BamSource(DataSource):
 
 
 def read_bam(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
-    """All records, in the orientation in which they are stored; one task streams one file. With `raw`, the record's bytes
+    """All records, in the orientation in which they are stored; tasks read ranges of a file. With `raw`, the record's bytes
     come along, for exports that keep alignment and tags."""
     spark.dataSource.register(BamSource)
     return spark.read.format("bam").option("raw", str(raw).lower()).load(path)
@@ -130,7 +311,7 @@ def encode_record(name: str, flag: int, tid: int, pos: int, mapq: int, seq: str,
 
 
 class BgzfWriter:
-    """Writes bytes as BGZF blocks to a binary stream, and the end marker on closing."""
+    """Writes bytes as BGZF blocks to a binary stream, what is held on flushing, and the end marker on closing."""
 
     def __init__(self, stream):
         self.stream, self.held = stream, bytearray()
@@ -146,9 +327,13 @@ class BgzfWriter:
         body = deflate.compress(part) + deflate.flush()
         self.stream.write(struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
 
-    def close(self) -> None:
+    def flush(self) -> None:
         if self.held:
             self._block(bytes(self.held))
+            self.held.clear()
+
+    def close(self) -> None:
+        self.flush()
         self.stream.write(END_OF_FILE)
 
 

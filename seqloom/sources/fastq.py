@@ -6,7 +6,8 @@ the file's end cuts off is dropped; the id is the first word after the @, or "un
 into byte ranges, so that one file is read by many tasks.
 
 Every record has a number `nr` that no other record of the same load has: its file's place in the listing, times 2^40,
-plus the byte at which the record begins (FASTQ, whatever the ranges) or its count in the file (FASTA, BAM)."""
+plus the byte at which the record begins (FASTQ, whatever the ranges) or its count in the file (FASTA); `bam` says how
+its records are numbered."""
 
 from __future__ import annotations
 
@@ -102,10 +103,10 @@ class Part(InputPartition):
         self.path, self.start, self.end, self.file = path, start, end, file
 
 
-def batches(part: Part, records, schema: pa.Schema = ARROW) -> Iterator[pa.RecordBatch]:
+def batches(part: Part, records, schema: pa.Schema = ARROW, bits: int = 40) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for nr, *record in records:
-        held.append((part.path, (part.file << 40) + nr, *record))
+        held.append((part.path, (part.file << bits) + nr, *record))
         if len(held) == ROWS:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
             held = []

@@ -34,6 +34,11 @@ def opened(path: str):
     return open(path, "rb")
 
 
+def address(path: str) -> str:
+    """The path as pyarrow's file systems take it."""
+    return path if "://" in path else os.path.abspath(path)
+
+
 def file_type(path: str) -> str:
     """fastq or bam, by the extension (in lower case); a bam file has to begin as one. Anything else is an error."""
     from seqloom.sources.bam import is_bam

@@ -11,6 +11,7 @@ import shutil
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,62 +83,97 @@ def write_clusters(reads: DataFrame, stats: DataFrame, path: str, export_format:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
         for file in sorted(found, key=lambda f: int(f.split("_")[1])):
             with archive.open(file, "w", force_zip64=True) as out:
-                for part in sorted(found[file]):
-                    with store.open_input_stream(part) as stream:
-                        shutil.copyfileobj(stream, out, 1 << 20)
+                _copy(store, sorted(found[file]), out)
     store.delete_dir(at)
     return len(found)
 
 
-def _archive(path: str, records, wrap=lambda name, stream: stream) -> int:
-    """Writes (file, bytes) in order of files; `wrap` may put a writer around each file's stream."""
-    files, open_name, inner, outer = 0, None, None, None
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+BAM_PART = "cluster long, file string, nr long, path string"
 
-        def finish():
-            if inner is not None:
-                if outer is not inner:
-                    outer.close()
-                inner.close()
-
-        for name, data in records:
-            if name != open_name:
-                finish()
-                inner = archive.open(name, "w", force_zip64=True)
-                outer, open_name, files = wrap(name, inner), name, files + 1
-            outer.write(data)
-        finish()
-    return files
 
-
-def write_bam_clusters(source: str, clusters: DataFrame, stats: DataFrame, path: str, min_size: int = 0) -> int:
-    """A zip with one BAM file for each cluster. The source is read again by name, so all records that share a kept name
-    go along; mapped ones get the number of their reference in the cluster's own header."""
+def write_bam_parts(source: str, clusters: DataFrame, stats: DataFrame, folder: str, min_size: int = 0, whole: bool = True) -> list[tuple[str, bam.Header, list[str]]]:
+    """File name, header and part files (in the order of records) of each cluster, in the order of clusters. The source is
+    read again by name, so all records that share a kept name go along; mapped ones get the number of their reference in
+    the cluster's own header. The executors write the parts: ranges of cluster and record, each a BAM file of its own if
+    `whole`, else blocks only. A part's name is new in each attempt of a task, and only those of attempts that
+    succeeded are in the result, so lost executors and repeated tasks do no harm."""
     spark = stats.sparkSession
     chosen = exported_reads(clusters.select("id", "cluster").distinct(), stats, min_size, "bam").select("id", "cluster", "file")
     records = bam.read_bam(spark, source, raw=True)
     header = bam.header_of(source)
     tids = {r.cluster: r.tids for r in report.references_by_cluster(records, chosen).collect()}  # references of clusters
-    joined = records.drop("file").join(chosen, "id").orderBy("cluster", "nr").select("cluster", "file", "raw")
-    current: dict = {}
+    joined = records.drop("file").join(chosen, "id").select("cluster", "file", "nr", "raw")
+    store, at = pa_fs.FileSystem.from_uri(folder)
+    store.create_dir(at)
 
-    def moved():
-        for r in joined.toLocalIterator():
-            if current.get("cluster") != r.cluster:
-                own, numbers = bam.minimal_header(header, tids.get(r.cluster, []))
-                current.update(cluster=r.cluster, numbers=numbers)
-                yield r.file, bam.encode_header(own)
-            if (data := bam.moved_record(bytes(r.raw), current["numbers"])) is not None:
-                yield r.file, data
+    def write(batches):
+        target, inner = pa_fs.FileSystem.from_uri(folder)
+        opened, done = None, []
 
-    return _archive(path, moved(), lambda name, stream: bam.BgzfWriter(stream))
+        def finish():
+            if opened is not None:
+                opened[1].close() if whole else opened[1].flush()
+                opened[2].close()
+
+        for batch in batches:
+            for cluster, file, nr, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if opened is None or opened[0] != cluster:
+                    finish()
+                    own, numbers = bam.minimal_header(header, tids.get(cluster, []))
+                    path = f"{inner}/{file}/part-{uuid.uuid4().hex}.bam"
+                    target.create_dir(f"{inner}/{file}")
+                    stream = target.open_output_stream(path)
+                    opened = cluster, bam.BgzfWriter(stream), stream, numbers
+                    if whole:
+                        opened[1].write(bam.encode_header(own))
+                    done.append((cluster, file, nr, path))
+                if (data := bam.moved_record(raw, opened[3])) is not None:
+                    opened[1].write(data)
+        finish()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.string(), pa.int64(), pa.string()))], names=["cluster", "file", "nr", "path"])
+
+    rows = joined.selectExpr("cast(cluster as long) as cluster", "file", "nr", "raw").repartitionByRange("cluster", "nr").sortWithinPartitions("cluster", "nr")
+    found: dict[tuple[int, str], list[str]] = {}
+    for r in sorted(rows.mapInArrow(write, BAM_PART).collect(), key=lambda r: (r.cluster, r.nr)):  # a row a part
+        found.setdefault((r.cluster, r.file), []).append(r.path)
+    return [(file, bam.minimal_header(header, tids.get(cluster, []))[0], paths) for (cluster, file), paths in found.items()]
+
+
+def write_bam_clusters(source: str, clusters: DataFrame, stats: DataFrame, path: str, min_size: int = 0) -> int:
+    """A zip with one BAM file for each cluster; the number of files. As in `write_clusters`, the executors write the
+    blocks and the archive's one writer copies them."""
+    parts = f"{shared_folder(stats.sparkSession)}/clusters-{uuid.uuid4().hex}"
+    store, at = pa_fs.FileSystem.from_uri(parts)
+    written = write_bam_parts(source, clusters, stats, parts, min_size, whole=False)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file, header, paths in written:
+            with archive.open(file, "w", force_zip64=True) as out:
+                writer = bam.BgzfWriter(out)
+                writer.write(bam.encode_header(header))
+                writer.flush()
+                _copy(store, paths, out)
+                writer.close()
+    store.delete_dir(at)
+    return len(written)
+
+
+def _copy(store, paths: list[str], out) -> None:
+    for part in paths:
+        with store.open_input_stream(part) as stream:
+            shutil.copyfileobj(stream, out, 1 << 20)
 
 
 def write_fastq(reads: DataFrame, path: str) -> None:
-    """A FASTQ file for the assembler, with the score I at every base."""
-    with open(path, "w") as f:
-        for r in reads.select("id", "seq").toLocalIterator():
-            f.write(f"@{r.id}\n{r.seq}\n+\n{'I' * len(r.seq)}\n")
+    """A FASTQ file for the assembler, which runs on this machine, with the score I at every base; the executors write its
+    text in parts."""
+    parts = f"{shared_folder(reads.sparkSession)}/fastq-{uuid.uuid4().hex}"
+    text = F.concat(F.lit("@"), "id", F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq")))
+    reads.select(text.alias("value")).write.text(parts)
+    store, at = pa_fs.FileSystem.from_uri(parts)
+    with open(path, "wb") as out:
+        _copy(store, sorted(e.path for e in store.get_file_info(pa_fs.FileSelector(at)) if e.base_name.startswith("part-")), out)
+    store.delete_dir(at)
 
 
 PAGE = """<!doctype html><html><head><meta charset="utf-8"><title>Clusters</title><style>body{font-family:sans-serif;margin:2em}td,th{padding:.2em .8em;text-align:right}canvas{border:1px solid #ccc;margin:.5em 0}</style></head>

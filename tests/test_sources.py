@@ -178,3 +178,85 @@ def test_clusters_are_written_by_executors(spark, tmp_path):
     text = "".join(p.read_text() for p in sorted(folder.glob("part-*")))
     assert folder.name.startswith("file=cluster_10_") and text == "".join(f"@r{i}\nACGT\n+\n////\n" for i in range(2900))
     assert sinks.write_clusters(rows.limit(0), stats.limit(0), str(tmp_path / "none.zip")) == 0
+
+
+def long_bam(path, n=3000):
+    """Records from a few bytes to several blocks, under a header that is longer than a block."""
+    import random
+
+    rng = random.Random(5)
+    references = [(f"contig{i:05d}", 1000 + i) for i in range(9000)]
+    rows = []
+    for i in range(n):
+        seq = "".join(rng.choices("ACGT", k=rng.choice([1, 40, 150, 3000] if i % 500 else [200_000])))
+        quality = None if i % 7 == 0 else [rng.randrange(60) for _ in seq]
+        rows.append((f"r{i}", 0, rng.randrange(9000), rng.randrange(900), 60, seq, quality))
+    with open(path, "wb") as out:
+        writer = bam.BgzfWriter(out)
+        writer.write(bam.encode_header(bam.Header("@HD\tVN:1.6\n", references)))
+        for r in rows:
+            writer.write(bam.encode_record(*r))
+        writer.close()
+    return rows
+
+
+def test_bam_is_cut_into_ranges(spark, tmp_path):
+    path = tmp_path / "x.bam"
+    rows = long_bam(path)
+    spark.dataSource.register(bam.BamSource)
+    load = lambda size: spark.read.format("bam").option("rangebytes", str(size)).load(str(path))
+    whole = load(1 << 30)
+    assert whole.rdd.getNumPartitions() == 1
+    whole = whole.collect()
+    assert [(r.id, r.flag, r.tid, r.pos, r.mapq, r.seq, r.quality) for r in whole] == rows
+    assert len({r.nr for r in whole}) == len(rows) and [r.nr for r in whole] == sorted(r.nr for r in whole)
+    for size in (30_011, 200_003):
+        cut = load(size)
+        assert cut.rdd.getNumPartitions() > 10
+        assert sorted((r.nr, r.id, r.seq) for r in cut.select("nr", "id", "seq").collect()) == [(r.nr, r.id, r.seq) for r in whole]
+
+
+def test_numbers_of_records_that_compress_well(tmp_path):
+    path = tmp_path / "same.bam"
+    with open(path, "wb") as out:
+        writer = bam.BgzfWriter(out)
+        writer.write(bam.encode_header(HEADER))
+        writer.write(bam.encode_record("a", 4, -1, -1, 0, "", None) * 20_000)
+        writer.close()
+    with open(path, "rb") as stream:
+        blocks = bam.Blocks(stream)
+        bam.read_header(blocks)
+        numbers = [r[0] for r in bam.block_records(blocks, 1 << 40)]
+    assert len(numbers) == 20_000 and all(a < b for a, b in zip(numbers, numbers[1:]))
+
+
+def test_plain_gzip_bam(spark, tmp_path):
+    path = tmp_path / "plain.bam"
+    path.write_bytes(gzip.compress(bam.encode_header(HEADER) + b"".join(bam.encode_record(*r) for r in RECORDS)))
+    assert [r.id for r in bam.read_bam(spark, str(path)).collect()] == [r[0] for r in RECORDS]
+
+
+def test_bam_clusters_are_written_by_executors(spark, tmp_path):
+    source = tmp_path / "x.bam"
+    rows = long_bam(source, 1200)
+    clusters = spark.createDataFrame([(r[0], i % 3 - 1, 0.5, 0.1, 0.2, 0.3) for i, r in enumerate(rows)], "id string, cluster int, gc double, damage5 double, damage3 double, combined double")
+    stats = report.cluster_stats(clusters)
+    wanted = {c: [(r[0], f"contig{r[2]:05d}", r[5]) for i, r in enumerate(rows) if i % 3 - 1 == c] for c in (0, 1)}
+
+    def records(data):
+        with gzip.open(io.BytesIO(data)) as stream:
+            header = bam.read_header(stream)
+            return [(r[1], header.references[r[3]][0], r[6]) for r in bam.bam_records(stream)]
+
+    assert sinks.write_bam_clusters(str(source), clusters, stats, str(tmp_path / "x.zip")) == 2
+    with zipfile.ZipFile(tmp_path / "x.zip") as archive:
+        names = archive.namelist()
+        assert [n.split("_")[1] for n in names] == ["0", "1"]
+        assert {int(n.split("_")[1]): records(archive.read(n)) for n in names} == wanted
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else one task takes so few rows
+    try:
+        parts = sinks.write_bam_parts(str(source), clusters, stats, str(tmp_path / "parts"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {int(f.split("_")[1]): [x for p in paths for x in records(open(p, "rb").read())] for f, _, paths in parts} == wanted
+    assert sum(len(paths) for _, _, paths in parts) > 2 and sinks.write_bam_parts(str(source), clusters, stats.limit(0), str(tmp_path / "none")) == []
