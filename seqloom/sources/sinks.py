@@ -95,8 +95,9 @@ def write_bam_parts(source: str, clusters: DataFrame, stats: DataFrame, folder:
     """File name, header and part files (in the order of records) of each cluster, in the order of clusters. The source is
     read again by name, so all records that share a kept name go along; mapped ones get the number of their reference in
     the cluster's own header. The executors write the parts: ranges of cluster and record, each a BAM file of its own if
-    `whole`, else blocks only. A part's name is new in each attempt of a task, and only those of attempts that
-    succeeded are in the result, so lost executors and repeated tasks do no harm."""
+    `whole`, else blocks only. Each attempt of a task writes under new names in `_attempts`; the parts of those that
+    succeeded are moved to `<folder>/<file name>/part-<number>.bam` and the rest goes, so lost executors and repeated tasks do
+    no harm. A folder that exists is an error."""
     spark = stats.sparkSession
     chosen = exported_reads(clusters.select("id", "cluster").distinct(), stats, min_size, "bam").select("id", "cluster", "file")
     records = bam.read_bam(spark, source, raw=True)
@@ -104,7 +105,9 @@ def write_bam_parts(source: str, clusters: DataFrame, stats: DataFrame, folder:
     tids = {r.cluster: r.tids for r in report.references_by_cluster(records, chosen).collect()}  # references of clusters
     joined = records.drop("file").join(chosen, "id").select("cluster", "file", "nr", "raw")
     store, at = pa_fs.FileSystem.from_uri(folder)
-    store.create_dir(at)
+    if store.get_file_info(at).type != pa_fs.FileType.NotFound:
+        raise FileExistsError(folder)
+    store.create_dir(f"{at}/_attempts")
 
     def write(batches):
         target, inner = pa_fs.FileSystem.from_uri(folder)
@@ -120,8 +123,7 @@ def write_bam_parts(source: str, clusters: DataFrame, stats: DataFrame, folder:
                 if opened is None or opened[0] != cluster:
                     finish()
                     own, numbers = bam.minimal_header(header, tids.get(cluster, []))
-                    path = f"{inner}/{file}/part-{uuid.uuid4().hex}.bam"
-                    target.create_dir(f"{inner}/{file}")
+                    path = f"{inner}/_attempts/{uuid.uuid4().hex}.bam"
                     stream = target.open_output_stream(path)
                     opened = cluster, bam.BgzfWriter(stream), stream, numbers
                     if whole:
@@ -136,7 +138,12 @@ def write_bam_parts(source: str, clusters: DataFrame, stats: DataFrame, folder:
     rows = joined.selectExpr("cast(cluster as long) as cluster", "file", "nr", "raw").repartitionByRange("cluster", "nr").sortWithinPartitions("cluster", "nr")
     found: dict[tuple[int, str], list[str]] = {}
     for r in sorted(rows.mapInArrow(write, BAM_PART).collect(), key=lambda r: (r.cluster, r.nr)):  # a row a part
-        found.setdefault((r.cluster, r.file), []).append(r.path)
+        own = found.setdefault((r.cluster, r.file), [])
+        if not own:
+            store.create_dir(f"{at}/{r.file}")
+        own.append(f"{at}/{r.file}/part-{len(own):05d}.bam")
+        store.move(r.path, own[-1])
+    store.delete_dir(f"{at}/_attempts")
     return [(file, bam.minimal_header(header, tids.get(cluster, []))[0], paths) for (cluster, file), paths in found.items()]
 
 

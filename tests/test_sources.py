@@ -259,4 +259,7 @@ def test_bam_clusters_are_written_by_executors(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {int(f.split("_")[1]): [x for p in paths for x in records(open(p, "rb").read())] for f, _, paths in parts} == wanted
+    assert sorted(str(p) for p in (tmp_path / "parts").rglob("*") if p.is_file()) == sorted(p for _, _, paths in parts for p in paths)
+    with pytest.raises(FileExistsError):
+        sinks.write_bam_parts(str(source), clusters, stats, str(tmp_path / "parts"))
     assert sum(len(paths) for _, _, paths in parts) > 2 and sinks.write_bam_parts(str(source), clusters, stats.limit(0), str(tmp_path / "none")) == []
