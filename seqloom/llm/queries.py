@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chosen_path, language_id, line_dedup, mixing, oracles, pieces, pii, quality_mil, quality_rules, tiff, token_counts
+from seqloom.llm import ball_kmeans, byte_pairs, chosen_path, language_id, line_dedup, mixing, oracles, pieces, pii, quality_mil, quality_rules, spelling, tiff, token_counts
 from seqloom.llm.common import table
 
 TOKEN_LIMIT = 512
@@ -61,9 +61,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_pairs.byte_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(byte_pairs.MODEL))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_media_tiff, op2_token_counts, op3_sentencepiece, op4_pii, op5_quality_mil, op6_ngram_join, op7_language_id, op8_line_dedup, op9_pfair_mix, op10_quality_rules)}
+QUERIES |= {f.__name__: f for f in (op11_byte_pairs, op12_spelling_variants, op13_ball_kmeans)}
 ORACLES: dict[str, str] = {
     "op8_line_dedup": oracles.OP8,
     "op9_pfair_mix": oracles.OP9,
     "op10_quality_rules": oracles.op10(quality_rules.RULES, quality_rules.ALPHA, quality_rules.DELTA),
+    "op12_spelling_variants": oracles.OP12,
+    "op13_ball_kmeans": oracles.op13(ball_kmeans.CLUSTERS, ball_kmeans.ROUNDS, ball_kmeans.SCALE, ball_kmeans.DIMENSIONS, ball_kmeans.SEED),
 }

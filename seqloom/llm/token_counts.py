@@ -19,6 +19,7 @@ text around them; repeated rows give repeated rows; null ids pass through; other
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 
@@ -153,7 +154,7 @@ class Merges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        self.special = [t["content"] for t in model["added_tokens"]]
+        self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
         self.tokens = [bytes([i]) for i in range(256)]
@@ -167,19 +168,19 @@ class Merges:
                 self.left.append(number[a])
                 self.right.append(number[b])
             self.merged.setdefault((number[a], number[b]), whole)
+        self.ids = [-1] * len(self.tokens)  # by number: the id in the vocabulary
+        for shown_as, i in model["model"]["vocab"].items():
+            if shown_as not in self.special:
+                self.ids[number[bytes(byte_of[c] for c in shown_as)]] = i
         self.known: dict[tuple[int, int], bool] = {}
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether the two tokens, side by side, stay as they are when the merges are applied in order."""
-        key = (a, b)
-        if (got := self.known.get(key)) is not None:
-            return got
-        bound, out = len(self.tokens), True
+    def stay(self, a: int, b: int, bound: int) -> bool:
+        """Whether the two tokens, side by side, stay as they are under the merges below `bound`, applied in order: their own
+        merges are undone from the latest on, looking for an earlier merge across."""
         while True:
             whole = self.merged.get((a, b))
             if whole is not None and whole < bound:
-                out = False
-                break
+                return False
             if a > b and self.right[a] >= 0:
                 bound, a = a, self.right[a]
             elif self.left[b] >= 0:
@@ -187,9 +188,13 @@ class Merges:
             elif self.right[a] >= 0:
                 bound, a = a, self.right[a]
             else:
-                break
-        self.known[key] = out
-        return out
+                return True
+
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether the two tokens, side by side, stay as they are when the merges are applied in order."""
+        if (got := self.known.get((a, b))) is None:
+            got = self.known[a, b] = self.stay(a, b, len(self.tokens))
+        return got
 
 
 class Counter:
@@ -304,36 +309,39 @@ def loaded(path: str) -> tuple[np.ndarray, Counter]:
     return _LOADED[path]
 
 
-def count_tokens(values: list[str], path: str) -> np.ndarray:
-    """The number of tokens of each text."""
-    table, counter = loaded(path)
-    if not values:
-        return np.zeros(0, np.int64)
-    parts, first = [], []
-    extra = np.zeros(len(values), np.int64)
-    for i, text in enumerate(values):
+def pretokens(values: list[str], table: np.ndarray, special: dict[str, int]) -> tuple[list[str], np.ndarray, np.ndarray, list[int]]:
+    """The pretokens of all texts in one list. Texts are cut at special strings into parts, and each part ends in an entry that
+    is no pretoken: its place, for each part; the first part of each text; and the id of the special string that ends the
+    part (-1: the end of the text)."""
+    parts, first, ended = [], [], []
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+    for text in values:
         first.append(len(parts))
-        own = [text]
-        for special in counter.merges.special:
-            if special in text:
-                own = [x for part in own for x in part.split(special)]
-        extra[i] = len(own) - 1
-        parts += own
+        own = cut.split(text) if cut else [text]
+        parts += own[::2]
+        ended += [*[special[x] for x in own[1::2]], -1]
     whole = "\n".join(parts) + "\n"
     classes = table[np.frombuffer(whole.encode("utf-32-le"), np.uint32)]
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     classes[ends] = STOP
     starts = marks(classes)
     at = starts.tolist()
-    words = [whole[a:b] for a, b in zip(at, at[1:])] + [""]
+    return [whole[a:b] for a, b in zip(at, at[1:])] + [""], np.searchsorted(starts, ends), np.array(first), ended
+
+
+def count_tokens(values: list[str], path: str) -> np.ndarray:
+    """The number of tokens of each text."""
+    table, counter = loaded(path)
+    if not values:
+        return np.zeros(0, np.int64)
+    words, stops, first, ended = pretokens(values, table, counter.merges.special)
     if max(map(len, words)) > LONG_WORD:  # long pretokens are not kept
         counts = np.array([counter.words[w] if len(w) <= LONG_WORD else counter.count_long(w) for w in words], np.int64)
     else:
         counts = np.fromiter(map(counter.words.__getitem__, words), np.int64, len(words))
-    stops = np.searchsorted(starts, ends)
-    counts[stops] = 0
+    counts[stops] = np.array(ended) >= 0  # a special string is one token
     begin = np.concatenate([[0], stops[:-1] + 1])
-    return np.add.reduceat(counts, begin[first]) + extra
+    return np.add.reduceat(counts, begin[first])
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from seqloom.llm import pieces, token_counts
+from seqloom.llm import byte_pairs, pieces, token_counts
 
 BPE, MODEL = public_tokenizers.path(token_counts.MODEL), public_tokenizers.path(pieces.MODEL)
 LIBRARY = Tokenizer.from_file(BPE)
@@ -116,3 +116,86 @@ def test_other_models_are_refused(tmp_path):
     (tmp_path / "x.model").write_bytes(b"")
     with pytest.raises(ValueError):
         pieces.Pieces(str(tmp_path / "x.model"))
+
+
+def library_ids(text):
+    return LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(TEXT, min_size=1, max_size=5))
+def test_byte_pairs_equal_the_library(values):
+    model = byte_pairs.loaded(BPE)
+    for text, got in zip(values, model.encode(values)):
+        ids = np.frombuffer(got, "<u4")
+        assert ids.tolist() == library_ids(text)
+        assert model.decode(ids) == LIBRARY.decode(ids.tolist(), skip_special_tokens=False)
+
+
+def test_byte_pairs_of_special_cases(monkeypatch):
+    rng = random.Random(3)
+    values = ["", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", "x" * 5000, "=-" * 700, "東京日本" * 300, "".join(rng.choice("aA'é \n") for _ in range(4000))]
+    model = byte_pairs.loaded(BPE)
+    assert [np.frombuffer(i, "<u4").tolist() for i in model.encode(values)] == [library_ids(t) for t in values]
+    assert model.encode([]) == []
+    monkeypatch.setattr(byte_pairs, "PIECE", 3)  # characters of several bytes are cut between pieces of ids
+    assert all(model.decode(library_ids(t)) == t for t in values)
+    lone = [model.merges.ids[b] for b in (0xE6, 0x41, 0x9D, 0xC3)]
+    assert model.decode(lone) == LIBRARY.decode(lone, skip_special_tokens=False)
+    for bad in ([-1], [50_257]):
+        with pytest.raises(IndexError):
+            model.decode(bad)
+
+
+def test_byte_pairs_backtrack():
+    """Tables kept within small bounds, and places where the longest token has to be given up."""
+    model = byte_pairs.BytePairs(BPE)
+    model.pairs.size = model.words.size = 20
+    rng = random.Random(6)
+    tokens = [t for t in (bytes(t) for t in model.merges.tokens) if t.isascii() and t.isalpha()]
+    words = ["".join(rng.choice(tokens).decode() for _ in range(rng.randint(1, 6))) for _ in range(500)]
+    greedy = 0
+    for w, got in zip(words, model.encode(words)):
+        ids = np.frombuffer(got, "<u4").tolist()
+        assert ids == library_ids(w)
+        data, place, longest = w.encode(), 0, []
+        while place < len(data):
+            t = max((t for n in range(1, 20) if (t := data[place : place + n]) in set_of(model)), key=len)
+            longest.append(t)
+            place += len(t)
+        greedy += len(longest) != len(ids) or [model.bytes[model.offsets[i] : model.offsets[i + 1]].tobytes() for i in ids] != longest
+    assert greedy > 50
+
+
+def set_of(model):
+    if not hasattr(model, "every"):
+        model.every = set(model.merges.tokens)
+    return model.every
+
+
+def test_byte_digests_on_edge_rows(spark):
+    df = spark.createDataFrame([(*r, 9) for r in ROWS], "doc_id long, text string, n_tokens int")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    expected = []
+    for i, t in ROWS:
+        ids = library_ids(t or "")
+        expected.append((i or 0, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(LIBRARY.decode(ids, skip_special_tokens=False).encode())))
+    assert sorted((r.doc_id or 0, *r[1:]) for r in byte_pairs.byte_digests(df, BPE).collect()) == sorted(expected)
+    encoded = byte_pairs.encode_bytes(df, BPE)
+    assert sorted((r.doc_id or 0, r.ids) for r in encoded.collect()) == sorted((i or 0, library_ids(t or "")) for i, t in ROWS)
+    assert sorted((r.doc_id or 0, r.text) for r in byte_pairs.decode_bytes(encoded, BPE).collect()) == sorted((i or 0, t or "") for i, t in ROWS)
+    none = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
+    assert byte_pairs.decode_bytes(none, BPE).collect() == [(1, "")]
+    assert byte_pairs.byte_digests(df.limit(0), BPE).count() == 0 and byte_pairs.encode_bytes(df.limit(0), BPE).count() == 0
+
+
+def test_registered_byte_pairs(spark):
+    from seqloom.llm.queries import op11_byte_pairs
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op11_byte_pairs(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == docs.keys()
+    for i, text in docs.items():
+        ids = library_ids(text)
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
