@@ -78,51 +78,11 @@ def fast_ends(segment5: Column, segment3: Column) -> tuple[Column, Column]:
     return 0.7 * _share(t, tc) + 0.3 * position_weight(segment5, "Tt"), 0.7 * _share(a, ag) + 0.3 * position_weight(segment3, "Aa")
 
 
-def change_point(segment: Column, letters: str) -> Column:
-    """struct(position, stat): the first cut with the largest share difference times sqrt(n1 n2 / n); null without one."""
-    n = F.length(segment)
-    total = count_of(segment, letters)
-
-    def at(k: Column) -> Column:
-        left = count_of(F.substr(segment, F.lit(1), k), letters)
-        stat = F.abs(left / k - (total - left) / (n - k)) * F.sqrt(k * (n - k) / n)
-        return F.struct(stat.alias("stat"), (-k).alias("minus"))
-
-    best = F.array_max(F.transform(F.sequence(F.lit(3), F.greatest(n - 3, F.lit(3))), at))
-    return F.when((n >= 6) & (best["stat"] > 0), F.struct((-best["minus"]).alias("position"), best["stat"].alias("stat")))
-
-
-def background_rate(segment: Column, letters: str) -> Column:
-    """Share of the base beyond the first six (or the first half), 0.25 if nothing lies there."""
-    n = F.length(segment)
-    start = F.least(F.lit(6), F.floor(n / 2)).cast("int")
-    rest = F.substr(segment, start + 1, n - start)
-    return F.when(n > start, count_of(rest, letters) / F.nullif(n - start, F.lit(0))).otherwise(F.lit(0.25))
-
-
-def change_z(stat: Column, rate: Column) -> Column:
-    """The statistic over sqrt(2 rate), the argument of erfc; 100 stands for infinity."""
-    return F.when(rate > 0, stat / F.sqrt(rate) / F.sqrt(F.lit(2.0))).otherwise(F.lit(100.0))
-
-
 def one_tailed(z_column: str) -> Column:
     """0.5 erfc(z) of a double column."""
     return F.expr(f"0.5e0 * {erfc_sql(z_column)}")
 
 
-def change_score(segment: Column, position: Column) -> Column:
-    """0.1 without a change point; else from how much more T and A stand before it than after it."""
-    n = F.length(segment)
-
-    def ratio(letters: str) -> Column:
-        before = count_of(F.substr(segment, F.lit(1), position), letters) / position
-        after = count_of(F.substr(segment, position + 1, n - position), letters) / (n - position)
-        return F.when(after > 0, before / F.nullif(after, F.lit(0.0))).otherwise(F.lit(1.0))
-
-    s = ((ratio("Tt") - 1) + (ratio("Aa") - 1)) / 2
-    return F.when(position.isNull(), F.lit(0.1)).otherwise(0.2 + 0.6 * (F.least(s, F.lit(2.0)) / 2))
-
-
 def sites(segment: Column, end: int) -> Column:
     """array of struct(pos, prob): bases that deamination may have made, counted from the segment's start."""
     m = F.length(segment)

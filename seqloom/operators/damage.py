@@ -15,6 +15,8 @@ _CODE = np.full(256, 4, np.int8)
 for _i, _b in enumerate("ACGT"):
     _CODE[ord(_b)] = _CODE[ord(_b.lower())] = _i
 A, C, G, T = range(4)
+#: Reads below this many bases have no change points, and no assessment.
+SHORT = 15
 _ERFC = np.frompyfunc(math.erfc, 1, 1)
 
 
@@ -32,15 +34,26 @@ def fast_damage(reads: DataFrame, window: int = 5) -> DataFrame:
 
 
 def change_points(reads: DataFrame, window: int = 5) -> DataFrame:
-    """The reads with position, stat, p-value and score of the change point of both ends (columns end in 5 or 3)."""
-    out = with_segments(reads, window)
-    for end, segment, letters in ((5, "five", "Tt"), (3, "three", "Aa")):
-        out = out.withColumn(f"cp{end}", fn.change_point(F.col(segment), letters))
-        out = out.withColumn(f"position{end}", F.col(f"cp{end}.position")).withColumn(f"stat{end}", F.coalesce(F.col(f"cp{end}.stat"), F.lit(0.0))).drop(f"cp{end}")
-        out = out.withColumn(f"z{end}", fn.change_z(F.col(f"stat{end}"), fn.background_rate(F.col(segment), letters)))
-        out = out.withColumn(f"pvalue{end}", F.when(F.col(f"position{end}").isNull(), F.lit(1.0)).otherwise(fn.one_tailed(f"z{end}")))
-        out = out.withColumn(f"score{end}", fn.change_score(F.col(segment), F.col(f"position{end}")))
-    return out
+    """The reads with position (null: none), stat, p-value and score of the change point of both ends (columns end in 5 or
+    3). Below 15 bases there is none, and the score is 0."""
+
+    def compute(frame):
+        seqs = frame["seq"].tolist()
+        length = np.array([len(s) for s in seqs], np.int64)
+        n = segment_sizes(length, window)
+        out = {}
+        for end, letter in ((5, T), (3, A)):
+            place, stat, pvalue, score = change_arrays(segments(seqs, n, end)[0], n, letter)
+            out |= {f"position{end}": pd.array(np.where(place < 0, 0, place), "Int32"), f"stat{end}": stat, f"pvalue{end}": pvalue, f"score{end}": np.where(length < SHORT, 0.0, score)}
+            out[f"position{end}"][place < 0] = pd.NA
+        return out
+
+    columns = {f"{c}{end}": t for end in (5, 3) for c, t in (("position", "int"), ("stat", "double"), ("pvalue", "double"), ("score", "double"))}
+    return _mapped(reads, reads.columns, compute, columns)
+
+
+def segment_sizes(length: np.ndarray, window: int) -> np.ndarray:
+    return np.minimum(np.minimum(3 * window, length // 4), length // 2)
 
 
 def segments(seqs: list[str], n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,19 +143,35 @@ def log_likelihood_ratio(prob5, rate5, amp5, prob3, rate3, amp3) -> np.ndarray:
     return np.where(sites == 0, 0.0, np.where(wrong, -5.0, out))
 
 
-def change_arrays(code: np.ndarray, n: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Position (-1: none), p-value and score of each segment's change point."""
+def cuts(low: int, high: int) -> list[int]:
+    """The places low to high - 1 in the order in which a better cut replaces another: ranges of more than 16 places begin with
+    their middle, then come the places before it and those from it on."""
+    if high <= low + 1:
+        return []
+    if high - low <= 16:
+        return list(range(low, high))
+    mid = (low + high) // 2
+    return [mid, *cuts(low, mid), *cuts(mid, high)]
+
+
+def change_arrays(code: np.ndarray, n: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Position (-1: none), statistic, p-value and score of each segment's change point."""
     width = code.shape[1]
     hits = np.concatenate([np.zeros((len(code), 1)), np.cumsum(code == base, axis=1)], axis=1)
     total = np.take_along_axis(hits, n[:, None], axis=1)
     best, place = np.zeros(len(code)), np.full(len(code), -1)
-    for k in range(3, width - 2):
-        rest = n - k
-        ok = rest >= 3
-        safe = np.where(ok, rest, 1)
-        stat = np.abs(hits[:, k] / k - (total[:, 0] - hits[:, k]) / safe) * np.sqrt(k * safe / (k + safe))
-        better = ok & (stat > best)
-        best, place = np.where(better, stat, best), np.where(better, k, place)
+    # Up to 20 bases every place is tried in order; beyond that the order depends on the length.
+    for size in [None, *np.unique(n[n > 20]).tolist()]:
+        rows = np.flatnonzero(n <= 20 if size is None else n == size)
+        for k in range(3, 18) if size is None else cuts(2, size - 2):
+            rest = n[rows] - k
+            ok = (rest >= 3) & (k >= 3)
+            if not ok.any():
+                continue
+            safe = np.where(ok, rest, 1)
+            stat = np.abs(hits[rows, k] / k - (total[rows, 0] - hits[rows, k]) / safe) * np.sqrt(k * safe / (k + safe))
+            better = ok & (stat > best[rows])
+            best[rows[better]], place[rows[better]] = stat[better], k
     start = np.minimum(6, n // 2)
     beyond = n - start
     rate = np.where(beyond > 0, (total[:, 0] - np.take_along_axis(hits, start[:, None], axis=1)[:, 0]) / np.maximum(beyond, 1), 0.25)
@@ -158,7 +187,7 @@ def change_arrays(code: np.ndarray, n: np.ndarray, base: int) -> tuple[np.ndarra
         after = (np.take_along_axis(own, n[:, None], axis=1)[:, 0] - before) / np.maximum(n - k, 1)
         ratios.append(np.where(after > 0, before / k / np.where(after > 0, after, 1), 1.0))
     s = ((ratios[0] - 1) + (ratios[1] - 1)) / 2
-    return place, pvalue, np.where(place < 0, score, 0.2 + 0.6 * np.minimum(s, 2.0) / 2)
+    return place, best, pvalue, np.where(place < 0, score, 0.2 + 0.6 * np.minimum(s, 2.0) / 2)
 
 
 def length_factors(length: np.ndarray) -> np.ndarray:
@@ -177,16 +206,16 @@ def assess(seqs: list[str], window: int = 5) -> dict[str, np.ndarray]:
     """Damage of each read: below 15 bases 0.1; from 100 bases, or with few T and C or A and G at an end, the fast path;
     otherwise change points and decay fits. `path` names it; the details are NaN where they are not computed."""
     length = np.array([len(s) for s in seqs], np.int64)
-    n = np.minimum(np.minimum(3 * window, length // 4), length // 2)
+    n = segment_sizes(length, window)
     (c5, in5), (c3, in3) = segments(seqs, n, 5), segments(seqs, n, 3)
     t5, c5n, a3, g3 = (c5 == T).sum(axis=1), (c5 == C).sum(axis=1), (c3 == A).sum(axis=1), (c3 == G).sum(axis=1)
-    short, fast = length < 15, (length >= 100) | (t5 + c5n < 5) | (a3 + g3 < 5)
+    short, fast = length < SHORT, (length >= 100) | (t5 + c5n < 5) | (a3 + g3 < 5)
     share = lambda x, y: np.where(y > 0, np.minimum(x / np.maximum(x + y, 1), 0.8), 0.2)
     weight = lambda x: np.where((n >= 3) & (x > 0), 1.0, 0.2)
     f5, f3 = 0.7 * share(t5, c5n) + 0.3 * weight(t5), 0.7 * share(a3, g3) + 0.3 * weight(a3)
     p5, p3 = site_probabilities(c5, in5, 5), site_probabilities(c3, in3, 3)
-    _, v5, s5 = change_arrays(c5, n, T)
-    _, v3, s3 = change_arrays(c3, n, A)
+    _, _, v5, s5 = change_arrays(c5, n, T)
+    _, _, v3, s3 = change_arrays(c3, n, A)
     (l5, _, q5), (l3, _, q3) = ternary_fit(p5), ternary_fit(p3)
     d5, d3 = np.where(fast, f5, 0.6 * s5 + 0.4 * q5), np.where(fast, f3, 0.6 * s3 + 0.4 * q3)
     whole = 0.4 * (d5 + d3) / 2 + 0.35 * length_factors(length) + 0.25 * balance(d5, d3)
@@ -214,10 +243,11 @@ def decay_model(seqs: list[str], n: np.ndarray) -> dict[str, np.ndarray]:
 def ensemble(seqs: list[str], support: np.ndarray, ratio: np.ndarray, mismatches: np.ndarray, overlap: np.ndarray, window: int = 5) -> dict[str, np.ndarray]:
     """Change points, decay model and mate evidence combined with weights that add up to 1."""
     length = np.array([len(s) for s in seqs], np.int64)
-    n = np.minimum(np.minimum(3 * window, length // 4), length // 2)
+    n = segment_sizes(length, window)
     (c5, _), (c3, _) = segments(seqs, n, 5), segments(seqs, n, 3)
-    _, v5, s5 = change_arrays(c5, n, T)
-    _, v3, s3 = change_arrays(c3, n, A)
+    _, _, v5, s5 = change_arrays(c5, n, T)
+    _, _, v3, s3 = change_arrays(c3, n, A)
+    s5, s3 = (np.where(length < SHORT, 0.0, s) for s in (s5, s3))  # the p-values are 1 there
     model = decay_model(seqs, n)
     w_cp = np.select([length < 50, length < 100], [0.5, 0.4], 0.3) * np.where((v5 < 0.05) | (v3 < 0.05), 1.0, 0.5)
     w_model = np.select([(model["llr"] > 2) & (model["fit5"] > 0.6) & (model["fit3"] > 0.4), model["llr"] > 0.5], [0.5, 0.4], 0.3)
@@ -266,7 +296,7 @@ def fit_decay(reads: DataFrame, window: int = 5) -> DataFrame:
     def compute(frame):
         seqs = frame["seq"].tolist()
         length = np.array([len(s) for s in seqs], np.int64)
-        n = np.minimum(np.minimum(3 * window, length // 4), length // 2)
+        n = segment_sizes(length, window)
         out = decay_model(seqs, n)
         for end in (5, 3):
             rate, _, quality = ternary_fit(site_probabilities(*segments(seqs, n, end), end))

@@ -133,8 +133,7 @@ def em(reads: DataFrame, k: int = 4, min_cluster_size: int = 10, max_rounds: int
         model = Model(pf.smooth(sums, pseudocount), sizes, gc / np.maximum(sizes, 1), k)
         history.append(float((sums * np.log(model.profiles)).sum()))
         if round_ >= MIN_ROUNDS and not merged:
-            change = abs(history[-1] - history[-2]) / max(abs(history[-2]), 1e-10)
-            if changed == 0 or change < convergence:
+            if changed == 0 or relative_change(history) < convergence:
                 break
     # The clusters of the last round are `before`'s assignment, relabelled.
     model.history = history
@@ -142,6 +141,12 @@ def em(reads: DataFrame, k: int = 4, min_cluster_size: int = 10, max_rounds: int
     return model
 
 
+def relative_change(history: list[float]) -> float:
+    """How far the last likelihood is from the one before, over the last one."""
+    change = abs(history[-1] - history[-2])
+    return change / abs(history[-1]) if abs(history[-1]) > 1e-10 else change
+
+
 def assignments(reads: DataFrame, model: Model) -> DataFrame:
     """read_idx and cluster of every read under the fitted model."""
     last, relabel = getattr(model, "last", None) or model, getattr(model, "relabel", None)

@@ -53,24 +53,24 @@ def _change(segment: str, letter: str, tag: str = "") -> str:
     return f"""{'' if tag else SEG}, k{tag} AS (SELECT read_idx, n, {segment} AS s, unnest(range(3, n - 2)) AS k FROM seg WHERE n >= 6),
   st{tag} AS (SELECT read_idx, k, abs({_n('substr(s, 1, k)', letter)}::DOUBLE / k - {_n('substr(s, k + 1)', letter)}::DOUBLE / (n - k)) * sqrt((k * (n - k))::DOUBLE / n) AS stat FROM k{tag}),
   best{tag} AS (SELECT read_idx, k, stat FROM (SELECT *, row_number() OVER (PARTITION BY read_idx ORDER BY stat DESC, k) AS r FROM st{tag} WHERE stat > 0) WHERE r = 1),
-  cp{tag} AS (SELECT seg.read_idx, {segment} AS s, n, k AS position, coalesce(stat, 0) AS stat,
+  cp{tag} AS (SELECT seg.read_idx, {segment} AS s, n, length(seq) < 15 AS tiny, k AS position, coalesce(stat, 0) AS stat,
     CASE WHEN n > least(6, n // 2) THEN {_n(f'substr({segment}, least(6, n // 2) + 1)', letter)}::DOUBLE / (n - least(6, n // 2)) ELSE 0.25::DOUBLE END AS rate
     FROM seg LEFT JOIN best{tag} USING (read_idx)),
   z{tag} AS (SELECT *, CASE WHEN rate > 0 THEN stat / sqrt(rate) / sqrt(2.0::DOUBLE) ELSE 100.0::DOUBLE END AS z FROM cp{tag})"""
 
 
 def _change_sql(segment: str, letter: str) -> str:
-    return f"{_change(segment, letter)} SELECT read_idx, position::INTEGER AS position, round(stat, 6) AS stat, round(CASE WHEN position IS NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE * {erfc_sql('z')} END, 6) AS pvalue FROM z"
+    return f"{_change(segment, letter)} SELECT read_idx, position::INTEGER AS position, round(stat, 6) AS stat, round(CASE WHEN position IS NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE * {erfc_sql('z')} END, 6) AS pvalue FROM z".replace("FROM reads", "FROM all_reads")
 
 
 @query(_change_sql("five", "T"))
 def change_point_5p(spark, sf):
-    return dm.change_points(rd.reads(spark, sf)).select("read_idx", F.col("position5").alias("position"), six("stat5").alias("stat"), six("pvalue5").alias("pvalue"))
+    return dm.change_points(rd.all_reads(spark, sf).select("read_idx", "seq")).select("read_idx", F.col("position5").alias("position"), six("stat5").alias("stat"), six("pvalue5").alias("pvalue"))
 
 
 @query(_change_sql("three", "A"))
 def change_point_3p(spark, sf):
-    return dm.change_points(rd.reads(spark, sf)).select("read_idx", F.col("position3").alias("position"), six("stat3").alias("stat"), six("pvalue3").alias("pvalue"))
+    return dm.change_points(rd.all_reads(spark, sf).select("read_idx", "seq")).select("read_idx", F.col("position3").alias("position"), six("stat3").alias("stat"), six("pvalue3").alias("pvalue"))
 
 
 def _ratio(letter: str) -> str:
@@ -78,10 +78,10 @@ def _ratio(letter: str) -> str:
     return f"CASE WHEN {after} > 0 THEN ({before}) / ({after}) ELSE 1.0::DOUBLE END"
 
 
-@query(f"""{_change('five', 'T')} SELECT read_idx, round(CASE WHEN position IS NULL THEN 0.1::DOUBLE
-  ELSE 0.2::DOUBLE + 0.6::DOUBLE * (least((({_ratio('T')} - 1) + ({_ratio('A')} - 1)) / 2, 2.0::DOUBLE) / 2) END, 6) + 0.0::DOUBLE AS score FROM z""")
+@query(f"""{_change('five', 'T')} SELECT read_idx, round(CASE WHEN tiny THEN 0.0::DOUBLE WHEN position IS NULL THEN 0.1::DOUBLE
+  ELSE 0.2::DOUBLE + 0.6::DOUBLE * (least((({_ratio('T')} - 1) + ({_ratio('A')} - 1)) / 2, 2.0::DOUBLE) / 2) END, 6) + 0.0::DOUBLE AS score FROM z""".replace("FROM reads", "FROM all_reads"))
 def change_point_score(spark, sf):
-    return dm.change_points(rd.reads(spark, sf)).select("read_idx", six("score5").alias("score"))
+    return dm.change_points(rd.all_reads(spark, sf).select("read_idx", "seq")).select("read_idx", six("score5").alias("score"))
 
 
 @query(f", z AS (SELECT read_idx, (length(seq) - 60) / 20.0::DOUBLE AS z FROM reads) SELECT read_idx, round(0.5::DOUBLE * {erfc_sql('z')}, 6) AS pvalue FROM z")
@@ -166,7 +166,7 @@ def llr(spark, sf):
 
 
 PVALUE = f"CASE WHEN position IS NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE * {erfc_sql('z')} END AS pvalue"
-SCORE = f"CASE WHEN position IS NULL THEN 0.1::DOUBLE ELSE 0.2::DOUBLE + 0.6::DOUBLE * (least((({_ratio('T')} - 1) + ({_ratio('A')} - 1)) / 2, 2.0::DOUBLE) / 2) END AS score"
+SCORE = f"CASE WHEN tiny THEN 0.0::DOUBLE WHEN position IS NULL THEN 0.1::DOUBLE ELSE 0.2::DOUBLE + 0.6::DOUBLE * (least((({_ratio('T')} - 1) + ({_ratio('A')} - 1)) / 2, 2.0::DOUBLE) / 2) END AS score"
 DETAILS = ("pvalue5", "pvalue3", "score5", "score3", "lambda5", "lambda3", "fit5", "fit3", "fit_excess")
 ASSESS = f"""{TERNARY.replace(SEG, _change('five', 'T'), 1)}{_change('three', 'A', '3')}{FAST.replace(SEG, '', 1)},
   one AS (SELECT read_idx, {PVALUE}, {SCORE} FROM z), three AS (SELECT read_idx, {PVALUE}, {SCORE} FROM z3),
@@ -189,11 +189,13 @@ def damage_assess(spark, sf):
 
 
 FRAGMENT = "(CASE WHEN length(seq) <= 50 THEN 0.9 WHEN length(seq) <= 100 THEN 0.7 WHEN length(seq) <= 150 THEN 0.5 WHEN length(seq) <= 200 THEN 0.3 ELSE 0.1 END)::DOUBLE"
-ENSEMBLE = f""", mread AS (SELECT id AS read_idx, seq FROM mates){HILL.replace(SEG, _change('five', 'T'), 1)}{_change('three', 'A', '3')}{SUMMARY},
+ENSEMBLE = f""", mread AS (SELECT id AS read_idx, seq FROM mates UNION ALL SELECT concat(id, '/1'), seq FROM all_reads WHERE length(seq) < 30){HILL.replace(SEG, _change('five', 'T'), 1)}{_change('three', 'A', '3')}{SUMMARY},
   one AS (SELECT read_idx, {PVALUE}, {SCORE} FROM z), three AS (SELECT read_idx, {PVALUE}, {SCORE} FROM z3){RATIO},
   parts AS (
-    SELECT mread.read_idx, mread.seq, one.pvalue AS v5, three.pvalue AS v3, one.score AS s5, three.score AS s3, coalesce(llr, 0) AS llr, coalesce(a.quality, 0) AS fit5, coalesce(b.quality, 0) AS fit3,
-      summary.support, coalesce((c_to_t + g_to_a)::DOUBLE / nullif(c_to_t + g_to_a + other, 0), 0) AS hits, c_to_t + g_to_a + other AS mismatches, overlap_size
+    SELECT mread.read_idx, mread.seq, one.pvalue AS v5, three.pvalue AS v3, one.score AS s5, three.score AS s3,
+      {', '.join(f'CASE WHEN length(mread.seq) < 10 THEN 0 ELSE coalesce({c}, 0) END AS {name}' for c, name in (('llr', 'llr'), ('a.quality', 'fit5'), ('b.quality', 'fit3')))},
+      coalesce(summary.support, 0.5::DOUBLE) AS support, coalesce((c_to_t + g_to_a)::DOUBLE / nullif(c_to_t + g_to_a + other, 0), 0) AS hits,
+      coalesce(c_to_t + g_to_a + other, 0) AS mismatches, coalesce(overlap_size, 0) AS overlap_size
     FROM mread JOIN one USING (read_idx) JOIN three USING (read_idx) LEFT JOIN ratio USING (read_idx) LEFT JOIN summary ON base_id = mread.read_idx[:-3]
     LEFT JOIN found a ON a.read_idx = mread.read_idx AND a."end" = 5 LEFT JOIN found b ON b.read_idx = mread.read_idx AND b."end" = 3),
   weighed AS (SELECT *, (CASE WHEN length(seq) < 50 THEN 0.5 WHEN length(seq) < 100 THEN 0.4 ELSE 0.3 END)::DOUBLE * (CASE WHEN v5 < 0.05::DOUBLE OR v3 < 0.05::DOUBLE THEN 1.0 ELSE 0.5 END)::DOUBLE AS w1,
@@ -208,5 +210,6 @@ ENSEMBLE = f""", mread AS (SELECT id AS read_idx, seq FROM mates){HILL.replace(S
 
 @query(ENSEMBLE, "mates")
 def ensemble_damage(spark, sf):
-    got = dm.ensemble_damage(pairs.with_evidence(rd.mates(spark, sf)))
+    short = rd.all_reads(spark, sf).where(F.length("seq") < 30).select(F.concat("id", F.lit("/1")).alias("id"), "seq")  # without mates
+    got = dm.ensemble_damage(pairs.with_evidence(rd.mates(spark, sf).unionByName(short)))
     return got.select("id", *[F.round(c, 9).alias(c) for c in ("prob5", "prob3", "w_change", "w_model", "w_pair", "authenticity")])

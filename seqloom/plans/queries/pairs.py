@@ -15,7 +15,7 @@ PAIRED = """, paired AS (SELECT a.id[:-3] AS base_id, a.seq AS seq1, b.seq AS se
 MISMATCHES = f"""{PAIRED}, bases AS (SELECT base_id, length(seq1) AS len, pos, seq1[pos + 1] AS base1, rc2[pos + 1] AS base2, least(10, length(seq1) // 5) AS t
   FROM (SELECT *, unnest(range(0, length(seq1))) AS pos FROM paired WHERE length(seq1) >= 10 AND length(seq1) <= length(rc2))),
   mm AS (SELECT *, CASE WHEN pos < t AND base1 = 'T' AND base2 = 'C' THEN 'CT5' WHEN pos >= len - t AND base1 = 'A' AND base2 = 'G' THEN 'GA3'
-    WHEN pos >= len - t AND base1 = 'G' AND base2 = 'A' THEN 'CT3' WHEN pos < t AND base1 = 'C' AND base2 = 'T' THEN 'GA5' ELSE 'Other' END AS pattern FROM bases WHERE base1 <> base2)"""
+    WHEN pos >= len - t AND base1 = 'G' AND base2 = 'A' THEN 'CT3' WHEN pos < t AND base1 = 'C' AND base2 = 'T' THEN 'GA5' ELSE 'Other' END AS pattern FROM bases WHERE base1 <> base2 AND base1 IN ('A', 'C', 'G', 'T') AND base2 IN ('A', 'C', 'G', 'T'))"""
 SUMMARY = f"""{MISMATCHES}, d AS (SELECT *, CASE WHEN pattern IN ('CT5', 'GA5') THEN pos WHEN pattern IN ('GA3', 'CT3') THEN len - pos END AS dist FROM mm),
   s AS (SELECT base_id, count(*) FILTER (pattern IN ('CT5', 'GA5')) AS c_to_t, count(*) FILTER (pattern IN ('GA3', 'CT3')) AS g_to_a, count(*) FILTER (pattern = 'Other') AS other,
     count(*) FILTER (pattern IN ('CT5', 'GA3')) AS main, avg(CASE WHEN dist IS NOT NULL THEN least(10.0::DOUBLE / (dist + 1), 1.0::DOUBLE) END) AS near FROM d GROUP BY base_id),
@@ -46,6 +46,18 @@ def mate_support_default(spark, sf):
     return pairs.support_of_reads(rd.mates(spark, sf).unionByName(short)).withColumn("support", six("support"))
 
 
-@query("SELECT count(*) AS lookups, count(*) AS pair_found, 0::BIGINT AS pair_not_found, 0::BIGINT AS unnamed, count(*) // 2 AS alignments FROM mates", "mates")
+# Short reads lack mate 2; those of some documents have mate 2 alone, mate 1 twice, or no mate's name.
+LONE = """lone AS (SELECT CASE doc_id % 5 WHEN 0 THEN concat(id, '/2') WHEN 1 THEN concat(id, 'x') ELSE concat(id, '/1') END AS id, doc_id FROM all_reads WHERE length(seq) < 30)"""
+
+
+@query(f""", {LONE}, cached AS (SELECT id FROM mates UNION ALL SELECT id FROM lone UNION ALL SELECT id FROM lone WHERE doc_id % 5 = 2),
+  named AS (SELECT id[:-3] AS base_id, right(id, 1)::INTEGER AS mate FROM cached WHERE right(id, 2) IN ('/1', '/2')),
+  sides AS (SELECT base_id, count(*) AS n, min(mate) AS first, count(*) FILTER (mate = 2) AS n2, count(DISTINCT mate) AS mates FROM named GROUP BY base_id)
+  SELECT (SELECT count(*) FROM cached) AS lookups, coalesce(sum(n) FILTER (mates = 2), 0)::BIGINT AS hits, (SELECT count(*) FROM named) AS inserts,
+    sum(CASE WHEN first = 1 THEN n2 ELSE 0 END)::BIGINT AS pair_found, sum(CASE WHEN first = 1 THEN n - n2 ELSE n2 END)::BIGINT AS pair_not_found,
+    (SELECT count(*) FROM cached WHERE right(id, 1) = 'x') AS unnamed, count(*) FILTER (mates = 2) AS alignments FROM sides""", "mates")
 def pair_counters(spark, sf):
-    return pairs.pair_counters(rd.mates(spark, sf))
+    kind = F.col("doc_id") % 5
+    name = F.concat("id", F.when(kind == 0, "/2").when(kind == 1, "x").otherwise("/1"))
+    short = rd.all_reads(spark, sf).where(F.length("seq") < 30).select(name.alias("id"), "seq", kind.alias("kind"))
+    return pairs.pair_counters(rd.mates(spark, sf).unionByName(short.drop("kind")).unionByName(short.where("kind = 2").drop("kind")))
