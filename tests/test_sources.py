@@ -8,6 +8,8 @@ import urllib.request
 import zipfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from seqloom.config import Options
 from seqloom.operators import qc, report
@@ -40,15 +42,47 @@ def test_fastq_fixtures(spark, tmp_path):
     assert counted.select("read_idx").distinct().count() == 2
 
 
-def test_clean_fastq_is_cut_into_ranges(spark, tmp_path):
+def test_fastq_is_cut_into_ranges(spark, tmp_path):
     path = tmp_path / "many.fastq"
     path.write_text("".join(record(f"r{i}", READ[: 5 + i % 30], "@" * (5 + i % 30)) for i in range(500)))
     spark.dataSource.register(fastq.FastqSource)
-    df = spark.read.format("fastq").option("clean", "true").option("rangebytes", "1000").load(str(path))
+    df = spark.read.format("fastq").option("rangebytes", "1000").load(str(path))
     assert df.rdd.getNumPartitions() > 10
     assert sorted(r.id for r in df.collect()) == sorted(f"r{i}" for i in range(500))
 
 
+PIECES = st.sampled_from([record("a"), record("b", "AC", "@!"), record("c x", "ACGTN", "@@@@@"), "@d\nACGT\n+\n", "@e\n", "stray\n", "@\n\n+\n\n", "\n", "@f\r\nAC\r\n+\r\nII\r\n", "@g\nAC\n+\n I\n", "+\n@\n", "@h\n@CC\n@x\n@II\n", "@é\tz\nAé\n+\n!é\n", "@k\nAC\n+\n\x1fI\n", " @m\n"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(PIECES, max_size=30), st.integers(1, 90), st.integers(1, 200), st.booleans(), st.booleans())
+def test_ranges_do_not_change_records(pieces, size, block, bad, open_end):
+    """Any damage and any cut: the records of all ranges are those of the line-by-line reader, in order."""
+    raw = "".join(pieces).encode()
+    raw = raw[:-1] if open_end else raw
+    expected = [(n, *r) for n, *r in fastq.fastq_records(fastq.lines(io.BytesIO(raw)), bad)]
+    found = []
+    stream = io.BytesIO(raw)
+    points = [fastq.sync_point(stream, at, min(at + size, len(raw))) for at in range(0, max(len(raw), 1), size)]
+    points = [p for p in points if p is not None]
+    assert points == sorted(set(points))
+    for begin, end in zip(points, [*points[1:], fastq.LAST]):
+        for batch in fastq.fastq_batches(stream, begin, end, "f", 0, bad, block):
+            found += [tuple(r.values())[1:] for r in batch.to_pylist()]
+    assert found == expected
+
+
+def test_ranges_of_a_damaged_file(spark, tmp_path):
+    whole = "".join(record(f"r{i}", READ[: 5 + i % 30]) + ("stray\n" if i % 17 == 0 else "") for i in range(400)).splitlines(keepends=True)
+    del whole[803], whole[401]  # a record without its quality, and one without its header
+    (tmp_path / "x.fastq").write_text("".join(whole))
+    spark.dataSource.register(fastq.FastqSource)
+    expected = sorted((n, i, s) for n, i, s, _ in fastq.fastq_records(fastq.lines(io.BytesIO("".join(whole).encode()))))
+    for size in (60, 333, 1200, 10**6):
+        got = spark.read.format("fastq").option("rangebytes", size).load(str(tmp_path / "x.fastq"))
+        assert sorted((r.nr, r.id, r.seq) for r in got.select("nr", "id", "seq").collect()) == expected
+
+
 def test_fasta(spark, tmp_path):
     (tmp_path / "multi.fa").write_text(">a one\nACGT\n\n  TTTT \n>empty\n>\nACGT\n>b\nCC\n")
     rows = fastq.read_fasta(spark, str(tmp_path / "multi.fa")).orderBy("nr").collect()
@@ -151,7 +185,7 @@ def test_numbers_are_unique_over_ranges_and_files(spark, tmp_path):
         (tmp_path / f"{f}.fastq").write_text("".join(f"@{f}{i} x\n{'ACGT' * (i % 40 + 1)}\n+\n{'@+II' * (i % 40 + 1)}\n" for i in range(500)))
     spark.dataSource.register(fastq.FastqSource)
     whole = fastq.numbered(fastq.read_fastq(spark, str(tmp_path))).select("read_idx", "id", "seq").collect()
-    cut = fastq.numbered(spark.read.format("fastq").option("clean", "true").option("rangebytes", "2000").load(str(tmp_path))).select("read_idx", "id", "seq").collect()
+    cut = fastq.numbered(spark.read.format("fastq").option("rangebytes", "2000").load(str(tmp_path))).select("read_idx", "id", "seq").collect()
     assert sorted(whole) == sorted(cut) and len({r.read_idx for r in cut}) == 1000
 
 
@@ -159,7 +193,7 @@ def test_long_records_and_bad_qualities(spark, tmp_path):
     path = tmp_path / "x.fastq"
     path.write_text(f"@long\n{'A' * 200_000}\n+\n{'I' * 200_000}\n@bad\nACGT\n+\nII I\n@good\nACGT\n+\nIIII\n")
     spark.dataSource.register(fastq.FastqSource)
-    rows = spark.read.format("fastq").option("clean", "true").option("rangebytes", "50000").load(str(path)).collect()
+    rows = spark.read.format("fastq").option("rangebytes", "50000").load(str(path)).collect()
     assert [(r.id, len(r.seq), len(r.quality)) for r in rows] == [("long", 200_000, 200_000), ("good", 4, 4)]
     assert fastq.bad_records(spark, str(path)) == 1
 
