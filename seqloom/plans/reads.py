@@ -8,21 +8,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ATGCATCGACGTTCAGNATCGACNGN"
-MIN_LENGTH = 30
+MIN_LENGTH, STEP = 30, 100
+#: Bytes of a row group, by default of Spark's writer.
+ROW_GROUP = 128 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """The rows dealt over all cores if the table's files are too small to give each core a row group of its own; beyond that
+    size the scan's own splits do, and nothing is shuffled."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if size < cores * ROW_GROUP else table
 
 
 def all_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_idx, doc_id, source, id, seq."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     dna = docs.select("doc_id", "source", F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, BASES).alias("s"))
-    # A filter on s would be pushed below the projection and have s computed twice.
-    starts = F.sequence(F.lit(0), F.floor((F.length("s") - 1) / 100).cast("int"))
-    j = F.explode(F.when(F.length("s") > 0, starts).otherwise(F.array().cast("array<int>"))).alias("j")
-    cut = dna.select("doc_id", "source", "s", j)
+    # Pieces of 100 are cut once: a read lies in two of them, and a place in the text would be found from its start each time.
+    pieces = dna.select("doc_id", "source", F.regexp_extract_all("s", F.lit(f".{{1,{STEP}}}"), F.lit(0)).alias("p"))
+    two = F.transform("p", lambda x, i: F.concat(x, F.coalesce(F.get("p", i + 1), F.lit(""))))
+    cut = pieces.select("doc_id", "source", F.posexplode(two).alias("j", "two"))
     return cut.select(
         (F.col("doc_id") * 1_000_000 + F.col("j")).alias("read_idx"), "doc_id", "source",
         F.concat(F.lit("r"), F.col("doc_id").cast("string"), F.lit("_"), F.col("j").cast("string")).alias("id"),
-        F.substr("s", 1 + F.col("j") * 100, (12 + (F.col("doc_id") * 37 + F.col("j") * 53) % 140).cast("int")).alias("seq"),
+        F.substr("two", F.lit(1), (12 + (F.col("doc_id") * 37 + F.col("j") * 53) % 140).cast("int")).alias("seq"),
     )
 
 
