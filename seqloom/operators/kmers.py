@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +109,62 @@ def count_matrix(seqs: list[str], k: int) -> np.ndarray:
     return np.minimum(np.bincount(owner * 4**k + index, minlength=len(seqs) * 4**k).reshape(len(seqs), 4**k), MAX_COUNT).astype(np.float64)
 
 
+#: K-mers up to which the counts of a batch are a matrix; more are kept as rows of index and number.
+DENSE = 1024
+#: Bases whose counts are held at once, and numbers that a step over clusters may make of them.
+HELD_BASES = 1 << 20
+
+
+def pieces(seqs: list[str], limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of reads with at most `limit` bases together, or one read."""
+    limit = HELD_BASES if limit is None else limit
+    start = held = 0
+    for i, s in enumerate(seqs):
+        if i > start and held + len(s) > limit:
+            yield start, i
+            start, held = i, 0
+        held += len(s)
+    if len(seqs) > start:
+        yield start, len(seqs)
+
+
+class Counts:
+    """The counts of some reads: a matrix for few k-mers, else compressed rows, so that a read costs what it holds."""
+
+    def __init__(self, seqs: list[str], k: int):
+        self.reads, self.width = len(seqs), 4**k
+        self.matrix = count_matrix(seqs, k) if self.width <= DENSE else None
+        if self.matrix is None:
+            owner, index, _ = _windows(seqs, k, True)
+            self.owner, self.index, n = _tally(owner, index, self.width, self.reads)
+            self.n = np.minimum(n, MAX_COUNT).astype(np.float64)
+
+    def any(self) -> np.ndarray:
+        """Which reads have k-mers."""
+        return self.matrix.any(axis=1) if self.matrix is not None else np.bincount(self.owner, minlength=self.reads) > 0
+
+    def times(self, columns: np.ndarray) -> np.ndarray:
+        """Reads by columns: the counts times a matrix of columns by k-mers."""
+        if self.matrix is not None:
+            return self.matrix @ columns.T
+        out = np.empty((self.reads, len(columns)))
+        for c, own in enumerate(columns):
+            out[:, c] = np.bincount(self.owner, self.n * own[self.index], self.reads)
+        return out
+
+    def add_to(self, sums: np.ndarray, cluster: np.ndarray, sign: float = 1.0) -> None:
+        """Adds the counts of each read to the row of its cluster (below 0: none)."""
+        if self.matrix is not None:
+            own = cluster >= 0
+            mark = np.zeros((len(sums), self.reads))
+            mark[cluster[own], np.flatnonzero(own)] = sign
+            sums += mark @ self.matrix
+            return
+        to = cluster[self.owner]
+        own = to >= 0
+        np.add.at(sums, (to[own], self.index[own]), sign * self.n[own])
+
+
 def frequency_matrix(seqs: list[str], k: int) -> np.ndarray:
     """Reads by 4^k frequencies (case-sensitive, over all windows)."""
     owner, index, sizes = _windows(seqs, k, False)

@@ -60,7 +60,7 @@ def legacy_features(reads: DataFrame, k: int = 4, use_codon: bool = False, windo
             (c5, _), (c3, _) = dm.segments(seqs, n, 5), dm.segments(seqs, n, 3)
             again = dm.decay_model(seqs, n)
             own = lambda a, b: np.where(np.isnan(got[a]), b, got[a])
-            p5, p3 = own("pvalue5", dm.change_arrays(c5, n, dm.T)[1]), own("pvalue3", dm.change_arrays(c3, n, dm.A)[1])
+            p5, p3 = own("pvalue5", dm.change_arrays(c5, n, dm.T)[2]), own("pvalue3", dm.change_arrays(c3, n, dm.A)[2])
             ratio = np.where(got["damage3"] > 0, got["damage5"] / np.where(got["damage3"] > 0, got["damage3"], 1), 1.0)
             llr = own("fit_excess", again["llr"])
             extra = [gc_array(seqs), got["damage5"], got["damage3"], got["combined"], 1 - np.minimum(p5, p3), own("fit5", again["fit5"]), own("fit3", again["fit3"]), np.clip(ratio, 0.33, 3.0), own("lambda5", again["lambda5"]), own("lambda3", again["lambda3"]), f["support"].to_numpy(), (np.clip(llr, -5, 5) + 5) / 10]
@@ -220,6 +220,10 @@ def seed_centroids(rows: DataFrame, k: int, seed: int) -> np.ndarray:
     return found[chosen]
 
 
+#: Up to this number of tasks the driver adds up their sums (a row a task and cluster), which saves a shuffle a round.
+DIRECT = 128
+
+
 def lloyd_step(rows: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """New centroids and sizes; an empty cluster keeps its centroid."""
     k, d = centroids.shape
@@ -234,13 +238,14 @@ def lloyd_step(rows: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.n
                 sizes += mark.sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), lists(sums), pa.array(sizes)], names=["cluster", "sums", "size"])
 
-    added = rows.select("x").mapInArrow(run, "cluster int, sums array<double>, size double").groupBy("cluster").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(d)]).alias("sums"), F.sum("size").alias("size"))
-    out, sizes = centroids.copy(), np.zeros(k)
-    for r in added.collect():
-        sizes[r.cluster] = r["size"]
-        if r["size"]:
-            out[r.cluster] = np.array(r.sums) / r["size"]
-    return out, sizes
+    added = rows.select("x").mapInArrow(run, "cluster int, sums array<double>, size double")
+    if rows.rdd.getNumPartitions() > DIRECT:
+        added = added.groupBy("cluster").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(d)]).alias("sums"), F.sum("size").alias("size"))
+    sums, sizes = np.zeros((k, d)), np.zeros(k)
+    for r in sorted(added.collect()):
+        sums[r.cluster] += r.sums
+        sizes[r.cluster] += r["size"]
+    return np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centroids), sizes
 
 
 def nearest(rows: DataFrame, centroids: np.ndarray) -> DataFrame:

@@ -5,12 +5,14 @@ driver, clusters by 4^k numbers: one pass over the reads per round assigns every
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators.kmers import count_matrix
+from seqloom.operators.kmers import Counts, pieces
 
 PSEUDOCOUNT = 0.5
 #: Numbers that the profiles of a model may have.
@@ -40,10 +42,14 @@ def kmer_sums(assigned: DataFrame, k: int = 4) -> DataFrame:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows:
-                cluster = batch.column("cluster").to_numpy(zero_copy_only=False)
-                counts = count_matrix(batch.column("seq").to_pylist(), k)
-                for c in np.unique(cluster[cluster >= 0]).tolist():
-                    sums[c] = sums.get(c, 0) + counts[cluster == c].sum(axis=0)
+                cluster, seqs = batch.column("cluster").to_numpy(zero_copy_only=False), batch.column("seq").to_pylist()
+                for a, b in pieces(seqs):
+                    known, place = np.unique(cluster[a:b], return_inverse=True)
+                    own = np.zeros((len(known), 4**k))
+                    Counts(seqs[a:b], k).add_to(own, np.where(cluster[a:b] >= 0, place, -1))
+                    for c, x in zip(known.tolist(), own):
+                        if c >= 0:
+                            sums[c] = sums.get(c, 0) + x
         for c, own in sums.items():
             at = np.union1d(np.flatnonzero(own), [0])  # a row at least, so that every cluster is there
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c, np.int32)), pa.array(at.astype(np.int32)), pa.array(own[at].astype(np.int64))], names=["cluster", "kmer_idx", "n"])
@@ -84,11 +90,13 @@ def best_clusters(reads: DataFrame, model: tuple[np.ndarray, np.ndarray], k: int
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                counts = count_matrix(batch.column("seq").to_pylist(), k)
-                ll = log_likelihood(counts, log_p)
-                best = np.round(ll, 6).argmax(axis=1)
-                out = [*[batch.column(c) for c in kept], pa.array(numbers[best].astype(np.int32)), pa.array(ll[np.arange(len(ll)), best])]
-                yield pa.RecordBatch.from_arrays(out, names=[*kept, "cluster", "ll"]).filter(pa.array(counts.any(axis=1)))
+                seqs = batch.column("seq").to_pylist()
+                for a, b in pieces(seqs):
+                    counts, part = Counts(seqs[a:b], k), batch.slice(a, b - a)
+                    ll = counts.times(log_p)
+                    best = np.round(ll, 6).argmax(axis=1)
+                    out = [*[part.column(c) for c in kept], pa.array(numbers[best].astype(np.int32)), pa.array(ll[np.arange(len(ll)), best])]
+                    yield pa.RecordBatch.from_arrays(out, names=[*kept, "cluster", "ll"]).filter(pa.array(counts.any()))
 
     return reads.select(*dict.fromkeys([*kept, "seq"])).mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in kept], "cluster int, ll double"]))
 
@@ -141,26 +149,107 @@ def log_likelihood(counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
     return counts @ log_p.T
 
 
+def divergences_from(p: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The Jensen-Shannon divergence of one profile from each of others."""
+    m = (p + others) / 2
+    part = lambda x: (x * np.log(np.where(x > 0, x, 1) / np.where(m > 0, m, 1))).sum(axis=-1)
+    return np.maximum(0.0, 0.5 * part(np.broadcast_to(p, m.shape)) + 0.5 * part(others))
+
+
 def jsd(p: np.ndarray, q: np.ndarray) -> float:
-    m = (p + q) / 2
-    part = lambda x: float(np.sum(x[x > 0] * np.log(x[x > 0] / m[x > 0])))
-    return max(0.0, 0.5 * part(p) + 0.5 * part(q))
+    return float(divergences_from(p, q[None, :])[0])
 
 
 def bic_value(ll: float, clusters: int, reads: int, kmers: int) -> float:
     return -2 * ll + (clusters * (kmers - 1) + clusters - 1) * float(np.log(max(reads, 1)))
 
 
-def merge_step(sums: np.ndarray, reads: int, pseudocount: float = PSEUDOCOUNT) -> tuple[int, int] | None:
-    """The least divergent pair, if joining it lowers the BIC. Likelihoods follow from the sums, so no read is looked at."""
-    clusters = len(sums)
-    if clusters < 2:
+class Merges:
+    """The clusters of a model, of which the least divergent two are joined while that lowers the BIC; likelihoods follow from
+    the sums, so no read is looked at. Each cluster knows its nearest one among those after it. A heap holds these pairs;
+    an entry counts only if both clusters are as they were when it was made. After a merge, one row of divergences is
+    computed, and one for each cluster whose nearest was one of the two, as arrays over the clusters."""
+
+    ROWS = 1 << 22  # numbers of a block of divergences
+
+    def __init__(self, sums: np.ndarray, sizes: np.ndarray, gc: np.ndarray, pseudocount: float = PSEUDOCOUNT):
+        self.sums, self.sizes, self.gc, self.pseudocount = sums.copy(), sizes.copy(), gc.copy(), pseudocount
+        self.profiles = smooth(self.sums, pseudocount)
+        self.own = (self.sums * np.log(self.profiles)).sum(axis=1)
+        self.alive = np.ones(len(sums), bool)
+        self.version = np.zeros(len(sums), np.int64)
+        self.into = np.arange(len(sums))  # by cluster: what it was joined with
+        self.heap: list[tuple[float, int, int, int, int]] = []
+        self.nearest, self.distance = np.full(len(sums), -1), np.full(len(sums), np.inf)
+        for i in range(len(sums) - 1):
+            self._search(i)
+
+    def _row(self, i: int, others: np.ndarray) -> np.ndarray:
+        step = max(1, self.ROWS // self.sums.shape[1])
+        parts = [divergences_from(self.profiles[i], self.profiles[others[a : a + step]]) for a in range(0, len(others), step)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _offer(self, i: int, j: int, d: float) -> None:
+        self.nearest[i], self.distance[i] = j, d
+        heapq.heappush(self.heap, (float(d), i, j, int(self.version[i]), int(self.version[j])))
+
+    def _search(self, i: int) -> None:
+        others = np.flatnonzero(self.alive[i + 1 :]) + i + 1
+        self.nearest[i], self.distance[i] = -1, np.inf
+        if len(others):
+            row = self._row(i, others)
+            self._offer(i, int(others[row.argmin()]), row.min())
+
+    def best(self) -> tuple[int, int] | None:
+        """The least divergent pair; the first in order wins ties."""
+        while self.heap:
+            _, i, j, a, b = self.heap[0]
+            if self.alive[i] and self.alive[j] and self.version[i] == a and self.version[j] == b and self.nearest[i] == j:
+                return i, j
+            heapq.heappop(self.heap)
         return None
-    profiles = smooth(sums, pseudocount)
-    pair = min(((jsd(profiles[i], profiles[j]), i, j) for i in range(clusters) for j in range(i + 1, clusters)))[1:]
-    own = (sums * np.log(profiles)).sum(axis=1)
-    joint = sums[pair[0]] + sums[pair[1]]
-    merged = float((joint * np.log(smooth(joint[None, :], pseudocount)[0])).sum())
-    now = bic_value(float(own.sum()), clusters, reads, sums.shape[1])
-    then = bic_value(float(own.sum()) - own[pair[0]] - own[pair[1]] + merged, clusters - 1, reads, sums.shape[1])
-    return pair if then < now else None
+
+    def step(self, reads: int) -> tuple[int, int] | None:
+        """Joins the best pair, if that lowers the BIC."""
+        pair, clusters = self.best(), int(self.alive.sum())
+        if pair is None:
+            return None
+        i, j = pair
+        joint = self.sums[i] + self.sums[j]
+        profile = smooth(joint[None, :], self.pseudocount)[0]
+        own, total = float((joint * np.log(profile)).sum()), float(self.own[self.alive].sum())
+        if bic_value(total - self.own[i] - self.own[j] + own, clusters - 1, reads, len(joint)) >= bic_value(total, clusters, reads, len(joint)):
+            return None
+        self.sums[i], self.profiles[i], self.own[i] = joint, profile, own
+        self.sizes[i] += self.sizes[j]
+        self.gc[i] += self.gc[j]
+        self.alive[j] = False
+        self.into[self.into == j] = i
+        self.version[i] += 1
+        others = np.flatnonzero(self.alive)
+        others = others[others != i]
+        row = self._row(i, others)
+        after = others > i
+        self.nearest[i], self.distance[i] = -1, np.inf
+        if after.any():
+            at = int(np.where(after, row, np.inf).argmin())
+            self._offer(i, int(others[at]), row[at])
+        for c, d in zip(others[~after].tolist(), row[~after].tolist()):
+            if self.nearest[c] in (i, j):
+                self._search(c)
+            elif (d, i) < (self.distance[c], self.nearest[c]):
+                self._offer(c, i, d)
+        for c in others[after].tolist():
+            if self.nearest[c] == j:
+                self._search(c)
+        return pair
+
+    def left(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sums, sizes and GC sums of the clusters that are left, and the new number of each cluster."""
+        number = np.cumsum(self.alive) - 1
+        return self.sums[self.alive], self.sizes[self.alive], self.gc[self.alive], number[self.into]
+
+
+def merge_step(sums: np.ndarray, reads: int, pseudocount: float = PSEUDOCOUNT) -> tuple[int, int] | None:
+    """The least divergent pair, if joining it lowers the BIC."""
+    return Merges(sums, np.zeros(len(sums)), np.zeros(len(sums)), pseudocount).step(reads)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder, with their lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A name for a folder of its own within the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/seqloom-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows, written as Parquet at a path in a shared folder, of which later reads take only the columns they use."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    system, place = _file_system(spark, f"{path}/_SUCCESS")
+    return system.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, place = _file_system(spark, path)
+    system.delete(place, True)

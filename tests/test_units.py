@@ -414,3 +414,108 @@ def test_em_stops_by_the_present_likelihood():
     assert em.relative_change([-100.0, -101.0]) == pytest.approx(1 / 101) and em.relative_change([-100.0, -101.0]) < 0.00995 < 1 / 100
     assert em.relative_change([-101.0, -100.0]) == pytest.approx(1 / 100)
     assert em.relative_change([-3.0, 0.0]) == 3.0
+
+
+def plain_em(seqs, clusters, k, min_size=10, max_rounds=20, convergence=0.001):
+    """Every read compared in every round, every pair of clusters in every merge."""
+    counts = kmers.count_matrix(seqs, k)
+    names = sorted(c for c in set(clusters) if c >= 0 and clusters.count(c) >= profiles.min_initial_size(min_size))
+    labels = np.array([names.index(c) if c in names else -1 for c in clusters])
+    model = profiles.smooth(np.array([counts[labels == c].sum(axis=0) for c in range(len(names))]))
+    history = []
+    for round_ in range(1, max_rounds + 1):
+        new = np.round(counts @ np.log(model).T, 6).argmax(axis=1)
+        changed = int(((labels != new) & (labels >= 0)).sum()) if round_ == 1 else int((labels != new).sum())
+        alive = np.unique(new)
+        labels = np.searchsorted(alive, new)
+        sums = np.array([counts[labels == c].sum(axis=0) for c in range(len(alive))])
+        merged = False
+        while len(sums) > 1:
+            p = profiles.smooth(sums)
+            i, j = min((profiles.jsd(p[a], p[b]), a, b) for a in range(len(p)) for b in range(a + 1, len(p)))[1:]
+            joint = np.delete(sums, j, axis=0)
+            joint[i] += sums[j]
+            ll = lambda s: float((s * np.log(profiles.smooth(s))).sum())
+            if profiles.bic_value(ll(joint), len(joint), len(seqs), 4**k) >= profiles.bic_value(ll(sums), len(sums), len(seqs), 4**k):
+                break
+            sums, merged = joint, True
+            labels = np.where(labels == j, i, np.where(labels > j, labels - 1, labels))
+        model = profiles.smooth(sums)
+        history.append(float((sums * np.log(model)).sum()))
+        if round_ >= em.MIN_ROUNDS and not merged and (changed == 0 or em.relative_change(history) < convergence):
+            break
+    return labels, history, model
+
+
+def mixed_reads(seed, n=160):
+    rng = random.Random(seed)
+    kinds = ["AAAT", "GGGC", "ACGT", "AACG"]
+    return [(i, "".join(rng.choice(kinds[i % 4]) for _ in range(rng.randint(1, 90))), rng.randint(-1, 6)) for i in range(n)]
+
+
+@pytest.mark.parametrize("k,seed,convergence", [(2, 1, 0.0), (4, 2, 0.001), (3, 3, 0.0), (6, 4, 0.0)])
+def test_em_equals_plain_rounds(spark, k, seed, convergence):
+    rows = mixed_reads(seed)
+    reads = spark.createDataFrame(rows, "read_idx long, seq string, cluster int")
+    labels, history, model = plain_em([r[1] for r in rows], [r[2] for r in rows], k, convergence=convergence)
+    got = em.em(reads, k=k, convergence=convergence)
+    assert got.history == pytest.approx(history) and got.profiles == pytest.approx(model)
+    assert [r.cluster for r in em.assignments(reads, got).orderBy("read_idx").collect()] == labels.tolist()
+
+
+def test_em_goes_on_from_its_last_round(spark, tmp_path):
+    rows = mixed_reads(5)
+    reads = spark.createDataFrame(rows, "read_idx long, seq string, cluster int")
+    whole = em.em(reads, k=2, convergence=0.0)
+    folder = str(tmp_path / "em")
+    em.em(reads, k=2, convergence=0.0, max_rounds=3, folder=folder)
+    lost = spark.createDataFrame([], "read_idx long, seq string, cluster int")  # not read again
+    again = em.em(lost, k=2, convergence=0.0, folder=folder)
+    assert again.history == whole.history and (again.profiles == whole.profiles).all()
+    assert [r.cluster for r in em.assignments(reads, again).collect()] == [r.cluster for r in em.assignments(reads, whole).collect()]
+
+
+def test_em_looks_at_fewer_reads(spark):
+    """Clear reads are compared in the first rounds only."""
+    rows = mixed_reads(6, 400)
+    rows = [(i, s, i % 4 if i % 5 else 0) for i, s, _ in rows if len(s) > 40]
+    reads = spark.createDataFrame(rows, "read_idx long, seq string, cluster int")
+    model, started, sums = em.initialise(reads, 2)
+    frame = started.select("seq", F.col("start").cast("int").alias("new"))
+    last, relabel, looked = None, np.arange(len(model.sizes)), []
+    for _ in range(8):
+        frame = spark.createDataFrame(em._round(frame, model, last, relabel).collect(), em.STATE)
+        looked.append(frame.where("seen").count())
+        own = em._sums(frame.select("seq", F.lit(-1).alias("old"), "new"), 2, len(model.profiles))
+        last, model = model, em.Model(profiles.smooth(own[0]), own[1], own[2], 2)
+    assert looked[0] == frame.count() and sum(looked) < 0.6 * 8 * looked[0]
+
+
+def test_merges_equal_all_pairs():
+    rng = np.random.default_rng(8)
+    base = rng.dirichlet(np.ones(16), 6)
+    sums = np.stack([rng.multinomial(300, base[i % 6]) for i in range(24)] + [np.zeros(16, int), np.zeros(16, int)]).astype(float)
+    merges, plain = profiles.Merges(sums, np.ones(26), np.zeros(26)), sums
+    number = np.arange(26)
+    while (pair := merges.step(4000)) is not None:
+        p = profiles.smooth(plain)
+        i, j = min((profiles.jsd(p[a], p[b]), a, b) for a in range(len(p)) for b in range(a + 1, len(p)))[1:]
+        assert pair == (number[i], number[j])
+        plain[i] += plain[j]
+        plain, number = np.delete(plain, j, axis=0), np.delete(number, j)
+    assert 1 < len(plain) < 12 and (merges.left()[0] == plain).all() and merges.left()[1].sum() == 26
+
+
+def test_wide_counts_equal_dense_ones():
+    rng = random.Random(9)
+    seqs = ["", "ACG", "N" * 20, *("".join(rng.choice("ACGTacgtN") for _ in range(rng.randint(1, 200))) for _ in range(40))]
+    wide = kmers.Counts(seqs, 6)
+    assert wide.matrix is None and kmers.Counts(seqs, 5).matrix is not None
+    full = kmers.count_matrix(seqs, 6)
+    columns = np.random.default_rng(1).normal(size=(3, 4**6))
+    assert wide.times(columns) == pytest.approx(full @ columns.T) and (wide.any() == full.any(axis=1)).all()
+    sums = np.zeros((3, 4**6))
+    cluster = np.arange(len(seqs)) % 4 - 1
+    wide.add_to(sums, cluster)
+    assert all((sums[c] == full[cluster == c].sum(axis=0)).all() for c in range(3))
+    assert [b - a for a, b in kmers.pieces(["A" * 5, "A" * 5, "A" * 30, "", "A"], 10)] == [2, 1, 2]
