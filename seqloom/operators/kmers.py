@@ -172,6 +172,13 @@ def frequency_matrix(seqs: list[str], k: int) -> np.ndarray:
     return counts / np.maximum(sizes - k + 1, 1)[:, None]
 
 
+def frequency_rows(seqs: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as owner, index and frequency of the k-mers that a read has."""
+    owner, index, sizes = _windows(seqs, k, False)
+    owner, index, n = _tally(owner, index, 4**k, len(seqs))
+    return owner, index, n / np.maximum(sizes - k + 1, 1)[owner]
+
+
 def gc_array(seqs: list[str]) -> np.ndarray:
     return np.array([(s.count("G") + s.count("C") + s.count("g") + s.count("c")) / len(s) if s else 0.0 for s in seqs])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators import damage as dm
-from seqloom.operators.kmers import frequency_matrix, gc_array, names
+from seqloom.operators.kmers import DENSE, frequency_matrix, frequency_rows, gc_array, names, pieces
 from seqloom.storage import checkpoint
 
 FEATURES18 = ["gc", *[f"freq_{n}" for n in names(2)], "norm_length"]
@@ -44,29 +44,58 @@ def codon_matrix(seqs: list[str]) -> np.ndarray:
     return out
 
 
+def legacy_width(k: int, use_codon: bool) -> int:
+    return 4**k + (64 if use_codon else 0) + DAMAGE_FEATURES
+
+
+DAMAGE_FEATURES = 12
+
+
+def _damage_features(f: pd.DataFrame, window: int) -> np.ndarray:
+    """GC and eleven damage features. Reads that took the fast path have their change points and decay model computed on
+    `window` bases; `support` is the mate evidence, if any."""
+    seqs = f["seq"].tolist()
+    length = np.array([len(s) for s in seqs], np.int64)
+    got = dm.assess(seqs, window)
+    n = np.minimum(window, length)
+    (c5, _), (c3, _) = dm.segments(seqs, n, 5), dm.segments(seqs, n, 3)
+    again = dm.decay_model(seqs, n)
+    own = lambda a, b: np.where(np.isnan(got[a]), b, got[a])
+    p5, p3 = own("pvalue5", dm.change_arrays(c5, n, dm.T)[2]), own("pvalue3", dm.change_arrays(c3, n, dm.A)[2])
+    ratio = np.where(got["damage3"] > 0, got["damage5"] / np.where(got["damage3"] > 0, got["damage3"], 1), 1.0)
+    llr = own("fit_excess", again["llr"])
+    return np.column_stack([gc_array(seqs), got["damage5"], got["damage3"], got["combined"], 1 - np.minimum(p5, p3), own("fit5", again["fit5"]), own("fit3", again["fit3"]), np.clip(ratio, 0.33, 3.0), own("lambda5", again["lambda5"]), own("lambda3", again["lambda3"]), f["support"].to_numpy(), (np.clip(llr, -5, 5) + 5) / 10])
+
+
 def legacy_features(reads: DataFrame, k: int = 4, use_codon: bool = False, window: int = 5) -> DataFrame:
-    """read_idx and x: k-mer frequencies, codon usage if asked for, and twelve damage features. Reads that took the fast
-    path have their change points and decay model computed on `window` bases; `support` is the mate evidence, if any."""
+    """read_idx and x: k-mer frequencies, codon usage if asked for, and twelve damage features. From k = 6 on a read has the
+    places i of its features and their values v in place of x; other features are 0."""
     support = F.coalesce(F.col("support"), F.lit(0.5)) if "support" in reads.columns else F.lit(0.5)
+    sparse = 4**k > DENSE
 
     def run(frames):
         for f in frames:
             if not len(f):
                 continue
             seqs = f["seq"].tolist()
-            length = np.array([len(s) for s in seqs], np.int64)
-            got = dm.assess(seqs, window)
-            n = np.minimum(window, length)
-            (c5, _), (c3, _) = dm.segments(seqs, n, 5), dm.segments(seqs, n, 3)
-            again = dm.decay_model(seqs, n)
-            own = lambda a, b: np.where(np.isnan(got[a]), b, got[a])
-            p5, p3 = own("pvalue5", dm.change_arrays(c5, n, dm.T)[2]), own("pvalue3", dm.change_arrays(c3, n, dm.A)[2])
-            ratio = np.where(got["damage3"] > 0, got["damage5"] / np.where(got["damage3"] > 0, got["damage3"], 1), 1.0)
-            llr = own("fit_excess", again["llr"])
-            extra = [gc_array(seqs), got["damage5"], got["damage3"], got["combined"], 1 - np.minimum(p5, p3), own("fit5", again["fit5"]), own("fit3", again["fit3"]), np.clip(ratio, 0.33, 3.0), own("lambda5", again["lambda5"]), own("lambda3", again["lambda3"]), f["support"].to_numpy(), (np.clip(llr, -5, 5) + 5) / 10]
-            yield pd.DataFrame({"read_idx": f["read_idx"], "x": list(np.column_stack([frequency_matrix(seqs, k), *([codon_matrix(seqs)] if use_codon else []), *extra]))})
+            rest = np.column_stack([*([codon_matrix(seqs)] if use_codon else []), _damage_features(f, window)])
+            if not sparse:
+                yield pa.RecordBatch.from_arrays([pa.array(f["read_idx"]), lists(np.column_stack([frequency_matrix(seqs, k), rest]))], names=["read_idx", "x"])
+                continue
+            owner, index, freq = frequency_rows(seqs, k)
+            more, column = np.nonzero(rest)
+            owner, index, value = np.concatenate([owner, more]), np.concatenate([index, 4**k + column]), np.concatenate([freq, rest[more, column]])
+            order = np.lexsort((index, owner))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(seqs)))]).astype(np.int32)
+            arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[order])) for x in (index.astype(np.int32), value)]
+            yield pa.RecordBatch.from_arrays([pa.array(f["read_idx"]), *arrays], names=["read_idx", "i", "v"])
+
+    def framed(batches):
+        for batch in batches:
+            for a, b in pieces(batch.column("seq").to_pylist()):
+                yield from run([batch.slice(a, b - a).to_pandas()])
 
-    return reads.select("read_idx", "seq", support.cast("double").alias("support")).mapInPandas(run, "read_idx long, x array<double>")
+    return reads.select("read_idx", "seq", support.cast("double").alias("support")).mapInArrow(framed, "read_idx long, " + ("i array<int>, v array<double>" if sparse else "x array<double>"))
 
 
 def dense(batch: pa.RecordBatch) -> np.ndarray:
@@ -155,20 +184,143 @@ def covariance(rows: DataFrame) -> np.ndarray:
     return scatter / max(n - 1, 1)
 
 
-def principal_components(rows: DataFrame, components: int, scaled: bool = False) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def principal_components(rows: DataFrame, components: int, scaled: bool = False, width: int | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """The projected rows, the retained eigenvalues, and all of them; of the rows' z-scores with `scaled`, whose moments
     follow from the rows' own. The largest loading of a component is positive. With no more features than components, or
-    fewer than two rows, the rows (or z-scores) come back as they are."""
+    fewer than two rows, the rows (or z-scores) come back as they are. With `width` above `WIDE`, or rows as places and
+    values, see `wide_components`."""
+    if width is not None and (width > WIDE or "v" in rows.columns):
+        return wide_components(rows, components, width, scaled)
     n, mean, scatter = moments(rows)
     shift, scale = scaling(n, mean, scatter) if scaled else (np.zeros_like(mean), np.ones_like(mean))
     if n < 2 or len(mean) <= components:
         return _applied(rows, lambda x: (x - shift) / scale) if scaled else rows, np.zeros(0), np.zeros(0)
     values, vectors = np.linalg.eigh(scatter / np.outer(scale, scale) / (n - 1))
-    values, vectors = values[::-1], vectors[:, ::-1][:, :components]
-    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])] < 0, -1, 1)
+    values, vectors = values[::-1], signed(vectors[:, ::-1][:, :components])
     return _applied(rows, lambda x: ((x - mean) / scale) @ vectors), values[:components], values
 
 
+def signed(vectors: np.ndarray) -> np.ndarray:
+    """Columns whose largest entry is positive."""
+    return vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])] < 0, -1, 1)
+
+
+#: Columns up to which a task holds their products with each other.
+WIDE = 1_200
+#: Rows of a panel that travel together, passes over the rows, and the share of the first eigenvalue by which none may change.
+PANEL, PASSES, TOLERANCE = 4_096, 40, 1e-10
+
+
+class Rows:
+    """A batch of rows, dense (x) or as places and values (i, v), for products with panels of width by few numbers."""
+
+    def __init__(self, batch: pa.RecordBatch, width: int):
+        self.width, self.n = width, batch.num_rows
+        self.x = dense(batch) if "x" in batch.schema.names else None
+        if self.x is None:
+            size = batch.column("i").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            self.owner = np.repeat(np.arange(self.n), size)
+            self.index, self.value = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("i", "v"))
+
+    def times(self, panel: np.ndarray) -> np.ndarray:
+        if self.x is not None:
+            return self.x @ panel
+        return np.stack([np.bincount(self.owner, self.value * p[self.index], self.n) for p in panel.T], axis=1)
+
+    def back(self, y: np.ndarray) -> np.ndarray:
+        """The transposed rows times y."""
+        if self.x is not None:
+            return self.x.T @ y
+        return np.stack([np.bincount(self.index, self.value * c[self.owner], self.width) for c in y.T], axis=1)
+
+    def squares(self) -> np.ndarray:
+        return (self.x**2).sum(axis=0) if self.x is not None else np.bincount(self.index, self.value**2, self.width)
+
+
+def _panel_sum(rows: DataFrame, width: int, columns: int, of_batch) -> np.ndarray:
+    """The sum over batches of panels (width by columns); tasks return them in blocks of rows, which are added up by block."""
+
+    def run(batches):
+        total = np.zeros((width, columns))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                total += of_batch(Rows(batch.slice(at, 2048), width))
+        for at in range(0, width, PANEL):
+            yield pa.RecordBatch.from_arrays([pa.array([at // PANEL], pa.int32()), lists(total[at : at + PANEL].reshape(1, -1))], names=["block", "sums"])
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums")):
+                own = sums.values.to_numpy(zero_copy_only=False)
+                held[block] = held[block] + own if block in held else own
+        for block, sums in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), lists(sums[None, :])], names=["block", "sums"])
+
+    schema = "block int, sums array<double>"
+    parts = rows.select([c for c in ("x", "i", "v") if c in rows.columns]).mapInArrow(run, schema)
+    merged = parts.withColumn("merger", F.spark_partition_id() % MERGERS).repartition("block", "merger").drop("merger").mapInArrow(add, schema)
+    out = np.zeros((width, columns))
+    for r in sorted(merged.collect()):  # the panel, at most MERGERS times
+        at = r.block * PANEL
+        out[at : at + PANEL] += np.array(r.sums).reshape(-1, columns)
+    return out
+
+
+def wide_components(rows: DataFrame, components: int, width: int, scaled: bool = False, seed: int = 42) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """`principal_components` of many columns, without their products with each other: a random panel of some more columns than
+    components is multiplied with the covariance, pass by pass, until its eigenvalues stay (Rayleigh-Ritz). A pass and
+    the driver hold width by few numbers. Of all eigenvalues only the retained ones are known; the others stand as
+    the mean of what is left of the variance."""
+    rows = checkpoint(rows)
+    n = rows.count()
+    first = _panel_sum(rows, width, 2, lambda b: np.stack([b.back(np.ones((b.n, 1)))[:, 0], b.squares()], axis=1))
+    mean = first[:, 0] / max(n, 1)
+    scatter = np.maximum(first[:, 1] - n * mean**2, 0.0)
+    shift, scale = np.zeros(width), np.ones(width)
+    if scaled:
+        std = np.sqrt(scatter / max(n, 1))
+        scale = np.where(std > 1e-10, std, 1.0)
+        shift = np.where(std > 1e-10, mean, 0.0)
+    project = lambda vectors, less: _mapped_rows(rows, width, vectors / scale[:, None], less)
+    if n < 2 or width <= components:
+        eye = np.eye(width)
+        return project(eye, shift / scale), np.zeros(0), np.zeros(0)
+    size = min(width, max(2 * components, components + 10))
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, size)))[0]
+    before = None
+    for _ in range(PASSES):
+        panel = q / scale[:, None]
+        less = mean @ panel
+
+        def of_batch(b, panel=panel, less=less):
+            y = b.times(panel) - less
+            return b.back(y) - np.outer(mean, y.sum(axis=0))
+
+        z = _panel_sum(rows, width, size, of_batch) / scale[:, None] / (n - 1)
+        values, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+        values, vectors = values[::-1][:components], (q @ turn)[:, ::-1][:, :components]
+        if size == width or before is not None and np.abs(values - before).max() <= TOLERANCE * max(values[0], 1e-300):
+            break
+        before, q = values, np.linalg.qr(z)[0]
+    vectors = signed(vectors)
+    rest = max(float((scatter / scale**2).sum()) / (n - 1) - float(values.sum()), 0.0)
+    every = np.concatenate([values, np.full(width - components, rest / (width - components))])
+    return project(vectors, mean @ (vectors / scale[:, None])), values, every
+
+
+def _mapped_rows(rows: DataFrame, width: int, panel: np.ndarray, less: np.ndarray) -> DataFrame:
+    """read_idx and x: the rows times a panel, less a row."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                yield pa.RecordBatch.from_arrays([part.column("read_idx"), lists(Rows(part, width).times(panel) - less)], names=["read_idx", "x"])
+
+    return rows.select([c for c in ("read_idx", "x", "i", "v") if c in rows.columns]).mapInArrow(run, "read_idx long, x array<double>")
+
+
 def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.stack([((x - c) ** 2).sum(axis=1) for c in centroids], axis=1)
 

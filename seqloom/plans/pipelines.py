@@ -87,7 +87,7 @@ def run_legacy(spark: SparkSession, options: Options) -> Result:
         raise ValueError("no read passed quality control")
     supported = reads.join(pairs.support_of_reads(reads.select("read_idx", "id", "seq")).groupBy("id").agg(F.max("support").alias("support")), "id", "left")
     features = matrix.legacy_features(supported, options.k, options.use_codon, options.damage_window)
-    components, retained, every = matrix.principal_components(features, options.pca_components)
+    components, retained, every = matrix.principal_components(features, options.pca_components, width=matrix.legacy_width(options.k, options.use_codon))
     rows = checkpoint(reads.join(matrix.k_means(components, options.n_init_clusters, options.seed), "read_idx"))
     stats = report.cluster_stats(rows)
     stats = checkpoint(stats.withColumn("taxonomy", report.taxonomy(F.col("cluster"), F.col("avg_gc"), F.col("avg_damage"), options.damage_threshold)))

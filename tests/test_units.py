@@ -519,3 +519,49 @@ def test_wide_counts_equal_dense_ones():
     wide.add_to(sums, cluster)
     assert all((sums[c] == full[cluster == c].sum(axis=0)).all() for c in range(3))
     assert [b - a for a, b in kmers.pieces(["A" * 5, "A" * 5, "A" * 30, "", "A"], 10)] == [2, 1, 2]
+
+
+@pytest.mark.parametrize("scaled", [False, True])
+def test_wide_components_equal_the_eigenvectors(spark, scaled):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 18)) @ rng.normal(size=(18, 18)) + rng.normal(size=18)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "read_idx long, x array<double>").repartition(5)
+    a, ra, ea = matrix.principal_components(rows, 8, scaled)
+    b, rb, eb = matrix.wide_components(rows, 8, 18, scaled)
+    assert ra == pytest.approx(rb, rel=1e-8) and ea.sum() == pytest.approx(eb.sum()) and len(ea) == len(eb)
+    own = lambda df: np.array([r.x for r in df.orderBy("read_idx").collect()])
+    assert own(a) == pytest.approx(own(b), abs=1e-7)
+    few = matrix.wide_components(rows, 2, 18, scaled)  # a panel smaller than the matrix
+    assert few[1] == pytest.approx(ra[:2], rel=1e-7) and own(few[0]) == pytest.approx(own(a)[:, :2], abs=1e-3)
+
+
+def test_wide_components_of_sparse_rows(spark, monkeypatch):
+    """Places and values beyond one block of a panel, against the same rows in full."""
+    monkeypatch.setattr(matrix, "PANEL", 64)
+    rng = np.random.default_rng(12)
+    x = np.where(rng.random((200, 150)) < 0.1, rng.normal(size=(200, 150)), 0.0)
+    x[:, 3] += np.arange(200) / 20
+    x[7] = 0
+    sparse = [(i, np.flatnonzero(v).tolist(), v[v != 0].tolist()) for i, v in enumerate(x)]
+    rows = spark.createDataFrame(sparse, "read_idx long, i array<int>, v array<double>").repartition(3)
+    got, values, every = matrix.principal_components(rows, 3, width=150)
+    exact, vectors = np.linalg.eigh(np.cov(x.T))
+    assert values == pytest.approx(exact[::-1][:3], rel=1e-6) and every.sum() == pytest.approx(exact.sum())
+    own = np.array([r.x for r in got.orderBy("read_idx").collect()])
+    assert own[:, 0] == pytest.approx((x - x.mean(axis=0)) @ matrix.signed(vectors[:, ::-1][:, :1])[:, 0], abs=1e-4)
+
+
+def test_legacy_features_of_long_kmers(spark):
+    """k = 6 as places and values holds what the full rows would; k = 8 has 65,612 columns."""
+    rng = random.Random(13)
+    rows = [(i, "".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 150)))) for i in range(60)]
+    reads = spark.createDataFrame(rows, "read_idx long, seq string")
+    five = {r.read_idx: r.x for r in matrix.legacy_features(reads, 5, True).collect()}
+    for r in matrix.legacy_features(reads, 6, True).collect():
+        assert dict(zip([j - 4**6 for j in r.i if j >= 4**6], [v for j, v in zip(r.i, r.v) if j >= 4**6])) == {j: v for j, v in enumerate(five[r.read_idx][4**5 :]) if v}
+        assert {j: v for j, v in zip(r.i, r.v) if j < 4**6} == pytest.approx({int(j): v for j, v in enumerate(kmers.frequency_matrix([rows[r.read_idx][1]], 6)[0]) if v})
+    width = matrix.legacy_width(8, False)
+    got, values, every = matrix.principal_components(matrix.legacy_features(reads, 8), 4, width=width)
+    assert width == len(every) == 65_548 and len(values) == 4 and got.count() == 60
+    model = em.em(reads.withColumn("cluster", F.col("read_idx") % 2), k=8)
+    assert model.profiles.shape[1] == 65_536 and em.assignments(reads, model).count() == 60
