@@ -56,7 +56,7 @@ def targets(docs: DataFrame, weights: dict[str, float] | None = None, power: flo
 def deal(frames: DataFrame, number: int, cap: int, wide: bool = False) -> DataFrame:
     """Deals each frame (start, total and e: an array of source number i, weight b, had and quanta) into `number` frames of
     `cap` quanta. Their weights are whole quanta; sources without any leave a frame, and frames without quanta that
-    exist go. `wide` computes in decimals, for the root's weights.
+    exist go. `wide` computes in decimals, where products leave 64 bits.
 
     The fold's state is what each source has had. A source's quanta that are due by a frame's end are `low`; one further
     quantum is a candidate if it is released by then, and those with the earliest deadlines fill the frame."""
@@ -84,16 +84,18 @@ def schedule(sources: DataFrame) -> DataFrame:
     root = sources.where("g > 0").groupBy().agg(listed.alias("s")).where("size(s) > 0").selectExpr("s", "aggregate(s, 0L, (t, x) -> t + x.g) as total")
     root = checkpoint(root)
     found = root.selectExpr("array_max(transform(s, x -> cast(ceil(cast(x.quanta as decimal(18, 0)) * cast(total as decimal(18, 0)) / x.g) as bigint))) as slots").first()
-    slots, levels = (found.slots if found else 1), 2
+    slots, levels, fan = (found.slots if found else 1), 2, FAN
     while levels < LEVELS and slots > FAN**levels:
         levels += 1
-    cap = FAN ** (levels - 1)
+    while slots > fan**levels:
+        fan = max(fan + 1, round(slots ** (1 / levels)))
+    cap = fan ** (levels - 1)
     frames = root.selectExpr("0L as start", "total", "transform(s, (x, i) -> named_struct('i', i, 'b', x.g, 'had', 0L, 'quanta', x.quanta)) as e")
     frames = deal(frames, -(-slots // cap), cap, wide=True)
     while cap > 1:
-        cap //= FAN
+        cap //= fan
         # The frames of a level are few and small but take long: a given number of partitions is not coalesced.
-        frames = deal(checkpoint(frames.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "start")), FAN, cap)
+        frames = deal(checkpoint(frames.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "start")), fan, cap, wide=(fan * cap) ** 2 >= 1 << 62)
     plan = frames.selectExpr("start as slot", "e[0].i as i", "e[0].had as nth").where("nth is not null")
     names = root.select("total", F.posexplode("s").alias("i", "x")).selectExpr("i", "x.source", "x.g", "x.quanta", "total")
     return plan.join(names, "i").where("nth < quanta").select("source", "g", "total", "nth", "slot")

@@ -41,6 +41,20 @@ def test_no_source_is_a_block_off_its_target(spark):
     assert worst_lag(spark, [(s, q, q * 10**7 + rng.randrange(10**6)) for s, q in many]) < 1
 
 
+def test_far_weights_end(spark):
+    """A weight of 1e-11 spreads 50 quanta over 5e12 slots: a larger fan, and no more frames than quanta."""
+    one = 1 << 40
+    for share in (1e-6, 1e-11):
+        rows = mixing.schedule(spark.createDataFrame([("a", 50, one), ("b", 50, max(1, round(one * share)))], "source string, quanta long, g long")).orderBy("slot").collect()
+        assert len({r.slot for r in rows}) == 100
+        for source in "ab":
+            own = [r for r in rows if r.source == source]
+            assert [r.nth for r in own] == list(range(50))
+            assert all(abs(r.nth - r.g * r.slot / r.total) < mixing.LEVELS for r in own)
+    docs = spark.createDataFrame([(i, "t", "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
+    assert mixing.place_documents(docs, {"a": 1.0, "b": 1e-11}).select("mix_slot").distinct().count() == 100
+
+
 def test_places(spark):
     rows = [(i, f"t{i}", "hot" if i % 3 else rng) for i, rng in ((i, f"s{i % 7}") for i in range(900))]
     rows += [(None, "n1", None), (None, None, None), (5000, None, None), (1, "t1", "hot"), (10**12, "far", "hot")] + [(6000 + i, "rare", f"rare{i}") for i in range(5)]
