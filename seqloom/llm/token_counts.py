@@ -9,8 +9,8 @@ The second transducer reads the bytes of a pretoken; each transition carries the
 is the determinised form of "tokens whose neighbours are compatible": its state holds, for each still open suffix,
 the token before it, its place in the vocabulary's trie and its count. States are made when first reached, and kept up
 to a bound, after which the tables start anew. Every pretoken starts in the first state, so a short one is a chunk whose
-map is one count, and these are summed; a long one is cut into chunks of bytes, each with a map from the start states
-that can occur to end state and added count, and the same scan composes these maps.
+map is one count, and these are summed; a long one is cut into chunks of bytes, each with a map from start states, which
+are found without the chunk before, to end state and added count, and the same scan composes these maps.
 
 Defined results: a null text is the empty text with 0 tokens; special strings count one token each and separate the
 text around them; repeated rows give repeated rows; null ids pass through; other columns are left out.
@@ -34,6 +34,7 @@ MODEL = "byte_bpe_50k.json"
 CHUNK, WARM = 1024, 48
 MAX_STATES, MAX_WORDS, LONG_WORD = 250_000, 100_000, 64
 BYTES, SECTION = 128, 65_536  # of a long pretoken: in a chunk, and between looks at the number of states
+SUFFIX = 96  # bytes before a chunk from which its start is guessed
 
 # Character classes: letters without a part in contractions, numbers, other characters, the space, other white space,
 # the apostrophe, letters that end a contraction at once, the letters r, v, l and e, and the end of a text.
@@ -279,25 +280,33 @@ class Counter:
         return total
 
     def _section(self, first: int, data: bytes) -> tuple[int, int]:
-        """Maps of the chunks, composed. A chunk's starts are the first state, as if it began a pretoken, and the ends of
-        the chunk before it; paths meet soon, so there are few. Equal chunks share their paths."""
+        """Maps of the chunks, composed. A chunk's start is not taken from the chunk before it, but is the state after the
+        bytes before it, begun as if they began a pretoken; paths meet within a token or two. Where a chunk's path ends
+        in a state that the next chunk does not start from, that start is added, until the maps are closed; then the
+        scan composes them. Equal chunks share their paths."""
+        chunks = [data[at : at + BYTES] for at in range(0, len(data), BYTES)]
+        starts = [{first: 0}] + [{self._walk(0, data[max(i * BYTES - SUFFIX, 0) : i * BYTES])[0]: 0} for i in range(1, len(chunks))] + [{}]
         walked: dict[tuple[int, bytes], tuple[int, int]] = {}
-        starts, maps = {first: 0}, []
-        for at in range(0, len(data), BYTES):
-            chunk, row, following = data[at : at + BYTES], [], {0: 0}
-            for state in starts:
-                path = walked.get((state, chunk))
-                if path is None:
-                    path = walked[state, chunk] = self._walk(state, chunk)
-                row.append((following.setdefault(path[0], len(following)), path[1]))
-            maps.append(row)
-            starts = following
-        width = max(max(map(len, maps)), len(starts))
-        table = np.zeros((len(maps), width, 2), np.int64)
+        maps: list[list[tuple[int, int]]] = [[] for _ in chunks]
+        open_ = list(range(len(chunks)))
+        while open_:
+            again = []
+            for i in open_:
+                for state in list(starts[i])[len(maps[i]) :]:
+                    path = walked.get((state, chunks[i]))
+                    if path is None:
+                        path = walked[state, chunks[i]] = self._walk(state, chunks[i])
+                    if path[0] not in starts[i + 1]:
+                        starts[i + 1][path[0]] = len(starts[i + 1])
+                        if i + 1 < len(chunks):
+                            again.append(i + 1)
+                    maps[i].append((starts[i + 1][path[0]], path[1]))
+            open_ = again
+        table = np.zeros((len(maps), max(map(len, starts)), 2), np.int64)
         for i, row in enumerate(maps):
             table[i, : len(row)] = row
         ends, counts = scan_counts(table[..., 0], table[..., 1])
-        return list(starts)[ends[-1, 0]], int(counts[-1, 0])
+        return list(starts[-1])[ends[-1, 0]], int(counts[-1, 0])
 
 
 _LOADED: dict[str, tuple] = {}
