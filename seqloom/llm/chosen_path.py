@@ -47,6 +47,8 @@ COORDS, FAN, RECALL = 128, 1.5, 0.999
 JOIN, ABSORB, MEET = 0.60, 0.92, 0.46
 #: The same for buckets that come from a split, where members near each other must not split without end.
 DEEP_JOIN, DEEP_ABSORB = 0.50, 0.80
+#: Two pivots that absorbed the members of a pair at the threshold may be as far apart as 0.2 from each of three steps.
+DEEP_MEET = 0.36
 MAX_PIVOTS, MAX_MET, MAX_LEVELS, MAX_WORDS = 512, 16_384, 8, 100_000
 #: Nodes of a block of a group; groups have at most WIDE blocks until these hold more than MAX_BLOCK nodes.
 BLOCK, WIDE, MAX_BLOCK = 128, 64, 1024
@@ -72,8 +74,12 @@ _PROBE = (mix(_J[:, None] * np.uint64(1_000_003) + np.arange(4 * COORDS, dtype=n
 
 def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, fan: float = FAN, levels: int = 2) -> int:
     """Runs after which a pair at the threshold shares a bucket of the given level with the given probability: its root
-    token is shared, and at each further level so is one of the sampled tokens, whose number is about Poisson."""
-    met = threshold * (1 - math.exp(-fan * threshold)) ** (levels - 1)
+    token is shared, and at each further level so is one of the sampled tokens, whose number is about Poisson. From the
+    third level on a member may be represented by the pivot that absorbed it, which is less like the other member."""
+    met = threshold
+    for level in range(2, levels + 1):
+        own = threshold - (0 if level == 2 else 1 - ABSORB if level == 3 else 1 - DEEP_ABSORB)
+        met *= 1 - math.exp(-fan * own)
     return math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
@@ -327,14 +333,14 @@ def _small(paths: DataFrame) -> DataFrame:
     return F.broadcast(paths) if paths.count() <= MAX_BROADCAST_PATHS else paths
 
 
-def in_cells(rows: DataFrame) -> DataFrame:
-    """Edges between all alike nodes (path, node, sketch) of a path, block against block: a task holds two blocks of about
+def in_cells(rows: DataFrame, meet: float) -> DataFrame:
+    """Edges between all nodes (path, node, sketch) of a path that are alike by `meet`, block against block: a task holds two blocks of about
     `MAX_PIVOTS` nodes, whatever the number of nodes of a path."""
 
     def run(batches):
         for _, (nodes, sketches), begins, _ in _runs(batches, "cell", ("node", "sketch")):
             if begins:
-                bucket = Bucket(MEET, 2.0, math.inf)
+                bucket = Bucket(meet, 2.0, math.inf)
             edges: list[tuple[bytes, bytes]] = []
             ids, flat = nodes.to_pylist(), np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, COORDS)
             for at in range(0, len(ids), 256):
@@ -383,14 +389,14 @@ def walk(members: DataFrame) -> tuple[list[DataFrame], list[DataFrame], int]:
         found.append(out.where(F.col("kind") == EDGE).select("node", "other"))
         whole = _small(checkpoint(crowded(out)))
         pivots = out.where(F.col("kind") == PIVOT).select("path", "node", F.col("other").alias("sketch"))
-        found.append(in_cells(pivots.join(whole, "path", "left_anti")))
+        found.append(in_cells(pivots.join(whole, "path", "left_anti"), MEET if level == 2 else DEEP_MEET))
         left = out.where(F.col("kind") == LEFT).select("path", "node", F.col("other").alias("sketch"))
         left = checkpoint(left.unionByName(pivots.join(whole, "path", "left_semi")))
         if not left.limit(1).count():
             return found, again, level
         again.append(left.select("node"))
         if level == MAX_LEVELS:
-            found.append(in_cells(left))
+            found.append(in_cells(left, DEEP_MEET))
             return found, again, level
         level += 1
         members = checkpoint(split(left, level))

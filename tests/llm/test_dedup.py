@@ -271,5 +271,54 @@ def test_many_pivots_meet_in_cells(spark, monkeypatch):
     sketches = rng.integers(0, 256, (60, chosen_path.COORDS), dtype=np.uint8)
     sketches[30:] = sketches[:30]
     rows = [(p, bytes([p, i]), s.tobytes()) for p in (1, 2) for i, s in enumerate(sketches)]
-    edges = chosen_path.in_cells(spark.createDataFrame(rows, "path long, node binary, sketch binary")).collect()
+    edges = chosen_path.in_cells(spark.createDataFrame(rows, "path long, node binary, sketch binary"), chosen_path.MEET).collect()
     assert {tuple(sorted((bytes(a), bytes(b)))) for a, b in edges} == {(bytes([p, i]), bytes([p, 30 + i])) for p in (1, 2) for i in range(30)}
+
+
+def test_pivots_of_absorbed_pairs_meet(spark, monkeypatch):
+    """Pairs at the threshold, both members of which were absorbed below a split, by pivots of different partitions: the pivots
+    are 0.4 alike, and others at random nearly not at all."""
+    rng = np.random.default_rng(10)
+    rows, expected = [], set()
+    for i in range(40):
+        chain = [rng.integers(0, 256, chosen_path.COORDS, dtype=np.uint8)]
+        places = rng.permutation(chosen_path.COORDS)
+        for k in range(3):  # pivot, member, member, pivot: 0.8 alike each, and nothing changes twice
+            step = chain[-1].copy()
+            at = places[26 * k : 26 * k + 26]
+            step[at] += rng.integers(1, 256, 26, dtype=np.uint8)
+            chain.append(step)
+        alike = int((chain[0] == chain[3]).sum())
+        p, q = bytes([0, i]), bytes([1, i])
+        rows += [(1, p, chain[0].tobytes()), (1, q, chain[3].tobytes())]
+        if alike >= chosen_path.DEEP_MEET * chosen_path.COORDS:
+            expected.add((p, q))
+    cells = lambda meet: {tuple(sorted((bytes(a), bytes(b)))) for a, b in chosen_path.in_cells(spark.createDataFrame(rows, "path long, node binary, sketch binary"), meet).collect()}
+    assert len(expected) >= 39 and cells(chosen_path.DEEP_MEET) == expected and len(cells(chosen_path.MEET)) < 39
+
+
+def test_recall_where_members_are_absorbed(spark, monkeypatch):
+    """A low bound of absorption, so that many members are represented by pivots where buckets split."""
+    monkeypatch.setattr(chosen_path, "MAX_PIVOTS", 8)
+    monkeypatch.setattr(chosen_path, "ABSORB", 0.80)
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    passage = rng.choices(vocabulary, k=60)
+    rows = []
+    for i in range(120):
+        own = passage + rng.choices(vocabulary, k=90)
+        rows.append((i, " ".join(own)))
+        for j in (1, 2):
+            other = list(own)
+            for _ in range(rng.choice([1, 2])):
+                other[rng.randrange(60, 150)] = f"changed{rng.randrange(9)}"
+            rows.append((1000 * j + i, " ".join(other)))
+    got = {r.doc: r.n_links for r in chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    exact = {r[0]: r[3] for r in near_brute(rows)}
+    assert sum(exact.values()) > 400 and all(got[i] <= n for i, n in exact.items())
+    assert sum(got.values()) >= 0.99 * sum(exact.values())
+
+
+def test_runs_grow_with_the_level():
+    assert [chosen_path.runs_for(levels=n) for n in (2, 3, 4, 6)] == sorted(chosen_path.runs_for(levels=n) for n in (2, 3, 4, 6))
+    assert chosen_path.runs_for(levels=2) == 9 and chosen_path.runs_for(levels=4) >= 25
