@@ -185,11 +185,12 @@ def _load(spark: SparkSession, path: str) -> dict:
 
 def em(
     reads: DataFrame, k: int = 4, min_cluster_size: int = 10, max_rounds: int = 20, convergence: float = 0.001, pseudocount: float = pf.PSEUDOCOUNT,
-    folder: str | None = None,
+    folder: str | None = None, merge: bool = True,
 ) -> Model:
     """Fits profiles to reads (seq, cluster). Each round assigns, sums, drops empty clusters, merges while the BIC falls,
     and ends from the fifth round without a merge if no read moved or the likelihood hardly changed. `folder` is a place in
-    the shared folder for the rounds' tables: a run that finds some there goes on after the last."""
+    the shared folder for the rounds' tables: a run that finds some there goes on after the last. Without `merge` no clusters
+    are joined."""
     spark = reads.sparkSession
     own = folder or storage.new_folder(spark)
     table = lambda round_: f"{own}/reads-{round_}"
@@ -215,7 +216,7 @@ def em(
         number = np.full(at, -1)
         number[alive] = np.arange(len(alive))
         merges, merged = pf.Merges(sums[alive], sizes[alive], gc[alive], pseudocount), False
-        while merges.step(int(sizes.sum())) is not None:
+        while merge and merges.step(int(sizes.sum())) is not None:
             merged = True
         sums, sizes, gc, into = merges.left()
         relabel = np.where(number >= 0, into[np.maximum(number, 0)], -1)

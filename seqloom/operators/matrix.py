@@ -411,13 +411,14 @@ def nearest(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     return rows.select("read_idx", "x").mapInArrow(run, "read_idx long, cluster int")
 
 
-def k_means(rows: DataFrame, k: int, seed: int = 42, max_rounds: int = 50) -> DataFrame:
-    """read_idx and cluster: k-means++ and Lloyd's rounds until the centroids, and so the assignments, stay."""
+def k_means(rows: DataFrame, k: int, seed: int = 42, max_rounds: int = 50, start: np.ndarray | None = None) -> DataFrame:
+    """read_idx and cluster: k-means++ (or given centroids) and Lloyd's rounds until the centroids, and so the assignments,
+    stay."""
     rows = checkpoint(rows)  # each of up to k + max_rounds passes reads it
     k = min(k, rows.count())
     if k <= 1:
         return rows.select("read_idx", F.lit(0).alias("cluster"))
-    centroids = seed_centroids(rows, k, seed)
+    centroids = seed_centroids(rows, k, seed) if start is None else start
     for _ in range(max_rounds):
         new, _ = lloyd_step(rows, centroids)
         if np.allclose(new, centroids, rtol=0, atol=1e-12):

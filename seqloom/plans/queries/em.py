@@ -129,3 +129,34 @@ def contig_mapping(spark, sf):
     """Long reads stand for contigs: they are clustered, and all reads are mapped to the final profiles."""
     contigs = binned(spark, sf).where(F.length("seq") >= 120)
     return em_op.map_reads(rd.reads(spark, sf), em_op.em(contigs))
+
+
+def _rounds_sql(rounds: int, units: str) -> str:
+    """Assignments a1, a2 ... and profiles p0, p1 ... of rounds without merging, from the bins of the units (a condition)."""
+    parts = [f"""{COUNTS}, units AS MATERIALIZED (SELECT read_idx, cluster FROM binned WHERE {units}),
+  large AS (SELECT cluster FROM units WHERE cluster >= 0 GROUP BY cluster HAVING count(*) >= 3), a0 AS (SELECT read_idx, cluster FROM units SEMI JOIN large USING (cluster)){_profiles('p0', 'a0')}"""]
+    for i in range(1, rounds + 1):
+        parts.append(f", {_best(f'a{i}', f'p{i - 1}', 'units')}{_profiles(f'p{i}', f'a{i}')}")
+    return "".join(parts)
+
+
+def _best(name: str, profiles: str, units: str) -> str:
+    """The best cluster of each unit; one without k-mers goes to the first."""
+    return f"""{name}_ll AS (SELECT read_idx, cluster, sum(n * ln(p)) AS ll FROM counts SEMI JOIN {units} USING (read_idx) JOIN {profiles} USING (kmer_idx) GROUP BY read_idx, cluster),
+  {name}_top AS (SELECT read_idx, cluster FROM (SELECT *, row_number() OVER (PARTITION BY read_idx ORDER BY round(ll, 6) DESC, cluster) AS r FROM {name}_ll) WHERE r = 1),
+  {name} AS MATERIALIZED (SELECT units.read_idx, coalesce(t.cluster, (SELECT min(cluster) FROM {profiles})) AS cluster FROM {units} units LEFT JOIN {name}_top t USING (read_idx))"""
+
+
+@query(f"{_rounds_sql(3, 'true')} SELECT read_idx, (dense_rank() OVER (ORDER BY cluster) - 1)::INTEGER AS cluster FROM a3", "binned")
+def em_rounds(spark, sf):
+    """Three rounds from the bins, without merging."""
+    reads = binned(spark, sf).select("read_idx", "seq", "cluster")
+    return em_op.assignments(reads, em_op.em(reads, max_rounds=3, merge=False))
+
+
+@query(f"""{_rounds_sql(2, 'length(seq) >= 120')}, {_best('mapped', 'p2', 'reads')}, names AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS nr FROM (SELECT DISTINCT cluster FROM p2))
+  SELECT read_idx, nr::INTEGER AS cluster FROM mapped JOIN names USING (cluster)""", "binned")
+def contig_rounds(spark, sf):
+    """Long reads stand for contigs: two rounds from their bins, and all reads mapped to the profiles that these leave."""
+    contigs = binned(spark, sf).where(F.length("seq") >= 120).select("seq", "cluster")
+    return em_op.map_reads(rd.reads(spark, sf), em_op.em(contigs, max_rounds=2, merge=False))

@@ -60,9 +60,13 @@ def gc_by_source(spark, sf):
     return rows.groupBy("source", F.floor(F.col("gc") * 10).cast("int").alias("gc_bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("length"), 6).alias("avg_length"), (F.min("gc") < 0.3).alias("low"))
 
 
-@query("SELECT (((a.i * 4 + b.i) * 4 + c.i) * 4 + d.i)::INTEGER AS kmer_idx, a.l || b.l || c.l || d.l AS kmer FROM l a, l b, l c, l d".replace("SELECT", ", l AS (SELECT unnest(range(4)) AS i, unnest(['A','C','G','T']) AS l) SELECT", 1))
+@query(""", l AS (SELECT unnest(range(4)) AS i, unnest(['A','C','G','T']) AS l), every AS (SELECT (((a.i * 4 + b.i) * 4 + c.i) * 4 + d.i)::INTEGER AS kmer_idx, a.l || b.l || c.l || d.l AS kmer FROM l a, l b, l c, l d),
+  w AS (SELECT read_idx, upper(substr(seq, unnest(range(1, length(seq) - 2)), 4)) AS kmer FROM reads)
+  SELECT kmer_idx, kmer, count(DISTINCT read_idx) AS reads FROM every LEFT JOIN w USING (kmer) GROUP BY kmer_idx, kmer""")
 def kmer_enumerate(spark, sf):
-    return kmers.enumerate_kmers(spark, 4)
+    """Every 4-mer, and the number of reads that have it."""
+    found = kmers.kmer_counts(rd.reads(spark, sf), 4).groupBy("kmer_idx").agg(F.count(F.lit(1)).alias("reads"))
+    return kmers.enumerate_kmers(spark, 4).join(found, "kmer_idx", "left").select("kmer_idx", "kmer", F.coalesce("reads", F.lit(0)).cast("long").alias("reads"))
 
 
 def _freq_sql(k: int) -> str:
