@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 
 from seqloom.config import parse
 from seqloom.plans.pipelines import DASHBOARD, run
+from seqloom.session import configure
 from seqloom.sources.sinks import serve
 
 
@@ -22,7 +23,7 @@ def main(argv: list[str]) -> int:
         return 1
     if options.min_length < 20:
         logging.warning("reads below 20 bases say little")
-    spark = SparkSession.builder.appName("seqloom").getOrCreate()
+    spark = configure(SparkSession.builder.appName("seqloom").getOrCreate())
     result = run(spark, options)
     print(f"{result.stats.count()} clusters in {options.output}")
     if options.dashboard and options.legacy:

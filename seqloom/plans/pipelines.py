@@ -33,7 +33,7 @@ def load(spark: SparkSession, options: Options) -> DataFrame:
         files.file_type(options.fastq)
         return fastq.numbered(qc.long_enough(fastq.read_fastq(spark, options.fastq), options.min_length)).select("read_idx", "id", "seq", "quality")
     files.file_type(options.bam)
-    records = qc.passed_alignments(bam.read_bam(spark, options.bam), options.bam_filter, options.min_length)
+    records = qc.passed_alignments(bam.read_bam(spark, options.bam, columns=["nr", "id", "seq", "quality", *bam.FLAGS, "length"]), options.bam_filter, options.min_length)
     return fastq.numbered(records).select("read_idx", "id", "seq", "quality")
 
 

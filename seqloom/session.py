@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: A batch of a scan or of Arrow holds rows up to a number, whatever their length; these keep batches of long texts small.
-SETTINGS = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: A batch of a scan or of Arrow holds rows up to a number, whatever their length; these keep batches of long texts small. The
+#: last lets filters reach the readers of `seqloom.sources`.
+SETTINGS = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.python.filterPushdown.enabled": "true"}
 
 
 def configure(spark: SparkSession) -> SparkSession:

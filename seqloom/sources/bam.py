@@ -7,6 +7,11 @@ A file of BGZF blocks is cut into byte ranges: a task reads the records that beg
 first one begins is not marked; it is the first place where a record's fields, and those of the records that follow, hold
 what the specification allows. A file that is plain gzip is read by one task.
 
+What a query does not need is not decoded: the filters secondary, supplementary, unmapped (true or false) and length (at least)
+reach the reader if Spark's setting for filters of Python sources is on, and are decided by a record's fixed fields; a
+schema given on loading names the columns that are decoded. Names, bases and qualities of a few megabytes of records are
+decoded at once, as arrays.
+
 A record's number within its file is 32 times the place of its block plus its rank among the records that begin there:
 unique, as a compressed byte stands for less than 32 records of at least 36 bytes each."""
 
@@ -18,15 +23,19 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, IsNotNull, Not
 
-from seqloom.sources.fastq import RANGE, Part, batches
+from seqloom.sources.fastq import RANGE, ROWS, Part, part_of, text_array
 from seqloom.sources.files import listing, opened
 
-SCHEMA = "file string, nr long, id string, flag int, tid int, pos int, mapq int, seq string, quality array<smallint>, raw binary"
-ARROW = pa.schema([("file", pa.string()), ("nr", pa.int64()), ("id", pa.string()), ("flag", pa.int32()), ("tid", pa.int32()), ("pos", pa.int32()), ("mapq", pa.int32()), ("seq", pa.string()), ("quality", pa.list_(pa.int16())), ("raw", pa.binary())])
+SCHEMA = "file string, nr long, id string, flag int, tid int, pos int, mapq int, seq string, quality array<smallint>, raw binary, secondary boolean, supplementary boolean, unmapped boolean, length int"
+ARROW = pa.schema([("file", pa.string()), ("nr", pa.int64()), ("id", pa.string()), ("flag", pa.int32()), ("tid", pa.int32()), ("pos", pa.int32()), ("mapq", pa.int32()), ("seq", pa.string()), ("quality", pa.list_(pa.int16())), ("raw", pa.binary()), ("secondary", pa.bool_()), ("supplementary", pa.bool_()), ("unmapped", pa.bool_()), ("length", pa.int32())])
+FLAGS = {"secondary": 0x100, "supplementary": 0x800, "unmapped": 0x4}
+LETTERS = np.array([[ord("=ACMGRSVTWYHKDBN"[i >> 4]), ord("=ACMGRSVTWYHKDBN"[i & 15])] for i in range(256)], np.uint8)
+HELD = 4 << 20  # bytes of records that are decoded at once
 BASES = "=ACMGRSVTWYHKDBN"
 _PAIR = [BASES[i >> 4] + BASES[i & 15] for i in range(256)]
 _NUMBER = {b: i for i, b in enumerate(BASES)}
@@ -135,19 +144,116 @@ class Blocks:
         return b"".join(out)
 
 
-def block_records(blocks: Blocks, end: int, keep_raw: bool = False) -> Iterator[tuple]:
-    """As `bam_records`, for the records that begin in blocks before `end`."""
+def block_spans(blocks: Blocks, end: int) -> Iterator[tuple[bytes, list[int], list[int], list[int]]]:
+    """Bytes of records, and places, sizes and numbers of those within them that begin in blocks before `end`."""
+    held, owners = bytearray(), []  # owners: where in `held` a block begins, and the block
     last, rank = -1, 0
-    while (block := blocks.place()) is not None and block < end:
-        last, rank = block, rank + 1 if block == last else 0
-        head = blocks.read(4)
-        if len(head) < 4:
+    while True:
+        block = blocks.place()
+        if block is not None:
+            owners.append((len(held), block))
+            held += blocks.data[blocks.at :]
+            blocks.at = len(blocks.data)
+            if len(held) < HELD and block < end:
+                continue
+        at, turn, offsets, sizes, numbers, over = 0, 0, [], [], [], False
+        while at + 4 <= len(held):
+            while turn + 1 < len(owners) and owners[turn + 1][0] <= at:
+                turn += 1
+            if owners[turn][1] >= end:
+                over = True
+                break
+            size = int.from_bytes(held[at : at + 4], "little", signed=True)
+            if at + 4 + size > len(held):
+                break
+            last, rank = owners[turn][1], rank + 1 if owners[turn][1] == last else 0
+            offsets.append(at + 4)
+            sizes.append(size)
+            numbers.append(last * 32 + rank)
+            at += 4 + size
+        if offsets:
+            yield bytes(held), offsets, sizes, numbers
+        if over or block is None:
             return
-        raw = blocks.read(struct.unpack("<i", head)[0])
-        try:
-            yield block * 32 + rank, *decode_record(raw), raw if keep_raw else None
-        except (BadBam, struct.error):
-            continue
+        del held[:at]
+        owners = [(max(begin - at, 0), place) for i, (begin, place) in enumerate(owners) if i + 1 == len(owners) or owners[i + 1][0] > at]
+
+
+def stream_spans(stream) -> Iterator[tuple[bytes, list[int], list[int], list[int]]]:
+    """The same for a stream of records, which are numbered from 1."""
+    held, nr = bytearray(), 0
+    while data := stream.read(HELD):
+        held += data
+        at, offsets, sizes = 0, [], []
+        while at + 4 <= len(held):
+            size = int.from_bytes(held[at : at + 4], "little", signed=True)
+            if at + 4 + size > len(held):
+                break
+            offsets.append(at + 4)
+            sizes.append(size)
+            at += 4 + size
+        if offsets:
+            yield bytes(held), offsets, sizes, list(range(nr + 1, nr + 1 + len(offsets)))
+        nr += len(offsets)
+        del held[:at]
+
+
+def decode_spans(raw: bytes, offsets: list[int], sizes: list[int], numbers: list[int], file: str, number: int, columns: list[str], tests: list[tuple]) -> pa.RecordBatch:
+    """The columns of the records that pass the tests (column, comparison, value); records that cannot be decoded are left out."""
+    data = np.frombuffer(raw, np.uint8)
+    at, size, nr = (np.array(x, np.int64) for x in (offsets, sizes, numbers))
+    whole = size >= 32
+    at, size, nr = at[whole], size[whole], nr[whole]
+    fixed = data[at[:, None] + np.arange(20)]
+    number_of = lambda a, b, kind: np.ascontiguousarray(fixed[:, a:b]).view(kind)[:, 0].astype(np.int64)
+    flag, length, ops, name_len = number_of(14, 16, "<u2"), number_of(16, 20, "<i4"), number_of(12, 14, "<u2"), fixed[:, 8].astype(np.int64)
+    packed = (length + 1) // 2
+    keep = (length >= 0) & (name_len > 0) & (32 + name_len + 4 * ops + packed + length <= size)
+    value = {"flag": flag, "length": length} | {c: (flag & bit) != 0 for c, bit in FLAGS.items()}
+    for column, compare, wanted in tests:
+        own = value[column]
+        keep &= own == wanted if compare == "=" else own >= wanted if compare == ">=" else own > wanted
+    rows = np.flatnonzero(keep)
+    at, size, nr, fixed, flag, length, name_len, ops, packed = (x[rows] for x in (at, size, nr, fixed, flag, length, name_len, ops, packed))
+    names, bases = at + 32, at + 32 + name_len + 4 * ops
+
+    def column(c: str) -> pa.Array:
+        if c == "file":
+            return pa.repeat(pa.scalar(file), len(rows))
+        if c == "nr":
+            return pa.array(number + nr)
+        if c in ("flag", "length"):
+            return pa.array((flag if c == "flag" else length).astype(np.int32))
+        if c in FLAGS:
+            return pa.array((flag & FLAGS[c]) != 0)
+        if c == "mapq":
+            return pa.array(fixed[:, 9].astype(np.int32))
+        if c in ("tid", "pos"):
+            return pa.array(number_of(0, 4, "<i4").astype(np.int32) if c == "tid" else number_of(4, 8, "<i4").astype(np.int32))
+        if c == "id":
+            own, ends = part_of(data, names, names + name_len - 1)
+            if (own > 127).any():
+                return pa.array([raw[a : a + n - 1].decode("utf-8", "replace") for a, n in zip(names.tolist(), name_len.tolist())], pa.string())
+            return text_array(own, ends)
+        if c == "seq":
+            own, ends = part_of(data, bases, bases + packed)
+            letters = LETTERS[own].ravel()
+            odd = length % 2 == 1
+            stay = np.ones(len(letters), bool)
+            stay[2 * ends[1:][odd] - 1] = False
+            return text_array(letters[stay], np.concatenate([[0], np.cumsum(length)]))
+        if c == "quality":
+            start = bases + packed
+            own, ends = part_of(data, start, start + length)
+            missing = (length > 0) & (data[np.minimum(start, len(data) - 1)] == 255)
+            return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(own.astype(np.int16)), mask=pa.array(missing))
+        own, ends = part_of(data, at, at + size)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(own.tobytes())])
+
+    def made(c: str) -> pa.Array:
+        return pa.nulls(len(rows), pa.binary()) if c == "no_raw" else column(c)
+
+    return pa.RecordBatch.from_arrays([made(c) for c in columns], schema=pa.schema([ARROW.field("raw" if c == "no_raw" else c) for c in columns]))
 
 
 def first_block(stream, start: int, end: int) -> int | None:
@@ -249,9 +355,11 @@ def header_of(path: str) -> Header:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.raw = options["path"], str(options.get("raw", "false")).lower() == "true"
+    def __init__(self, options: dict, columns: list[str]):
+        self.path, raw = options["path"], str(options.get("raw", "false")).lower() == "true"
+        self.columns = [c if c != "raw" or raw else "no_raw" for c in columns]
         self.range = int(options.get("rangebytes", RANGE))
+        self.tests: list[tuple] = []
 
     def partitions(self):
         out = []
@@ -263,12 +371,18 @@ class _Reader(DataSourceReader):
             out += [Part(name, at, min(at + self.range, size), i) for at in range(0, size, self.range)] if cut else [Part(name, 0, None, i)]
         return out
 
+    def _decoded(self, partition, spans):
+        for span in spans:
+            batch = decode_spans(*span, partition.path, partition.file << PLACE_BITS, self.columns, self.tests)
+            for i in range(0, batch.num_rows, ROWS):
+                yield batch.slice(i, ROWS)
+
     def read(self, partition):
         with opened(partition.path) as stream:
             if partition.end is None:
                 with gzip.open(stream) as plain:
                     read_header(plain)
-                    yield from batches(partition, bam_records(plain, self.raw), ARROW, PLACE_BITS)
+                    yield from self._decoded(partition, stream_spans(plain))
                 return
             blocks = Blocks(stream)
             references = len(read_header(blocks).references)
@@ -278,7 +392,22 @@ class _Reader(DataSourceReader):
             if first < partition.start:
                 blocks = first_record(stream, partition.start, partition.end, references)
             if blocks is not None:
-                yield from batches(partition, block_records(blocks, partition.end, self.raw), ARROW, PLACE_BITS)
+                yield from self._decoded(partition, block_spans(blocks, partition.end))
+
+
+class _Filtering(_Reader):
+    def pushFilters(self, filters):
+        """Keeps the tests of fixed fields; the others stay with Spark."""
+        for f in filters:
+            same = f.child if isinstance(f, Not) else f
+            column = getattr(same, "attribute", None)
+            name = column[0] if column and len(column) == 1 else None
+            if isinstance(same, EqualTo) and (name in FLAGS or name == "flag" and same is f):
+                self.tests.append((name, "=", same.value if same is f else not same.value))
+            elif name == "length" and type(f) in (GreaterThan, GreaterThanOrEqual):
+                self.tests.append((name, ">=" if isinstance(f, GreaterThanOrEqual) else ">", f.value))
+            elif not (isinstance(f, IsNotNull) and (name in FLAGS or name in ("flag", "length"))):  # these never are
+                yield f
 
 
 class BamSource(DataSource):
@@ -290,14 +419,20 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _Reader(self.options)
+        # Spark takes no reader of filters while its setting is off.
+        return (_Filtering if str(self.options.get("filters", "false")).lower() == "true" else _Reader)(self.options, schema.fieldNames())
 
 
-def read_bam(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, raw: bool = False, columns: list[str] | None = None) -> DataFrame:
     """All records, in the orientation in which they are stored; tasks read ranges of a file. With `raw`, the record's bytes
-    come along, for exports that keep alignment and tags."""
+    come along, for exports that keep alignment and tags. Only `columns` are decoded, if they are given."""
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").option("raw", str(raw).lower()).load(path)
+    filters = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    source = spark.read.format("bam").option("raw", str(raw).lower()).option("filters", filters)
+    if columns:
+        kinds = dict(c.split(" ") for c in SCHEMA.split(", "))
+        source = source.schema(", ".join(f"{c} {kinds[c]}" for c in columns))
+    return source.load(path)
 
 
 def encode_record(name: str, flag: int, tid: int, pos: int, mapq: int, seq: str, quality: list[int] | None) -> bytes:

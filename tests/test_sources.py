@@ -124,6 +124,55 @@ def test_bam_round_trip(spark, tmp_path):
     assert (got.total, got.secondary, got.supplementary, got.short, got.passed) == (5, 1, 1, 1, 2)
 
 
+@pytest.mark.parametrize("filters", ["true", "false"])
+def test_bam_filters_reach_the_reader(spark, tmp_path, filters, capsys):
+    path = write_bam(tmp_path / "flags.bam")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", filters)
+    try:
+        records = bam.read_bam(spark, path, columns=["nr", "id", *bam.FLAGS, "length"])
+        assert records.columns == ["nr", "id", "secondary", "supplementary", "unmapped", "length"]
+        for kind, expected in (("all", ["p", "u"]), ("mapped", ["p"]), ("unmapped", ["u"])):
+            assert ids(qc.passed_alignments(records, kind)) == expected
+        passed = qc.passed_alignments(bam.read_bam(spark, path), "mapped")
+        assert [(r.id, r.seq, r.quality) for r in passed.collect()] == [("p", READ, [30] * len(READ))]
+        passed.explain()
+        plan = capsys.readouterr().out
+        assert (" Filter " in plan) != (filters == "true"), plan
+        assert ids(records.where("length > 4 and id <> 'p'")) == ["s", "u"]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("abé", max_size=9), st.integers(0, 4095), st.integers(-1, 1), st.integers(-1, 9), st.integers(0, 255), st.text("ACGTN", max_size=9), st.booleans()), max_size=25), st.integers(1, 300), st.integers(0, 6))
+def test_decoded_blocks_equal_records(rows, held, low):
+    """Spans of any size, by blocks and as a stream, against the decoder of one record; broken records are left out."""
+    out = io.BytesIO()
+    writer = bam.BgzfWriter(out)
+    plain = []
+    for i, (name, flag, tid, pos, mapq, seq, scored) in enumerate(rows):
+        raw = bam.encode_record(name, flag, tid, pos, mapq, seq, [i % 40] * len(seq) if scored else None)
+        if i % 7 == 5:
+            raw = raw[:20] + (1000).to_bytes(4, "little") + raw[24:]  # a sequence beyond the record's end
+        plain.append(raw)
+        writer.write(raw)
+        if i % 3 == 0:
+            writer.flush()
+    writer.close()
+    expected = [r[:-1] for r in bam.bam_records(io.BytesIO(b"".join(plain)))]
+    old, bam.HELD = bam.HELD, held
+    try:
+        columns = ["nr", "id", "flag", "tid", "pos", "mapq", "seq", "quality"]
+        read = lambda spans, tests=(): [tuple(r.values()) for s in spans for r in bam.decode_spans(*s, "f", 0, columns, list(tests)).to_pylist()]
+        assert read(bam.stream_spans(io.BytesIO(b"".join(plain)))) == expected
+        blocks = read(bam.block_spans(bam.Blocks(io.BytesIO(out.getvalue())), 1 << 40))
+        assert [r[1:] for r in blocks] == [r[1:] for r in expected] and len({r[0] for r in blocks}) == len(blocks)
+        tests = [("unmapped", "=", False), ("length", ">=", low)]
+        assert [r[1:] for r in read(bam.stream_spans(io.BytesIO(b"".join(plain))), tests)] == [r[1:] for r in expected if not r[2] & 4 and len(r[6]) >= low]
+    finally:
+        bam.HELD = old
+
+
 def test_bam_pipeline_exports_bam(spark, tmp_path):
     path = write_bam(tmp_path / "flags.bam")
     options = Options(bam=path, output=str(tmp_path / "report.csv"), export_clusters=True, export_output=str(tmp_path / "out.zip"), n_init_clusters=2)
