@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,7 +131,22 @@ def dashboard_json(rows: DataFrame, stats: DataFrame) -> DataFrame:
     return totals.join(F.broadcast(clusters)).select(F.to_json(F.struct("reads", "n_clusters", "clusters")).alias("json"))
 
 
-def references_by_cluster(records: DataFrame, clusters: DataFrame) -> DataFrame:
-    """cluster, tids: the distinct references that its mapped reads lie on."""
-    mapped = records.where((F.col("flag").bitwiseAND(4) == 0) & (F.col("tid") >= 0)).select(F.col("id"), "tid")
-    return mapped.join(clusters.select("id", "cluster"), "id").groupBy("cluster").agg(F.sort_array(F.collect_set("tid")).alias("tids"))
+def reference_bitmaps(records: DataFrame, clusters: DataFrame) -> DataFrame:
+    """cluster, bucket and bits: the distinct references that the mapped reads of a cluster lie on, as bitmaps of 32,768
+    references each. A row has 4 kB whatever the number of records, and tasks merge what they have before the shuffle."""
+    mapped = records.where((F.col("flag").bitwiseAND(4) == 0) & (F.col("tid") >= 0)).select("id", (F.col("tid").cast("long") + 1).alias("place"))
+    found = mapped.join(clusters.select("id", "cluster"), "id").select("cluster", F.bitmap_bucket_number("place").alias("bucket"), F.bitmap_bit_position("place").alias("bit"))
+    return found.groupBy("cluster", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def references(bucket: int, bits: bytes) -> np.ndarray:
+    """The references in a bitmap, in order."""
+    return (bucket - 1) * 32_768 + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
+
+
+def references_by_cluster(records: DataFrame, clusters: DataFrame) -> dict[int, np.ndarray]:
+    """The references of each cluster on the driver, for the headers of its files: as many bitmaps as clusters have buckets."""
+    parts: dict[int, list] = {}
+    for r in reference_bitmaps(records, clusters).orderBy("cluster", "bucket").collect():
+        parts.setdefault(r.cluster, []).append(references(r.bucket, r.bits))
+    return {c: np.concatenate(own) for c, own in parts.items()}

@@ -102,7 +102,7 @@ def write_bam_parts(source: str, clusters: DataFrame, stats: DataFrame, folder:
     chosen = exported_reads(clusters.select("id", "cluster").distinct(), stats, min_size, "bam").select("id", "cluster", "file")
     records = bam.read_bam(spark, source, raw=True)
     header = bam.header_of(source)
-    tids = {r.cluster: r.tids for r in report.references_by_cluster(records, chosen).collect()}  # references of clusters
+    tids = {c: own.tolist() for c, own in report.references_by_cluster(records, chosen).items()}
     joined = records.drop("file").join(chosen, "id").select("cluster", "file", "nr", "raw")
     store, at = pa_fs.FileSystem.from_uri(folder)
     if store.get_file_info(at).type != pa_fs.FileType.NotFound:

@@ -565,3 +565,19 @@ def test_legacy_features_of_long_kmers(spark):
     assert width == len(every) == 65_548 and len(values) == 4 and got.count() == 60
     model = em.em(reads.withColumn("cluster", F.col("read_idx") % 2), k=8)
     assert model.profiles.shape[1] == 65_536 and em.assignments(reads, model).count() == 60
+
+
+def test_references_by_cluster(spark):
+    """Bitmaps over several buckets, their borders included; unmapped reads and those without a reference are left out."""
+    rng = random.Random(14)
+    tids = [0, 32_767, 32_768, 65_535, 65_536, 9_999_999, *(rng.randrange(100_000) for _ in range(300))]
+    rows = [(f"r{i % 90}", 4 if i % 11 == 0 else 16, t) for i, t in enumerate(tids * 3)] + [("r1", 0, -1)]
+    records = spark.createDataFrame(rows, "id string, flag int, tid int")
+    clusters = spark.createDataFrame([(f"r{i}", i % 4) for i in range(80)], "id string, cluster int")
+    expected = {}
+    for i, flag, t in rows:
+        if int(i[1:]) < 80 and not flag & 4 and t >= 0:
+            expected.setdefault(int(i[1:]) % 4, set()).add(t)
+    got = report.references_by_cluster(records, clusters)
+    assert {c: own.tolist() for c, own in got.items()} == {c: sorted(own) for c, own in expected.items()}
+    assert report.reference_bitmaps(records, clusters).count() < 4 * 7
