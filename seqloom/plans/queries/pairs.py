@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.operators import pairs
+from seqloom.operators import align, pairs
 from seqloom.plans import reads as rd
 from seqloom.plans.queries.sequence import six
 from seqloom.plans.registry import query
@@ -61,3 +61,10 @@ def pair_counters(spark, sf):
     name = F.concat("id", F.when(kind == 0, "/2").when(kind == 1, "x").otherwise("/1"))
     short = rd.all_reads(spark, sf).where(F.length("seq") < 30).select(name.alias("id"), "seq", kind.alias("kind"))
     return pairs.pair_counters(rd.mates(spark, sf).unionByName(short.drop("kind")).unionByName(short.where("kind = 2").drop("kind")))
+
+
+# The mates differ by replaced bases only, at most three: no path with gaps is better.
+@query(f"""{PAIRED}, letters AS (SELECT base_id, length(seq1) AS len, CASE WHEN seq1[pos + 1] = rc2[pos + 1] THEN 1 ELSE -1 END AS s FROM (SELECT *, unnest(range(0, length(seq1))) AS pos FROM paired))
+  SELECT base_id, sum(s)::INTEGER AS score, 0 AS begin, len::INTEGER AS "end", 0 AS gaps, concat(len, 'M') AS path FROM letters GROUP BY base_id, len""", "mates")
+def mate_alignment(spark, sf):
+    return align.alignments(pairs.mate_join(rd.mates(spark, sf)))

@@ -13,7 +13,7 @@ from seqloom.config import Options, parse
 from seqloom.functions import damage as fn
 from seqloom.functions import sequence as sq
 from seqloom.functions.special import erfc_sql
-from seqloom.operators import damage, em, kmers, matrix, pairs, profiles, qc, report
+from seqloom.operators import align, damage, em, kmers, matrix, pairs, profiles, qc, report
 
 DNA = st.text("ACGTN", min_size=0, max_size=80)
 
@@ -581,3 +581,58 @@ def test_references_by_cluster(spark):
     got = report.references_by_cluster(records, clusters)
     assert {c: own.tolist() for c, own in got.items()} == {c: sorted(own) for c, own in expected.items()}
     assert report.reference_bitmaps(records, clusters).count() < 4 * 7
+
+
+def plain_alignment(x, y):
+    """Score and first best end, from whole tables."""
+    low = -(10**6)
+    h = [[0 if not i else low for _ in range(len(y) + 1)] for i in range(len(x) + 1)]
+    v, g = [[low] * (len(y) + 1) for _ in h], [[low] * (len(y) + 1) for _ in h]
+    for i in range(1, len(x) + 1):
+        for j in range(len(y) + 1):
+            v[i][j] = max(h[i - 1][j] - 6, v[i - 1][j] - 1)
+            g[i][j] = max(h[i][j - 1] - 6, g[i][j - 1] - 1) if j else low
+            pair = h[i - 1][j - 1] + (1 if x[i - 1] == y[j - 1] else -1) if j else low
+            h[i][j] = max(pair, v[i][j], g[i][j])
+    return max(h[-1]), h[-1].index(max(h[-1]))
+
+
+def test_alignment_equals_a_plain_table(monkeypatch):
+    """Random pairs with insertions and deletions: score and end, and a path that gives that score."""
+    rng = random.Random(15)
+    rows = []
+    for _ in range(120):
+        x = "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 40)))
+        y = list(x)
+        for _ in range(rng.randint(0, 3)):
+            at, n = rng.randint(0, len(y)), rng.randint(1, 6)
+            y[at : at + n] = [] if rng.random() < 0.5 else [rng.choice("ACGTN") for _ in range(2 * n)]
+        pad = lambda: [rng.choice("ACGT") for _ in range(rng.randint(0, 9))]
+        rows.append((x, "".join(pad() + y + pad())))
+    rows += [("", ""), ("", "ACGT"), ("ACGT", ""), ("ACGTACGTAA", "ACGTACGT"), ("A" * 30, "A" * 30)]
+    n, m = (np.array([len(r[i]) for r in rows]) for i in (0, 1))
+    for cells in (1, 5_000, 1 << 24):
+        monkeypatch.setattr(align, "CELLS", cells)
+        seen = []
+        for own in align.groups(n, m):
+            got = align.aligned(align.codes([rows[i][0] for i in own], int(n[own].max())), n[own], align.codes([rows[i][1] for i in own], int(m[own].max())), m[own])
+            for i, (score, begin, end, path) in zip(own.tolist(), got):
+                x, y = rows[i]
+                assert (score, end) == plain_alignment(x, y)
+                a, b, total = 0, begin, 0
+                for kind, k in path:
+                    if kind == align.PAIR:
+                        total += sum(1 if p == q else -1 for p, q in zip(x[a : a + k], y[b : b + k], strict=True))
+                    else:
+                        total -= 5 + k
+                    a, b = a + (k if kind != align.ONLY_2 else 0), b + (k if kind != align.ONLY_1 else 0)
+                assert (a, b, total) == (len(x), end, score)
+                seen.append(i)
+        assert sorted(seen) == list(range(len(rows)))
+
+
+def test_alignments_of_pairs(spark):
+    pairs_ = [("a", "ACGTTGCATTGACC", flipped("TTACGTTGCATTGACCG")), ("b", "ACGTTGCATTGACCATTAGG", flipped("ACGTTGCATTCCCGACCATTAGG")), ("c", None, "ACGT"), ("d", "ACGT", None)]
+    got = {r.base_id: tuple(r)[1:] for r in align.alignments(spark.createDataFrame(pairs_, "base_id string, seq1 string, seq2 string")).collect()}
+    assert got["a"] == (14, 2, 16, 0, "14M") and got["b"][0] == 20 - 8 and got["b"][3] == 3 and "3D" in got["b"][4]
+    assert got["c"] == (0, 0, 0, 0, "") and got["d"] == (-9, 0, 0, 4, "4I")
