@@ -1,7 +1,8 @@
 """Media columns: TIFF files as pages.
 
-`tiff_pages` walks the image directories of each file, decodes uncompressed, PackBits, LZW and deflate strips and
-tiles, undoes horizontal prediction and gives one row per page. `store_texts` is the writing side: it keeps the bytes
+`tiff_pages` walks the image directories of each file and, behind each, its sub-directories, decodes uncompressed, PackBits,
+LZW and deflate strips and tiles in either order of bits, undoes horizontal and floating-point prediction, unpacks samples
+of 1, 2, 4, 8, 16, 32 or 64 bits (whole numbers, with or without sign, or floating point), and gives one row per page. `store_texts` is the writing side: it keeps the bytes
 of a text as the 8-bit samples of one or more pages.
 
 Defined results: a null text is the empty text; an empty text is one row of fill bytes; a null or unreadable file is
@@ -223,11 +224,13 @@ def write_tiff(pages: list[tuple[np.ndarray, tuple[int, int, bool]]]) -> bytes:
     return bytes(out)
 
 
-_TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 16: "Q", 17: "q", 18: "Q"}
+_TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
+_MIRROR = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
 def directories(data: bytes):
-    """The tags of each image directory, in file order: {tag: values}, and the byte order. A chain that loops ends."""
+    """The tags of each image directory, in file order and each followed by its sub-directories: {tag: values}, the byte
+    order, and how deep it lies. A directory that was seen before ends its chain."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8:
         raise TiffError("not a TIFF file")
@@ -237,8 +240,11 @@ def directories(data: bytes):
     big = magic == 43
     at = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
     count, entry, offset, inline = ("Q", 20, "Q", 8) if big else ("H", 12, "I", 4)
-    seen = set()
-    while at and at not in seen:
+    seen, waiting = set(), [(at, 0)]
+    while waiting:
+        at, depth = waiting.pop()
+        if not at or at in seen:
+            continue
         seen.add(at)
         n = struct.unpack_from(order + count, data, at)[0]
         at += 8 if big else 2
@@ -257,27 +263,51 @@ def directories(data: bytes):
                 if where + size > len(data):
                     raise TiffError(f"tag {tag} lies beyond the file")
                 tags[tag] = struct.unpack_from(f"{order}{many}{form}", data, where)
-        yield tags, order
-        at = struct.unpack_from(order + offset, data, at + n * entry)[0]
+        yield tags, order, depth
+        waiting.append((struct.unpack_from(order + offset, data, at + n * entry)[0], depth))
+        waiting += [(sub, depth + 1) for sub in reversed(tags.get(330, ()))]
 
 
 #: The most bytes that one byte of a file can stand for, by compression: LZW (12 bits for 4,096), deflate, PackBits.
 MOST = {5: 2731, 8: 1032, 32946: 1032, 32773: 64}
 
 
+def samples_of(raw: bytes, rows: int, across: int, depth: int, bits: int, kind: str, order: str, predictor: int) -> np.ndarray:
+    """Rows by columns by samples of a segment whose rows begin at whole bytes; kind: u, i or f. Samples below eight bits
+    take a byte each."""
+    if bits < 8:
+        line = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, : across * depth * bits]
+        part = (line.reshape(rows, across, depth, bits) << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
+        return np.cumsum(part, axis=1, dtype=np.uint8) & ((1 << bits) - 1) if predictor == 2 else part
+    form = np.dtype(f"{order}{kind}{bits // 8}")
+    if predictor == 3:  # differences of bytes, which lie by significance, the highest of all samples first
+        if kind != "f":
+            raise TiffError("predictor 3 is for floating-point samples")
+        line = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, -1, depth), axis=1, dtype=np.uint8)
+        planes = line.reshape(rows, bits // 8, across * depth)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(form.newbyteorder(">")).reshape(rows, across, depth).astype(form.newbyteorder("="))
+    if predictor == 2:  # differences of the samples' bits, whatever they stand for
+        whole = np.frombuffer(raw, np.dtype(f"{order}u{bits // 8}")).reshape(rows, across, depth)
+        return np.cumsum(whole, axis=1, dtype=whole.dtype.newbyteorder("=")).view(form.newbyteorder("="))
+    return np.frombuffer(raw, form).reshape(rows, across, depth).astype(form.newbyteorder("="))
+
+
 def decode_page(data: bytes, tags: dict, order: str) -> np.ndarray:
-    """Rows by columns by samples, 8 or 16 bits."""
+    """Rows by columns by samples."""
     one = lambda tag, default: tags.get(tag, (default,))[0]
     width, height, samples = one(256, 0), one(257, 0), one(277, 1)
-    bits, kind, predictor, planar = one(258, 1), one(259, 1), one(317, 1), one(284, 1)
-    if bits not in (8, 16):
-        raise TiffError(f"{bits} bits a sample are not supported")
-    if predictor not in (1, 2):
+    bits, kind, predictor, planar, numbers = one(258, 1), one(259, 1), one(317, 1), one(284, 1), one(339, 1)
+    if len(set(tags.get(258, ()))) > 1 or len(set(tags.get(339, ()))) > 1:
+        raise TiffError("samples of different kinds are not supported")
+    sample = {1: "u", 2: "i", 3: "f", 4: "u"}.get(numbers, "")
+    if bits not in {"u": (1, 2, 4, 8, 16, 32, 64), "i": (8, 16, 32, 64), "f": (16, 32, 64)}.get(sample, ()):
+        raise TiffError(f"samples of {bits} bits and kind {numbers} are not supported")
+    if predictor not in (1, 2, 3):
         raise TiffError(f"predictor {predictor} is not supported")
     tiled = 322 in tags
     tw, th = (one(322, 0), one(323, 0)) if tiled else (width, min(one(278, height), height))
     offsets, sizes = (tags.get(324), tags.get(325)) if tiled else (tags.get(273), tags.get(279))
-    if not (width and height and tw and th and offsets):
+    if not (width and height and tw and th and samples and offsets):
         raise TiffError("the page has no samples")
     if sizes is None:
         sizes = (len(data),) * len(offsets)
@@ -285,17 +315,16 @@ def decode_page(data: bytes, tags: dict, order: str) -> np.ndarray:
     # Sizes are checked by arithmetic, before anything of the size that a header claims is made.
     if planes * -(-height // th) * -(-width // tw) > min(len(offsets), len(sizes)):
         raise TiffError("too few segments")
-    if height * width * samples * (bits // 8) > len(data) * MOST.get(kind, 1) or th * tw * depth * (bits // 8) > len(data) * MOST.get(kind, 1):
+    line = -(-tw * depth * bits // 8)
+    if height * width * samples * bits > 8 * len(data) * MOST.get(kind, 1) or th * line > len(data) * MOST.get(kind, 1):
         raise TiffError("the page claims more samples than the file can hold")
-    form = np.dtype(("<" if order == "<" else ">") + ("u1" if bits == 8 else "u2"))
-    out = np.zeros((height, width, samples), form.newbyteorder("="))
+    out = np.zeros((height, width, samples), np.uint8 if bits < 8 else np.dtype(f"{sample}{bits // 8}"))
     cells = [(p, y, x) for p in range(planes) for y in range(0, height, th) for x in range(0, width, tw)]
     for (p, y, x), at, size in zip(cells, offsets, sizes):
         rows = th if tiled else min(th, height - y)
-        raw = expand(data[at : at + size], kind, rows * tw * depth * (bits // 8))
-        part = np.frombuffer(raw, form).reshape(rows, tw, depth).astype(out.dtype)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=out.dtype)
+        stored = data[at : at + size]
+        raw = expand(stored.translate(_MIRROR) if one(266, 1) == 2 else stored, kind, rows * line)
+        part = samples_of(raw, rows, tw, depth, bits, sample, order, predictor)
         h, w = min(rows, height - y), min(tw, width - x)
         out[y : y + h, x : x + w, slice(p, p + 1) if planar == 2 else slice(None)] = part[:h, :w]
     return out
@@ -304,10 +333,11 @@ def decode_page(data: bytes, tags: dict, order: str) -> np.ndarray:
 def read_pages(data: bytes | None):
     """A dictionary for each page; see the module's text for broken files."""
     blank = dict.fromkeys(("width", "height", "samples", "bits", "compression", "predictor", "pixels"))
-    number = 0
+    number, above = 0, []  # above: the pages that a sub-directory may belong to, by depth
     try:
-        for tags, order in directories(data or b""):
-            row = blank | {"page_no": number, "error": None} | {k: tags.get(t, (d,))[0] for k, t, d in (("width", 256, None), ("height", 257, None), ("samples", 277, 1), ("bits", 258, 1), ("compression", 259, 1), ("predictor", 317, 1))}
+        for tags, order, depth in directories(data or b""):
+            above = [*above[:depth], number]
+            row = blank | {"page_no": number, "parent": above[depth - 1] if depth else None, "error": None} | {k: tags.get(t, (d,))[0] for k, t, d in (("width", 256, None), ("height", 257, None), ("samples", 277, 1), ("bits", 258, 1), ("compression", 259, 1), ("predictor", 317, 1))}
             try:
                 row["pixels"] = decode_page(data, tags, order).tobytes()
             except (TiffError, struct.error, zlib.error, ValueError, IndexError) as e:
@@ -315,10 +345,10 @@ def read_pages(data: bytes | None):
             yield row
             number += 1
     except (TiffError, struct.error) as e:
-        yield blank | {"page_no": -1, "error": str(e)}
+        yield blank | {"page_no": -1, "parent": None, "error": str(e)}
 
 
-PAGE_FIELDS = (("page_no", "int", pa.int32()), ("width", "long", pa.int64()), ("height", "long", pa.int64()), ("samples", "int", pa.int32()), ("bits", "int", pa.int32()), ("compression", "int", pa.int32()), ("predictor", "int", pa.int32()), ("pixels", "binary", pa.binary()), ("error", "string", pa.string()))
+PAGE_FIELDS = (("page_no", "int", pa.int32()), ("parent", "int", pa.int32()), ("width", "long", pa.int64()), ("height", "long", pa.int64()), ("samples", "int", pa.int32()), ("bits", "int", pa.int32()), ("compression", "int", pa.int32()), ("predictor", "int", pa.int32()), ("pixels", "binary", pa.binary()), ("error", "string", pa.string()))
 
 
 def page_batch(part: pa.RecordBatch, column: str, kept: list[str]) -> pa.RecordBatch:

@@ -99,3 +99,93 @@ def test_sizes_are_checked_before_memory_is_taken():
         rows = list(tiff.read_pages(data))
         assert len(rows) == 1 and rows[0]["error"] and rows[0]["pixels"] is None
     assert time.time() - began < 2
+
+
+def one_strip(image, order="<", kind=tiff.NONE, stored=None, **tags):
+    """A file of one strip (rows by columns by samples) and further tags, _<number>=value."""
+    height, width, samples = image.shape
+    raw = image.astype(image.dtype.newbyteorder(order)).tobytes() if stored is None else stored
+    own = {256: width, 257: height, 258: image.dtype.itemsize * 8, 259: kind, 273: 8, 277: samples, 278: height, 279: len(raw)} | {int(k[1:]): v for k, v in tags.items()}
+    body = b"".join(struct.pack(order + "HHII", t, 4, 1, v) for t, v in sorted(own.items()))
+    start = 8 + len(raw) + len(raw) % 2
+    return struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, start) + raw + b"\0" * (len(raw) % 2) + struct.pack(order + "H", len(own)) + body + struct.pack(order + "I", 0)
+
+
+def decoded(data, dtype, shape):
+    (page,) = tiff.read_pages(data)
+    assert page["error"] is None, page["error"]
+    return np.frombuffer(page["pixels"], dtype).reshape(shape)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("dtype,numbers", [("u1", 1), ("u2", 1), ("u4", 1), ("u8", 1), ("i1", 2), ("i2", 2), ("i4", 2), ("f2", 3), ("f4", 3), ("f8", 3)])
+def test_kinds_of_samples(order, dtype, numbers):
+    x = (np.random.default_rng(1).normal(size=(5, 7, 3)) * 90).astype(dtype)
+    assert (decoded(one_strip(x, order, _339=numbers), dtype, x.shape) == x).all()
+    bits = x.view(f"u{x.itemsize}")
+    apart = np.concatenate([bits[:, :1], np.diff(bits, axis=1)], axis=1)
+    assert (decoded(one_strip(apart, order, _339=numbers, _317=2), dtype, x.shape) == x).all()
+    stored = zlib.compress(x.astype(x.dtype.newbyteorder(order)).tobytes())
+    assert (decoded(one_strip(x, order, tiff.ADOBE_DEFLATE, stored, _339=numbers), dtype, x.shape) == x).all()
+
+
+@pytest.mark.parametrize("dtype", ["f2", "f4", "f8"])
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_floating_point_predictor(dtype, order):
+    """By the rule itself: a row's bytes by significance, and each less the one `samples` before it."""
+    x = np.random.default_rng(2).normal(size=(4, 6, 2)).astype(dtype)
+    rows = []
+    for row in x.astype(x.dtype.newbyteorder(">")):
+        raw = row.tobytes()
+        planes = b"".join(raw[i :: x.itemsize] for i in range(x.itemsize))
+        rows.append(bytes((planes[i] - (planes[i - 2] if i >= 2 else 0)) % 256 for i in range(len(planes))))
+    assert (decoded(one_strip(x, order, stored=b"".join(rows), _317=3, _339=3), dtype, x.shape) == x).all()
+    (page,) = tiff.read_pages(one_strip(x.view(f"u{x.itemsize}"), order, _317=3))
+    assert page["error"] and page["pixels"] is None
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("mirrored", [False, True])
+def test_samples_below_a_byte(bits, mirrored):
+    """Rows begin at whole bytes; in the other order of bits the lowest comes first."""
+    x = np.random.default_rng(bits).integers(0, 1 << bits, (5, 11, 3), dtype=np.uint8)
+    raw = b""
+    for row in x:
+        line = "".join(f"{v:0{bits}b}" for v in row.ravel())
+        line += "0" * (-len(line) % 8)
+        raw += bytes(int(line[i : i + 8][::-1] if mirrored else line[i : i + 8], 2) for i in range(0, len(line), 8))
+    assert (decoded(one_strip(x, stored=raw, _258=bits, _266=2 if mirrored else 1), np.uint8, x.shape) == x).all()
+
+
+def test_order_of_bits_of_compressed_strips():
+    x = np.frombuffer(noisy(600), np.uint8).reshape(10, 60, 1)
+    for kind, stored in ((tiff.LZW, tiff.lzw_encode(x.tobytes())), (tiff.PACKBITS, tiff.packbits_encode(x.tobytes())), (tiff.DEFLATE, zlib.compress(x.tobytes()))):
+        mirrored = bytes(int(f"{b:08b}"[::-1], 2) for b in stored)
+        assert (decoded(one_strip(x, kind=kind, stored=mirrored, _266=2), np.uint8, x.shape) == x).all()
+
+
+def test_sub_directories():
+    """Two pages; the first has two smaller ones below it, the second of which has one more."""
+    out, places = bytearray(b"II*\0\0\0\0\0"), {}
+
+    def directory(name, value, links, following):
+        strip = len(out)
+        out.extend(bytes([value]) * 4)
+        at = 0
+        if len(links) > 1:
+            at = len(out)
+            out.extend(struct.pack(f"<{len(links)}I", *links))
+        own = {256: (4, 1, 2), 257: (4, 1, 2), 258: (4, 1, 8), 259: (4, 1, 1), 273: (4, 1, strip), 277: (4, 1, 1), 278: (4, 1, 2), 279: (4, 1, 4)}
+        if links:
+            own[330] = (13, len(links), at if at else links[0])
+        places[name] = len(out)
+        out.extend(struct.pack("<H", len(own)) + b"".join(struct.pack("<HHII", t, *v) for t, v in sorted(own.items())) + struct.pack("<I", following))
+
+    directory("lowest", 4, [], 0)
+    directory("second", 3, [places["lowest"], places["lowest"]], 0)  # named twice: one page
+    directory("first", 2, [], 0)
+    directory("last", 5, [], 0)
+    directory("main", 1, [places["first"], places["second"]], places["last"])
+    struct.pack_into("<I", out, 4, places["main"])
+    pages = list(tiff.read_pages(bytes(out)))
+    assert [(p["page_no"], p["parent"], p["pixels"][0], p["error"]) for p in pages] == [(0, None, 1, None), (1, 0, 2, None), (2, 0, 3, None), (3, 2, 4, None), (4, None, 5, None)]
