@@ -20,7 +20,16 @@ for _i, _b in enumerate("ACGT"):
     CODE[ord(_b)] = CODE[ord(_b.lower())] = _i
 
 
+def by_base_id(reads: DataFrame, table: str, path: str, buckets: int = 200) -> DataFrame:
+    """The reads with base_id and mate, written as a table of that name at a path in the shared folder, in buckets of base
+    ids: mate joins, support and evidence of these rows shuffle no read again."""
+    with_mate(reads).write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, "base_id").sortBy("base_id").saveAsTable(table)
+    return reads.sparkSession.table(table)
+
+
 def with_mate(reads: DataFrame) -> DataFrame:
+    if {"base_id", "mate"} <= set(reads.columns):
+        return reads
     return reads.withColumn("base_id", base_id(F.col("id"))).withColumn("mate", mate(F.col("id")))
 
 
@@ -137,7 +146,8 @@ def with_evidence(reads: DataFrame) -> DataFrame:
     hits = F.col("c_to_t") + F.col("g_to_a")
     total = hits + F.col("other")
     summary = pair_summary(mate_join(reads)).select("base_id", "support", F.coalesce(F.try_divide(hits, total), F.lit(0.0)).alias("ratio"), total.alias("mismatches"), "overlap_size")
-    return reads.withColumn("base_id", base_id(F.col("id"))).join(summary, "base_id", "left").drop("base_id")
+    named = reads if "base_id" in reads.columns else reads.withColumn("base_id", base_id(F.col("id")))
+    return named.join(summary, "base_id", "left").select(*reads.columns, *summary.columns[1:])
 
 
 def pair_counters(reads: DataFrame) -> DataFrame:

@@ -636,3 +636,23 @@ def test_alignments_of_pairs(spark):
     got = {r.base_id: tuple(r)[1:] for r in align.alignments(spark.createDataFrame(pairs_, "base_id string, seq1 string, seq2 string")).collect()}
     assert got["a"] == (14, 2, 16, 0, "14M") and got["b"][0] == 20 - 8 and got["b"][3] == 3 and "3D" in got["b"][4]
     assert got["c"] == (0, 0, 0, 0, "") and got["d"] == (-9, 0, 0, 4, "4I")
+
+
+def test_one_layout_by_base_id(spark, tmp_path):
+    """Reads in buckets of base ids: no shuffle below the mate join, the summary's rows alone are shuffled for support."""
+    rng = random.Random(16)
+    rows = [(f"r{i}/{m}", "".join(rng.choice("ACGT") for _ in range(40))) for i in range(60) for m in (1, 2) if rng.random() < 0.9]
+    reads = spark.createDataFrame(rows, "id string, seq string")
+    laid = pairs.by_base_id(reads, "laid_reads", str(tmp_path / "laid"), 4)
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan(pairs.mate_join(laid)) and "Exchange" in plan(pairs.mate_join(reads))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert plan(pairs.support_of_reads(laid)).count("Exchange hashpartitioning") == 1 < plan(pairs.support_of_reads(reads)).count("Exchange hashpartitioning")
+        for f in (pairs.support_of_reads, pairs.with_evidence, pairs.mate_join):
+            a, b = f(laid), f(reads)
+            shared = [c for c in b.columns if c in a.columns]
+            assert sorted(map(str, a.select(shared).collect())) == sorted(map(str, b.select(shared).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE laid_reads")
