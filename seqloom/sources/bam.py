@@ -30,6 +30,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 
 from seqloom.sources.fastq import RANGE, ROWS, Part, part_of, text_array
 from seqloom.sources.files import listing, opened
+from seqloom.sources.writers import Writer
 
 SCHEMA = "file string, nr long, id string, flag int, tid int, pos int, mapq int, seq string, quality array<smallint>, raw binary, secondary boolean, supplementary boolean, unmapped boolean, length int"
 ARROW = pa.schema([("file", pa.string()), ("nr", pa.int64()), ("id", pa.string()), ("flag", pa.int32()), ("tid", pa.int32()), ("pos", pa.int32()), ("mapq", pa.int32()), ("seq", pa.string()), ("quality", pa.list_(pa.int16())), ("raw", pa.binary()), ("secondary", pa.bool_()), ("supplementary", pa.bool_()), ("unmapped", pa.bool_()), ("length", pa.int32())])
@@ -422,6 +423,9 @@ class BamSource(DataSource):
         # Spark takes no reader of filters while its setting is off.
         return (_Filtering if str(self.options.get("filters", "false")).lower() == "true" else _Reader)(self.options, schema.fieldNames())
 
+    def writer(self, schema, overwrite):
+        return Writer(self.name(), self.options, schema.fieldNames(), overwrite)
+
 
 def read_bam(spark: SparkSession, path: str, raw: bool = False, columns: list[str] | None = None) -> DataFrame:
     """All records, in the orientation in which they are stored; tasks read ranges of a file. With `raw`, the record's bytes

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from seqloom.sources.files import listing, opened
+from seqloom.sources.writers import Writer
 
 SCHEMA = "file string, nr long, id string, seq string, quality array<smallint>"
 ARROW = pa.schema([("file", pa.string()), ("nr", pa.int64()), ("id", pa.string()), ("seq", pa.string()), ("quality", pa.list_(pa.int16()))])
@@ -277,6 +278,9 @@ class FastqSource(DataSource):
     def reader(self, schema):
         return _Reader("fastq", self.options)
 
+    def writer(self, schema, overwrite):
+        return Writer(self.name(), self.options, schema.fieldNames(), overwrite)
+
 
 class FastaSource(FastqSource):
     @classmethod

@@ -346,3 +346,44 @@ def test_bam_clusters_are_written_by_executors(spark, tmp_path):
     with pytest.raises(FileExistsError):
         sinks.write_bam_parts(str(source), clusters, stats, str(tmp_path / "parts"))
     assert sum(len(paths) for _, _, paths in parts) > 2 and sinks.write_bam_parts(str(source), clusters, stats.limit(0), str(tmp_path / "none")) == []
+
+
+def files_of(folder):
+    return sorted(p.name for p in folder.iterdir()) if folder.exists() else []
+
+
+@pytest.mark.parametrize("kind", ["fastq", "fasta", "bam"])
+def test_sources_write_what_they_read(spark, tmp_path, kind):
+    spark.dataSource.register(fastq.FastqSource)
+    spark.dataSource.register(fastq.FastaSource)
+    spark.dataSource.register(bam.BamSource)
+    rows = [(f"r{i}", READ[: 10 + i % 20], [i % 41] * (10 + i % 20) if i % 3 else None) for i in range(100)]
+    df = spark.createDataFrame(rows, "id string, seq string, quality array<smallint>").repartition(4)
+    folder = tmp_path / kind
+    df.write.format(kind).mode("append").save(str(folder))
+    assert len(files_of(folder)) == 4 and all(n.startswith("part-") and n.endswith(kind) for n in files_of(folder))
+    expected = {"fasta": lambda r: (r[0], r[1], None), "bam": lambda r: r, "fastq": lambda r: (*r[:2], [14] * len(r[1]) if r[2] is None else r[2])}[kind]
+    read = lambda: sorted((r.id, r.seq, r.quality) for r in spark.read.format(kind).load(str(folder)).select("id", "seq", "quality").collect())
+    assert read() == sorted(map(expected, rows))
+    df.where("id < 'r2'").write.format(kind).mode("append").save(str(folder))
+    assert len(read()) == 100 + df.where("id < 'r2'").count()
+    df.where("id = 'r7'").coalesce(1).write.format(kind).mode("overwrite").save(str(folder))
+    assert [r[0] for r in read()] == ["r7"] and len(files_of(folder)) == 1
+
+
+@pytest.mark.parametrize("kind", ["fastq", "bam"])
+def test_a_failed_write_leaves_nothing(spark, tmp_path, kind):
+    spark.dataSource.register(fastq.FastqSource)
+    spark.dataSource.register(bam.BamSource)
+    folder = tmp_path / kind
+    good = spark.createDataFrame([("a", "ACGT", 0)], "id string, seq string, tid int").drop("tid")
+    good.write.format(kind).mode("append").save(str(folder))
+    before = files_of(folder)
+    rows = [(f"r{i}", "ACGT", [200 if i == 77 else 7] * 4, 5 if i == 77 else -1) for i in range(100)]
+    bad = spark.createDataFrame(rows, "id string, seq string, quality array<smallint>, tid int").repartition(4)
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception, match="no character|no reference"):
+            bad.write.format(kind).mode(mode).save(str(folder))
+        assert files_of(folder) == before
+    with pytest.raises(Exception, match="id and seq"):
+        bad.drop("seq").write.format(kind).mode("append").save(str(folder))
