@@ -1,7 +1,9 @@
 """Operators against literal cases and plain restatements."""
 
+import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -638,6 +640,72 @@ def test_alignments_of_pairs(spark):
     assert got["c"] == (0, 0, 0, 0, "") and got["d"] == (-9, 0, 0, 4, "4I")
 
 
+def plain_path(x, y):
+    """Score, begin, end, gaps and path, from whole tables and the order in which equals are taken."""
+    low = -(10**6)
+    h = [[0 if not i else low for _ in range(len(y) + 1)] for i in range(len(x) + 1)]
+    v, g = [[low] * (len(y) + 1) for _ in h], [[low] * (len(y) + 1) for _ in h]
+    came, longer_v, longer_g = {}, {}, {}
+    for i in range(1, len(x) + 1):
+        for j in range(len(y) + 1):
+            longer_v[i, j], v[i][j] = v[i - 1][j] - 1 > h[i - 1][j] - 6, max(h[i - 1][j] - 6, v[i - 1][j] - 1)
+            if j:
+                longer_g[i, j], g[i][j] = g[i][j - 1] - 1 > h[i][j - 1] - 6, max(h[i][j - 1] - 6, g[i][j - 1] - 1)
+                h[i][j] = h[i - 1][j - 1] + (1 if x[i - 1] == y[j - 1] else -1)
+            for kind, score in (("I", v[i][j]), ("D", g[i][j])):
+                if score > h[i][j]:
+                    h[i][j], came[i, j] = score, kind
+    i, j = len(x), h[-1].index(max(h[-1]))
+    path, state, end = "", "M", j
+    while i:
+        state = came.get((i, j), "M") if state == "M" else state
+        path += state
+        if state == "M":
+            i, j = i - 1, j - 1
+        elif state == "I":
+            state, i = "I" if longer_v[i, j] else "M", i - 1
+        else:
+            state, j = "D" if longer_g[i, j] else "M", j - 1
+    return max(h[-1]), j, end, sum(map(path.count, "ID")), "".join(f"{len(list(own))}{kind}" for kind, own in itertools.groupby(path[::-1]))
+
+
+def test_paths_equal_those_of_whole_tables(spark):
+    """Three and four differences, ties of repeats, gaps, shorter and longer mates, and letters that are no bases."""
+    rng = random.Random(17)
+    rows = [("", ""), ("", "ACGT"), ("ACGT", ""), ("A", "C"), ("aCGTNNxz", "ACGTNNNN"), ("ACGTé" * 5, "ACGTN" * 5), ("ACGTACGTACGT", "GACGTACTACGTACGT")]
+    for _ in range(400):
+        letters = rng.choice(["A", "AC", "ACGT", "ACGTN"])
+        x = [rng.choice(letters) for _ in range(rng.choice([5, 12, 40]))]
+        y = list(x)
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(y)) if y else 0
+            y[at : at + 1] = [rng.choice("ACGT")]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            at, k = rng.randint(0, len(y)), rng.randint(1, 4)
+            y[at : at + (k if rng.random() < 0.5 else 0)] = [rng.choice(letters) for _ in range(rng.choice([0, k]))]
+        pad = lambda: [rng.choice(letters) for _ in range(rng.choice([0, 0, 1, 3]))]
+        rows.append(("".join(x), "".join(pad() + y + pad())))
+    pairs_ = [(str(i), x, flipped(y)) for i, (x, y) in enumerate(rows)]
+    got = {int(r.base_id): tuple(r)[1:] for r in align.alignments(spark.createDataFrame(pairs_, "base_id string, seq1 string, seq2 string")).collect()}
+    assert len(got) == len(rows)
+    for i, (x, y) in enumerate(rows):
+        assert got[i] == plain_path(x.replace("é", "?"), y), (x, y)
+
+
+def test_alike_mates_need_no_tables():
+    """CPU seconds grow with the letters of mates that differ in few places, not with the cells of their tables."""
+    rng = np.random.default_rng(18)
+    x = rng.integers(65, 69, (8_000, 150)).astype(np.uint8)
+    y = x.copy()
+    y[np.arange(8_000), rng.integers(0, 150, 8_000)] = 78
+    y[:, -1] = 78
+    n = np.full(8_000, 150)
+    began = time.process_time()
+    got = [found for own in align.groups(n, n) for found in align.aligned(x[own], n[own], y[own], n[own])]
+    assert {(*found[1:3], str(found[3])) for found in got} == {(0, 150, "[(0, 150)]")} and {found[0] for found in got} == {146, 148}
+    assert time.process_time() - began < 3
+
+
 def test_one_layout_by_base_id(spark, tmp_path):
     """Reads in buckets of base ids: no shuffle below the mate join, the summary's rows alone are shuffled for support."""
     rng = random.Random(16)
