@@ -1,8 +1,8 @@
 """Alignment of mates: all of mate 1 against a stretch of the reverse complement of mate 2, with affine gaps.
 
 A path with gaps scores at least 6 less than the letters of mate 1, so mates of one length that differ in at most three places
-are aligned without gaps: these are settled by counting, all of a batch at once. What the best straight path of any other
-pair scores bounds the gaps of a path that is as good, and so the diagonals that it can reach; only these are filled in.
+are aligned without gaps: these are settled by counting, all of a batch at once. Of any other pair, the best score without
+gaps or with one bounds the gaps of a path that is as good, and so the diagonals that it can reach; only these are filled in.
 
 All pairs of a group are aligned at once, along their tables' anti-diagonals, whose cells do not depend on each other: an
 anti-diagonal of all pairs is one array operation. Each cell keeps where its score came from, so that the paths are found
@@ -14,7 +14,7 @@ comes first wins, and on the way back a pair of bases before a gap in mate 2, an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ _KIND = np.array([(PAIR, ONLY_1, ONLY_2, ONLY_2)[c & 3] for c in range(16)] + [O
 _NEXT = np.array([PAIR] * 16 + [ONLY_1 if c & 4 else PAIR for c in range(16)] + [ONLY_2 if c & 8 else PAIR for c in range(16)], np.uint8)
 
 
-def codes(seqs: list[str], width: int, flip: bool = False) -> np.ndarray:
+def codes(seqs: Sequence[str], width: int, flip: bool = False) -> np.ndarray:
     """Sequences by letters, padded with zeros; with `flip` their reverse complements."""
     out = np.zeros((len(seqs), width), np.uint8)
     for i, s in enumerate(seqs):
@@ -41,7 +41,7 @@ def codes(seqs: list[str], width: int, flip: bool = False) -> np.ndarray:
     return out
 
 
-def differences(seq1: list[str], seq2: list[str], n: np.ndarray) -> np.ndarray:
+def differences(seq1: Sequence[str], seq2: Sequence[str], n: np.ndarray) -> np.ndarray:
     """In how many places each sequence differs from the reverse complement of the other, which is as long."""
     x, y = (np.frombuffer("".join(s).encode("ascii", "replace"), np.uint8) for s in (seq1, seq2))
     ends = np.cumsum(n)
@@ -50,41 +50,40 @@ def differences(seq1: list[str], seq2: list[str], n: np.ndarray) -> np.ndarray:
 
 
 def straight(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Score and begin in y of each pair's best path without gaps, the first of equals; if y is shorter than x, of the
-    paths that have one gap, at x's end or begin."""
-    width, longer = x.shape[1], np.maximum(m - n, 0)
-    inside = np.arange(width) < np.minimum(n, m)[:, None]
-    y = np.pad(y, ((0, 0), (0, width)))
-    best, at = np.full(len(n), -(1 << 60)), np.zeros(len(n), np.int64)
-
-    def score(own, x, y):
-        return 2 * np.count_nonzero((x == y) & inside[own], axis=1) - n[own] - np.where(n[own] > m[own], 5, 0)
-
-    for o in range(int(longer.max(initial=0)) + 1):
-        own = np.flatnonzero(longer >= o)
-        found = score(own, x[own], y[own, o : o + width])
-        better = own[found > best[own]]
-        best[better], at[better] = found[found > best[own]], o
-    short = np.flatnonzero(m < n)
-    if len(short):
-        cut = np.minimum(np.arange(width) + (n - m)[short, None], width - 1)
-        best[short] = np.maximum(best[short], score(short, np.take_along_axis(x[short], cut, 1), y[short, :width]))
+    """Score and begin in y of each pair's best path without gaps, the first of equals; a score far below all if y is shorter."""
+    width = x.shape[1]
+    best, at = np.full(len(n), -(1 << 40)), np.zeros(len(n), np.int64)
+    inside, y = np.arange(width) < n[:, None], np.pad(y, ((0, 0), (0, width)))
+    for o in range(int((m - n).max(initial=-1)) + 1):
+        own = np.flatnonzero(m - n >= o)
+        score = 2 * np.count_nonzero((x[own] == y[own, o : o + width]) & inside[own], axis=1) - n[own]
+        better = score > best[own]
+        best[own[better]], at[own[better]] = score[better], o
     return best, at
 
 
+def one_gap(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Score of each pair's best path from begin to end of both with one gap."""
+    k, apart = np.arange(x.shape[1]), (m - n)[:, None]
+    inside, y = k < np.minimum(n, m)[:, None], np.pad(y, ((0, 0), (0, len(k))))
+    before = (x == y[:, : len(k)]) & inside
+    behind = (np.take_along_axis(x, np.minimum(k + np.maximum(-apart, 0), len(k) - 1), 1) == np.take_along_axis(y, k + np.maximum(apart, 0), 1)) & inside
+    turn = np.cumsum(before.astype(np.int32) - behind, axis=1).max(axis=1, initial=0)
+    return 2 * (np.count_nonzero(behind, axis=1) + turn) - np.minimum(n, m) - 5 - abs(m - n)
+
+
 def aligned(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
     """Score, begin and end in y, and the path (runs of columns: kind, number) of each pair of rows; n and m are lengths."""
     best, at = straight(x, n, y, m)
-    # A path as good has a columns of x only, b of y only and k gaps with 2 a + b + 5 k <= lost.
     lost = n - best
-    spare = np.maximum(lost - 5, 0) // 2  # such columns of x only
     # A gap of one base in x, all else equal, loses 6: its path can end before a straight one that begins beyond 1.
-    done = (m >= n) & ((lost < 6) | (lost == 6) & (at <= 1))
+    rest = np.flatnonzero((lost > 6) | (lost == 6) & (at > 1))
     found: list = [(s, b, b + k, [(PAIR, k)] if k else []) for s, b, k in zip(best.tolist(), at.tolist(), n.tolist())]
-    rest = np.flatnonzero(~done)
-    for group in groups(n[rest], m[rest], spare[rest]):
-        own = rest[group]
-        for p, path in zip(own.tolist(), _by_table(x[own], n[own], y[own], m[own], spare[own])):
+    # A path as good as the better of these has a columns of x only, b of y only and k gaps with 2 a + b + 5 k <= lost.
+    x, n, y, m, lost = x[rest], n[rest], y[rest], m[rest], np.minimum(lost[rest], n[rest] - one_gap(x[rest], n[rest], y[rest], m[rest]))
+    spare = np.maximum(lost - 5, 0) // 2  # such columns of x only
+    for own in groups(n, m, spare):
+        for p, path in zip(rest[own].tolist(), _by_table(x[own], n[own], y[own], m[own], spare[own])):
             found[p] = path
     return found
 
@@ -205,10 +204,10 @@ def alignments(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            seq1, seq2 = ([s or "" for s in batch.column(c).to_pylist()] for c in ("seq1", "seq2"))
-            n, m = (np.array(list(map(len, s)), np.int64) for s in (seq1, seq2))
+            seq1, seq2 = (pc.fill_null(batch.column(c), "").to_numpy(zero_copy_only=False) for c in ("seq1", "seq2"))
+            n, m = (np.fromiter(map(len, s), np.int64, len(s)) for s in (seq1, seq2))
             like, apart = np.flatnonzero(n == m), np.zeros_like(n)
-            apart[like] = differences([seq1[i] for i in like], [seq2[i] for i in like], n[like])
+            apart[like] = differences(seq1[like], seq2[like], n[like])
             rest = np.flatnonzero((n > 0) & ((n != m) | (apart > ALIKE)))
             score, begin, end, gaps = n - 2 * apart, np.zeros_like(n), n.copy(), np.zeros_like(n)
             paths = pc.if_else(pa.array(n > 0), pc.binary_join_element_wise(pa.array(n).cast(pa.string()), LETTERS[PAIR], ""), "")
@@ -216,8 +215,8 @@ def alignments(pairs: DataFrame) -> DataFrame:
                 named, place = [""] * len(rest), np.arange(len(n))
                 for group in groups(n[rest], m[rest], np.zeros_like(rest)):
                     own = rest[group]
-                    x = codes([seq1[i] for i in own], int(n[own].max()))
-                    y = codes([seq2[i] for i in own], int(m[own].max()), flip=True)
+                    x = codes(seq1[own], int(n[own].max()))
+                    y = codes(seq2[own], int(m[own].max()), flip=True)
                     for at, i, (*numbers, path) in zip(group.tolist(), own.tolist(), aligned(x, n[own], y, m[own])):
                         score[i], begin[i], end[i] = numbers
                         gaps[i] = sum(k for kind, k in path if kind != PAIR)
